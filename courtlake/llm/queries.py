@@ -21,8 +21,14 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_read(spark, sf_dir, "documents"), 24)
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find_pii, pii_digest
+
+    return pii_digest(find_pii(_read(spark, sf_dir, "documents")))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_mixing, op6_sharding)}
+    return {f.__name__: f for f in (op3_mixing, op6_sharding, op8_pii)}
 
 
 def oracle_sql() -> dict:
