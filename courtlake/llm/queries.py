@@ -27,8 +27,30 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(find_pii(_read(spark, sf_dir, "documents")))
 
 
+def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .tokens import token_counts
+
+    return token_counts(_read(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json")))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import contaminated
+
+    return contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import held_out, identify
+
+    docs = _read(spark, sf_dir, "documents")
+    judged = identify(docs, docs.where(~held_out("doc_id")))
+    return judged.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_mixing, op6_sharding, op8_pii)}
+    return {f.__name__: f for f in (op3_mixing, op5_tokens, op6_sharding, op7_decontamination, op8_pii, op10_language)}
 
 
 def oracle_sql() -> dict:
