@@ -3,12 +3,37 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embeddings import near_vectors
+
+    return near_vectors(_read(spark, sf_dir, "embeddings"))
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .scratch import new_path
+    from .warc import archive_pages
+
+    index = archive_pages(_read(spark, sf_dir, "pages"), new_path(spark, "warc"))
+    return index.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP2_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, p.payload_digest,
+  CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p LEFT JOIN f USING (payload_digest)
+"""
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_sizes
 
@@ -50,8 +75,8 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_mixing, op5_tokens, op6_sharding, op7_decontamination, op8_pii, op10_language)}
+    return {f.__name__: f for f in (op1_embeddings, op2_warc, op3_mixing, op5_tokens, op6_sharding, op7_decontamination, op8_pii, op10_language)}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op2_warc": OP2_SQL}
