@@ -6,12 +6,12 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
+from .grouped import map_groups, matrix
 from .scratch import cut, small
 
 COSINE = 0.98
@@ -65,12 +65,8 @@ def buckets(x: np.ndarray, functions: int, tables: int = TABLES, probes: int = P
     return out
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.stack(column.to_numpy(zero_copy_only=False)).astype(np.float64)
-
-
-def _unit(column: pd.Series) -> np.ndarray:
-    x = np.stack(column.to_numpy()).astype(np.float64)
+def _unit(column: pa.ChunkedArray) -> np.ndarray:
+    x = matrix(column)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -84,7 +80,7 @@ def hashed(vectors: DataFrame, functions: int) -> DataFrame:
                 sizes = b.column("d").to_numpy()
                 for d in np.unique(sizes):
                     part = b.filter(pa.array(sizes == d))
-                    code = buckets(_matrix(part.column("vector")), functions)
+                    code = buckets(matrix(part.column("vector")), functions)
                     n, t, p = code.shape
                     rep = np.repeat(np.arange(n), t * p)
                     yield pa.RecordBatch.from_arrays(
@@ -106,9 +102,11 @@ def _blocks(rows: DataFrame, key: list[str], block: int = BLOCK) -> DataFrame:
     return rows.join(small(sizes), key).withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_k")).cast("int")).withColumn("_cell", F.explode(cells)).select(*rows.columns, "_b", "_cell.i", "_cell.j")
 
 
-def _tree(pdf: pd.DataFrame) -> pd.DataFrame:
+def _tree(t: pa.Table) -> tuple | None:
     """A spanning tree of the links in one block pair. A vector leaves the search once something reached it."""
-    x, own, ids = _unit(pdf["vector"]), pdf["own"].to_numpy(bool), pdf["id"].to_numpy()
+    if t.num_rows < 2:
+        return None
+    x, own, ids = _unit(t.column("vector")), t.column("own").to_numpy(), t.column("id").to_numpy()
     left = np.arange(len(ids))
     a, b = [], []
     while len(left):
@@ -124,33 +122,23 @@ def _tree(pdf: pd.DataFrame) -> pd.DataFrame:
                 reached.append(left[hit])
                 left = left[~hit]
             front = np.concatenate(reached)
-    return pd.DataFrame({"a": np.concatenate([*a, np.zeros(0, np.int64)]), "b": np.concatenate([*b, np.zeros(0, np.int64)])})
+    return (np.concatenate(a), np.concatenate(b)) if a else None
 
 
-def _degrees(pdf: pd.DataFrame) -> pd.DataFrame:
+def _degrees(t: pa.Table) -> tuple | None:
     """The links, copies included, that each vector of a block pair has there."""
-    i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-    pdf = pdf.sort_values("id", kind="stable")
-    out = []
-    for d in pdf["d"].unique():
-        of = pdf[pdf["d"] == d]
-        for lab in of["label"].unique():
-            p = of[of["label"] == lab]
-            left, right = p[p["_b"] == i], p[p["_b"] == j]
-            if not len(left) or not len(right):
-                continue
-            x, y, n, m = _unit(left["vector"]), _unit(right["vector"]), left["copies"].to_numpy(), right["copies"].to_numpy()
-            got, back = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
-            for at in range(0, len(x), BLOCK):
-                near = x[at : at + BLOCK] @ y.T >= COSINE
-                if i == j:
-                    near[np.arange(len(near)), at + np.arange(len(near))] = False
-                got[at : at + BLOCK] = near @ m
-                back += n[at : at + BLOCK] @ near
-            out.append(pd.DataFrame({"id": left["id"].to_numpy(), "links": got}))
-            if i != j:
-                out.append(pd.DataFrame({"id": right["id"].to_numpy(), "links": back}))
-    return pd.concat(out) if out else pd.DataFrame({"id": np.zeros(0, np.int64), "links": np.zeros(0, np.int64)})
+    part, i, j = t.column("_b").to_numpy(), t.column("i")[0].as_py(), t.column("j")[0].as_py()
+    x, ids, copies = _unit(t.column("vector")), t.column("id").to_numpy(), t.column("copies").to_numpy()
+    left, right = np.nonzero(part == i)[0], np.nonzero(part == j)[0]
+    got, back = np.zeros(len(left), np.int64), np.zeros(len(right), np.int64)
+    for at in range(0, len(left), BLOCK):
+        rows = left[at : at + BLOCK]
+        near = x[rows] @ x[right].T >= COSINE
+        if i == j:
+            near[np.arange(len(rows)), at + np.arange(len(rows))] = False
+        got[at : at + BLOCK] = near @ copies[right]
+        back += copies[rows] @ near
+    return (ids[left], got) if i == j else (np.concatenate([ids[left], ids[right]]), np.concatenate([got, back]))
 
 
 def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -180,10 +168,10 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     shared = found.groupBy(*bucket).agg(F.count(F.lit(1)).alias("_n"), F.max("own").alias("_any")).where("_n > 1 and _any").select(*bucket)
     met = cut(found.join(shared, bucket), "bucket-rows")
     blocks = _blocks(met, bucket).join(distinct.select("id", "vector"), "id")
-    trees = blocks.groupBy(*bucket, "i", "j").applyInPandas(_tree, "a long, b long")
+    trees = map_groups(blocks, [*bucket, "i", "j"], _tree, "a long, b long", ["a", "b"], [pa.int64()] * 2)
     groups = cut(components(trees), "vector-components")
     linked = _blocks(distinct.join(groups, "id"), ["component"])
-    degrees = linked.groupBy("component", "i", "j").applyInPandas(_degrees, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
+    degrees = map_groups(linked, ["component", "i", "j"], _degrees, "id long, links long", ["id", "links"], [pa.int64()] * 2).groupBy("id").agg(F.sum("links").alias("links"))
     answers = distinct.select("h1", "h2", "id", "copies").join(groups, "id", "left").join(degrees, "id", "left")
     answers = answers.select("h1", "h2", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     out = ids.join(answers, ["h1", "h2"], "left").select(id_col, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", F.col(id_col)).alias("component_id"))
