@@ -11,15 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .grouped import map_groups, matrix
-from .scratch import cut, small
+from .grouped import BLOCK, deal_blocks, map_groups, matrix
+from .scratch import cut
 
 COSINE = 0.98
 #: Hash tables, buckets that a vector enters in each of them (its own one first), coordinates that a probe may take.
 TABLES, PROBES, RUNNERS_UP = 12, 4, 3
 SEED = 77
-#: Rows of a block that are compared at once.
-BLOCK = 2048
 
 
 def rotate(x: np.ndarray, signs: np.ndarray) -> np.ndarray:
@@ -92,16 +90,6 @@ def hashed(vectors: DataFrame, functions: int) -> DataFrame:
     return rows.groupBy("label", "d", "t", "bucket", "id").agg(F.max("own").alias("own"))
 
 
-def _blocks(rows: DataFrame, key: list[str], block: int = BLOCK) -> DataFrame:
-    """Deal each key's rows to pairs (i, j), i <= j, of blocks, so that every two rows of a key meet in some pair.
-
-    A key within `block` rows is one pair; a larger one is spread over many tasks.
-    """
-    sizes = cut(rows.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_k")), "block-sizes")
-    cells = F.expr("transform(sequence(0, _k - 1), x -> struct(least(x, _b) as i, greatest(x, _b) as j))")
-    return rows.join(small(sizes), key).withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_k")).cast("int")).withColumn("_cell", F.explode(cells)).select(*rows.columns, "_b", "_cell.i", "_cell.j")
-
-
 def _tree(t: pa.Table) -> tuple | None:
     """A spanning tree of the links in one block pair. A vector leaves the search once something reached it."""
     if t.num_rows < 2:
@@ -167,10 +155,10 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     found = hashed(distinct, functions)
     shared = found.groupBy(*bucket).agg(F.count(F.lit(1)).alias("_n"), F.max("own").alias("_any")).where("_n > 1 and _any").select(*bucket)
     met = cut(found.join(shared, bucket), "bucket-rows")
-    blocks = _blocks(met, bucket).join(distinct.select("id", "vector"), "id")
+    blocks = deal_blocks(met, bucket).join(distinct.select("id", "vector"), "id")
     trees = map_groups(blocks, [*bucket, "i", "j"], _tree, "a long, b long", ["a", "b"], [pa.int64()] * 2)
     groups = cut(components(trees), "vector-components")
-    linked = _blocks(distinct.join(groups, "id"), ["component"])
+    linked = deal_blocks(distinct.join(groups, "id"), ["component"])
     degrees = map_groups(linked, ["component", "i", "j"], _degrees, "id long, links long", ["id", "links"], [pa.int64()] * 2).groupBy("id").agg(F.sum("links").alias("links"))
     answers = distinct.select("h1", "h2", "id", "copies").join(groups, "id", "left").join(degrees, "id", "left")
     answers = answers.select("h1", "h2", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"))

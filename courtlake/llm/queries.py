@@ -66,6 +66,12 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import near_texts
+
+    return near_texts(_read(spark, sf_dir, "documents"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import held_out, identify
 
@@ -74,8 +80,14 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_embeddings, op2_warc, op3_mixing, op5_tokens, op6_sharding, op7_decontamination, op8_pii, op10_language)}
+    return {f.__name__: f for f in (op1_embeddings, op2_warc, op3_mixing, op5_tokens, op6_sharding, op7_decontamination, op8_pii, op9_jaccard, op10_language, pipeline)}
 
 
 def oracle_sql() -> dict:
