@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -24,7 +25,7 @@ def capture_time(id_col: str) -> Column:
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str, url_col: str, body_col: str, time: Column | None = None, shortest: int = SHORTEST) -> None:
-    """Write one record for each row as WARC/1.1 files.
+    """Write one record for each row as packed WARC/1.1 files.
 
     Of rows with equal payloads of `shortest` bytes or more, that with the smallest id is the response and the others
     revisit it. Spark's text writer, with the blank lines that end a record as its separator, commits whole files to
@@ -56,7 +57,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str, url_col: str, body_
         F.lit("\r\n"),
         block,
     )
-    records.select(text.alias("value")).write.option("lineSep", "\r\n\r\n").text(path)
+    records.select(text.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
 def url_key(url: str | None) -> str:
@@ -99,14 +100,14 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
     """An index row for each record of the archives; those of one file are sorted and numbered, a run for merging.
 
     Digests and sizes of responses are taken from the payload that was read; a response whose payload doesn't match
-    its header is an error.
+    its header is an error. Offsets are those in the unpacked file.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 file, rows = b.column("path")[i].as_py(), []
-                for h, offset, length, block in records(b.column("content")[i].as_py()):
+                for h, offset, length, block in records(gzip.decompress(b.column("content")[i].as_py())):
                     head, _, payload = block.partition(b"\r\n\r\n")
                     size, digest = int(re.search(rb"(?i)content-length: *([0-9]+)", head)[1]), h["warc-payload-digest"].removeprefix("sha256:")
                     if h["warc-type"] == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
