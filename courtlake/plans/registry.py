@@ -3,15 +3,102 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from courtlake.operators import grades as g
+from courtlake.operators import stats as s
+from courtlake.sources.adapters import SQL, tables
+
+
+def _graded(t: dict[str, DataFrame]) -> DataFrame:
+    return g.derive_grades(t["plays"], t["rallies"], t["identities"])
+
+
+def _stats(t: dict[str, DataFrame]) -> DataFrame:
+    return s.player_stats(_graded(t), t["rallies"], t["identities"])
+
+
+def _views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("path"), F.col("user_id").alias("visitor"), F.col("ts").alias("created_at"))
+
+
+QUERIES = {
+    "derive_grades": lambda t: _graded(t).select("rally_id", "play_id", "play_type", "grade"),
+    "player_stats": _stats,
+    "leaderboards": lambda t: s.leaderboards(_stats(t)),
+    "scores": lambda t: g.scores(t["rallies"], t["identities"]),
+    "rally_positions": lambda t: g.rally_positions(t["rallies"], t["identities"]),
+    "kill_connections": lambda t: s.kill_connections(_graded(t)),
+    "grade_distribution": lambda t: s.grade_distribution(_graded(t)),
+    "sessions": lambda t: s.sessions(t["games"]),
+    "serving_runs": lambda t: s.serving_runs(t["plays"], g.rally_winners(t["rallies"], t["identities"]), t["identities"]),
+}
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return QUERIES["leaderboards"](tables(spark, sf_dir))
 
 
 def queries() -> dict:
-    return {}
+    def on_tables(f):
+        return lambda spark, sf_dir: f(tables(spark, sf_dir))
+
+    return {k: on_tables(f) for k, f in QUERIES.items()} | {"traffic_by_hour": lambda spark, sf_dir: s.traffic_by_hour(_views(spark, sf_dir))}
+
+
+GRADED = SQL + """,
+t AS (SELECT p.rally_id, play_id, t, play_type, p.cluster_id, r.game_id, outcome_type, outcome_cluster, team, player_id, name,
+    (outcome_cluster IS NULL OR p.cluster_id = outcome_cluster) AS mine,
+    row_number() OVER (PARTITION BY p.rally_id ORDER BY t, play_id) AS i, count(*) OVER (PARTITION BY p.rally_id) AS n,
+    lead(team) OVER (PARTITION BY p.rally_id ORDER BY t, play_id) AS nteam, lead(play_type) OVER (PARTITION BY p.rally_id ORDER BY t, play_id) AS ntype
+  FROM plays p JOIN rallies r USING (rally_id) LEFT JOIN identities d ON d.game_id = r.game_id AND d.cluster_id = p.cluster_id),
+k AS (SELECT rally_id, max(CASE WHEN outcome_type = 'kill' AND play_type = 'attack' AND mine THEN i END) AS ki,
+    max(CASE WHEN outcome_type = 'attack_error' AND play_type = 'attack' AND mine THEN i END) AS ai,
+    max(CASE WHEN outcome_type = 'block' AND play_type = 'attack' THEN i END) AS bi,
+    max(CASE WHEN outcome_type = 'block' AND play_type = 'block' AND mine THEN i END) AS si,
+    max(CASE WHEN outcome_type = 'ace' AND play_type = 'receive' THEN i END) AS ri FROM t GROUP BY 1),
+kt AS (SELECT k.*, t.team AS kteam FROM k LEFT JOIN t ON t.rally_id = k.rally_id AND t.i = k.ki),
+graded AS (SELECT t.*, coalesce('pid:' || CAST(player_id AS VARCHAR), 'name:' || name) AS key,
+  CASE play_type
+    WHEN 'serve' THEN CASE WHEN outcome_type = 'ace' AND mine THEN 'ace' WHEN outcome_type = 'service_error' AND mine AND i = n THEN 'error' ELSE 'in_play' END
+    WHEN 'attack' THEN CASE WHEN i = ki THEN 'kill' WHEN i = ai THEN 'error' WHEN i = bi THEN 'blocked' WHEN i = ki - 1 AND team <> kteam THEN 'error' ELSE 'in_play' END
+    WHEN 'block' THEN CASE WHEN i = si THEN 'stuff' ELSE 'in_play' END
+    WHEN 'set' THEN CASE WHEN i = ki - 1 AND coalesce(team = kteam, true) THEN 'assist' WHEN i = ki - 1 AND team <> kteam THEN 'error' ELSE 'in_play' END
+    WHEN 'dig' THEN CASE WHEN i = ki - 1 AND team <> kteam THEN 'error' WHEN i < n AND coalesce(team = nteam, true) THEN 'success' ELSE 'in_play' END
+    WHEN 'receive' THEN CASE WHEN i = ri THEN 'error' WHEN i = ki - 1 AND team <> kteam THEN 'error' WHEN ntype = 'set' AND coalesce(team = nteam, true) THEN 'positive' ELSE 'in_play' END
+  END AS grade FROM t JOIN kt USING (rally_id))
+"""
+_TOUCH_SQL = ", ".join(f"count(*) FILTER (WHERE kind = 't' AND play_type = '{t}'" + (f" AND grade = '{gr}'" if gr else "") + f") AS \"{c}\"" for c, (t, gr) in s.TOUCH.items())
+_OUT_SQL = ", ".join(f"count(*) FILTER (WHERE kind = 'r' AND play_type = '{o}') AS \"{c}\"" for c, o in s.OUTCOME.items())
+STATS = GRADED + f""",
+e AS (SELECT 't' AS kind, key, name, game_id, play_type, grade FROM graded WHERE name IS NOT NULL
+  UNION ALL SELECT 'r', coalesce('pid:' || CAST(player_id AS VARCHAR), 'name:' || name), name, r.game_id, outcome_type, NULL
+  FROM rallies r JOIN identities d ON d.game_id = r.game_id AND d.cluster_id = outcome_cluster WHERE outcome_type IS NOT NULL),
+st AS (SELECT key, min(name) AS name, count(DISTINCT game_id) AS games, {_TOUCH_SQL}, {_OUT_SQL} FROM e GROUP BY 1),
+stats AS (SELECT * FROM st WHERE serve + receive + dig + "set" + attack + block + kill + ace + stuff > 0)
+"""
+WON = SQL + """,
+w AS (SELECT r.*, CASE WHEN outcome_type IN ('kill', 'ace', 'block') THEN team WHEN outcome_type IS NOT NULL THEN CASE team WHEN 'A' THEN 'B' WHEN 'B' THEN 'A' END END AS winner
+  FROM rallies r LEFT JOIN identities d ON d.game_id = r.game_id AND d.cluster_id = outcome_cluster)
+"""
 
 
 def oracle_sql() -> dict:
-    return {}
+    boards = {"scorers": "kill + ace + stuff", "attackers": "kill", "blockers": "stuff", "servers": "ace", "setters": "assist", "diggers": "dig_ok", "receivers": "rec_pos"}
+    union = " UNION ALL ".join(f"SELECT '{b}' AS board, key, games, {e} AS metric FROM stats" for b, e in boards.items())
+    return {
+        "derive_grades": GRADED + "SELECT rally_id, play_id, play_type, grade FROM graded",
+        "player_stats": STATS + "SELECT * FROM stats",
+        "leaderboards": STATS + f", b AS ({union}), r AS (SELECT board, row_number() OVER (PARTITION BY board ORDER BY metric DESC, key) AS rank, key, metric, round(metric / games, 4) AS per_game FROM b WHERE metric > 0 OR board = 'scorers') SELECT * FROM r WHERE rank <= 10",
+        "scores": WON + "SELECT game_id, count(*) FILTER (WHERE winner = 'A') AS a, count(*) FILTER (WHERE winner = 'B') AS b, bool_or(winner IS NULL) AS approx FROM w WHERE outcome_type IS NOT NULL GROUP BY 1 HAVING count(winner) > 0",
+        "rally_positions": WON + "SELECT game_id, rally_id, row_number() OVER o AS ordinal, count(*) OVER (PARTITION BY game_id) AS total, lag(rally_id) OVER o AS prev_id, lead(rally_id) OVER o AS next_id, CAST(count(*) FILTER (WHERE winner = 'A') OVER o AS BIGINT) AS a, CAST(count(*) FILTER (WHERE winner = 'B') OVER o AS BIGINT) AS b FROM w WINDOW o AS (PARTITION BY game_id ORDER BY played_on, rally_id)",
+        "kill_connections": GRADED + ", p AS (SELECT rally_id, arg_min(key, play_id) FILTER (WHERE grade = 'assist') AS setter, arg_max(key, play_id) FILTER (WHERE grade = 'kill') AS hitter FROM graded WHERE name IS NOT NULL AND outcome_type = 'kill' GROUP BY 1) SELECT setter, hitter, count(*) AS kills FROM p WHERE setter IS NOT NULL AND hitter IS NOT NULL GROUP BY 1, 2",
+        "grade_distribution": GRADED + "SELECT play_type, grade, count(*) AS touches FROM graded GROUP BY 1, 2",
+        "sessions": SQL + "SELECT played_on, count(*) AS games FROM games GROUP BY 1",
+        "serving_runs": WON + """, sv AS (SELECT rally_id, arg_min(cluster_id, play_id) AS server FROM plays WHERE play_type = 'serve' GROUP BY 1),
+x AS (SELECT w.*, server, coalesce(d.team = winner, false) AS won FROM w LEFT JOIN sv USING (rally_id) LEFT JOIN identities d ON d.game_id = w.game_id AND d.cluster_id = server),
+y AS (SELECT *, CASE WHEN won AND coalesce(lag(won) OVER o, false) AND coalesce(lag(server) OVER o = server, false) THEN 0 ELSE 1 END AS new FROM x WINDOW o AS (PARTITION BY game_id ORDER BY played_on, rally_id)),
+z AS (SELECT *, sum(new) OVER (PARTITION BY game_id ORDER BY played_on, rally_id) AS run FROM y)
+SELECT game_id, min(server) AS server, arg_min(rally_id, (played_on, rally_id)) AS first_rally, count(*) AS points FROM z WHERE won GROUP BY game_id, run HAVING count(*) >= 3""",
+        "traffic_by_hour": "SELECT CAST(ts AS DATE) AS day, extract(hour FROM ts) AS hour, event_type AS path, count(*) AS views, count(DISTINCT user_id) AS visitors FROM events GROUP BY 1, 2, 3",
+    }
