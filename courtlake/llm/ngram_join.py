@@ -27,6 +27,9 @@ from .shingles import shingle_sets
 LEAST_SET = 4
 #: DivideSkip's weight of a probe against a merge step.
 MU = 0.01
+#: In a block of at most this many sets two sorted sets are merged directly; lists would cost more than they save.
+FEW = 16
+_TOP = np.int64(-(1 << 63))
 
 
 def overlap_needed(a: int, b: np.ndarray) -> np.ndarray:
@@ -45,14 +48,14 @@ def divide_skip(lists: list[np.ndarray], least: int) -> Iterator[tuple[int, int]
         return
     long = min(least - 1, int(least / (MU * math.log2(max(len(lists[-1]), 2)) + 1)))
     short, probed = lists[: len(lists) - long], lists[len(lists) - long :]
-    for element, run in groupby(heapq.merge(*(x.tolist() for x in short))):
-        times = sum(1 for _ in run)
-        if times >= least - long:
-            for x in probed:
-                k = int(np.searchsorted(x, element))
-                times += bool(k < len(x) and x[k] == element)
-            if times >= least:
-                yield element, times
+    merged = [(e, c) for e, run in groupby(heapq.merge(*(x.tolist() for x in short))) if (c := sum(1 for _ in run)) >= least - long]
+    if not merged:
+        return
+    elements, times = (np.array(x) for x in zip(*merged, strict=True))
+    for x in probed:
+        k = np.minimum(np.searchsorted(x, elements), len(x) - 1)
+        times += x[k] == elements
+    yield from ((int(e), int(c)) for e, c in zip(elements, times, strict=True) if c >= least)
 
 
 class Index:
@@ -64,9 +67,10 @@ class Index:
         order = np.argsort(flat, kind="stable")
         self.keys, self.owners = flat[order], owner[order]
 
-    def lists(self, query: np.ndarray) -> list[np.ndarray]:
+    def lists(self, query: np.ndarray, shortest: int = 1) -> list[np.ndarray]:
         low, high = np.searchsorted(self.keys, query, "left"), np.searchsorted(self.keys, query, "right")
-        return [self.owners[a:b] for a, b in zip(low, high, strict=True) if b > a]
+        some = np.nonzero(high - low >= shortest)[0]
+        return [self.owners[low[k] : high[k]] for k in some]
 
 
 def _arrays(column: pa.ChunkedArray) -> list[np.ndarray]:
@@ -100,9 +104,9 @@ def _postings(sets: DataFrame) -> DataFrame:
 
 
 def _groups(postings: DataFrame) -> DataFrame:
-    """g, id of the groups of a hash that two or more sets hold. Hashes with the same members make one group.
+    """g, id, h of the groups of a hash that two or more sets hold. Hashes with the same members make one group.
 
-    A group of more than BLOCK members keeps its hash as its name; it may come in several batches.
+    h is the smallest of a group's hashes, its top bit turned so that signed order is hash order. A group of more than BLOCK members keeps its hash as its name; it may come in several batches.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +120,7 @@ def _groups(postings: DataFrame) -> DataFrame:
             for k in np.nonzero(keep & (size <= BLOCK))[0]:
                 names[k] = int.from_bytes(hashlib.blake2b(ids[edges[k] : edges[k + 1]].tobytes(), digest_size=8).digest(), "little", signed=True)
             rows = np.repeat(keep, size)
-            return pa.RecordBatch.from_arrays([pa.array(np.repeat(names, size)[rows]), pa.array(ids[rows])], ["g", "id"])
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(names, size)[rows]), pa.array(ids[rows]), pa.array(h[rows] ^ _TOP)], ["g", "id", "h"])
 
         for b in batches:
             if not b.num_rows:
@@ -129,14 +133,20 @@ def _groups(postings: DataFrame) -> DataFrame:
         if len(rest_hash):
             yield of(rest_hash, rest_id)
 
-    return postings.repartition("hash").sortWithinPartitions("hash", "id").mapInArrow(run, "g long, id long").distinct()
+    return postings.repartition("hash").sortWithinPartitions("hash", "id").mapInArrow(run, "g long, id long, h long").groupBy("g", "id").agg(F.min("h").alias("h"))
+
 
+def _may_match(a: np.ndarray, n_a: int, b: np.ndarray, n_b: int, first: np.uint64 | None = None) -> bool:
+    """Whether what two prefixes show up to the smaller of their ends leaves the sets within a ninth of their sizes.
 
-def _may_match(a: np.ndarray, n_a: int, b: np.ndarray, n_b: int) -> bool:
-    """Whether what two prefixes show up to the smaller of their ends leaves the sets within a ninth of their sizes."""
+    With `first`, a pair whose smallest shared hash is another one doesn't count here.
+    """
     m = min(a[-1], b[-1])
     a, b = a[: np.searchsorted(a, m, "right")], b[: np.searchsorted(b, m, "right")]
-    return 9 * (len(a) + len(b) - 2 * len(np.intersect1d(a, b, assume_unique=True))) <= n_a + n_b
+    both = np.intersect1d(a, b, assume_unique=True)
+    if first is not None and (not len(both) or both[0] != first):
+        return False
+    return 9 * (len(a) + len(b) - 2 * len(both)) <= n_a + n_b
 
 
 def _sized(n_a: str, n_b: str) -> str:
@@ -162,22 +172,33 @@ def pruned(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _search_prefixes(t: pa.Table) -> tuple | None:
     """Pairs of a block from different components that _may_match, found by searching each prefix among the others."""
-    ids, n, comp = (t.column(c).to_numpy() for c in ("id", "n", "component"))
-    if (comp == comp[0]).all():
+    ids, n, comp, own = (t.column(c).to_numpy() for c in ("id", "n", "component", "own"))
+    if (comp == comp[0]).all() or not own.any():
         return None
-    sets = _arrays(t.column("hashes"))
+    sets, first = _arrays(t.column("hashes")), (t.column("h").to_numpy()[:1] ^ _TOP).view(np.uint64)[0]
+    a, b = [], []
+    if len(sets) <= FEW:
+        for i in range(len(sets)):
+            for j in range(i):
+                if comp[i] != comp[j] and (own[i] or own[j]) and 5 * min(n[i], n[j]) >= 4 * max(n[i], n[j]) and _may_match(sets[i], n[i], sets[j], n[j], first):
+                    a.append(ids[i])
+                    b.append(ids[j])
+        return (np.array(a), np.array(b)) if a else None
     index, flat = Index(sets), np.concatenate(sets)
     starts = np.cumsum([0, *(len(s) for s in sets[:-1])])
     ends = np.array([s[-1] for s in sets])
-    a, b = [], []
     for i, s in enumerate(sets):
-        other = (comp != comp[i]) & (5 * np.minimum(n, n[i]) >= 4 * np.maximum(n, n[i]))
+        other = (comp != comp[i]) & (own | own[i]) & (5 * np.minimum(n, n[i]) >= 4 * np.maximum(n, n[i]))
+        # sets that share a smaller hash meet in its group
+        for x in index.lists(s[: np.searchsorted(s, first)], 2):
+            other[x] = False
         if not other.any():
             continue
+        lists = index.lists(s, 2)  # the set itself is in all of its lists
         seen_i = np.searchsorted(s, np.minimum(ends, s[-1]), "right")
         seen = np.add.reduceat(flat <= s[-1], starts, dtype=np.int64)
         need = np.maximum(1, -(-(9 * (seen_i + seen) - n - n[i]) // 18))
-        for j, times in divide_skip(index.lists(s), int(need[other].min())):
+        for j, times in divide_skip(lists, int(need[other].min())):
             if other[j] and times >= need[j]:
                 a.append(ids[i])
                 b.append(ids[j])
@@ -192,6 +213,13 @@ def _search_sets(t: pa.Table) -> tuple | None:
         return None
     sets = _arrays(t.column("hashes"))
     a, b = [], []
+    if len(members) <= FEW:
+        for q in np.nonzero(query)[0]:
+            for k in members:
+                if len(np.intersect1d(sets[q], sets[k], assume_unique=True)) >= overlap_needed(int(n[q]), n[k]):
+                    a.append(ids[q])
+                    b.append(ids[k])
+        return (np.array(a), np.array(b)) if a else None
     index = Index([sets[k] for k in members])
     for q in np.nonzero(query)[0]:
         need = overlap_needed(int(n[q]), n[members])
@@ -233,10 +261,16 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     likely = cut(pruned(stars, reps), "join-likely")
     links = cut(verified(likely, reps, docs, id_col, text_col), "join-links")
     first = cut(components(links), "join-components")
-    placed = groups.join(first, "id", "left").select("g", "id", F.coalesce("component", "id").alias("component"))
+    # every pair with a group's first member has been searched
+    later = groups.join(groups.groupBy("g").agg(F.min("id").alias("a")), "g").where("id > a").drop("a")
+    placed = later.join(first, "id", "left").select("g", "id", "h", F.coalesce("component", "id").alias("component"))
     mixed = placed.groupBy("g").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("g")
-    blocks = deal_blocks(placed.join(mixed, "g"), ["g"]).join(reps.select("id", "n", "hashes"), "id")
-    rest = map_groups(blocks, ["g", "i", "j"], _search_prefixes, "a long, b long", ["a", "b"], [pa.int64()] * 2)
+    # sizes of a link are within 5/4, so of the same or of neighbouring classes
+    grade = F.floor(F.log("n") / math.log(1.25)).cast("int")
+    sized = placed.join(mixed, "g").join(reps.select("id", grade.alias("_c")), "id").withColumn("c", F.explode(F.array("_c", F.col("_c") + 1))).withColumn("own", F.col("c") == F.col("_c")).drop("_c")
+    several = sized.groupBy("g", "c").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("own").alias("own")).where("x < y and own").select("g", "c")
+    blocks = deal_blocks(cut(sized.join(several, ["g", "c"]), "join-sized"), ["g", "c"]).join(reps.select("id", "n", "hashes"), "id")
+    rest = map_groups(blocks, ["g", "c", "i", "j"], _search_prefixes, "a long, b long", ["a", "b"], [pa.int64()] * 2)
     rest = cut(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "join-rest")
     more = cut(verified(rest, reps, docs, id_col, text_col), "join-more")
     classes = of_sig.withColumnRenamed("id", "_rep").join(components(links.unionByName(more)).withColumnRenamed("id", "_rep"), "_rep", "left").select("sig", F.coalesce("component", "_rep").alias("component_id"))
