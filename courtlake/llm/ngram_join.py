@@ -153,21 +153,29 @@ def _sized(n_a: str, n_b: str) -> str:
     return f"5 * least({n_a}, {n_b}) >= 4 * greatest({n_a}, {n_b})"
 
 
-def pruned(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that their sizes and prefixes don't rule out."""
+def _stars(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, part, id, query and the set of each row: a query `a` and its partners, so that its set is moved once.
+
+    A query with many partners is searched in many tasks.
+    """
+    sizes = cut(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_k")), "join-sizes")
+    members = pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), F.col("_k")).cast("int").alias("part"), F.col("b").alias("id"), F.lit(False).alias("query"))
+    asked = sizes.select("a", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("part"), F.col("a").alias("id"), F.lit(True).alias("query"))
+    return members.unionByName(asked).join(sets.select("id", "n", "hashes"), "id")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = _arrays(b.column("ha")), _arrays(b.column("hb"))
-            keep = [_may_match(s, m, t, n) for s, m, t, n in zip(x, b.column("na").to_pylist(), y, b.column("nb").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(keep, pa.bool_())), b.column("b").filter(pa.array(keep, pa.bool_()))], ["a", "b"])
 
+def _prune_star(t: pa.Table) -> tuple | None:
+    query, ids, n = t.column("query").to_numpy(), t.column("id").to_numpy(), t.column("n").to_numpy()
+    sets = _arrays(t.column("hashes"))
+    found = [(ids[q], ids[k]) for q in np.nonzero(query)[0] for k in np.nonzero(~query)[0] if _may_match(sets[q], n[q], sets[k], n[k])]
+    return tuple(np.array(x) for x in zip(*found, strict=True)) if found else None
+
+
+def pruned(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that their sizes and prefixes don't rule out."""
     sizes = sets.select("id", "n")
-    fit = (
-        pairs.join(sizes.withColumnsRenamed({"id": "a", "n": "na"}), "a").join(sizes.withColumnsRenamed({"id": "b", "n": "nb"}), "b").where(_sized("na", "nb"))
-        .join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb")), "b")
-    )
-    return fit.select("a", "b", "na", "nb", "ha", "hb").mapInArrow(run, "a long, b long")
+    fit = pairs.join(sizes.withColumnsRenamed({"id": "a", "n": "na"}), "a").join(sizes.withColumnsRenamed({"id": "b", "n": "nb"}), "b").where(_sized("na", "nb"))
+    return map_groups(_stars(cut(fit.select("a", "b"), "join-sized-pairs"), sets), ["a", "part"], _prune_star, "a long, b long", ["a", "b"], [pa.int64()] * 2)
 
 
 def _search_prefixes(t: pa.Table) -> tuple | None:
@@ -236,12 +244,7 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, te
     wanted = reps.select("id", "sig").join(small(ids), "id", "left_semi")
     texts = docs.join(small(ids).withColumnRenamed("id", id_col), id_col, "left_semi")
     sets = cut(document_sets(texts, id_col, text_col, whole=True).join(wanted, ["id", "sig"], "left_semi").select("id", "n", "hashes"), "join-sets")
-    # a query with many members is searched in many tasks
-    sizes = cut(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_k")), "join-sizes")
-    members = pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), F.col("_k")).cast("int").alias("part"), F.col("b").alias("id"), F.lit(False).alias("query"))
-    asked = sizes.select("a", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("part"), F.col("a").alias("id"), F.lit(True).alias("query"))
-    blocks = members.unionByName(asked).join(sets, "id")
-    return map_groups(blocks, ["a", "part"], _search_sets, "a long, b long", ["a", "b"], [pa.int64()] * 2)
+    return map_groups(_stars(pairs, sets), ["a", "part"], _search_sets, "a long, b long", ["a", "b"], [pa.int64()] * 2)
 
 
 def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
