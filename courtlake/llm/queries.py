@@ -40,6 +40,12 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sizes(_read(spark, sf_dir, "documents"))
 
 
+def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixes import repeats
+
+    return repeats(_read(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_documents
 
@@ -87,7 +93,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_embeddings, op2_warc, op3_mixing, op5_tokens, op6_sharding, op7_decontamination, op8_pii, op9_jaccard, op10_language, pipeline)}
+    return {f.__name__: f for f in (op1_embeddings, op2_warc, op3_mixing, op4_suffixes, op5_tokens, op6_sharding, op7_decontamination, op8_pii, op9_jaccard, op10_language, pipeline)}
 
 
 def oracle_sql() -> dict:

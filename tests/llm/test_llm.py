@@ -1,5 +1,7 @@
 """Small cases of each operator against plain Python."""
 
+import hashlib
+import random
 import zlib
 
 import pytest
@@ -144,3 +146,38 @@ def test_language(spark):
     assert got == {1: "en", 2: "de", 3: "und", 4: "und", 5: "und", 6: "en"}
     assert {r["lang_pred"] for r in identify(docs_of(spark, texts), train.limit(0)).collect()} == {"und"}
     assert identify(docs_of(spark, []), train).count() == 0
+
+
+def plain_repeats(texts):
+    """doc_id, n_bytes, n_removed, n_spans and digest of what stays, of texts with distinct ids."""
+    first = {}
+    raw = {i: (t or "").encode() for i, t in texts}
+    for i in sorted(raw):
+        for k in range(len(raw[i]) - 49):
+            first.setdefault(raw[i][k : k + 50], i)
+    for i, b in raw.items():
+        gone = bytearray(len(b))
+        for k in range(len(b) - 49):
+            if first[b[k : k + 50]] < i:
+                gone[k : k + 50] = b"\x01" * 50
+        spans = sum(1 for k in range(len(b)) if gone[k] and not (k and gone[k - 1]))
+        yield i, len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest()
+
+
+def test_suffixes(spark, monkeypatch):
+    from courtlake.llm import suffixes
+
+    cols = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    rng = random.Random(4)
+    parts = ["".join(rng.choice("ab é") for _ in range(n)) for n in (30, 49, 50, 51, 120, 400)]
+    texts = [(i, "".join(rng.choice(parts) + rng.choice(["", "x", "yz" * 20]) for _ in range(rng.randint(1, 6)))) for i in range(60)]
+    texts += [(60, None), (61, ""), (62, "a" * 3000), (63, "b" + "a" * 500), (64, texts[0][1]), (65, WORDS), (66, "q" + WORDS)]
+    want = sorted(plain_repeats(texts), key=repr)
+    assert rows(suffixes.repeats(docs_of(spark, texts)), *cols) == want
+    monkeypatch.setattr(suffixes, "FREQUENT", 1)
+    assert rows(suffixes.repeats(docs_of(spark, texts)), *cols) == want
+    kept = suffixes.repeats(docs_of(spark, texts), keep_bytes=True).collect()
+    assert len(kept) == len(texts) and all(hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"] for r in kept)
+    got = suffixes.repeats(docs_of(spark, ODD)).collect()
+    assert len(got) == len(ODD) and sum(r["n_removed"] for r in got) == len(WORDS) * 2
+    assert suffixes.repeats(docs_of(spark, [])).count() == 0
