@@ -76,14 +76,14 @@ def _shared(base: DataFrame) -> DataFrame:
             h, doc, start, size = window_runs(data, at)
             if not len(h):
                 continue
-            k = b.column("k").to_numpy()[doc]
+            k, p = b.column("k").to_numpy()[doc], start << 9 | size << 2
             order = np.argsort(h, kind="stable")
-            h, k, p = h[order], k[order], (start << 9 | size << 2)[order]
-            edge = np.concatenate([[0], np.nonzero(h[1:] != h[:-1])[0] + 1])
-            many = np.minimum.reduceat(k, edge) != np.maximum.reduceat(k, edge)
-            flag = np.repeat(many, np.diff(np.append(edge, len(h)))).astype(np.int64)
-            flag[edge[many]] = 2
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(k), pa.array(p | flag)], ["h", "k", "p"])
+            edge = np.concatenate([[0], np.nonzero(np.diff(h[order]))[0] + 1])
+            many = np.minimum.reduceat(k[order], edge) != np.maximum.reduceat(k[order], edge)
+            # rows stay in the order of the texts, in which shuffled bytes pack well
+            p[order] |= np.repeat(many, np.diff(np.append(edge, len(h))))
+            p[order[edge[many]]] ^= 3
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(k), pa.array(p)], ["h", "k", "p"])
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -313,7 +313,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kee
     firsts = facts.where("id is not null").groupBy("sig").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     copies = cut(facts.join(firsts, "sig").where("id > first").select("k").distinct(), "suffix-copies")
     base = rows.where(F.col("id").isNotNull() & (F.octet_length("text") >= LENGTH)).join(small(copies), "k", "left_anti")
-    runs = cut(_shared(base).groupBy("k").agg(F.collect_list(F.struct("h", "p")).alias("runs")), "suffix-runs")
+    runs = cut(_shared(base).repartition("k").groupBy("k").agg(F.collect_list(F.struct("h", "p")).alias("runs")), "suffix-runs")
     contexts = cut(_contexts(base.join(runs, "k")).withColumn("d", F.xxhash64("ctx")), "suffix-contexts")
     classes = cut(contexts.groupBy("h", "d", "ctx").agg(F.min("id").alias("m")), "suffix-classes")
     often = cut(classes.groupBy("h").count().where(F.col("count") > FREQUENT).select("h"), "suffix-frequent")
@@ -323,7 +323,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kee
     judged = contexts.select("k", "id", "start", "n", "h", "d").join(classes.select("h", "d", "m"), ["h", "d"])
     whole = judged.where("id > m").select("k", F.array(F.col("start"), F.col("start") + F.col("n") + LENGTH - 1).alias("s"))
     partly = judged.where("id = m").join(inner, ["h", "d"]).select("k", F.transform("spans", lambda x: x + F.col("start")).alias("s"))
-    spans = cut(whole.unionByName(partly).groupBy("k").agg(F.flatten(F.collect_list("s")).alias("spans")), "suffix-spans")
+    spans = cut(whole.unionByName(partly).repartition("k").groupBy("k").agg(F.flatten(F.collect_list("s")).alias("spans")), "suffix-spans")
     found = _cleaned(base.join(spans, "k")).dropDuplicates(["k"])
     found = cut(found if keep_bytes else found.drop("kept"), "suffix-cleaned")
     out = facts.join(found, "k", "left").join(copies.withColumn("copy", F.lit(True)), "k", "left")
