@@ -29,7 +29,6 @@ LEAST_SET = 4
 MU = 0.01
 #: In a block of at most this many sets two sorted sets are merged directly; lists would cost more than they save.
 FEW = 16
-_TOP = np.int64(-(1 << 63))
 
 
 def overlap_needed(a: int, b: np.ndarray) -> np.ndarray:
@@ -98,21 +97,21 @@ def _postings(sets: DataFrame) -> DataFrame:
             sets = [np.frombuffer(x, np.int64) for x in b.column("hashes").to_pylist()]
             times = [len(s) for s in sets]
             if sum(times):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), pa.array(np.repeat(b.column("id").to_numpy(), times))], ["hash", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), pa.array(np.repeat(b.column("id").to_numpy(), times)), pa.array(np.concatenate([np.arange(t) for t in times]), pa.int32())], ["hash", "id", "pos"])
 
-    return sets.select("id", "hashes").mapInArrow(run, "hash long, id long")
+    return sets.select("id", "hashes").mapInArrow(run, "hash long, id long, pos int")
 
 
 def _groups(postings: DataFrame) -> DataFrame:
-    """g, id, h of the groups of a hash that two or more sets hold. Hashes with the same members make one group.
+    """g, id, pos of the groups of a hash that two or more sets hold. Hashes with the same members make one group.
 
-    h is the smallest of a group's hashes, its top bit turned so that signed order is hash order. A group of more than BLOCK members keeps its hash as its name; it may come in several batches.
+    pos is the place of the smallest of a group's hashes in the set's prefix. A group of more than BLOCK members keeps its hash as its name; it may come in several batches.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest_hash, rest_id, rest_size = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        rest_hash, rest_id, rest_pos = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
-        def of(h: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        def of(h: np.ndarray, ids: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
             edges = np.concatenate([[0], np.nonzero(h[1:] != h[:-1])[0] + 1, [len(h)]])
             size = np.diff(edges)
             keep = size > 1
@@ -120,33 +119,31 @@ def _groups(postings: DataFrame) -> DataFrame:
             for k in np.nonzero(keep & (size <= BLOCK))[0]:
                 names[k] = int.from_bytes(hashlib.blake2b(ids[edges[k] : edges[k + 1]].tobytes(), digest_size=8).digest(), "little", signed=True)
             rows = np.repeat(keep, size)
-            return pa.RecordBatch.from_arrays([pa.array(np.repeat(names, size)[rows]), pa.array(ids[rows]), pa.array(h[rows] ^ _TOP)], ["g", "id", "h"])
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(names, size)[rows]), pa.array(ids[rows]), pa.array(pos[rows])], ["g", "id", "pos"])
 
         for b in batches:
             if not b.num_rows:
                 continue
-            h, ids = np.concatenate([rest_hash, b.column("hash").to_numpy()]), np.concatenate([rest_id, b.column("id").to_numpy()])
+            h, ids, pos = (np.concatenate([x, b.column(c).to_numpy()]) for x, c in ((rest_hash, "hash"), (rest_id, "id"), (rest_pos, "pos")))
             last = int(np.searchsorted(-(h != h[-1]).astype(np.int8), 0)) if h[0] != h[-1] else 0
             if last:
-                yield of(h[:last], ids[:last])
-            rest_hash, rest_id = h[last:], ids[last:]
+                yield of(h[:last], ids[:last], pos[:last])
+            rest_hash, rest_id, rest_pos = h[last:], ids[last:], pos[last:]
         if len(rest_hash):
-            yield of(rest_hash, rest_id)
+            yield of(rest_hash, rest_id, rest_pos)
 
-    return postings.repartition("hash").sortWithinPartitions("hash", "id").mapInArrow(run, "g long, id long, h long").groupBy("g", "id").agg(F.min("h").alias("h"))
+    return postings.repartition("hash").sortWithinPartitions("hash", "id").mapInArrow(run, "g long, id long, pos int").groupBy("g", "id").agg(F.min("pos").alias("pos"))
 
 
-def _may_match(a: np.ndarray, n_a: int, b: np.ndarray, n_b: int, first: np.uint64 | None = None) -> bool:
+def _may_match(a: np.ndarray, n_a: int, b: np.ndarray, n_b: int, skipped: int = 0) -> bool:
     """Whether what two prefixes show up to the smaller of their ends leaves the sets within a ninth of their sizes.
 
-    With `first`, a pair whose smallest shared hash is another one doesn't count here.
+    `skipped` hashes of the two before these count as not shared.
     """
     m = min(a[-1], b[-1])
     a, b = a[: np.searchsorted(a, m, "right")], b[: np.searchsorted(b, m, "right")]
     both = np.intersect1d(a, b, assume_unique=True)
-    if first is not None and (not len(both) or both[0] != first):
-        return False
-    return 9 * (len(a) + len(b) - 2 * len(both)) <= n_a + n_b
+    return 9 * (skipped + len(a) + len(b) - 2 * len(both)) <= n_a + n_b
 
 
 def _sized(n_a: str, n_b: str) -> str:
@@ -179,16 +176,21 @@ def pruned(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _search_prefixes(t: pa.Table) -> tuple | None:
-    """Pairs of a block from different components that _may_match, found by searching each prefix among the others."""
-    ids, n, comp, own = (t.column(c).to_numpy() for c in ("id", "n", "component", "own"))
+    """Pairs of a block from different components that _may_match, found by searching each prefix among the others.
+
+    Prefixes start at the group's hash. What stands before it counts as not shared; sets that share some of it meet in
+    that hash's group as well.
+    """
+    ids, n, comp, own, pos = (t.column(c).to_numpy() for c in ("id", "n", "component", "own", "pos"))
+    pos = pos.astype(np.int64)
     if (comp == comp[0]).all() or not own.any():
         return None
-    sets, first = _arrays(t.column("hashes")), (t.column("h").to_numpy()[:1] ^ _TOP).view(np.uint64)[0]
+    sets = _arrays(t.column("hashes"))
     a, b = [], []
     if len(sets) <= FEW:
         for i in range(len(sets)):
             for j in range(i):
-                if comp[i] != comp[j] and (own[i] or own[j]) and 5 * min(n[i], n[j]) >= 4 * max(n[i], n[j]) and _may_match(sets[i], n[i], sets[j], n[j], first):
+                if comp[i] != comp[j] and (own[i] or own[j]) and 5 * min(n[i], n[j]) >= 4 * max(n[i], n[j]) and _may_match(sets[i], n[i], sets[j], n[j], int(pos[i] + pos[j])):
                     a.append(ids[i])
                     b.append(ids[j])
         return (np.array(a), np.array(b)) if a else None
@@ -197,14 +199,11 @@ def _search_prefixes(t: pa.Table) -> tuple | None:
     ends = np.array([s[-1] for s in sets])
     for i, s in enumerate(sets):
         other = (comp != comp[i]) & (own | own[i]) & (5 * np.minimum(n, n[i]) >= 4 * np.maximum(n, n[i]))
-        # sets that share a smaller hash meet in its group
-        for x in index.lists(s[: np.searchsorted(s, first)], 2):
-            other[x] = False
         if not other.any():
             continue
         lists = index.lists(s, 2)  # the set itself is in all of its lists
-        seen_i = np.searchsorted(s, np.minimum(ends, s[-1]), "right")
-        seen = np.add.reduceat(flat <= s[-1], starts, dtype=np.int64)
+        seen_i = pos[i] + np.searchsorted(s, np.minimum(ends, s[-1]), "right")
+        seen = pos + np.add.reduceat(flat <= s[-1], starts, dtype=np.int64)
         need = np.maximum(1, -(-(9 * (seen_i + seen) - n - n[i]) // 18))
         for j, times in divide_skip(lists, int(need[other].min())):
             if other[j] and times >= need[j]:
@@ -266,13 +265,13 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     first = cut(components(links), "join-components")
     # every pair with a group's first member has been searched
     later = groups.join(groups.groupBy("g").agg(F.min("id").alias("a")), "g").where("id > a").drop("a")
-    placed = later.join(first, "id", "left").select("g", "id", "h", F.coalesce("component", "id").alias("component"))
+    placed = later.join(first, "id", "left").select("g", "id", "pos", F.coalesce("component", "id").alias("component"))
     mixed = placed.groupBy("g").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("g")
     # sizes of a link are within 5/4, so of the same or of neighbouring classes
     grade = F.floor(F.log("n") / math.log(1.25)).cast("int")
     sized = placed.join(mixed, "g").join(reps.select("id", grade.alias("_c")), "id").withColumn("c", F.explode(F.array("_c", F.col("_c") + 1))).withColumn("own", F.col("c") == F.col("_c")).drop("_c")
     several = sized.groupBy("g", "c").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("own").alias("own")).where("x < y and own").select("g", "c")
-    blocks = deal_blocks(cut(sized.join(several, ["g", "c"]), "join-sized"), ["g", "c"]).join(reps.select("id", "n", "hashes"), "id")
+    blocks = deal_blocks(cut(sized.join(several, ["g", "c"]), "join-sized"), ["g", "c"]).join(reps.select("id", "n", "hashes"), "id").withColumn("hashes", F.substring("hashes", F.col("pos") * 8 + 1, F.length("hashes")))
     rest = map_groups(blocks, ["g", "c", "i", "j"], _search_prefixes, "a long, b long", ["a", "b"], [pa.int64()] * 2)
     rest = cut(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "join-rest")
     more = cut(verified(rest, reps, docs, id_col, text_col), "join-more")
