@@ -1,8 +1,8 @@
 """Exact Jaccard self-join on word shingles by T-occurrence search.
 
-Two sets with a Jaccard similarity of 4/5 share one of their first n - ceil(4n/5) + 1 hashes in hash order, and differ
-in a ninth of their summed sizes at most. Sets that share such a hash form a group; DivideSkip searches decide within
-groups which members share enough.
+Two sets with a Jaccard similarity of 4/5 share one of their first n - ceil(4n/5) + 1 hashes in any order that all sets
+keep, and differ in a ninth of their summed sizes at most. Here common shingles come last, and the others in hash
+order. Sets that share such a hash form a group; DivideSkip searches decide within groups which members share enough.
 """
 
 from __future__ import annotations
@@ -29,6 +29,11 @@ LEAST_SET = 4
 MU = 0.01
 #: In a block of at most this many sets two sorted sets are merged directly; lists would cost more than they save.
 FEW = 16
+#: Shingles in at least so many rows are common; of these the most frequent ones, as many as fit in the second number,
+#: go last in the order (the others only make larger groups).
+COMMON, MOST_COMMON = 32, 1 << 20
+#: Hashes that are counted at once before the shuffle.
+COUNTED = 1 << 21
 
 
 def overlap_needed(a: int, b: np.ndarray) -> np.ndarray:
@@ -76,8 +81,81 @@ def _arrays(column: pa.ChunkedArray) -> list[np.ndarray]:
     return [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
 
 
-def document_sets(docs: DataFrame, id_col: str, text_col: str, whole: bool) -> DataFrame:
+def _pack(cells: np.ndarray, times: np.ndarray) -> bytes:
+    """Sorted 32-bit numbers and how often each occurs: differences by byte planes, compressed."""
+    planes = [x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T for x in (np.diff(cells, prepend=np.uint32(0)), times)]
+    return pa.compress(np.concatenate(planes).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(packed: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(pa.decompress(packed, decompressed_size=8 * n, codec="zstd", asbytes=True), np.uint8).reshape(8, n)
+    steps, times = (np.ascontiguousarray(x.T).view(np.uint32).ravel() for x in (planes[:4], planes[4:]))
+    return np.cumsum(steps, dtype=np.uint32), times
+
+
+def common_shingles(docs: DataFrame, text_col: str) -> tuple[np.ndarray, int]:
+    """Sorted leading bits of the most frequent shingle hashes of all rows, at most MOST_COMMON, and by how many bits a hash is shifted to give them.
+
+    Counts cover all rows. They are combined in each task and shuffled as packed buckets of the hash range; there are
+    as many buckets as keep one at a few million numbers. Only which shingles sort last depends on the outcome.
+    """
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    shift = 32 - min(max(8, (size >> 24).bit_length()), 24)
+
+    def counted(sets: list[np.ndarray]) -> pa.RecordBatch:
+        cells, times = np.unique(np.concatenate(sets) >> np.uint64(shift), return_counts=True)
+        bucket, low = (cells >> np.uint64(32)).astype(np.int64), cells.astype(np.uint32)
+        edges = [0, *(np.nonzero(np.diff(bucket))[0] + 1), len(cells)]
+        packed = [_pack(low[s:e], times[s:e]) for s, e in zip(edges[:-1], edges[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]]), pa.array(np.diff(edges)), pa.array(packed, pa.binary())], ["bucket", "n", "packed"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            for s in shingle_sets(b.column(0)):
+                held.append(s)
+                n += len(s)
+                if n >= COUNTED:
+                    yield counted(held)
+                    held, n = [], 0
+        if n:
+            yield counted(held)
+
+    def summed(t: pa.Table) -> tuple | None:
+        parts = [_unpack(x, k) for x, k in zip(t.column("packed").to_pylist(), t.column("n").to_pylist(), strict=True)]
+        cells, times = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(cells, kind="stable")
+        cells = cells[order]
+        edges = np.concatenate([[0], np.nonzero(cells[1:] != cells[:-1])[0] + 1])
+        times = np.add.reduceat(times[order].astype(np.int64), edges)
+        often = times >= COMMON
+        return ((t.column("bucket")[0].as_py() << 32) + cells[edges][often].astype(np.int64), times[often]) if often.any() else None
+
+    buckets = docs.select(text_col).mapInArrow(run, "bucket long, n long, packed binary")
+    times = cut(map_groups(buckets, ["bucket"], summed, "cell long, times long", ["cell", "times"], [pa.int64()] * 2), "join-common")
+    room, least = MOST_COMMON, math.inf
+    for power, n in sorted(times.groupBy(F.floor(F.log2("times")).alias("p")).count().collect(), reverse=True):
+        if n > room:
+            break
+        room, least = room - n, 2**power
+    cells = times.where(F.col("times") >= F.lit(float(least))).select("cell").toArrow().column(0).to_numpy() if least < math.inf else np.zeros(0)
+    return np.sort(cells.astype(np.uint64)), shift
+
+
+def common_last(s: np.ndarray, cells: np.ndarray, shift: int) -> np.ndarray:
+    """Sorted hashes as numbers whose order puts common shingles last."""
+    if not len(cells):
+        return s >> np.uint64(1)
+    head = s >> np.uint64(shift)
+    common = cells[np.minimum(np.searchsorted(cells, head), len(cells) - 1)] == head
+    s = s >> np.uint64(1)
+    return np.concatenate([s[~common], s[common] | np.uint64(1 << 63)])
+
+
+def document_sets(docs: DataFrame, id_col: str, text_col: str, whole: bool, common: tuple[np.ndarray, int] | None = None) -> DataFrame:
     """id, n, sig and hashes (whole: all of them, else the prefix) of each row; no sig without shingles."""
+    cells, shift = common or (np.zeros(0, np.uint64), 0)
+    cells = docs.sparkSession.sparkContext.broadcast(cells)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -85,7 +163,7 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str, whole: bool) -> D
             for s in shingle_sets(b.column(1)):
                 n.append(len(s))
                 sig.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                hashes.append((s if whole else s[: len(s) - (4 * len(s) + 4) // 5 + 1]).tobytes())
+                hashes.append((s if whole else common_last(s, cells.value, shift)[: len(s) - (4 * len(s) + 4) // 5 + 1]).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(hashes, pa.binary())], ["id", "n", "sig", "hashes"])
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "id long, n long, sig binary, hashes binary")
@@ -254,7 +332,7 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     first; only members that those leave in different components are searched against each other, in blocks. No link
     between two components can be left out, but links within one are not all listed. Repeated rows share an answer.
     """
-    rows = cut(document_sets(docs, id_col, text_col, whole=False), "join-rows")
+    rows = cut(document_sets(docs, id_col, text_col, whole=False, common=common_shingles(docs, text_col)), "join-rows")
     of_sig = cut(rows.where("sig is not null and id is not null").groupBy("sig").agg(F.min("id").alias("id")), "join-classes")
     reps = rows.join(of_sig, ["sig", "id"], "left_semi").dropDuplicates(["id", "sig"])
     reps = cut(reps.where(F.col("n") >= LEAST_SET).select("id", "n", "sig", "hashes"), "join-sets-short")
