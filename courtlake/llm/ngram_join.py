@@ -257,25 +257,28 @@ def _search_prefixes(t: pa.Table) -> tuple | None:
     """Pairs of a block from different components that _may_match, found by searching each prefix among the others.
 
     Prefixes start at the group's hash. What stands before it counts as not shared; sets that share some of it meet in
-    that hash's group as well.
+    that hash's group as well. Each pair has a member outside the block's largest component, so only those ask.
     """
     ids, n, comp, own, pos = (t.column(c).to_numpy() for c in ("id", "n", "component", "own", "pos"))
     pos = pos.astype(np.int64)
     if (comp == comp[0]).all() or not own.any():
         return None
     sets = _arrays(t.column("hashes"))
+    _, kind, times_seen = np.unique(comp, return_inverse=True, return_counts=True)
+    asks = kind != times_seen.argmax()
     a, b = [], []
     if len(sets) <= FEW:
-        for i in range(len(sets)):
-            for j in range(i):
-                if comp[i] != comp[j] and (own[i] or own[j]) and 5 * min(n[i], n[j]) >= 4 * max(n[i], n[j]) and _may_match(sets[i], n[i], sets[j], n[j], int(pos[i] + pos[j])):
+        for i in np.nonzero(asks)[0]:
+            for j in range(len(sets)):
+                if comp[i] != comp[j] and (j < i or not asks[j]) and (own[i] or own[j]) and 5 * min(n[i], n[j]) >= 4 * max(n[i], n[j]) and _may_match(sets[i], n[i], sets[j], n[j], int(pos[i] + pos[j])):
                     a.append(ids[i])
                     b.append(ids[j])
         return (np.array(a), np.array(b)) if a else None
     index, flat = Index(sets), np.concatenate(sets)
     starts = np.cumsum([0, *(len(s) for s in sets[:-1])])
     ends = np.array([s[-1] for s in sets])
-    for i, s in enumerate(sets):
+    for i in np.nonzero(asks)[0]:
+        s = sets[i]
         other = (comp != comp[i]) & (own | own[i]) & (5 * np.minimum(n, n[i]) >= 4 * np.maximum(n, n[i]))
         if not other.any():
             continue
