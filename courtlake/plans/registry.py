@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from courtlake.operators import grades as g
+from courtlake.operators import rosters as r
 from courtlake.operators import stats as s
 from courtlake.sources.adapters import SQL, tables
 
@@ -32,6 +33,21 @@ QUERIES = {
     "grade_distribution": lambda t: s.grade_distribution(_graded(t)),
     "sessions": lambda t: s.sessions(t["games"]),
     "serving_runs": lambda t: s.serving_runs(t["plays"], g.rally_winners(t["rallies"], t["identities"]), t["identities"]),
+    "touch_counts": lambda t: r.touch_counts(t["plays"], t["rallies"]),
+    "careers": lambda t: r.careers(t["plays"], t["rallies"], t["identities"]),
+    "player_games": lambda t: r.player_games(t["players"], t["identities"]),
+    "participants": lambda t: r.participants(t["plays"], t["rallies"], t["identities"]),
+    "game_rosters": lambda t: r.game_rosters(t["identities"]),
+    "scope_header": lambda t: r.scope_header(t["rallies"]),
+    "team_suggestions": lambda t: r.team_suggestions(t["plays"], t["rallies"]),
+    "favourite_hitters": lambda t: r.favourite_hitters(s.kill_connections(_graded(t))),
+    "predicted_types": lambda t: r.predicted_types(t["plays"]),
+    "type_confusion": lambda t: r.confusion(r.predicted_types(t["plays"])),
+    "board_checks": lambda t: r.board_checks(_graded(t), t["rallies"]),
+    "highlights": lambda t: r.highlights(t["rallies"], t["plays"]),
+    "longest_rallies": lambda t: r.longest_rallies(t["rallies"], t["plays"]),
+    "volume_floors": lambda t: r.volume_floors(_stats(t)),
+    "find_kills": lambda t: r.named_touches(_graded(t), "attack", "kill"),
 }
 
 
@@ -43,7 +59,10 @@ def queries() -> dict:
     def on_tables(f):
         return lambda spark, sf_dir: f(tables(spark, sf_dir))
 
-    return {k: on_tables(f) for k, f in QUERIES.items()} | {"traffic_by_hour": lambda spark, sf_dir: s.traffic_by_hour(_views(spark, sf_dir))}
+    return {k: on_tables(f) for k, f in QUERIES.items()} | {
+        "traffic_by_hour": lambda spark, sf_dir: s.traffic_by_hour(_views(spark, sf_dir)),
+        "traffic_pages": lambda spark, sf_dir: r.top_pages(_views(spark, sf_dir)),
+    }
 
 
 GRADED = SQL + """,
@@ -83,10 +102,55 @@ w AS (SELECT r.*, CASE WHEN outcome_type IN ('kill', 'ace', 'block') THEN team W
 """
 
 
+COUNTS = SQL + """,
+tc AS (SELECT game_id, cluster_id, count(*) AS touches FROM plays JOIN rallies USING (rally_id) WHERE cluster_id IS NOT NULL GROUP BY 1, 2),
+pc AS (SELECT game_id, outcome_cluster AS cluster_id, count(*) AS points FROM rallies WHERE outcome_type IN ('kill', 'ace', 'block') AND outcome_cluster IS NOT NULL GROUP BY 1, 2)
+"""
+PREDICTED = SQL + """,
+b AS (SELECT rally_id, play_id, play_type, lag(play_type) OVER (PARTITION BY rally_id ORDER BY t, play_id) AS prev FROM plays),
+predicted AS (SELECT rally_id, play_id, play_type, CASE WHEN prev IS NULL THEN 'serve' WHEN prev = 'serve' THEN 'receive' WHEN prev IN ('receive', 'dig') THEN 'set' WHEN prev IN ('attack', 'block') THEN 'dig' ELSE 'attack' END AS predicted FROM b)
+"""
+
+
+def _roster_sql() -> dict:
+    return {
+        "touch_counts": COUNTS + "SELECT * FROM tc",
+        "careers": COUNTS + "SELECT player_id, count(DISTINCT game_id) AS games, CAST(coalesce(sum(touches), 0) AS BIGINT) AS touches, CAST(coalesce(sum(points), 0) AS BIGINT) AS points FROM identities LEFT JOIN tc USING (game_id, cluster_id) LEFT JOIN pc USING (game_id, cluster_id) WHERE player_id IS NOT NULL GROUP BY 1",
+        "player_games": SQL + "SELECT p.player_id, count(DISTINCT game_id) AS games FROM people p LEFT JOIN identities i ON i.player_id = p.player_id WHERE p.player_id IS NOT NULL GROUP BY 1",
+        "participants": SQL + "SELECT DISTINCT name FROM identities i WHERE name IS NOT NULL AND (EXISTS (SELECT 1 FROM plays JOIN rallies r USING (rally_id) WHERE r.game_id = i.game_id AND cluster_id = i.cluster_id) OR EXISTS (SELECT 1 FROM rallies r WHERE outcome_type IS NOT NULL AND r.game_id = i.game_id AND outcome_cluster = i.cluster_id))",
+        "game_rosters": SQL + "SELECT game_id, coalesce(string_agg(name, ',' ORDER BY name) FILTER (WHERE team = 'A'), '') AS team_a, coalesce(string_agg(name, ',' ORDER BY name) FILTER (WHERE team = 'B'), '') AS team_b, coalesce(string_agg(name, ',' ORDER BY name) FILTER (WHERE team IS NULL), '') AS others FROM identities WHERE name IS NOT NULL GROUP BY 1",
+        "scope_header": SQL + "SELECT count(DISTINCT game_id) AS games, count(outcome_type) AS scored FROM rallies",
+        "team_suggestions": SQL + """, q AS (SELECT game_id, cluster_id, x FROM plays JOIN rallies USING (rally_id) WHERE x IS NOT NULL AND cluster_id IS NOT NULL),
+n AS (SELECT game_id, quantile_cont(x, 0.5) AS net FROM q GROUP BY 1 HAVING count(*) >= 8),
+s AS (SELECT game_id, cluster_id, count(*) FILTER (WHERE x < net) AS l, count(*) AS c FROM q JOIN n USING (game_id) GROUP BY 1, 2)
+SELECT game_id, cluster_id, CASE WHEN l > c - l THEN 'A' ELSE 'B' END AS team, CAST(floor(greatest(l, c - l) / c * 100 + 0.5) AS BIGINT) AS conf FROM s WHERE c >= 2 AND greatest(l, c - l) / c >= 0.7""",
+        "favourite_hitters": GRADED + """, p AS (SELECT rally_id, arg_min(key, play_id) FILTER (WHERE grade = 'assist') AS setter, arg_max(key, play_id) FILTER (WHERE grade = 'kill') AS hitter FROM graded WHERE name IS NOT NULL AND outcome_type = 'kill' GROUP BY 1),
+c AS (SELECT setter, hitter, count(*) AS kills FROM p WHERE setter IS NOT NULL AND hitter IS NOT NULL GROUP BY 1, 2)
+SELECT * FROM c WHERE kills >= 2 QUALIFY row_number() OVER (PARTITION BY setter ORDER BY kills DESC, hitter) = 1""",
+        "predicted_types": PREDICTED + "SELECT * FROM predicted",
+        "type_confusion": PREDICTED + """, c AS (SELECT play_type, predicted, count(*) AS n FROM predicted GROUP BY 1, 2),
+d AS (SELECT play_type, predicted, n, round(n / sum(n) OVER (PARTITION BY play_type), 6) AS share, CASE WHEN play_type <> predicted THEN row_number() OVER (PARTITION BY play_type, play_type <> predicted ORDER BY n DESC, predicted) END AS rank FROM c)
+SELECT * FROM d WHERE rank IS NULL OR rank <= 3""",
+        "board_checks": GRADED + """, g AS (SELECT count(*) FILTER (WHERE play_type = 'attack' AND grade = 'kill') AS k, count(*) FILTER (WHERE play_type = 'block' AND grade = 'stuff') AS s, count(*) FILTER (WHERE play_type = 'set' AND grade = 'assist') AS a FROM graded),
+o AS (SELECT count(*) FILTER (WHERE outcome_type = 'kill') AS ok, count(*) FILTER (WHERE outcome_type = 'block') AS ob FROM rallies),
+z AS (SELECT 'kills' AS check_name, k AS smaller, ok AS larger FROM g, o UNION ALL SELECT 'stuffs', s, ob FROM g, o UNION ALL SELECT 'assists', a, ok FROM g, o)
+SELECT *, smaller <= larger AS ok FROM z""",
+        "highlights": SQL + """, c AS (SELECT rally_id, count(*) AS touches FROM plays WHERE play_type IS NOT NULL GROUP BY 1),
+h AS (SELECT game_id, rally_id, coalesce(touches, 0) AS touches, round(CASE outcome_type WHEN 'kill' THEN 10 WHEN 'block' THEN 9 WHEN 'ace' THEN 7 WHEN 'attack_error' THEN 2 WHEN 'service_error' THEN 0 WHEN 'other_error' THEN 1 ELSE 3 END
+  + least(duration, 25.0::DOUBLE) / 5 + least(coalesce(touches, 0), 14) / 3, 2) AS score FROM rallies LEFT JOIN c USING (rally_id) WHERE duration >= 4)
+SELECT game_id, row_number() OVER (PARTITION BY game_id ORDER BY score DESC, rally_id) AS rank, rally_id, score, touches FROM h QUALIFY rank <= 10""",
+        "longest_rallies": SQL + """, c AS (SELECT rally_id, count(*) AS touches FROM plays GROUP BY 1)
+SELECT played_on, rally_id, CAST(floor(duration + 0.5) AS BIGINT) AS seconds, coalesce(touches, 0) AS touches FROM rallies LEFT JOIN c USING (rally_id) WHERE duration IS NOT NULL QUALIFY row_number() OVER (PARTITION BY played_on ORDER BY duration DESC, rally_id) = 1""",
+        "volume_floors": STATS + "SELECT CAST(greatest(8, ceil(0.3::DOUBLE * coalesce(max(attack), 0))) AS BIGINT) AS attack_floor, CAST(greatest(8, ceil(0.3::DOUBLE * coalesce(max(receive + dig), 0))) AS BIGINT) AS defence_floor FROM stats",
+        "find_kills": GRADED + "SELECT rally_id, play_id, i AS ordinal, key FROM graded WHERE play_type = 'attack' AND grade = 'kill'",
+        "traffic_pages": "SELECT event_type AS path, count(*) AS views, count(DISTINCT user_id) AS visitors FROM events GROUP BY 1 ORDER BY views DESC, path LIMIT 10",
+    }
+
+
 def oracle_sql() -> dict:
     boards = {"scorers": "kill + ace + stuff", "attackers": "kill", "blockers": "stuff", "servers": "ace", "setters": "assist", "diggers": "dig_ok", "receivers": "rec_pos"}
     union = " UNION ALL ".join(f"SELECT '{b}' AS board, key, games, {e} AS metric FROM stats" for b, e in boards.items())
-    return {
+    return _roster_sql() | {
         "derive_grades": GRADED + "SELECT rally_id, play_id, play_type, grade FROM graded",
         "player_stats": STATS + "SELECT * FROM stats",
         "leaderboards": STATS + f", b AS ({union}), r AS (SELECT board, row_number() OVER (PARTITION BY board ORDER BY metric DESC, key) AS rank, key, metric, round(metric / games, 4) AS per_game FROM b WHERE metric > 0 OR board = 'scorers') SELECT * FROM r WHERE rank <= 10",

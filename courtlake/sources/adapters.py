@@ -13,7 +13,7 @@ _ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipda
 
 
 def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """games, rallies, plays and identities. Only columns that are used reach the scans."""
+    """games, rallies, plays, identities and players. Only columns that are used reach the scans."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     orders = read("orders").where("o_orderstatus <> 'P'")
     lines = read("lineitem")
@@ -24,11 +24,13 @@ def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         F.element_at(F.array(*map(F.lit, PLAY_TYPES)), (F.col("l_partkey") % 6 + 1).cast("int")).alias("play_type"),
         F.col("l_suppkey").alias("cluster_id"),
         F.lit(None).cast("string").alias("grade"),
+        (F.col("l_quantity").cast("double") + F.when(F.col("l_suppkey") % 2 == 0, 0.0).otherwise(40.0)).alias("x"),
     )
     last = plays.groupBy("rally_id").agg(F.max_by("cluster_id", "play_id").alias("outcome_cluster"))
     outcome = F.create_map(*(F.lit(x) for kv in OUTCOMES.items() for x in kv))
     rallies = orders.select(
-        F.col("o_orderkey").alias("rally_id"), F.col("o_custkey").alias("game_id"), F.to_date("o_orderdate").alias("played_on"), outcome[F.col("o_orderpriority")].alias("outcome_type")
+        F.col("o_orderkey").alias("rally_id"), F.col("o_custkey").alias("game_id"), F.to_date("o_orderdate").alias("played_on"), outcome[F.col("o_orderpriority")].alias("outcome_type"),
+        (F.floor("o_totalprice").cast("long") % 40).cast("double").alias("duration"),
     ).join(last, "rally_id", "left")
     s = read("supplier")
     people = s.select(
@@ -38,19 +40,20 @@ def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     )
     seen = plays.join(rallies.select("rally_id", "game_id"), "rally_id").select("game_id", "cluster_id").distinct()
     games = rallies.groupBy("game_id").agg(F.min("played_on").alias("played_on"))
-    return {"games": games, "rallies": rallies, "plays": plays, "identities": seen.join(people, "cluster_id")}
+    return {"games": games, "rallies": rallies, "plays": plays, "identities": seen.join(people, "cluster_id"), "players": people.where("player_id is not null").select("player_id")}
 
 
 SQL = """
 WITH plays AS (
   SELECT l_orderkey AS rally_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS play_id,
-    CAST(l_linenumber AS DOUBLE) AS t, ['serve','receive','set','attack','block','dig'][CAST(l_partkey % 6 + 1 AS INT)] AS play_type, l_suppkey AS cluster_id
+    CAST(l_linenumber AS DOUBLE) AS t, ['serve','receive','set','attack','block','dig'][CAST(l_partkey % 6 + 1 AS INT)] AS play_type, l_suppkey AS cluster_id,
+    CAST(l_quantity AS DOUBLE) + CASE WHEN l_suppkey % 2 = 0 THEN 0 ELSE 40 END AS x
   FROM lineitem),
 lastc AS (SELECT rally_id, arg_max(cluster_id, play_id) AS outcome_cluster FROM plays GROUP BY 1),
 rallies AS (
   SELECT o_orderkey AS rally_id, o_custkey AS game_id, CAST(o_orderdate AS DATE) AS played_on,
     CASE o_orderpriority WHEN '1-URGENT' THEN 'kill' WHEN '2-HIGH' THEN 'ace' WHEN '3-MEDIUM' THEN 'block' WHEN '4-NOT SPECIFIED' THEN 'attack_error' WHEN '5-LOW' THEN 'service_error' END AS outcome_type,
-    outcome_cluster
+    outcome_cluster, CAST(CAST(floor(o_totalprice) AS BIGINT) % 40 AS DOUBLE) AS duration
   FROM orders LEFT JOIN lastc ON rally_id = o_orderkey WHERE o_orderstatus <> 'P'),
 people AS (
   SELECT s_suppkey AS cluster_id, s_name AS name, CASE WHEN s_suppkey % 10 = 0 THEN NULL WHEN s_suppkey % 2 = 0 THEN 'A' ELSE 'B' END AS team,

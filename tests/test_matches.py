@@ -10,7 +10,7 @@ from courtlake.plans import registry
 DATA = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["leaderboards", "scores", "rally_positions", "kill_connections", "grade_distribution", "traffic_by_hour"])
+@pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_same_as_sql(spark, name):
     con = duckdb.connect()
     for f in os.listdir(DATA):
