@@ -41,15 +41,17 @@ def player_stats(graded: DataFrame, rallies: DataFrame, identities: DataFrame) -
     return total.where("serve + receive + dig + `set` + attack + block + kill + ace + stuff > 0")
 
 
-def leaderboards(stats: DataFrame, top: int = 10) -> DataFrame:
-    """board, rank, key, metric, per_game of seven boards; players without any are hidden but on the scorers' board."""
+def leaderboards(stats: DataFrame, top: int | None = None) -> DataFrame:
+    """board, rank, key, metric, per_game of seven boards; players without any are hidden but on the scorers' board.
+
+    All others are listed; `top` keeps the first ones of each board only.
+    """
     boards = {"scorers": "kill + ace + stuff", "attackers": "kill", "blockers": "stuff", "servers": "ace", "setters": "assist", "diggers": "dig_ok", "receivers": "rec_pos"}
     rows = stats.select("key", "games", F.explode(F.array(*(F.struct(F.lit(b).alias("board"), F.expr(e).cast("long").alias("metric")) for b, e in boards.items()))).alias("m")).select("m.*", "key", "games")
     w = Window.partitionBy("board").orderBy(F.desc("metric"), "key")
-    return (
-        rows.where("metric > 0 or board = 'scorers'").withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= top)
-        .select("board", "rank", "key", "metric", F.round(F.col("metric") / F.col("games"), 4).alias("per_game"))
-    )
+    ranked = rows.where("metric > 0 or board = 'scorers'").withColumn("rank", F.row_number().over(w).cast("long"))
+    ranked = ranked if top is None else ranked.where(F.col("rank") <= top)
+    return ranked.select("board", "rank", "key", "metric", F.round(F.col("metric") / F.col("games"), 4).alias("per_game"))
 
 
 def kill_connections(graded: DataFrame) -> DataFrame:

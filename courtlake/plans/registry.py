@@ -26,7 +26,9 @@ def _views(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "derive_grades": lambda t: _graded(t).select("rally_id", "play_id", "play_type", "grade"),
     "player_stats": _stats,
-    "leaderboards": lambda t: s.leaderboards(_stats(t)),
+    # a digest by its SQL; leaderboards_all lists every player
+    "leaderboards": lambda t: s.leaderboards(_stats(t), top=10),
+    "leaderboards_all": lambda t: s.leaderboards(_stats(t)),
     "scores": lambda t: g.scores(t["rallies"], t["identities"]),
     "rally_positions": lambda t: g.rally_positions(t["rallies"], t["identities"]),
     "kill_connections": lambda t: s.kill_connections(_graded(t)),
@@ -52,7 +54,7 @@ QUERIES = {
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["leaderboards"](tables(spark, sf_dir))
+    return QUERIES["leaderboards_all"](tables(spark, sf_dir))
 
 
 def queries() -> dict:
@@ -154,6 +156,7 @@ def oracle_sql() -> dict:
         "derive_grades": GRADED + "SELECT rally_id, play_id, play_type, grade FROM graded",
         "player_stats": STATS + "SELECT * FROM stats",
         "leaderboards": STATS + f", b AS ({union}), r AS (SELECT board, row_number() OVER (PARTITION BY board ORDER BY metric DESC, key) AS rank, key, metric, round(metric / games, 4) AS per_game FROM b WHERE metric > 0 OR board = 'scorers') SELECT * FROM r WHERE rank <= 10",
+        "leaderboards_all": STATS + f", b AS ({union}) SELECT board, row_number() OVER (PARTITION BY board ORDER BY metric DESC, key) AS rank, key, metric, round(metric / games, 4) AS per_game FROM b WHERE metric > 0 OR board = 'scorers'",
         "scores": WON + "SELECT game_id, count(*) FILTER (WHERE winner = 'A') AS a, count(*) FILTER (WHERE winner = 'B') AS b, bool_or(winner IS NULL) AS approx FROM w WHERE outcome_type IS NOT NULL GROUP BY 1 HAVING count(winner) > 0",
         "rally_positions": WON + "SELECT game_id, rally_id, row_number() OVER o AS ordinal, count(*) OVER (PARTITION BY game_id) AS total, lag(rally_id) OVER o AS prev_id, lead(rally_id) OVER o AS next_id, CAST(count(*) FILTER (WHERE winner = 'A') OVER o AS BIGINT) AS a, CAST(count(*) FILTER (WHERE winner = 'B') OVER o AS BIGINT) AS b FROM w WINDOW o AS (PARTITION BY game_id ORDER BY played_on, rally_id)",
         "kill_connections": GRADED + ", p AS (SELECT rally_id, arg_min(key, play_id) FILTER (WHERE grade = 'assist') AS setter, arg_max(key, play_id) FILTER (WHERE grade = 'kill') AS hitter FROM graded WHERE name IS NOT NULL AND outcome_type = 'kill' GROUP BY 1) SELECT setter, hitter, count(*) AS kills FROM p WHERE setter IS NOT NULL AND hitter IS NOT NULL GROUP BY 1, 2",
