@@ -130,10 +130,15 @@ def volume_floors(stats: DataFrame) -> DataFrame:
     return stats.agg(floor(F.col("attack")).alias("attack_floor"), floor(F.col("receive") + F.col("dig")).alias("defence_floor"))
 
 
-def top_pages(views: DataFrame, top: int = 10) -> DataFrame:
-    """path, views, visitors of the `top` most viewed pages; ties by name."""
+def page_views(views: DataFrame) -> DataFrame:
+    """path, views, visitors of all pages, most viewed first; ties by name."""
     by_page = views.groupBy("path").agg(F.count(F.lit(1)).alias("views"), F.countDistinct("visitor").alias("visitors"))
-    return by_page.orderBy(F.desc("views"), "path").limit(top)
+    return by_page.orderBy(F.desc("views"), "path")
+
+
+def referrers(views: DataFrame, top: int = 10) -> DataFrame:
+    """referrer, views of the `top` most frequent referrers; ties by name. Null and empty ones don't count."""
+    return views.where("referrer <> ''").groupBy("referrer").agg(F.count(F.lit(1)).alias("views")).orderBy(F.desc("views"), "referrer").limit(top)
 
 
 def named_touches(graded: DataFrame, kind: str, grade: str) -> DataFrame:

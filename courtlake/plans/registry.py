@@ -63,7 +63,7 @@ def queries() -> dict:
 
     return {k: on_tables(f) for k, f in QUERIES.items()} | {
         "traffic_by_hour": lambda spark, sf_dir: s.traffic_by_hour(_views(spark, sf_dir)),
-        "traffic_pages": lambda spark, sf_dir: r.top_pages(_views(spark, sf_dir)),
+        "traffic_pages": lambda spark, sf_dir: r.page_views(_views(spark, sf_dir)),
     }
 
 
