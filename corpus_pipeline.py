@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from courtlake.llm.decontam import decontaminate
-from courtlake.llm.langid import UNKNOWN, held_out, identify
+from courtlake.llm.langid import UNKNOWN, held_out, identify, teaching
 from courtlake.llm.mixing import mix_documents
 from courtlake.llm.ngram_join import keep_first
 from courtlake.llm.scratch import new_path
@@ -14,8 +14,11 @@ from courtlake.llm.sharding import shard_documents
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no language can be told (null, or without a letter) go."""
-    judged = identify(docs, docs.where(~held_out("doc_id")), keep=docs.columns)
+    """Documents in which no language can be told (null, or without a letter) go. Where nothing can be learned all stay."""
+    training = docs.where(~held_out("doc_id"))
+    if teaching(training).isEmpty():
+        return docs
+    judged = identify(docs, training, keep=docs.columns)
     return judged.where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
 
 

@@ -138,6 +138,11 @@ def has_letter(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
 
+def teaching(training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows that can teach: with a language, an id and a letter."""
+    return training.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & has_letter(F.col(text_col)))
+
+
 def identify(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None, sample: int = SAMPLE) -> DataFrame:
     """Add lang_pred and score to the columns `keep` (id alone) of every document.
 
@@ -148,7 +153,7 @@ def identify(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_
     bytes at most. Empty tables give empty tables, and repeated rows are judged alike.
     """
     spark = docs.sparkSession
-    rows = training.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & has_letter(F.col(text_col)))
+    rows = teaching(training, id_col, text_col, lang_col)
     by_hash = Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col)
     chosen = rows.select(id_col, lang_col).withColumn("_n", F.row_number().over(by_hash)).where(F.col("_n") <= sample).select(id_col).distinct()
     # at most `sample` ids for each language
