@@ -10,7 +10,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import numpy as np
@@ -180,37 +180,56 @@ def _postings(sets: DataFrame) -> DataFrame:
     return sets.select("id", "hashes").mapInArrow(run, "hash long, id long, pos int")
 
 
-def _groups(postings: DataFrame) -> DataFrame:
-    """g, id, pos of the groups of a hash that two or more sets hold. Hashes with the same members make one group.
+def _named(block: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Names for the groups in batches sorted by hash and id; at most one batch and `block` rows are held."""
 
-    pos is the place of the smallest of a group's hashes in the set's prefix. A group of more than BLOCK members keeps its hash as its name; it may come in several batches.
-    """
+    def given(names: np.ndarray, ids: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(names), pa.array(ids), pa.array(pos)], ["g", "id", "pos"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest_hash, rest_id, rest_pos = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-
-        def of(h: np.ndarray, ids: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
-            edges = np.concatenate([[0], np.nonzero(h[1:] != h[:-1])[0] + 1, [len(h)]])
-            size = np.diff(edges)
-            keep = size > 1
-            names = h[edges[:-1]].copy()
-            for k in np.nonzero(keep & (size <= BLOCK))[0]:
-                names[k] = int.from_bytes(hashlib.blake2b(ids[edges[k] : edges[k + 1]].tobytes(), digest_size=8).digest(), "little", signed=True)
-            rows = np.repeat(keep, size)
-            return pa.RecordBatch.from_arrays([pa.array(np.repeat(names, size)[rows]), pa.array(ids[rows]), pa.array(pos[rows])], ["g", "id", "pos"])
+    def of(h: np.ndarray, ids: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
+        edges = np.concatenate([[0], np.nonzero(h[1:] != h[:-1])[0] + 1, [len(h)]])
+        size = np.diff(edges)
+        keep = size > 1
+        names = h[edges[:-1]].copy()
+        for k in np.nonzero(keep & (size <= block))[0]:
+            names[k] = int.from_bytes(hashlib.blake2b(ids[edges[k] : edges[k + 1]].tobytes(), digest_size=8).digest(), "little", signed=True)
+        rows = np.repeat(keep, size)
+        return given(np.repeat(names, size)[rows], ids[rows], pos[rows])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        rest, large = none, None  # large: a hash whose rows go out as they come
         for b in batches:
             if not b.num_rows:
                 continue
-            h, ids, pos = (np.concatenate([x, b.column(c).to_numpy()]) for x, c in ((rest_hash, "hash"), (rest_id, "id"), (rest_pos, "pos")))
-            last = int(np.searchsorted(-(h != h[-1]).astype(np.int8), 0)) if h[0] != h[-1] else 0
+            h, ids, pos = (np.concatenate([x, b.column(c).to_numpy()]) for x, c in zip(rest, ("hash", "id", "pos"), strict=True))
+            if large is not None:
+                k = int(np.searchsorted(h, large, "right"))
+                if k:
+                    yield given(h[:k], ids[:k], pos[:k])
+                h, ids, pos = h[k:], ids[k:], pos[k:]
+                if not len(h):
+                    continue
+                large = None
+            last = int(np.searchsorted(h, h[-1]))
             if last:
                 yield of(h[:last], ids[:last], pos[:last])
-            rest_hash, rest_id, rest_pos = h[last:], ids[last:], pos[last:]
-        if len(rest_hash):
-            yield of(rest_hash, rest_id, rest_pos)
+            rest = h[last:], ids[last:], pos[last:]
+            if len(rest[0]) > block:
+                yield given(*rest)
+                rest, large = none, h[-1]
+        if len(rest[0]):
+            yield of(*rest)
+
+    return run
 
-    return postings.repartition("hash").sortWithinPartitions("hash", "id").mapInArrow(run, "g long, id long, pos int").groupBy("g", "id").agg(F.min("pos").alias("pos"))
+
+def _groups(postings: DataFrame) -> DataFrame:
+    """g, id, pos of the groups of a hash that two or more sets hold. Hashes with the same members make one group.
+
+    pos is the place of the smallest of a group's hashes in the set's prefix. A group of more than BLOCK members keeps its hash as its name; it comes in several batches and is never gathered.
+    """
+    return postings.repartition("hash").sortWithinPartitions("hash", "id").mapInArrow(_named(BLOCK), "g long, id long, pos int").groupBy("g", "id").agg(F.min("pos").alias("pos"))
 
 
 def _may_match(a: np.ndarray, n_a: int, b: np.ndarray, n_b: int, skipped: int = 0) -> bool:

@@ -11,3 +11,19 @@ def test_language_stage_without_labels(spark):
     assert got.count() == len(texts)
     taught = [(i, t, "en", s, n) for i, t, _, s, n in texts] + [(30, "123 !!", "en", "s", 0)]
     assert corpus_pipeline.language(spark, spark.createDataFrame(taught, SCHEMA), "").count() == len(texts) - 1
+
+
+def test_large_groups_are_not_gathered():
+    import numpy as np
+    import pyarrow as pa
+
+    from courtlake.llm.ngram_join import _named
+
+    held = [(-5, 1), (-5, 2), *((7, i) for i in range(200)), (8, 3), (9, 1), (9, 2), *((11, i) for i in range(5))]
+    batches = [pa.RecordBatch.from_arrays([pa.array([h for h, _ in held[k : k + 6]], pa.int64()), pa.array([i for _, i in held[k : k + 6]], pa.int64()), pa.array([0] * len(held[k : k + 6]), pa.int32())], ["hash", "id", "pos"]) for k in range(0, len(held), 6)]
+    out = list(_named(4)(iter(batches)))
+    assert max(b.num_rows for b in out) <= 10
+    names, ids = (np.concatenate([b.column(c).to_numpy() for b in out]) for c in ("g", "id"))
+    assert sorted(ids[names == 7]) == list(range(200)) and sorted(ids[names == 11]) == list(range(5))
+    small = names[(names != 7) & (names != 11)]
+    assert len(small) == 4 and len(set(small)) == 1  # -5 and 9 have the same members
