@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .components import components
 from .grouped import BLOCK, deal_blocks, map_groups
@@ -340,24 +341,33 @@ def _search_sets(t: pa.Table) -> tuple | None:
 def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The pairs whose whole sets link. Sets are made again from the texts of the ids in question alone."""
     ids = cut(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "join-ids")
-    wanted = reps.select("id", "sig").join(small(ids), "id", "left_semi")
-    texts = docs.join(small(ids).withColumnRenamed("id", id_col), id_col, "left_semi")
-    sets = cut(document_sets(texts, id_col, text_col, whole=True).join(wanted, ["id", "sig"], "left_semi").select("id", "n", "hashes"), "join-sets")
+    wanted = cut(reps.select("id", "doc", "sig").join(small(ids), "id", "left_semi"), "join-wanted")
+    texts = docs.join(small(wanted).select(F.col("doc").alias(id_col)), id_col, "left_semi")
+    made = document_sets(texts, id_col, text_col, whole=True).withColumnRenamed("id", "doc").join(wanted, ["doc", "sig"])
+    sets = cut(made.select("id", "n", "hashes"), "join-sets")
     return map_groups(_stars(pairs, sets), ["a", "part"], _search_sets, "a long, b long", ["a", "b"], [pa.int64()] * 2)
 
 
-def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles and component_id of every document; documents link at a Jaccard similarity of 0.8 or more.
+def _classes(rows: DataFrame) -> tuple[DataFrame, bool]:
+    """sig, doc (its smallest id) and id (its number in links) of each set; whether some number isn't such an id.
 
-    Null, empty and blank texts have no shingle and link with nothing, as do rows without an id (component null).
-    Texts with equal sets are one set, so copies cost nothing more. Links of each group's first member are searched
-    first; only members that those leave in different components are searched against each other, in blocks. No link
-    between two components can be left out, but links within one are not all listed. Repeated rows share an answer.
+    Where several sets have one smallest id, that is the number of one of them; the others' is a hash of id and set.
     """
+    of_sig = cut(rows.where("sig is not null and id is not null").groupBy("sig").agg(F.min("id").alias("doc")), "join-classes")
+    shared = cut(of_sig.groupBy("doc").count().where("count > 1").select("doc"), "join-shared")
+    if shared.isEmpty():
+        return of_sig.withColumn("id", F.col("doc")), False
+    first = of_sig.join(small(shared), "doc", "left_semi").groupBy("doc").agg(F.min("sig").alias("_sig"))
+    own = F.when(F.col("sig") != F.col("_sig"), F.xxhash64("doc", "sig")).otherwise(F.col("doc"))
+    return cut(of_sig.join(first, "doc", "left").select("sig", "doc", own.alias("id")), "join-classes"), True
+
+
+def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, n, sig, component_id and first (whether its set is the component's first, under the smallest id) of each row."""
     rows = cut(document_sets(docs, id_col, text_col, whole=False, common=common_shingles(docs, text_col)), "join-rows")
-    of_sig = cut(rows.where("sig is not null and id is not null").groupBy("sig").agg(F.min("id").alias("id")), "join-classes")
-    reps = rows.join(of_sig, ["sig", "id"], "left_semi").dropDuplicates(["id", "sig"])
-    reps = cut(reps.where(F.col("n") >= LEAST_SET).select("id", "n", "sig", "hashes"), "join-sets-short")
+    of_sig, numbered = _classes(rows)
+    reps = rows.withColumnRenamed("id", "doc").join(of_sig, ["sig", "doc"]).dropDuplicates(["id"])
+    reps = cut(reps.where(F.col("n") >= LEAST_SET).select("id", "doc", "n", "sig", "hashes"), "join-sets-short")
     groups = cut(_groups(_postings(reps)), "join-groups")
     stars = groups.join(groups.groupBy("g").agg(F.min("id").alias("a")), "g").where("id > a").select("a", F.col("id").alias("b")).distinct()
     likely = cut(pruned(stars, reps), "join-likely")
@@ -375,16 +385,59 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rest = map_groups(blocks, ["g", "c", "i", "j"], _search_prefixes, "a long, b long", ["a", "b"], [pa.int64()] * 2)
     rest = cut(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "join-rest")
     more = cut(verified(rest, reps, docs, id_col, text_col), "join-more")
-    classes = of_sig.withColumnRenamed("id", "_rep").join(components(links.unionByName(more)).withColumnRenamed("id", "_rep"), "_rep", "left").select("sig", F.coalesce("component", "_rep").alias("component_id"))
-    return rows.select("id", "n", "sig").join(classes, "sig", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
+    linked = components(links.unionByName(more)).withColumnRenamed("id", "_id")
+    classes = of_sig.join(linked, of_sig["id"] == linked["_id"], "left").select("sig", "doc", "id", F.coalesce("component", "id").alias("_component"))
+    if numbered:
+        classes = cut(classes, "join-numbered")
+        names = classes.groupBy("_component").agg(F.min("doc").alias("_doc"), F.min_by("id", F.struct("doc", F.col("id") != F.col("doc"), "id")).alias("_first"))
+        chosen = names.groupBy("_doc").agg(F.min_by("_first", F.struct(F.col("_first") != F.col("_doc"), "_first")).alias("_chosen"))
+        names = names.join(chosen, "_doc").select("_component", "_first", F.when(F.col("_first") == F.col("_chosen"), F.col("_doc")).otherwise(F.col("_first")).alias("component_id"))
+        classes = classes.join(names, "_component").drop("_component")
+    else:
+        classes = classes.withColumn("_first", F.col("_component")).withColumnRenamed("_component", "component_id")
+    classes = classes.withColumnRenamed("id", "_id")
+    first = F.coalesce((F.col("_id") == F.col("_first")) & (F.col("id") == F.col("doc")), F.lit(True))
+    return rows.select("id", "n", "sig").join(classes, "sig", "left").select("id", "n", "sig", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"), first.alias("first"))
+
+
+def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_shingles and component_id of every document; documents link at a Jaccard similarity of 0.8 or more.
+
+    Null, empty and blank texts have no shingle and link with nothing, as do rows without an id (component null).
+    Texts with equal sets are one set, so copies cost nothing more. Links of each group's first member are searched
+    first; only members that those leave in different components are searched against each other, in blocks. No link
+    between two components can be left out, but links within one are not all listed. Repeated rows share an answer;
+    rows with one id and different sets are placed each by its own. A component's id is its smallest one; where
+    several components share that, all but one have a hash instead.
+    """
+    return _found(docs, id_col, text_col).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def _with_sig(docs: DataFrame, text_col: str) -> DataFrame:
+    """All columns, and `_sig` as document_sets gives it."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sig = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in shingle_sets(b.column(at))]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sig, pa.binary())], [*b.schema.names, "_sig"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_sig", BinaryType())]))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component stays, that with the smallest id; rows without an id stay. All columns are kept."""
-    found = cut(near_texts(docs, id_col, text_col), "join-found")
-    gone = cut(found.where(F.col("component_id") != F.col(id_col)).select(id_col).distinct(), "join-gone")
+    """One document of each component stays, that with the smallest id. All columns are kept.
+
+    Rows without an id stay, and so do all without a shingle. Where an id is repeated with different texts, each row
+    stays or goes by its own text's set.
+    """
+    found = cut(_found(docs, id_col, text_col), "join-found")
+    again = cut(found.where("id is not null").groupBy("id").count().where("count > 1").select(F.col("id").alias(id_col)), "join-again")
+    gone = cut(found.where("not first and id is not null").select(F.col("id").alias(id_col)).distinct(), "join-gone")
     kept = docs.join(small(gone), id_col, "left_anti")
-    again = cut(found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col), "join-again")
     if again.isEmpty():
         return kept
-    return kept.join(small(again), id_col, "left_anti").unionByName(kept.join(small(again), id_col, "left_semi").dropDuplicates([id_col]))
+    rows = _with_sig(docs.join(small(again), id_col, "left_semi").select(*docs.columns), text_col)
+    stay = cut(found.where("first and sig is not null").select(F.col("id").alias(id_col), F.col("sig").alias("_sig")).join(small(again), id_col, "left_semi").distinct(), "join-stay")
+    several = rows.join(small(stay), [id_col, "_sig"], "left_semi").dropDuplicates([id_col, "_sig"]).unionByName(rows.where("_sig is null"))
+    return kept.join(small(again), id_col, "left_anti").unionByName(several.drop("_sig")).select(*docs.columns)

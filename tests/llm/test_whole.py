@@ -27,3 +27,25 @@ def test_large_groups_are_not_gathered():
     assert sorted(ids[names == 7]) == list(range(200)) and sorted(ids[names == 11]) == list(range(5))
     small = names[(names != 7) & (names != 11)]
     assert len(small) == 4 and len(set(small)) == 1  # -5 and 9 have the same members
+
+
+def test_repeated_ids_with_different_texts(spark):
+    from courtlake.llm.ngram_join import keep_first, near_texts
+
+    word = lambda c, n=60: " ".join(f"{c}{i}" for i in range(n))
+    texts = [
+        (1, word("a")), (2, word("b")), (2, word("a") + " end"), (3, word("c")), (3, word("d")), (4, word("d")), (5, word("c") + " end"), (5, word("c") + " end"),
+        (6, word("e")), (6, word("e") + " end"), (7, None), (7, " "), (None, word("a")), (8, word("f")), (8, word("f")),
+    ]
+    df = spark.createDataFrame([(i, t, "en", "s", k) for k, (i, t) in enumerate(texts)], SCHEMA)
+    kept = keep_first(df)
+    assert kept.columns == df.columns
+    got = sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect())
+    one = [r[1] for r in got if r[0] == 6]
+    assert one in ([word("e")], [word("e") + " end"])
+    assert [r for r in got if r[0] != 6] == sorted([(1, word("a")), (2, word("b")), (3, word("c")), (3, word("d")), (7, ""), (7, " "), (0, word("a")), (8, word("f"))])
+    placed = near_texts(df).collect()
+    assert len(placed) == len(texts)
+    # rows of 3 with c and with d are of two components
+    assert len({r["component_id"] for r in placed if r["doc_id"] in (3, 4, 5)}) == 2
+    assert {r["component_id"] for r in placed if r["doc_id"] == 2} == {1, 2}
