@@ -49,3 +49,30 @@ def test_repeated_ids_with_different_texts(spark):
     # rows of 3 with c and with d are of two components
     assert len({r["component_id"] for r in placed if r["doc_id"] in (3, 4, 5)}) == 2
     assert {r["component_id"] for r in placed if r["doc_id"] == 2} == {1, 2}
+
+
+def test_join_against_brute_force(spark):
+    import random
+
+    from courtlake.llm.ngram_join import near_texts
+
+    rng = random.Random(9)
+    frame = [f"f{i}" for i in range(40)]  # its shingles are common
+    texts = []
+    for c in range(50):
+        base = (frame if c < 30 else []) + [f"c{c}w{i}" for i in range(rng.randint(20, 90))]
+        for _ in range(6):
+            words = list(base)
+            for _ in range(rng.choice((0, 1, 1, 2, 3))):
+                words[rng.randrange(len(words))] = f"x{rng.random()}"
+            texts.append(" ".join(words))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    assert {r["doc_id"]: r["component_id"] for r in near_texts(df).collect()} == dict(enumerate(root))
+    assert 50 < len(set(root)) < 300
