@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import cut, small
@@ -54,11 +54,11 @@ def map_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], tuple],
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
-def deal_blocks(rows: DataFrame, key: list[str], block: int = BLOCK) -> DataFrame:
+def deal_blocks(rows: DataFrame, key: list[str], block: int | Column = BLOCK) -> DataFrame:
     """Deal each key's rows to pairs (i, j), i <= j, of blocks, so that every two rows of a key meet in some pair.
 
-    A key within `block` rows is one pair; a larger one is spread over many tasks.
+    A key within `block` rows (a number, or a column of the key) is one pair; a larger one is spread over many tasks.
     """
-    sizes = cut(rows.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_k")), "block-sizes")
+    sizes = cut(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).select(*key, F.ceil(F.col("_n") / block).cast("int").alias("_k")), "block-sizes")
     cells = F.expr("transform(sequence(0, _k - 1), x -> struct(least(x, _b) as i, greatest(x, _b) as j))")
     return rows.join(small(sizes), key).withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_k")).cast("int")).withColumn("_cell", F.explode(cells)).select(*rows.columns, "_b", "_cell.i", "_cell.j")

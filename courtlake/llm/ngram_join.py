@@ -21,15 +21,15 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .components import components
 from .grouped import BLOCK, deal_blocks, map_groups
-from .scratch import cut, small
+from .scratch import cut, drop, small
 from .shingles import shingle_sets
 
 #: Sets below this size reach 4/5 with equal sets only.
 LEAST_SET = 4
 #: DivideSkip's weight of a probe against a merge step.
 MU = 0.01
-#: In a block of at most this many sets two sorted sets are merged directly; lists would cost more than they save.
-FEW = 16
+#: Members that a query is searched among at once, and hashes of whole sets in a block.
+STAR, BLOCK_HASHES = 256, 1 << 19
 #: Shingles in at least so many rows are common; of these the most frequent ones, as many as fit in the second number,
 #: go last in the order (the others only make larger groups).
 COMMON, MOST_COMMON = 32, 1 << 20
@@ -233,15 +233,12 @@ def _groups(postings: DataFrame) -> DataFrame:
     return postings.repartition("hash").sortWithinPartitions("hash", "id").mapInArrow(_named(BLOCK), "g long, id long, pos int").groupBy("g", "id").agg(F.min("pos").alias("pos"))
 
 
-def _may_match(a: np.ndarray, n_a: int, b: np.ndarray, n_b: int, skipped: int = 0) -> bool:
-    """Whether what two prefixes show up to the smaller of their ends leaves the sets within a ninth of their sizes.
-
-    `skipped` hashes of the two before these count as not shared.
-    """
+def _may_match(a: np.ndarray, n_a: int, b: np.ndarray, n_b: int) -> bool:
+    """Whether what two prefixes show up to the smaller of their ends leaves the sets within a ninth of their sizes."""
     m = min(a[-1], b[-1])
     a, b = a[: np.searchsorted(a, m, "right")], b[: np.searchsorted(b, m, "right")]
     both = np.intersect1d(a, b, assume_unique=True)
-    return 9 * (skipped + len(a) + len(b) - 2 * len(both)) <= n_a + n_b
+    return 9 * (len(a) + len(b) - 2 * len(both)) <= n_a + n_b
 
 
 def _sized(n_a: str, n_b: str) -> str:
@@ -253,7 +250,7 @@ def _stars(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     A query with many partners is searched in many tasks.
     """
-    sizes = cut(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_k")), "join-sizes")
+    sizes = cut(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("_k")), "join-sizes")
     members = pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), F.col("_k")).cast("int").alias("part"), F.col("b").alias("id"), F.lit(False).alias("query"))
     asked = sizes.select("a", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("part"), F.col("a").alias("id"), F.lit(True).alias("query"))
     return members.unionByName(asked).join(sets.select("id", "n", "hashes"), "id")
@@ -273,43 +270,58 @@ def pruned(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return map_groups(_stars(cut(fit.select("a", "b"), "join-sized-pairs"), sets), ["a", "part"], _prune_star, "a long, b long", ["a", "b"], [pa.int64()] * 2)
 
 
-def _search_prefixes(t: pa.Table) -> tuple | None:
-    """Pairs of a block from different components that _may_match, found by searching each prefix among the others.
+def _askers(comp: np.ndarray) -> np.ndarray:
+    """Members outside a block's largest component: each pair of different components has one."""
+    _, kind, times = np.unique(comp, return_inverse=True, return_counts=True)
+    return np.nonzero(kind != times.argmax())[0]
+
 
-    Prefixes start at the group's hash. What stands before it counts as not shared; sets that share some of it meet in
-    that hash's group as well. Each pair has a member outside the block's largest component, so only those ask.
+def _marked(t: pa.Table) -> tuple | None:
+    """g, c, i, j and id of a block's members that may match one of another component, found by searching prefixes.
+
+    A pair counts in one group only: that of the first hash which both prefixes hold. At most the block's rows come out.
     """
     ids, n, comp, own, pos = (t.column(c).to_numpy() for c in ("id", "n", "component", "own", "pos"))
-    pos = pos.astype(np.int64)
     if (comp == comp[0]).all() or not own.any():
         return None
     sets = _arrays(t.column("hashes"))
-    _, kind, times_seen = np.unique(comp, return_inverse=True, return_counts=True)
-    asks = kind != times_seen.argmax()
-    a, b = [], []
-    if len(sets) <= FEW:
-        for i in np.nonzero(asks)[0]:
-            for j in range(len(sets)):
-                if comp[i] != comp[j] and (j < i or not asks[j]) and (own[i] or own[j]) and 5 * min(n[i], n[j]) >= 4 * max(n[i], n[j]) and _may_match(sets[i], n[i], sets[j], n[j], int(pos[i] + pos[j])):
-                    a.append(ids[i])
-                    b.append(ids[j])
-        return (np.array(a), np.array(b)) if a else None
     index, flat = Index(sets), np.concatenate(sets)
     starts = np.cumsum([0, *(len(s) for s in sets[:-1])])
     ends = np.array([s[-1] for s in sets])
-    for i in np.nonzero(asks)[0]:
+    marked = np.zeros(len(sets), bool)
+    for i in _askers(comp):
         s = sets[i]
         other = (comp != comp[i]) & (own | own[i]) & (5 * np.minimum(n, n[i]) >= 4 * np.maximum(n, n[i]))
         if not other.any():
             continue
-        lists = index.lists(s, 2)  # the set itself is in all of its lists
-        seen_i = pos[i] + np.searchsorted(s, np.minimum(ends, s[-1]), "right")
-        seen = pos + np.add.reduceat(flat <= s[-1], starts, dtype=np.int64)
-        need = np.maximum(1, -(-(9 * (seen_i + seen) - n - n[i]) // 18))
-        for j, times in divide_skip(lists, int(need[other].min())):
-            if other[j] and times >= need[j]:
+        seen = np.searchsorted(s, np.minimum(ends, s[-1]), "right") + np.add.reduceat(flat <= s[-1], starts, dtype=np.int64)
+        need = np.maximum(1, -(-(9 * seen - n - n[i]) // 18))
+        for j, times in divide_skip(index.lists(s, 2), int(need[other].min())):  # the set itself is in all of its lists
+            if other[j] and times >= need[j] and not (marked[i] and marked[j]):
+                first = np.intersect1d(s, sets[j], assume_unique=True)[0]
+                if np.searchsorted(s, first) == pos[i]:
+                    marked[i] = marked[j] = True
+    return tuple(t.column(c).to_numpy()[marked] for c in ("g", "c", "i", "j", "id")) if marked.any() else None
+
+
+def _forest(t: pa.Table) -> tuple | None:
+    """Links between the components of a block, each verified on whole sets by a T-occurrence search.
+
+    A link is given only if it ties two components that the block's earlier links haven't, so a block of m members
+    gives m - 1 links at most.
+    """
+    ids, n, comp = (t.column(c).to_numpy() for c in ("id", "n", "component"))
+    sets, comp = _arrays(t.column("hashes")), comp.copy()
+    index, a, b = Index(sets), [], []
+    for i in _askers(comp):
+        need, other = overlap_needed(int(n[i]), n), comp != comp[i]
+        if not other.any():
+            break
+        for j, times in divide_skip(index.lists(sets[i], 2), int(need[other].min())):
+            if times >= need[j] and comp[j] != comp[i]:
                 a.append(ids[i])
                 b.append(ids[j])
+                comp[comp == comp[j]] = comp[i]
     return (np.array(a), np.array(b)) if a else None
 
 
@@ -321,13 +333,6 @@ def _search_sets(t: pa.Table) -> tuple | None:
         return None
     sets = _arrays(t.column("hashes"))
     a, b = [], []
-    if len(members) <= FEW:
-        for q in np.nonzero(query)[0]:
-            for k in members:
-                if len(np.intersect1d(sets[q], sets[k], assume_unique=True)) >= overlap_needed(int(n[q]), n[k]):
-                    a.append(ids[q])
-                    b.append(ids[k])
-        return (np.array(a), np.array(b)) if a else None
     index = Index([sets[k] for k in members])
     for q in np.nonzero(query)[0]:
         need = overlap_needed(int(n[q]), n[members])
@@ -338,14 +343,48 @@ def _search_sets(t: pa.Table) -> tuple | None:
     return (np.array(a), np.array(b)) if a else None
 
 
-def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The pairs whose whole sets link. Sets are made again from the texts of the ids in question alone."""
-    ids = cut(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "join-ids")
+def whole_sets(ids: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, n and hashes of the given ids. Sets are made again from the texts of the ids in question alone."""
     wanted = cut(reps.select("id", "doc", "sig").join(small(ids), "id", "left_semi"), "join-wanted")
     texts = docs.join(small(wanted).select(F.col("doc").alias(id_col)), id_col, "left_semi")
     made = document_sets(texts, id_col, text_col, whole=True).withColumnRenamed("id", "doc").join(wanted, ["doc", "sig"])
-    sets = cut(made.select("id", "n", "hashes"), "join-sets")
-    return map_groups(_stars(pairs, sets), ["a", "part"], _search_sets, "a long, b long", ["a", "b"], [pa.int64()] * 2)
+    return cut(made.select("id", "n", "hashes"), "join-sets")
+
+
+def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The pairs whose whole sets link."""
+    ids = cut(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "join-ids")
+    sets = whole_sets(ids, reps, docs, id_col, text_col)
+    out = cut(map_groups(_stars(pairs, sets), ["a", "part"], _search_sets, "a long, b long", ["a", "b"], [pa.int64()] * 2), "join-links")
+    drop(sets, ids)
+    return out
+
+
+def between_components(groups: DataFrame, first: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Links that tie components of `first` which share a group, at least a spanning forest of them.
+
+    Prefixes are searched in blocks of a group and a size class; members that may match another component's are marked,
+    and only their whole sets move to the same blocks, where links are verified and a forest of them is given.
+    """
+    # every pair with a group's first member has been searched
+    later = groups.join(groups.groupBy("g").agg(F.min("id").alias("a")), "g").where("id > a").drop("a")
+    placed = cut(later.join(first, "id", "left").select("g", "id", "pos", F.coalesce("component", "id").alias("component")), "join-placed")
+    mixed = placed.groupBy("g").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("g")
+    # sizes of a link are within 5/4, so of the same or of neighbouring classes
+    grade = F.floor(F.log("n") / math.log(1.25)).cast("int")
+    sized = placed.join(mixed, "g").join(reps.select("id", grade.alias("_c")), "id").withColumn("c", F.explode(F.array("_c", F.col("_c") + 1))).withColumn("own", F.col("c") == F.col("_c")).drop("_c")
+    several = sized.groupBy("g", "c").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("own").alias("own")).where("x < y and own").select("g", "c")
+    sized = cut(sized.join(several, ["g", "c"]), "join-sized")
+    room = F.greatest(F.lit(16), F.least(F.lit(BLOCK), F.lit(BLOCK_HASHES) / F.pow(F.lit(1.25), F.col("c"))))
+    dealt = cut(deal_blocks(sized, ["g", "c"], room), "join-dealt")
+    cell = ["g", "c", "i", "j"]
+    marks = map_groups(dealt.join(reps.select("id", "n", "hashes"), "id"), cell, _marked, "g long, c int, i int, j int, id long", [*cell, "id"], [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()])
+    marks = cut(marks.join(first, "id", "left").withColumn("component", F.coalesce("component", "id")), "join-marks")
+    drop(placed, sized, dealt)
+    sets = whole_sets(cut(marks.select("id").distinct(), "join-ids"), reps, docs, id_col, text_col)
+    out = cut(map_groups(marks.join(sets, "id"), cell, _forest, "a long, b long", ["a", "b"], [pa.int64()] * 2), "join-more")
+    drop(sets, marks)
+    return out
 
 
 def _classes(rows: DataFrame) -> tuple[DataFrame, bool]:
@@ -371,20 +410,10 @@ def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     groups = cut(_groups(_postings(reps)), "join-groups")
     stars = groups.join(groups.groupBy("g").agg(F.min("id").alias("a")), "g").where("id > a").select("a", F.col("id").alias("b")).distinct()
     likely = cut(pruned(stars, reps), "join-likely")
-    links = cut(verified(likely, reps, docs, id_col, text_col), "join-links")
+    links = verified(likely, reps, docs, id_col, text_col)
     first = cut(components(links), "join-components")
-    # every pair with a group's first member has been searched
-    later = groups.join(groups.groupBy("g").agg(F.min("id").alias("a")), "g").where("id > a").drop("a")
-    placed = later.join(first, "id", "left").select("g", "id", "pos", F.coalesce("component", "id").alias("component"))
-    mixed = placed.groupBy("g").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("g")
-    # sizes of a link are within 5/4, so of the same or of neighbouring classes
-    grade = F.floor(F.log("n") / math.log(1.25)).cast("int")
-    sized = placed.join(mixed, "g").join(reps.select("id", grade.alias("_c")), "id").withColumn("c", F.explode(F.array("_c", F.col("_c") + 1))).withColumn("own", F.col("c") == F.col("_c")).drop("_c")
-    several = sized.groupBy("g", "c").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("own").alias("own")).where("x < y and own").select("g", "c")
-    blocks = deal_blocks(cut(sized.join(several, ["g", "c"]), "join-sized"), ["g", "c"]).join(reps.select("id", "n", "hashes"), "id").withColumn("hashes", F.substring("hashes", F.col("pos") * 8 + 1, F.length("hashes")))
-    rest = map_groups(blocks, ["g", "c", "i", "j"], _search_prefixes, "a long, b long", ["a", "b"], [pa.int64()] * 2)
-    rest = cut(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "join-rest")
-    more = cut(verified(rest, reps, docs, id_col, text_col), "join-more")
+    more = between_components(groups, first, reps, docs, id_col, text_col)
+    drop(groups, likely, first)
     linked = components(links.unionByName(more)).withColumnRenamed("id", "_id")
     classes = of_sig.join(linked, of_sig["id"] == linked["_id"], "left").select("sig", "doc", "id", F.coalesce("component", "id").alias("_component"))
     if numbered:
@@ -405,8 +434,9 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Null, empty and blank texts have no shingle and link with nothing, as do rows without an id (component null).
     Texts with equal sets are one set, so copies cost nothing more. Links of each group's first member are searched
-    first; only members that those leave in different components are searched against each other, in blocks. No link
-    between two components can be left out, but links within one are not all listed. Repeated rows share an answer;
+    first; only members that those leave in different components are searched against each other, in blocks that give
+    a spanning forest of their links. No link between two components can be left out, but links within one are not all
+    listed. Repeated rows share an answer;
     rows with one id and different sets are placed each by its own. A component's id is its smallest one; where
     several components share that, all but one have a hash instead.
     """

@@ -30,13 +30,19 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it again: lost executors don't bring the work before it back."""
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables of `cut` that nothing reads any more; others are left alone."""
+    for df in tables:
+        if path := getattr(df, "scratch_path", None):
+            p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast of a written table of at most `limit` rows; a larger one is left to a shuffled join."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
-def clean_id(name: str) -> str:
-    return f"`{name}`"

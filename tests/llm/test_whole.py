@@ -76,3 +76,40 @@ def test_join_against_brute_force(spark):
     df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
     assert {r["doc_id"]: r["component_id"] for r in near_texts(df).collect()} == dict(enumerate(root))
     assert 50 < len(set(root)) < 300
+
+
+def test_join_of_a_large_near_group(spark, monkeypatch):
+    """1,200 edits of one text, few of which link with the first: blocks of few rows, so that groups are dealt to many."""
+    import random
+
+    import numpy as np
+
+    from courtlake.llm import grouped, ngram_join
+
+    monkeypatch.setattr(ngram_join, "BLOCK", 200)
+    monkeypatch.setattr(ngram_join, "STAR", 50)
+    rng = random.Random(3)
+    base = [f"b{i}" for i in range(70)]
+    texts = []
+    for _ in range(1200):
+        words = list(base)
+        for _ in range(rng.choice((0, 1, 2, 3, 4, 5))):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(40)}"
+        texts.append(" ".join(words))
+    sets = [sorted({hash(tuple(w[k : k + 5])) for k in range(len(w) - 4)}) for w in map(str.split, texts)]
+    code = {h: k for k, h in enumerate(sorted({h for s in sets for h in s}))}
+    has = np.zeros((len(sets), len(code)), np.float32)
+    for i, s in enumerate(sets):
+        has[i, [code[h] for h in s]] = 1
+    both = has @ has.T
+    size = has.sum(1)
+    link = 9 * both >= 4 * (size[:, None] + size[None, :]) - 1e-3
+    root = np.arange(len(sets))
+    while True:
+        new = np.array([root[row].min() for row in link])
+        if (new == root).all():
+            break
+        root = new
+    assert len(set(root)) > 30
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.near_texts(df).collect()} == dict(enumerate(root.tolist()))
