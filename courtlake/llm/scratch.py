@@ -36,11 +36,16 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 
 def drop(*tables: DataFrame) -> None:
-    """Delete tables of `cut` that nothing reads any more; others are left alone."""
+    """Delete tables of `cut` that nothing reads any more; others are left alone.
+
+    The driver's JVM is asked to collect its garbage, upon which Spark removes the shuffle files of plans that are gone.
+    """
     for df in tables:
         if path := getattr(df, "scratch_path", None):
             p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Which strings can repeat is narrowed first: every window of LENGTH bytes has a smallest hash among its grams of GRAM
 bytes, and equal windows have the same one, so only runs of windows whose hash occurs in two documents go on. Those
-runs are gathered by hash and de-duplicated; blocks of them get a suffix array, a Burrows-Wheeler transform and a
+runs are gathered by hash and de-duplicated; runs that share a longer string around the gram stay, and blocks of them get a suffix array, a Burrows-Wheeler transform and a
 breadth-first backward extension that finds their common prefixes by increasing value and stops at LENGTH.
 """
 
@@ -17,12 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .langid import text_bytes
-from .scratch import cut, small
+from .scratch import cut, drop, small
 from .shingles import _BACK, _BASE, _power, mix
 
 LENGTH, GRAM = 50, 16
 #: Windows of a run at most; bytes whose grams are hashed at once; bytes of a block; distinct runs of a hash that
-#: still go into one block (those of a more frequent hash are compared window by window).
+#: still go into one block (those of a more frequent hash are split by longer strings around its gram).
 RUN, CHUNK, BLOCK, FREQUENT = 64, 1 << 17, 1 << 19, 1 << 13
 
 
@@ -228,6 +228,46 @@ def repeated(strings: pa.Array, ids: np.ndarray, length: int = LENGTH) -> list[n
     return np.split(hit - (ends - size)[of], np.searchsorted(of, np.arange(1, len(a))))
 
 
+def anchors(h: np.ndarray, strings: pa.Array, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """(run, key) of longer strings around the gram of each run's hash, each once for a run.
+
+    A window that two runs share holds the gram at one place in both, and reaches far enough from there to the right,
+    to both sides or to the left, so the two share one of the three strings around it.
+    """
+    a = strings.cast(pa.large_binary())
+    at = np.frombuffer(a.buffers()[1], np.int64, len(a) + 1, a.offset * 8)
+    b, at = np.frombuffer(a.buffers()[2], np.uint8)[at[0] : at[-1]], at - at[0]
+    sums = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(b)), out=sums[1:])
+    back = _power(_BACK, len(b) + 1)
+    owner = np.repeat(np.arange(len(a)), np.diff(at))[: len(b) - gram + 1]
+    q = np.nonzero((mix((sums[gram:] - sums[:-gram]) * back[: len(owner)]) == h[owner]) & (np.arange(len(owner)) + gram <= at[owner + 1]))[0]
+    rows, keys = [], []
+    room = length - gram  # of a window besides its gram
+    third = room // 3
+    for left, right in ((0, room - third), (third, third), (room - third, 0)):
+        low, high, of = q - left, q + gram + right, owner[q]
+        some = np.nonzero((low >= at[of]) & (high <= at[of + 1]))[0]
+        rows.append(of[some])
+        keys.append(mix((sums[high[some]] - sums[low[some]]) * back[low[some]]) ^ h[of[some]])
+    rows, keys = np.concatenate(rows), np.concatenate(keys)
+    order = np.lexsort((rows, keys))
+    rows, keys = rows[order], keys[order]
+    new = np.ones(len(rows), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (rows[1:] != rows[:-1])
+    return rows[new], keys[new]
+
+
+def may_repeat(h: np.ndarray, strings: pa.Array, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
+    """Which runs can share a window with another run: those that share an anchor with one."""
+    rows, keys = anchors(h, strings, length, gram)
+    same = keys[1:] == keys[:-1]
+    keep = np.zeros(len(strings), bool)
+    keep[rows[1:][same]] = True
+    keep[rows[:-1][same]] = True
+    return keep
+
+
 def _spans(starts: np.ndarray) -> list[int]:
     """start, end, start, end ... of the bytes that the windows at sorted starts cover."""
     if not len(starts):
@@ -237,16 +277,24 @@ def _spans(starts: np.ndarray) -> list[int]:
 
 
 def _searched(classes: DataFrame) -> DataFrame:
-    """h, d and spans of the runs with windows of a smaller id; whole hashes are put into blocks of about BLOCK bytes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
+    """h, d and spans of the runs with windows of a smaller id; whole groups are put into blocks of about BLOCK bytes."""
+    import pyarrow.compute  # noqa: F401
 
-        def of(t: pa.Table) -> pa.RecordBatch:
+    def of(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        g = t.column("g").to_numpy()
+        alone = np.ones(len(g), bool)
+        alone[1:] &= g[1:] != g[:-1]
+        alone[:-1] &= g[1:] != g[:-1]
+        t = t.filter(pa.array(~alone)).combine_chunks()
+        if t.num_rows:
+            t = t.filter(pa.array(may_repeat(t.column("h").to_numpy().view(np.uint64), t.column("ctx").combine_chunks())))
+        if t.num_rows:
             found = [_spans(x) for x in repeated(t.column("ctx").combine_chunks(), t.column("m").to_numpy())]
             some = pa.array([bool(x) for x in found])
-            return pa.RecordBatch.from_arrays([*(t.column(c).combine_chunks().filter(some) for c in ("h", "d")), pa.array([x for x in found if x], pa.list_(pa.int32()))], ["h", "d", "spans"])
+            yield pa.RecordBatch.from_arrays([*(t.column(c).combine_chunks().filter(some) for c in ("h", "d")), pa.array([x for x in found if x], pa.list_(pa.int32()))], ["h", "d", "spans"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
         for b in batches:
             if not b.num_rows:
                 continue
@@ -254,24 +302,47 @@ def _searched(classes: DataFrame) -> DataFrame:
             rest = t if rest is None else pa.concat_tables([rest, t])
             if rest.nbytes < BLOCK:
                 continue
-            h = rest.column("h").to_numpy()
-            edge = np.append(np.nonzero(h[1:] != h[:-1])[0] + 1, len(h))[:-1]
+            g = rest.column("g").to_numpy()
+            edge = np.append(np.nonzero(g[1:] != g[:-1])[0] + 1, len(g))[:-1]
             bytes_at = np.cumsum(pa.compute.binary_length(rest.column("ctx")).to_numpy())
             done = 0
             while len(cuts := edge[(edge > done) & (bytes_at[edge - 1] - (bytes_at[done - 1] if done else 0) >= BLOCK)]):
-                yield of(rest.slice(done, cuts[0] - done))
+                yield from of(rest.slice(done, cuts[0] - done))
                 done = int(cuts[0])
             rest = rest.slice(done)
         if rest is not None and rest.num_rows:
-            yield of(rest)
+            yield from of(rest)
+
+    return classes.select("g", "h", "d", "m", "ctx").repartition("g").sortWithinPartitions("g").mapInArrow(run, "h long, d long, spans array<int>")
 
-    import pyarrow.compute  # noqa: F401
 
-    return classes.repartition("h").sortWithinPartitions("h").mapInArrow(run, "h long, d long, spans array<int>")
+def _by_anchor(classes: DataFrame) -> DataFrame:
+    """Runs of frequent hashes, once for each of their anchors, in groups `g` of an anchor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                rows, keys = anchors(b.column("h").to_numpy().view(np.uint64), b.column("ctx"))
+                at = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(b.column(c).take(at) for c in ("h", "d", "m", "ctx"))], ["g", "h", "d", "m", "ctx"])
+
+    return classes.select("h", "d", "m", "ctx").mapInArrow(run, "g long, h long, d long, m long, ctx binary")
+
+
+def _inner(classes: DataFrame) -> DataFrame:
+    """What _searched and _one_by_one find. Groups of a hash that has over FREQUENT runs are split by their anchors."""
+    grouped = classes.withColumn("g", F.col("h"))
+    often = cut(classes.groupBy("h").count().where(F.col("count") > FREQUENT).select("h"), "suffix-frequent")
+    if often.isEmpty():
+        return cut(_searched(grouped), "suffix-inner")
+    split = cut(_by_anchor(classes.join(small(often), "h", "left_semi")), "suffix-split")
+    still = cut(split.groupBy("g").count().where(F.col("count") > FREQUENT).select("g"), "suffix-still")
+    found = _searched(grouped.join(small(often), "h", "left_anti").select(*split.columns).unionByName(split.join(small(still), "g", "left_anti")))
+    return cut(found.unionByName(_one_by_one(split.join(small(still), "g", "left_semi").dropDuplicates(["h", "d"]))), "suffix-inner")
 
 
 def _one_by_one(classes: DataFrame) -> DataFrame:
-    """The same for runs of frequent hashes: their windows are spread over all tasks and compared by minimum."""
+    """The same for runs that share an anchor with over FREQUENT others: their windows are spread over all tasks and compared by minimum."""
     rows = classes.select("h", "d", "m", F.posexplode(F.expr(f"transform(sequence(1, octet_length(ctx) - {LENGTH - 1}), i -> substring(ctx, i, {LENGTH}))")).alias("i", "w"))
     least = rows.groupBy("h", "w").agg(F.min("m").alias("v"))
     hit = rows.join(least, ["h", "w"]).where("v < m").select("h", "d", F.array(F.col("i"), F.col("i") + LENGTH).alias("s"))
@@ -315,15 +386,16 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kee
     base = rows.where(F.col("id").isNotNull() & (F.octet_length("text") >= LENGTH)).join(small(copies), "k", "left_anti")
     runs = cut(_shared(base).repartition("k").groupBy("k").agg(F.collect_list(F.struct("h", "p")).alias("runs")), "suffix-runs")
     contexts = cut(_contexts(base.join(runs, "k")).withColumn("d", F.xxhash64("ctx")), "suffix-contexts")
+    drop(runs)
     classes = cut(contexts.groupBy("h", "d", "ctx").agg(F.min("id").alias("m")), "suffix-classes")
-    often = cut(classes.groupBy("h").count().where(F.col("count") > FREQUENT).select("h"), "suffix-frequent")
-    inner = _searched(classes.join(small(often), "h", "left_anti")).unionByName(_one_by_one(classes.join(small(often), "h")))
-    inner = cut(inner, "suffix-inner")
+    contexts_of, contexts = contexts, contexts.select("k", "id", "start", "n", "h", "d")
+    inner = _inner(classes)
     # an occurrence that isn't in its class's first document goes whole, the others where the search says so
-    judged = contexts.select("k", "id", "start", "n", "h", "d").join(classes.select("h", "d", "m"), ["h", "d"])
+    judged = contexts.join(classes.select("h", "d", "m"), ["h", "d"])
     whole = judged.where("id > m").select("k", F.array(F.col("start"), F.col("start") + F.col("n") + LENGTH - 1).alias("s"))
     partly = judged.where("id = m").join(inner, ["h", "d"]).select("k", F.transform("spans", lambda x: x + F.col("start")).alias("s"))
     spans = cut(whole.unionByName(partly).repartition("k").groupBy("k").agg(F.flatten(F.collect_list("s")).alias("spans")), "suffix-spans")
+    drop(contexts_of, classes, inner)
     found = _cleaned(base.join(spans, "k")).dropDuplicates(["k"])
     found = cut(found if keep_bytes else found.drop("kept"), "suffix-cleaned")
     out = facts.join(found, "k", "left").join(copies.withColumn("copy", F.lit(True)), "k", "left")
