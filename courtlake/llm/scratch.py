@@ -35,17 +35,19 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def drop(*tables: DataFrame) -> None:
-    """Delete tables of `cut` that nothing reads any more; others are left alone.
+def free_shuffles(spark: SparkSession) -> None:
+    """Ask the driver's JVM to collect its garbage, upon which Spark removes the shuffle files of plans that are gone."""
+    spark._jvm.System.gc()
+
 
-    The driver's JVM is asked to collect its garbage, upon which Spark removes the shuffle files of plans that are gone.
-    """
+def drop(*tables: DataFrame) -> None:
+    """Delete tables of `cut` that nothing reads any more, and the shuffle files that made them; others are left alone."""
     for df in tables:
         if path := getattr(df, "scratch_path", None):
             p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
     if tables:
-        tables[0].sparkSession._jvm.System.gc()
+        free_shuffles(tables[0].sparkSession)
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .langid import text_bytes
-from .scratch import cut, drop, small
+from .scratch import cut, drop, free_shuffles, small
 from .shingles import _BACK, _BASE, _power, mix
 
 LENGTH, GRAM = 50, 16
@@ -388,8 +388,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kee
     contexts = cut(_contexts(base.join(runs, "k")).withColumn("d", F.xxhash64("ctx")), "suffix-contexts")
     drop(runs)
     classes = cut(contexts.groupBy("h", "d", "ctx").agg(F.min("id").alias("m")), "suffix-classes")
-    contexts_of, contexts = contexts, contexts.select("k", "id", "start", "n", "h", "d")
+    free_shuffles(docs.sparkSession)
     inner = _inner(classes)
+    free_shuffles(docs.sparkSession)
+    contexts_of, contexts = contexts, contexts.select("k", "id", "start", "n", "h", "d")
     # an occurrence that isn't in its class's first document goes whole, the others where the search says so
     judged = contexts.join(classes.select("h", "d", "m"), ["h", "d"])
     whole = judged.where("id > m").select("k", F.array(F.col("start"), F.col("start") + F.col("n") + LENGTH - 1).alias("s"))
