@@ -6,6 +6,8 @@ that very long runs neither recurse nor retry; `\\G` keeps a match that starts w
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +35,8 @@ CONTEXT = {
     "local_phone": r"(?i)\b(?:phone|tel|call|mobile|fax|telefon|handy|portable|movil)\b",
 }
 BOOST, ACCEPT, NEAR = 0.2, 0.5, 40
+#: Matches whose offsets are added up at once.
+PART = 128
 
 
 def _digits(m: Column) -> Column:
@@ -66,32 +70,54 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
+_FOUND = "array<struct<s: int, e: int, m: string, b: string>>"
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def proposals(text: Column, kind: str) -> Column:
-    """array<struct<s int, e int, m string>> of leftmost non-overlapping matches, in code points, end exclusive.
+    """Leftmost non-overlapping matches: s, e in code points, end exclusive, m the match, b what stands before it.
 
-    The pieces between the matches and the matches themselves give the offsets.
+    The pieces between the matches and the matches themselves give the offsets. They are added up in parts of PART
+    matches, and the parts' lengths after that, so a text's cost isn't the square of its matches.
     """
     pattern = PATTERNS[kind]
     pairs = F.arrays_zip(F.split(text, pattern, -1).alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<s: int, e: int, m: string>>)").alias("out"))
+    none = F.expr(f"cast(array() as {_FOUND})")
 
     def step(acc: Column, pair: Column) -> Column:
         s = acc["at"] + F.length(pair["p"])
+        b = F.right(F.concat(acc["tail"], pair["p"]), F.lit(NEAR))
         e = s + F.coalesce(F.length(pair["m"]), F.lit(0))
-        one = F.array(F.struct(s.alias("s"), e.alias("e"), pair["m"].alias("m")))
-        return F.struct(e.alias("at"), F.when(pair["m"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], one)).alias("out"))
-
-    found = F.aggregate(pairs, start, step, lambda acc: acc["out"])
+        one = F.array(F.struct(s.alias("s"), e.alias("e"), pair["m"].alias("m"), b.alias("b")))
+        tail = F.right(F.concat(b, F.coalesce(pair["m"], F.lit(""))), F.lit(NEAR))
+        return F.struct(e.alias("at"), tail.alias("tail"), F.when(pair["m"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], one)).alias("out"))
+
+    def part(pairs: Column, k: Column) -> Column:
+        # a match has a character at least, so NEAR pairs hold all that can stand near
+        first = F.greatest(k * PART - NEAR, F.lit(0))
+        near = F.array_join(F.transform(F.slice(pairs, first + 1, k * PART - first), lambda x: F.concat(x["p"], x["m"])), "")
+        start = F.struct(F.lit(0).alias("at"), F.right(near, F.lit(NEAR)).alias("tail"), none.alias("out"))
+        return F.aggregate(F.slice(pairs, k * PART + 1, F.lit(PART)), start, step)
+
+    def joined(parts: Column) -> Column:
+        ends = F.aggregate(parts, F.expr("array(0)"), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x["at"])))
+        moved = lambda x, by: F.transform(x["out"], lambda y: F.struct((y["s"] + by).alias("s"), (y["e"] + by).alias("e"), y["m"].alias("m"), y["b"].alias("b")))
+        return F.flatten(F.zip_with(parts, F.slice(ends, F.lit(1), F.size(parts)), moved))
+
+    found = _let(pairs, lambda ps: _let(F.transform(F.sequence(F.lit(0), F.floor((F.size(ps) - 1) / PART).cast("int")), lambda k: part(ps, k)), joined))
     likely = text.contains(HINTS[kind]) if HINTS[kind] else text.rlike(pattern)
-    return F.when(likely, found).otherwise(F.expr("cast(array() as array<struct<s: int, e: int, m: string>>)"))
+    return F.when(likely, found).otherwise(none)
 
 
-def confirmed(text: Column, found: Column, kind: str) -> Column:
+def confirmed(found: Column, kind: str) -> Column:
     """array<struct<kind, start, end, score>> of the proposals that pass their check."""
 
     def scored(x: Column) -> Column:
-        before = F.substring(text, F.greatest(x["s"] - NEAR + 1, F.lit(1)), F.least(x["s"], F.lit(NEAR)))
-        score = F.least(F.lit(1.0), F.lit(SCORES[kind]) + F.when(before.rlike(CONTEXT[kind]), BOOST).otherwise(0.0))
+        score = F.least(F.lit(1.0), F.lit(SCORES[kind]) + F.when(x["b"].rlike(CONTEXT[kind]), BOOST).otherwise(0.0))
         return F.struct(F.lit(kind).alias("kind"), x["s"].alias("start"), x["e"].alias("end"), score.alias("score"))
 
     spans = F.transform(F.filter(found, lambda x: _valid(kind, x["m"])), scored)
@@ -110,12 +136,12 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     for kind in KINDS:
         df = df.withColumn(f"_found_{kind}", proposals(F.col("_text"), kind))
     for kind in KINDS:
-        df = df.withColumn(f"_{kind}", confirmed(F.col("_text"), F.col(f"_found_{kind}"), kind))
+        df = df.withColumn(f"_{kind}", confirmed(F.col(f"_found_{kind}"), kind))
     return df.select(id_col, F.concat(*(F.col(f"_{k}") for k in KINDS)).alias("pii"))
 
 
 def pii_digest(spans: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Counts of each base kind, the hash of the base spans and all spans as text."""
+    """Counts of each base kind, the hash of the base spans, all spans and their scores as text."""
     joined = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     base = F.filter(F.col("pii"), lambda x: x["kind"].isin(*BASE))
     of_kind = lambda k: F.size(F.filter(F.col("pii"), lambda x: x["kind"] == k)).cast("long")
@@ -124,5 +150,6 @@ def pii_digest(spans: DataFrame, id_col: str = "doc_id") -> DataFrame:
         *(of_kind(k).alias(f"n_{k}") for k in BASE),
         F.sha2(joined(base), 256).alias("base_sha256"),
         joined(F.col("pii")).alias("spans"),
+        F.array_join(F.transform(F.col("pii"), lambda x: F.format_number(x["score"], 2)), ",").alias("scores"),
     )
 
