@@ -98,5 +98,6 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
     found = texts.join(misses.withColumnRenamed("digest", "_digest"), (F.col("digest") == F.col("_digest")) & F.col(id_col).eqNullSafe(F.col("_first")))
     # rows that repeat an id and its text are encoded alike
     encode_misses(found, tokenizer).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")).write.mode("append").parquet(cache)
-    stored = spark.read.schema(CACHE_SCHEMA).parquet(cache)
+    # jobs that share a cache may both have appended a digest
+    stored = spark.read.schema(CACHE_SCHEMA).parquet(cache).join(keys.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     return keys.join(stored, "digest").select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
