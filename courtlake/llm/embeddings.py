@@ -35,14 +35,14 @@ def rotate(x: np.ndarray, signs: np.ndarray) -> np.ndarray:
 
 
 def buckets(x: np.ndarray, functions: int, tables: int = TABLES, probes: int = PROBES) -> np.ndarray:
-    """(vectors, tables, probes) bucket numbers, a vector's own bucket first.
+    """(unit vectors, tables, probes) bucket numbers, a vector's own bucket first.
 
     A cross-polytope hash is the nearest of the 2d signed axes. A table joins `functions` of them. Probes replace an
     axis by a runner-up, cheapest first by the squares of what is given up.
     """
     n, d = x.shape
     width = 1 << max(1, math.ceil(math.log2(d)))
-    x = np.pad(x / np.linalg.norm(x, axis=1, keepdims=True), ((0, 0), (0, width - d)))
+    x = np.pad(x, ((0, 0), (0, width - d)))
     rng = np.random.default_rng(SEED)
     r = min(RUNNERS_UP, width)
     combos = np.stack(np.meshgrid(*[np.arange(r)] * functions, indexing="ij"), -1).reshape(-1, functions)
@@ -63,8 +63,9 @@ def buckets(x: np.ndarray, functions: int, tables: int = TABLES, probes: int = P
     return out
 
 
-def _unit(column: pa.ChunkedArray) -> np.ndarray:
+def _unit(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     x = matrix(column)
+    x = x / np.abs(x).max(1, keepdims=True)  # squares of very large or small numbers would leave the range of doubles
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -78,7 +79,7 @@ def hashed(vectors: DataFrame, functions: int) -> DataFrame:
                 sizes = b.column("d").to_numpy()
                 for d in np.unique(sizes):
                     part = b.filter(pa.array(sizes == d))
-                    code = buckets(matrix(part.column("vector")), functions)
+                    code = buckets(_unit(part.column("vector")), functions)
                     n, t, p = code.shape
                     rep = np.repeat(np.arange(n), t * p)
                     yield pa.RecordBatch.from_arrays(
