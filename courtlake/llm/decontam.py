@@ -109,6 +109,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **kw
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """The documents in which no item is contained, with all their columns."""
+    """The documents in which no item is contained, with all their columns, whatever their names."""
     bad = cut(contained_items(docs, items, id_col=id_col, text_col=text_col, **kw).select("_key").distinct(), "bench-found")
-    return docs.withColumn("_key", row_key(id_col, text_col)).join(small(bad), "_key", "left_anti").drop("_key")
+    rows = docs.select(row_key(id_col, text_col).alias("_key"), F.struct(*docs.columns).alias("_row"))
+    return rows.join(small(bad), "_key", "left_anti").select("_row.*")

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 UNKNOWN = "und"
@@ -150,7 +151,8 @@ def identify(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_
     `sample` documents do, those with the smallest hash of their id, each with its whole text. Texts that are null
     or hold no letter, and all texts if nothing could be learned, are `und` with score 0. Ties go to the language
     that is first in order. The score is the odds of the best language, its lead in bits counted for SCORE_BYTES
-    bytes at most. Empty tables give empty tables, and repeated rows are judged alike.
+    bytes at most. Empty tables give empty tables, and repeated rows are judged alike. Kept columns named lang_pred
+    or score give way to the new ones.
     """
     spark = docs.sparkSession
     rows = teaching(training, id_col, text_col, lang_col)
@@ -159,7 +161,7 @@ def identify(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_
     # at most `sample` ids for each language
     model = train(rows.join(F.broadcast(chosen), id_col), text_col, lang_col)
     shared = spark.sparkContext.broadcast(model)
-    keep = keep or [id_col]
+    keep = [c for c in keep or [id_col] if c not in ("lang_pred", "score")]
     lean = docs.select(*keep, F.when(has_letter(F.col(text_col)), F.col(text_col)).alias("_judged"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,8 +177,7 @@ def identify(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_
                 names = np.where(known, np.array(shared.value[0], object)[bits.argmin(1)], UNKNOWN)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names[:-1], "lang_pred", "score"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return lean.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return lean.mapInArrow(run, StructType([*docs.select(*keep).schema, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
 
 
 def held_out(key: str, folds: int = 5) -> Column:

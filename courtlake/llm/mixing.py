@@ -115,18 +115,18 @@ def mix_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     order. Rows that repeat id, source and size share one draw, so they are taken alike. An empty table gives an
     empty table. Other columns are left out.
     """
-    sizes = cut(docs.select(F.col(id_col), F.col(source_col), word_count(text_col).alias("size")), "mix-sizes")
-    plan = mixing_plan(sizes, source_col, "size", id_col, **law)
-    return copies_taken(sizes, plan, source_col, "size", id_col).select(id_col, "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    sizes = cut(docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_of"), word_count(text_col).alias("size")), "mix-sizes")
+    plan = mixing_plan(sizes, "_of", "size", "_id", **law)
+    return copies_taken(sizes, plan, "_of", "size", "_id").select(F.col("_id").alias(id_col), "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **law) -> DataFrame:
     """The mix itself: each row of `docs` as often as it is taken, with the columns of `docs`.
 
     The text is read twice and never shuffled. A document without words comes as often as its source's whole copies.
+    Other columns may have any name.
     """
-    names = docs.columns
-    sizes = cut(docs.select(F.col(id_col), F.col(source_col), word_count(text_col).alias("_size")), "mix-sizes")
-    plan = mixing_plan(sizes, source_col, "_size", id_col, **law)
-    chosen = copies_taken(docs.select("*", word_count(text_col).alias("_size")), plan.drop("source_size", "target"), source_col, "_size", id_col)
-    return chosen.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*names)
+    keys = F.col(id_col).alias("_id"), F.col(source_col).alias("_of"), word_count(text_col).alias("_size")
+    plan = mixing_plan(cut(docs.select(*keys), "mix-sizes"), "_of", "_size", "_id", **law)
+    chosen = copies_taken(docs.select(*keys, F.struct(*docs.columns).alias("_row")), plan.drop("source_size", "target"), "_of", "_size", "_id")
+    return chosen.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")

@@ -51,14 +51,18 @@ def shard_rows(rows: DataFrame, n_shards: int, order: list[str], size: str = "si
     return placed.join(F.broadcast(firsts), "shard").select(*rows.columns, "shard", (F.col("_index") - F.col("_first")).cast("long").alias("slot"))
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Place every document: id, size, text_crc32, law, shard, slot, grown_shard.
+def shard_documents(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+    """Place every document: id, size, text_crc32, law, shard, slot, grown_shard (whole: after all columns of `docs`).
 
     Documents are ordered by id, then checksum and size. Null text counts as empty (size 8, checksum 0); a null id
-    comes first; repeated rows each get a slot of their own; other columns of `docs` are left out. `grown_shard` is
+    comes first; repeated rows each get a slot of their own; other columns of `docs` are left out unless `whole` is set,
+    in which case they win over placement columns of the same name and the texts move once, to their shards. `grown_shard` is
     null, for the law is `bytes`.
     """
     text = F.col(text_col)
-    rows = docs.select(F.col(id_col), text_size(text).alias("size"), F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"))
-    placed = shard_rows(rows, n_shards, [id_col, "text_crc32"])
-    return placed.select(id_col, "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    facts = F.col(id_col).alias("_id"), text_size(text).alias("size"), F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long").alias("text_crc32")
+    rows = docs.select(*facts, *([F.struct(*docs.columns).alias("_row")] if whole else []))
+    placed = shard_rows(rows, n_shards, ["_id", "text_crc32"]).withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
+    if whole:
+        return placed.select("_row.*", *(c for c in ("size", "text_crc32", "law", "shard", "slot", "grown_shard") if c not in docs.columns))
+    return placed.select(F.col("_id").alias(id_col), "size", "text_crc32", "law", "shard", "slot", "grown_shard")
