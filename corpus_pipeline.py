@@ -18,8 +18,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     training = docs.where(~held_out("doc_id"))
     if teaching(training).isEmpty():
         return docs
-    judged = identify(docs, training, keep=docs.columns)
-    return judged.where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
+    return identify(rows, training, keep=["_row"]).where(F.col("lang_pred") != UNKNOWN).select("_row.*")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return shard_documents(docs, 24)
+    """The corpus itself, each text with its place, in the order of the shards."""
+    return shard_documents(docs, 24, whole=True)
 
 
 STAGES = [("language", language), ("near_copies", near_copies), ("benchmark", benchmark), ("mixture", mixture), ("shards", shards)]
