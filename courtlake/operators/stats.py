@@ -19,28 +19,62 @@ def player_key() -> Column:
     return F.coalesce(F.concat(F.lit("pid:"), F.col("player_id").cast("string")), F.concat(F.lit("name:"), F.col("name")))
 
 
-def player_stats(graded: DataFrame, rallies: DataFrame, identities: DataFrame) -> DataFrame:
-    """key, name, games and 18 counters of each active player.
+def player_stats(graded: DataFrame, rallies: DataFrame, identities: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """key, name, games and 18 counters of each active player (by: within each of these columns of the rallies).
 
     Touches and outcomes become rows of one shape, so a single aggregation, combined before its shuffle, counts
-    both and the distinct games of either.
+    both and the distinct games of either. A player's name is that of the smallest game and cluster.
     """
-    zero = F.lit(0)
+    by, zero = by or [], F.lit(0)
     from_touches = graded.where("name is not null").select(
-        player_key().alias("key"), "name", "game_id",
+        *by, player_key().alias("key"), "name", "game_id", "cluster_id",
         *(F.when((F.col("play_type") == t) & (F.col("grade") == g if g else F.lit(True)), 1).otherwise(0).alias(c) for c, (t, g) in TOUCH.items()),
         *(zero.alias(c) for c in OUTCOME),
     )
-    people = identities.select("game_id", F.col("cluster_id").alias("outcome_cluster"), player_key().alias("key"), "name")
+    people = identities.where("name is not null").select("game_id", F.col("cluster_id").alias("outcome_cluster"), player_key().alias("key"), "name")
     from_rallies = rallies.where("outcome_type is not null").join(people, ["game_id", "outcome_cluster"]).select(
-        "key", "name", "game_id", *(zero.alias(c) for c in TOUCH), *(F.when(F.col("outcome_type") == o, 1).otherwise(0).alias(c) for c, o in OUTCOME.items())
+        *by, "key", "name", "game_id", F.col("outcome_cluster").alias("cluster_id"),
+        *(zero.alias(c) for c in TOUCH), *(F.when(F.col("outcome_type") == o, 1).otherwise(0).alias(c) for c, o in OUTCOME.items()),
     )
     counters = [*TOUCH, *OUTCOME]
-    by_game = from_touches.unionByName(from_rallies).groupBy("key", "game_id").agg(F.min("name").alias("name"), *(F.sum(c).alias(c) for c in counters))
-    total = by_game.groupBy("key").agg(F.min("name").alias("name"), F.count(F.lit(1)).alias("games"), *(F.sum(c).alias(c) for c in counters))
+    by_game = from_touches.unionByName(from_rallies).groupBy(*by, "key", "game_id").agg(F.min_by("name", "cluster_id").alias("name"), *(F.sum(c).alias(c) for c in counters))
+    total = by_game.groupBy(*by, "key").agg(F.min_by("name", "game_id").alias("name"), F.count(F.lit(1)).alias("games"), *(F.sum(c).alias(c) for c in counters))
     return total.where("serve + receive + dig + `set` + attack + block + kill + ace + stuff > 0")
 
 
+def ratios(stats: DataFrame) -> DataFrame:
+    """key and the rates of each player; null where nothing was tried."""
+    rate = lambda num, den: F.expr(f"CASE WHEN {den} > 0 THEN ({num}) / {den} END")
+    return stats.select(
+        "key", rate("kill - atk_err - blocked", "attack").alias("attack_efficiency"), rate("kill", "attack").alias("kill_share"), rate("ace", "serve").alias("ace_share"),
+        rate("rec_pos - rec_err", "receive").alias("reception_efficiency"), rate("dig_ok", "dig").alias("dig_share"), rate("kill + ace + stuff", "games").alias("points_per_game"),
+    )
+
+
+#: Measure: (numerator, denominator, shown decimals, direction).
+SHEET = {
+    "points / game": ("kill + ace + stuff", "games", 1, 1), "attack efficiency": ("kill - atk_err - blocked", "attack", 2, 1), "kill %": ("kill", "attack", 2, 1),
+    "ace %": ("ace", "serve", 2, 1), "serve error %": ("srv_err", "serve", 2, -1), "reception efficiency": ("rec_pos - rec_err", "receive", 2, 1), "dig success %": ("dig_ok", "dig", 2, 1),
+    "assist %": ("assist", "`set`", 2, 1), "errors / game": ("atk_err + srv_err + set_err + dig_err + rec_err + blocked", "games", 1, -1), "touches / game": ("serve + receive + dig + `set` + attack + block", "games", 1, 0), "games": ("games", "1", 0, 0),
+}
+
+
+def compare_players(stats: DataFrame, by: list[str]) -> DataFrame:
+    """by, measure, key, shown, leads: the comparison sheet of the players of each group.
+
+    Leaders are found by the number as it is shown. Nobody leads with fewer than two in the running, or if the best of
+    a measure that should be high is 0.
+    """
+    one = lambda m, num, den, digits, way: F.struct(
+        F.lit(m).alias("measure"), F.lit(way).alias("way"), F.expr(f"CASE WHEN {den} > 0 THEN floor(({num}) / {den} * {10**digits} + 0.5D) / {10**digits} END").cast("double").alias("shown")
+    )
+    rows = stats.select(*by, "key", F.explode(F.array(*(one(m, *v) for m, v in SHEET.items()))).alias("_m")).select(*by, "key", "_m.*")
+    w = Window.partitionBy(*by, "measure")
+    best = F.when(F.col("way") > 0, F.max("shown").over(w)).otherwise(F.min("shown").over(w))
+    contest = (F.col("way") != 0) & (F.count("shown").over(w) >= 2) & ~((best == 0) & (F.col("way") > 0))
+    return rows.select(*by, "measure", "key", "shown", F.coalesce(contest & (F.col("shown") == best), F.lit(False)).alias("leads"))
+
+
 def leaderboards(stats: DataFrame, top: int | None = None) -> DataFrame:
     """board, rank, key, metric, per_game of seven boards; players without any are hidden but on the scorers' board.
 

@@ -13,7 +13,7 @@ def spark():
 
     t = tempfile.mkdtemp(prefix="spark-")
     s = (
-        SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
+        SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.driver.memory", "4g")
         .config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", t).config("spark.local.dir", t).getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
