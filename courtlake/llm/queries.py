@@ -96,5 +96,48 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_embeddings, op2_warc, op3_mixing, op4_suffixes, op5_tokens, op6_sharding, op7_decontamination, op8_pii, op9_jaccard, op10_language, pipeline)}
 
 
+_WALK = """, pairs AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(id, c) AS (SELECT id, id FROM node UNION SELECT pairs.b, reach.c FROM reach JOIN pairs ON pairs.a = reach.id WHERE reach.c < pairs.b),
+part AS (SELECT id, min(c) AS c FROM reach GROUP BY 1)
+"""
+OP1_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+link AS (SELECT a.id AS a, b.id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.id < b.id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.98),
+node AS (SELECT id FROM v)""" + _WALK + """
+SELECT part.id AS vec_id, (SELECT count(*) FROM pairs WHERE pairs.a = part.id) AS n_links, c AS component_id, part.id = c AS kept FROM part
+"""
+OP4_SQL = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, i, b[i:i + 49] AS g FROM (SELECT doc_id, b, unnest(generate_series(1, n - 49)) AS i FROM d WHERE n >= 50)),
+f AS (SELECT g, min(doc_id) AS m FROM w GROUP BY 1),
+h AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER o + 50 THEN 0 ELSE 1 END AS new FROM w JOIN f USING (g) WHERE m < doc_id WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+k AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM h),
+r AS (SELECT doc_id, min(i) AS s, max(i) + 49 AS e FROM k GROUP BY doc_id, run),
+p AS (SELECT doc_id, s, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) + 1 AS a, s - 1 AS z FROM r UNION ALL SELECT doc_id, 1000000000, max(e) + 1, 1000000000 FROM r GROUP BY 1),
+t AS (SELECT p.doc_id, string_agg(CASE WHEN a <= least(z, n) THEN hex(b[a:least(z, n)]) ELSE '' END, '' ORDER BY s) AS kept FROM p JOIN d USING (doc_id) GROUP BY 1),
+u AS (SELECT doc_id, sum(e - s + 1) AS n_removed, count(*) AS n_spans FROM r GROUP BY 1)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(CASE WHEN kept IS NULL THEN b ELSE unhex(kept) END) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id) LEFT JOIN u USING (doc_id)
+"""
+_WORDS = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+OP7_SQL = f"""
+WITH iw AS (SELECT item_id, {_WORDS.format("lower(coalesce(text, ''))")} AS w FROM benchmark),
+si AS (SELECT DISTINCT item_id, least(len(w), 5) AS length, unnest(list_transform(generate_series(1, len(w) - least(len(w), 5) + 1), lambda i: array_to_string(w[i:i + least(len(w), 5) - 1], ' '))) AS g FROM iw WHERE len(w) > 0),
+ni AS (SELECT item_id, count(*) AS n FROM si GROUP BY 1),
+dw AS (SELECT doc_id, text, {_WORDS.format("lower(coalesce(text, ''))")} AS w FROM documents),
+sd AS (SELECT DISTINCT doc_id, text, unnest(list_transform(generate_series(1, len(w) - length + 1), lambda i: array_to_string(w[i:i + length - 1], ' '))) AS g FROM dw, (SELECT DISTINCT length FROM si) WHERE len(w) >= length),
+c AS (SELECT doc_id, text, item_id, count(*) / max(n) AS containment FROM sd JOIN si USING (g) JOIN ni USING (item_id) GROUP BY 1, 2, 3 HAVING count(*) / max(n) >= 0.8)
+SELECT doc_id, count(*) AS n_items, list(item_id ORDER BY item_id) AS items, max(containment) AS containment FROM c GROUP BY doc_id, text
+"""
+OP9_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+link AS (SELECT x.doc_id AS a, y.doc_id AS b FROM e x JOIN e y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+node AS (SELECT doc_id AS id FROM documents)""" + _WALK + """
+SELECT s.doc_id, len(s) AS n_shingles, c AS component_id FROM s JOIN part ON part.id = s.doc_id
+"""
+
+
 def oracle_sql() -> dict:
-    return {"op2_warc": OP2_SQL}
+    return {"op1_embeddings": OP1_SQL, "op2_warc": OP2_SQL, "op4_suffixes": OP4_SQL, "op7_decontamination": OP7_SQL, "op9_jaccard": OP9_SQL}
