@@ -13,9 +13,11 @@ BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared scratch folder. Only where none is set (tests) a local one is made."""
+    """The cluster's shared scratch folder. Only where none is set and Spark runs in one process (tests) a local one is made."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.conf.get("spark.master", "").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="courtlake-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
