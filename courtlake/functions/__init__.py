@@ -1 +1 @@
-"""Part of courtlake."""
+"""Column functions."""

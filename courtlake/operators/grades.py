@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 
 def touches(plays: DataFrame, rallies: DataFrame, identities: DataFrame) -> DataFrame:
-    """Plays with their rally's outcome and their own identity (left). Plays are moved once, by rally."""
+    """Plays with their rally's outcome and their own identity (left). Plays move by rally, then by game and cluster; grades move them by rally again."""
     teams = identities.select("game_id", "cluster_id", "team", "player_id", "name")
     return plays.join(rallies, "rally_id").join(teams, ["game_id", "cluster_id"], "left")
 

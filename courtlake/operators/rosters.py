@@ -112,14 +112,14 @@ def highlights(rallies: DataFrame, plays: DataFrame, top: int = 10) -> DataFrame
     counts = plays.where("play_type is not null").groupBy("rally_id").agg(F.count(F.lit(1)).alias("touches"))
     weight = F.coalesce(F.try_element_at(_literal_map(WEIGHT), F.col("outcome_type")), F.lit(3.0))
     rows = rallies.where("duration >= 4").join(counts, "rally_id", "left").withColumn("touches", F.coalesce("touches", F.lit(0)))
-    score = F.round(weight + F.least("duration", F.lit(25.0)) / 5 + F.least("touches", F.lit(14)) / 3, 2)
+    score = F.bround(weight + F.least("duration", F.lit(25.0)) / 5 + F.least("touches", F.lit(14)) / 3, 2)
     rank = F.row_number().over(Window.partitionBy("game_id").orderBy(F.desc("score"), "rally_id")).cast("long")
     return rows.withColumn("score", score).withColumn("rank", rank).where(F.col("rank") <= top).select("game_id", "rank", "rally_id", "score", "touches")
 
 
 def longest_rallies(rallies: DataFrame, plays: DataFrame) -> DataFrame:
-    """played_on, rally_id, seconds, touches of the longest rally of each night; the first one on ties."""
-    best = rallies.where("duration is not null").groupBy("played_on").agg(F.min_by(F.struct("rally_id", "duration"), F.struct(-F.col("duration"), "rally_id")).alias("b")).select("played_on", "b.*")
+    """played_on, rally_id, seconds, touches of each night's longest rally in rounded seconds; the first one on ties."""
+    best = rallies.where("duration is not null").groupBy("played_on").agg(F.min_by(F.struct("rally_id", "duration"), F.struct(-F.floor(F.col("duration") + 0.5), "rally_id")).alias("b")).select("played_on", "b.*")
     counts = plays.groupBy("rally_id").agg(F.count(F.lit(1)).alias("touches"))
     return best.join(counts, "rally_id", "left").select("played_on", "rally_id", F.floor(F.col("duration") + 0.5).cast("long").alias("seconds"), F.coalesce("touches", F.lit(0)).alias("touches"))
 

@@ -1 +1 @@
-"""Part of courtlake."""
+"""Structured streams."""
