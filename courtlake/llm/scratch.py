@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -38,7 +39,8 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Ask the driver's JVM to collect its garbage, upon which Spark removes the shuffle files of plans that are gone."""
+    """Ask the driver to collect its garbage, upon which Spark removes the shuffle files of plans that are gone."""
+    gc.collect()
     spark._jvm.System.gc()
 
 

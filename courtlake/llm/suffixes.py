@@ -389,16 +389,17 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kee
     contexts = cut(_contexts(base.join(runs, "k")).withColumn("d", F.xxhash64("ctx")), "suffix-contexts")
     drop(runs)
     classes = cut(contexts.groupBy("h", "d", "ctx").agg(F.min("id").alias("m")), "suffix-classes")
-    free_shuffles(docs.sparkSession)
+    places = cut(contexts.select("k", "id", "start", "n", "h", "d"), "suffix-places")
+    drop(contexts)
     inner = _inner(classes)
-    free_shuffles(docs.sparkSession)
-    contexts_of, contexts = contexts, contexts.select("k", "id", "start", "n", "h", "d")
+    least = cut(classes.select("h", "d", "m"), "suffix-least")
+    drop(classes)
     # an occurrence that isn't in its class's first document goes whole, the others where the search says so
-    judged = contexts.join(classes.select("h", "d", "m"), ["h", "d"])
+    judged = places.join(least, ["h", "d"])
     whole = judged.where("id > m").select("k", F.array(F.col("start"), F.col("start") + F.col("n") + LENGTH - 1).alias("s"))
     partly = judged.where("id = m").join(inner, ["h", "d"]).select("k", F.transform("spans", lambda x: x + F.col("start")).alias("s"))
     spans = cut(whole.unionByName(partly).repartition("k").groupBy("k").agg(F.flatten(F.collect_list("s")).alias("spans")), "suffix-spans")
-    drop(contexts_of, classes, inner)
+    drop(places, least, inner)
     found = _cleaned(base.join(spans, "k")).dropDuplicates(["k"])
     found = cut(found if keep_bytes else found.drop("kept"), "suffix-cleaned")
     out = facts.join(found, "k", "left").join(copies.withColumn("copy", F.lit(True)), "k", "left")
