@@ -39,7 +39,11 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Ask the driver to collect its garbage, upon which Spark removes the shuffle files of plans that are gone."""
+    """Ask the driver to collect its garbage, upon which Spark removes the shuffle files of plans that are gone.
+
+    Spark's event queue holds on to the last query until another one has ended, hence the query of one row.
+    """
+    spark.range(1).count()
     gc.collect()
     spark._jvm.System.gc()
 
