@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .memory import tidy
 from .scratch import cut, small
 
 #: Rows of a block that are compared at once.
@@ -51,7 +52,7 @@ def map_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], tuple],
         if rest is not None:
             yield from done(rest, np.array([0, rest.num_rows]))
 
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(tidy(run), schema)
 
 
 def deal_blocks(rows: DataFrame, key: list[str], block: int | Column = BLOCK) -> DataFrame:

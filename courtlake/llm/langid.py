@@ -17,11 +17,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
+from .memory import tidy
+
 UNKNOWN = "und"
 #: Longest context in bytes; training documents of each language (the bound of the sample); times a longest context
 #: must have been seen to get a node; bytes that count in full for the score.
 ORDER, SAMPLE, SEEN, SCORE_BYTES = 3, 300, 2, 64
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 #: Symbols: letters without case, white space, digits, other ASCII, and each byte from 128 on.
 _SYMBOL = np.full(256, 28, np.uint8)
@@ -79,7 +81,7 @@ def train(rows: DataFrame, text: str, lang: str, order: int = ORDER) -> tuple[li
                 code, times = np.unique(_codes(s, order + 1), return_counts=True) if n[0] else (np.zeros(0, np.uint32), np.zeros(0, int))
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(code), pa.string()), pa.array(code.astype(np.int64)), pa.array(times.astype(np.int64))], ["lang", "code", "n"])
 
-    grams = rows.select(text, lang).mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
+    grams = rows.select(text, lang).mapInArrow(tidy(count), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
     if grams.empty:
         return None
     langs = sorted(grams["lang"].unique())
@@ -177,7 +179,7 @@ def identify(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_
                 names = np.where(known, np.array(shared.value[0], object)[bits.argmin(1)], UNKNOWN)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names[:-1], "lang_pred", "score"])
 
-    return lean.mapInArrow(run, StructType([*docs.select(*keep).schema, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    return lean.mapInArrow(tidy(run), StructType([*docs.select(*keep).schema, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
 
 
 def held_out(key: str, folds: int = 5) -> Column:

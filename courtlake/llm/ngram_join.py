@@ -21,6 +21,7 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .components import components
 from .grouped import BLOCK, deal_blocks, map_groups
+from .memory import pieces, tidy
 from .scratch import cut, drop, small
 from .shingles import shingle_sets
 
@@ -132,7 +133,7 @@ def common_shingles(docs: DataFrame, text_col: str) -> tuple[np.ndarray, int]:
         often = times >= COMMON
         return ((t.column("bucket")[0].as_py() << 32) + cells[edges][often].astype(np.int64), times[often]) if often.any() else None
 
-    buckets = docs.select(text_col).mapInArrow(run, "bucket long, n long, packed binary")
+    buckets = docs.select(text_col).mapInArrow(tidy(run), "bucket long, n long, packed binary")
     times = cut(map_groups(buckets, ["bucket"], summed, "cell long, times long", ["cell", "times"], [pa.int64()] * 2), "join-common")
     room, least = MOST_COMMON, math.inf
     for power, n in sorted(times.groupBy(F.floor(F.log2("times")).alias("p")).count().collect(), reverse=True):
@@ -159,7 +160,7 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str, whole: bool, comm
     cells = docs.sparkSession.sparkContext.broadcast(cells)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             n, sig, hashes = [], [], []
             for s in shingle_sets(b.column(1)):
                 n.append(len(s))
@@ -167,7 +168,7 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str, whole: bool, comm
                 hashes.append((s if whole else common_last(s, cells.value, shift)[: len(s) - (4 * len(s) + 4) // 5 + 1]).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(hashes, pa.binary())], ["id", "n", "sig", "hashes"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "id long, n long, sig binary, hashes binary")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(tidy(run), "id long, n long, sig binary, hashes binary")
 
 
 def _postings(sets: DataFrame) -> DataFrame:
@@ -178,7 +179,7 @@ def _postings(sets: DataFrame) -> DataFrame:
             if sum(times):
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), pa.array(np.repeat(b.column("id").to_numpy(), times)), pa.array(np.concatenate([np.arange(t) for t in times]), pa.int32())], ["hash", "id", "pos"])
 
-    return sets.select("id", "hashes").mapInArrow(run, "hash long, id long, pos int")
+    return sets.select("id", "hashes").mapInArrow(tidy(run), "hash long, id long, pos int")
 
 
 def _named(block: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -230,7 +231,7 @@ def _groups(postings: DataFrame) -> DataFrame:
 
     pos is the place of the smallest of a group's hashes in the set's prefix. A group of more than BLOCK members keeps its hash as its name; it comes in several batches and is never gathered.
     """
-    return postings.repartition("hash").sortWithinPartitions("hash", "id").mapInArrow(_named(BLOCK), "g long, id long, pos int").groupBy("g", "id").agg(F.min("pos").alias("pos"))
+    return postings.repartition("hash").sortWithinPartitions("hash", "id").mapInArrow(tidy(_named(BLOCK)), "g long, id long, pos int").groupBy("g", "id").agg(F.min("pos").alias("pos"))
 
 
 def _may_match(a: np.ndarray, n_a: int, b: np.ndarray, n_b: int) -> bool:
@@ -448,11 +449,11 @@ def _with_sig(docs: DataFrame, text_col: str) -> DataFrame:
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             sig = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in shingle_sets(b.column(at))]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sig, pa.binary())], [*b.schema.names, "_sig"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_sig", BinaryType())]))
+    return docs.mapInArrow(tidy(run), StructType([*docs.schema.fields, StructField("_sig", BinaryType())]))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

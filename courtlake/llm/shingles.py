@@ -13,7 +13,7 @@ N_WORDS = 5
 _BASE, _MASK = 0x9E3779B97F4A7C15 | 1, (1 << 64) - 1
 _BACK = pow(_BASE, -1, 1 << 64)
 _COMBINE = np.array([pow(0xD6E8FEB86659FD93, i + 1, 1 << 64) for i in range(N_WORDS)], np.uint64)
-_CHUNK = 1 << 20
+_CHUNK = 1 << 19
 _powers = {_BASE: np.ones(1, np.uint64), _BACK: np.ones(1, np.uint64)}
 
 _WHITE = np.zeros(256, bool)
@@ -23,11 +23,15 @@ _LOWER[65:91] += 32
 
 
 def _power(base: int, n: int) -> np.ndarray:
-    if len(_powers[base]) < n:
-        steps = np.full(2 * n, base, np.uint64)
-        steps[0] = 1
-        _powers[base] = np.cumprod(steps)
-    return _powers[base][:n]
+    """The first n powers; those that a chunk needs stay in memory, those of a longer text don't."""
+    if len(_powers[base]) >= n:
+        return _powers[base][:n]
+    steps = np.full(max(n, _CHUNK), base, np.uint64)
+    steps[0] = 1
+    powers = np.cumprod(steps)
+    if len(powers) == _CHUNK:
+        _powers[base] = powers
+    return powers[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
