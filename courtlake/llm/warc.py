@@ -16,6 +16,8 @@ from .scratch import cut
 
 #: Payloads from this size on are stored once; bytes that one archive file holds about.
 SHORTEST, FILE_BYTES = 100, 24 << 20
+#: Index rows that one task merges about.
+SLICE = 50_000
 INDEX = "urlkey string, time string, id long, record_type string, refers_to long, payload_bytes long, payload_digest string, file string, offset long, length long, run long, seq int"
 
 
@@ -159,8 +161,10 @@ def merge_index(runs: DataFrame) -> DataFrame:
     """The captures in global order of URL key, time and id: partitions in order, and rows in order within them.
 
     Keys are dealt by range, so each partition holds a slice of every run, whole as (run, seq) brings it back; the
-    slices are merged with merge_runs. A partition's index rows, never payloads, are in a task's memory.
+    slices are merged with merge_runs. There are as many ranges as keep one near SLICE index rows (never payloads),
+    which is what a task has in memory.
     """
+    ranges = max(runs.sparkSession.sparkContext.defaultParallelism, -(-runs.count() // SLICE))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [*batches]
@@ -173,7 +177,7 @@ def merge_index(runs: DataFrame) -> DataFrame:
         order = merge_runs(keys, [*zip(starts, [*starts[1:], len(run)], strict=True)])
         yield from t.take(pa.array(order, pa.int64())).combine_chunks().to_batches(10_000)
 
-    return runs.repartitionByRange("urlkey", "time", "id").sortWithinPartitions("run", "seq").mapInArrow(merge, INDEX)
+    return runs.repartitionByRange(ranges, "urlkey", "time", "id").sortWithinPartitions("run", "seq").mapInArrow(merge, INDEX)
 
 
 def archive_pages(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", time: Column | None = None) -> DataFrame:
