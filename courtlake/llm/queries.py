@@ -86,6 +86,14 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import pack_documents
+
+    return pack_documents(_read(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_50k.json")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -93,7 +101,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_embeddings, op2_warc, op3_mixing, op4_suffixes, op5_tokens, op6_sharding, op7_decontamination, op8_pii, op9_jaccard, op10_language, pipeline)}
+    return {f.__name__: f for f in (op1_embeddings, op2_warc, op3_mixing, op4_suffixes, op5_tokens, op6_sharding, op7_decontamination, op8_pii, op9_jaccard, op10_language, op11_packing, pipeline)}
 
 
 _WALK = """, pairs AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
