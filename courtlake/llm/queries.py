@@ -94,6 +94,19 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_read(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_codes import compress
+
+    return compress(_read(spark, sf_dir, "embeddings"))[0]
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .negatives import hard_negatives
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -101,7 +114,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_embeddings, op2_warc, op3_mixing, op4_suffixes, op5_tokens, op6_sharding, op7_decontamination, op8_pii, op9_jaccard, op10_language, op11_packing, pipeline)}
+    return {f.__name__: f for f in (op1_embeddings, op2_warc, op3_mixing, op4_suffixes, op5_tokens, op6_sharding, op7_decontamination, op8_pii, op9_jaccard, op10_language, op11_packing, op12_codes, op13_negatives, pipeline)}
 
 
 _WALK = """, pairs AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
@@ -147,5 +160,31 @@ SELECT s.doc_id, len(s) AS n_shingles, c AS component_id FROM s JOIN part ON par
 """
 
 
+_FINITE = "{0} IS NOT NULL AND len({0}) > 0 AND len(list_filter({0}, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+_ASSIGN = """, a{i} AS MATERIALIZED (SELECT vec_id, label, q.p, min_by(struct_pack(e := e, v := q.v, d := q.vv - 2 * list_dot_product(q.v, b{i}.v) + list_dot_product(b{i}.v, b{i}.v)), (q.vv - 2 * list_dot_product(q.v, b{i}.v) + list_dot_product(b{i}.v, b{i}.v), e)) AS s
+  FROM q JOIN b{i} USING (p) GROUP BY 1, 2, 3)"""
+_REPLACE = """, s{i} AS (SELECT p, e, j, CAST(sum(x) AS BIGINT) AS t, count(*) AS n FROM (SELECT p, s.e AS e, unnest(s.v) AS x, generate_subscripts(s.v, 1) AS j FROM a{i}) GROUP BY 1, 2, 3),
+b{k} AS MATERIALIZED (SELECT p, e, coalesce(m.v, b{i}.v) AS v FROM b{i} LEFT JOIN (SELECT p, e, list(CAST((t - ((t % n) + n) % n) // n AS DOUBLE) ORDER BY j) AS v FROM s{i} GROUP BY 1, 2) m USING (p, e))"""
+OP12_SQL = f"""
+WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS x FROM embeddings WHERE {_FINITE.format("embedding")}),
+q AS MATERIALIZED (SELECT *, list_dot_product(v, v) AS vv FROM (SELECT vec_id, label, p, x[p * (len(x) // 4) + 1:(p + 1) * (len(x) // 4)] AS v FROM k, (SELECT unnest([0, 1, 2, 3]) AS p))),
+b0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, v FROM q QUALIFY e < 256)
+{"".join(_ASSIGN.format(i=i) + _REPLACE.format(i=i, k=i + 1) for i in range(4))}{_ASSIGN.format(i=4)},
+h AS (SELECT sha256(string_agg(CAST(CAST(x AS BIGINT) AS VARCHAR), ',' ORDER BY p, e, j)) AS h FROM (SELECT p, e, unnest(v) AS x, generate_subscripts(v, 1) AS j FROM b4)),
+c AS (SELECT vec_id, label, string_agg(format('{{:02x}}', s.e), '' ORDER BY p) AS code, CAST(sum(s.d) AS BIGINT) AS error FROM a4 GROUP BY 1, 2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM c, h
+"""
+
+
+OP13_SQL = f"""
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND {_FINITE.format("embedding")}),
+s AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(list_dot_product(a.x, b.x) AS BIGINT) AS s FROM r a JOIN r b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT a, b, s FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
+SELECT p.a AS anchor_id, p.b AS positive_id, CAST(row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.s DESC, n.b) AS INTEGER) AS rank, n.b AS negative_id, p.s AS positive_score, n.s AS negative_score
+FROM p JOIN s n ON n.a = p.a AND NOT n.same AND 30 * p.s <= 100 * n.s AND 100 * n.s <= 90 * p.s QUALIFY rank <= 10
+"""
+
+
 def oracle_sql() -> dict:
-    return {"op1_embeddings": OP1_SQL, "op2_warc": OP2_SQL, "op4_suffixes": OP4_SQL, "op7_decontamination": OP7_SQL, "op9_jaccard": OP9_SQL}
+    return {"op1_embeddings": OP1_SQL, "op2_warc": OP2_SQL, "op4_suffixes": OP4_SQL, "op7_decontamination": OP7_SQL, "op9_jaccard": OP9_SQL, "op12_codes": OP12_SQL, "op13_negatives": OP13_SQL}
