@@ -132,10 +132,16 @@ def wrist_clusters(wrists: DataFrame, boxes: DataFrame, tol: float = 0.15) -> Da
 
 
 def known_different(tracklets: DataFrame, slack: float = 0.2) -> DataFrame:
-    """rally_id, a, b: tracklets of a rally that overlap in time, so that they are different people."""
-    a = tracklets.select("rally_id", F.col("tracklet_id").alias("a"), F.col("t0").alias("a0"), F.col("t1").alias("a1"))
-    b = tracklets.select("rally_id", F.col("tracklet_id").alias("b"), F.col("t0").alias("b0"), F.col("t1").alias("b1"))
-    return a.join(b, "rally_id").where((F.col("a") < F.col("b")) & (F.col("a0") < F.col("b1") + slack) & (F.col("b0") < F.col("a1") + slack)).select("rally_id", "a", "b")
+    """rally_id, a, b, distance: tracklets of a rally that overlap in time, so that they are different people.
+
+    distance is one less the cosine of their embeddings, null where either has none.
+    """
+    facts = [F.col("tracklet_id"), F.col("t0"), F.col("t1"), F.col("embedding").alias("e") if "embedding" in tracklets.columns else F.lit(None).cast("array<double>").alias("e")]
+    a, b = (tracklets.select("rally_id", *(x.alias(f"{side}_{n}") for x, n in zip(facts, ("id", "0", "1", "e"), strict=True))) for side in "ab")
+    pairs = a.join(b, "rally_id").where((F.col("a_id") < F.col("b_id")) & (F.col("a_0") <= F.col("b_1") + slack) & (F.col("b_0") <= F.col("a_1") + slack))
+    dot = lambda u, v: F.aggregate(F.zip_with(u, v, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
+    apart = 1 - dot("a_e", "b_e") / (F.sqrt(dot("a_e", "a_e")) * F.sqrt(dot("b_e", "b_e")) + 1e-9)
+    return pairs.select("rally_id", F.col("a_id").alias("a"), F.col("b_id").alias("b"), apart.alias("distance"))
 
 
 def link_contacts(plays: DataFrame, contacts: DataFrame, tol: float = 0.05) -> DataFrame:
@@ -185,29 +191,6 @@ def compare_cameras(metrics: DataFrame, reference: int) -> DataFrame:
     return metrics.join(ref, "metric").select("game_id", "metric", "value", "ref", F.when(F.col("ref") != 0, F.col("value") / F.col("ref")).alias("ratio"))
 
 
-def concurrency(tracklets: DataFrame, step: float = 0.5) -> DataFrame:
-    """rally_id, most: the largest number of tracklets that are seen at once on a grid of `step` seconds."""
-    ticks = F.explode(F.sequence(F.ceil(F.col("t0") / step), F.floor(F.col("t1") / step)))
-    seen = tracklets.where(F.ceil(F.col("t0") / step) <= F.floor(F.col("t1") / step)).select("rally_id", ticks.alias("tick")).groupBy("rally_id", "tick").agg(F.count(F.lit(1)).alias("n"))
-    return seen.groupBy("rally_id").agg(F.max("n").alias("most"))
-
-
-def sampling_rate(points: DataFrame, default: float = 20.0) -> DataFrame:
-    """rally_id, fps: rounded reciprocal of the mean gap between points, gaps above the 75th percentile left out."""
-    w = Window.partitionBy("rally_id").orderBy("t")
-    gaps = points.select("rally_id", "t").distinct().withColumn("gap", F.lead("t").over(w) - F.col("t"))
-    p75 = gaps.groupBy("rally_id").agg(F.percentile("gap", 0.75).alias("_p"))
-    return gaps.join(p75, "rally_id").groupBy("rally_id").agg(F.avg(F.when(F.col("gap") <= F.col("_p"), F.col("gap"))).alias("_m")).select("rally_id", F.coalesce(F.round(1 / F.col("_m")), F.lit(default)).alias("fps"))
-
-
-def ball_speed(points: DataFrame, window: float = 0.3) -> DataFrame:
-    """rally_id, t, speed, change: pixels a second to the next point and its change, where points are within `window` seconds."""
-    w = Window.partitionBy("rally_id").orderBy("t", "x", "y")
-    rows = points.withColumn("_dt", F.lead("t").over(w) - F.col("t")).withColumn("_d", F.hypot(F.lead("x").over(w) - F.col("x"), F.lead("y").over(w) - F.col("y")))
-    rows = rows.withColumn("speed", F.when((F.col("_dt") > 0) & (F.col("_dt") <= window), F.col("_d") / F.col("_dt")))
-    return rows.select("rally_id", "t", "x", "y", "speed", F.abs(F.col("speed") - F.lag("speed").over(w)).alias("change"))
-
-
 def action_band(boxes: DataFrame, least: int = 20, fallback: tuple[float, float] = (540.0, 800.0)) -> DataFrame:
     """rally_id, middle, low: median and 90th percentile of the boxes' middles; a fallback below `least` boxes."""
     y = F.col("y") + F.col("h") / 2

@@ -45,18 +45,26 @@ def parse_roster(lines: DataFrame) -> DataFrame:
     return rows.withColumn("skipped", ~F.col("email").rlike(EMAIL) | again)
 
 
+def _cuts(name: Column) -> Column:
+    """The name, and what is left of it without each of its letters: two names one edit apart share one of these."""
+    return F.array_distinct(F.concat(F.array(name), F.transform(F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1))), lambda i: F.concat(F.substring(name, F.lit(1), i - 1), F.substring(name, i + 1, F.length(name))))))
+
+
 def duplicate_players(players: DataFrame) -> DataFrame:
-    """a, b, reason: players of the same normalised name, or whose names differ by one edit.
+    """a, b, reason: players of the same normalised name, or else whose names as displayed differ by one edit, case apart.
 
-    Pairs are found on keys: the name itself, and each name that deleting a letter (or none) leaves, which two names one
-    edit apart share. So candidates come from equi-joins, never from all pairs.
+    Pairs come from equi-joins on the normalised name and on names without one letter, never from all pairs.
     """
-    rows = players.select("player_id", norm_name(F.col("name")).alias("n")).where("n <> ''")
-    keys = F.array_distinct(F.concat(F.array("n"), F.transform(F.sequence(F.lit(1), F.length("n")), lambda i: F.concat(F.substring("n", F.lit(1), i - 1), F.substring("n", i + 1, F.length("n"))))))
-    keyed = rows.withColumn("_k", F.explode(keys))
-    a, b = (keyed.select("_k", F.col("player_id").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
-    pairs = a.join(b, "_k").where("a < b").select("a", "b", "na", "nb").distinct().where(near_name(F.col("na"), F.col("nb")))
-    return pairs.select("a", "b", F.when(F.col("na") == F.col("nb"), "same name").otherwise("similar name").alias("reason"))
+    rows = players.select("player_id", norm_name(F.col("name")).alias("n"), F.lower(F.coalesce("name", F.lit(""))).alias("l"))
+
+    def pairs(key: Column) -> DataFrame:
+        keyed = rows.withColumn("_k", key)
+        a, b = (keyed.select("_k", F.col("player_id").alias(x), F.col("n").alias(f"n{x}"), F.col("l").alias(f"l{x}")) for x in "ab")
+        return a.join(b, "_k").where("a < b").drop("_k")
+
+    same = pairs(F.col("n")).select("a", "b", F.lit("same name").alias("reason"))
+    near = pairs(F.explode(_cuts(F.col("l")))).where("na <> nb").distinct().where(near_name(F.col("la"), F.col("lb"))).select("a", "b", F.lit("similar name").alias("reason"))
+    return same.unionByName(near)
 
 
 def match_roster(rows: DataFrame, players: DataFrame, links: DataFrame) -> DataFrame:
@@ -69,10 +77,9 @@ def match_roster(rows: DataFrame, players: DataFrame, links: DataFrame) -> DataF
     r = rows.select("email", "name", norm_name(F.col("name")).alias("_n"), low("name").alias("_l"))
     p = players.select("player_id", norm_name(F.col("name")).alias("_n"), low("name").alias("_l"))
     first = lambda c: F.element_at(F.split(c, " "), 1)
-    cuts = lambda c: F.array_distinct(F.concat(F.array(c), F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c))))))
     named = r.where("_n <> ''")
     exact = named.join(p.select("_n", "player_id"), "_n").select("email", "player_id", F.lit(2).alias("tier"))
-    typo = named.select("email", "_l", F.explode(cuts(F.col("_l"))).alias("_k")).join(p.select("player_id", F.col("_l").alias("_pl"), F.explode(cuts(F.col("_l"))).alias("_k")), "_k")
+    typo = named.select("email", "_l", F.explode(_cuts(F.col("_l"))).alias("_k")).join(p.select("player_id", F.col("_l").alias("_pl"), F.explode(_cuts(F.col("_l"))).alias("_k")), "_k")
     typo = typo.where(near_name(F.col("_l"), F.col("_pl"))).select("email", "player_id", F.lit(3).alias("tier")).distinct()
     word = named.withColumn("_w", first(F.col("_n"))).join(p.select(first(F.col("_n")).alias("_w"), "player_id"), "_w").select("email", "player_id", F.lit(4).alias("tier"))
     linked = r.join(links.select(F.lower("email").alias("email"), "player_id"), "email").select("email", "player_id", F.lit(1).alias("tier"))
@@ -96,13 +103,24 @@ def recipients(users: DataFrame, identities: DataFrame, rallies: DataFrame, play
 
 
 def match_bundles(games: DataFrame, files: DataFrame) -> DataFrame:
-    """game_id, file: the file whose normalised stem is the game's name, else the first that contains it or is contained."""
+    """game_id, file: the file whose normalised stem is the game's name, else the first that contains it or is contained.
+
+    Stems of equal text come from an equi-join. A text that contains another starts the other's first four letters at one
+    of its places, so candidates share four letters; texts shorter than that are compared by all their starts.
+    """
     flat = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")
     g = games.select("game_id", flat(F.col("name")).alias("_g"))
-    f = files.select("file", flat(F.regexp_replace("file", r"\.[^.]*$", "")).alias("_f"))
+    stem = F.regexp_replace(F.regexp_replace(F.lower("file"), r"^.*[/\\]", ""), r"^game_bundle[-_ ]?|\.[^.]*$", "")
+    f = files.select("file", flat(stem).alias("_f"))
     exact = g.join(f, F.col("_g") == F.col("_f")).groupBy("game_id").agg(F.min("file").alias("file"))
-    rest = g.join(exact, "game_id", "left_anti").join(f, F.col("_f").contains(F.col("_g")) | F.col("_g").contains(F.col("_f"))).groupBy("game_id").agg(F.min("file").alias("file"))
-    return exact.unionByName(rest)
+    rest = g.join(exact, "game_id", "left_anti")
+    # pieces of every length up to four that start anywhere in the longer text, against the shorter one's start
+    pieces = lambda c: F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: F.substring(c, i, k))))))
+    start = lambda c: F.substring(c, 1, 4)
+    inside = rest.withColumn("_k", start(F.col("_g"))).join(f.withColumn("_k", pieces(F.col("_f"))), "_k").where(F.col("_f").contains(F.col("_g")))
+    around = rest.withColumn("_k", pieces(F.col("_g"))).join(f.withColumn("_k", start(F.col("_f"))), "_k").where(F.col("_g").contains(F.col("_f")))
+    found = inside.select("game_id", "file").unionByName(around.select("game_id", "file")).groupBy("game_id").agg(F.min("file").alias("file"))
+    return exact.unionByName(found)
 
 
 def reel(shorts: DataFrame, games: DataFrame, n: int = 12) -> DataFrame:
@@ -123,6 +141,13 @@ def queue_rollup(jobs: DataFrame) -> DataFrame:
     return jobs.groupBy("batch").agg(of("pending"), of("done"), of("failed"), (F.count_if(F.col("status") == "pending") > 0).alias("open"))
 
 
+def pending_work(shorts: DataFrame, posts: DataFrame) -> DataFrame:
+    """game_id, renders, posts, busy: shorts of a game that wait or render, and posts of them that wait or go out."""
+    renders = shorts.groupBy("game_id").agg(F.count_if(F.col("status").isin("queued", "rendering")).alias("renders"))
+    out = posts.where(F.col("status").isin("queued", "posting")).join(shorts.select("short_id", "game_id"), "short_id").groupBy("game_id").agg(F.count(F.lit(1)).alias("posts"))
+    return renders.join(out, "game_id", "left").na.fill(0, ["posts"]).withColumn("busy", F.col("renders") + F.col("posts") > 0)
+
+
 def reap_stale(jobs: DataFrame, now: Column, after: str = "3 minutes") -> DataFrame:
     """Staging jobs that were silent for longer than `after` fail."""
     stale = (F.col("status") == "staging") & (F.col("updated_at") < now - F.expr(f"INTERVAL {after}"))

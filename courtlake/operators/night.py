@@ -40,12 +40,16 @@ def with_floors(stats: DataFrame) -> DataFrame:
     return stats.where(~n.is_placeholder(F.col("name"))).withColumn("attack_floor", floor("attack")).withColumn("defence_floor", floor("receive + dig"))
 
 
+def leading(stats: DataFrame, label: DataFrame) -> DataFrame:
+    """played_on, award, key, label, value: who leads each award of a night, ties kept."""
+    of = F.array(*(F.struct(F.lit(a).alias("award"), F.when(F.expr(q), F.expr(v).cast("double")).alias("value")) for a, (v, q) in LEADERS.items()))
+    rows = with_floors(stats).join(label, ["played_on", "name"]).select("played_on", "key", "label", F.explode(of).alias("_m")).select("played_on", "key", "label", "_m.*").where("value is not null")
+    return rows.withColumn("_r", F.rank().over(Window.partitionBy("played_on", "award").orderBy(F.desc("value")))).where("_r = 1").drop("_r")
+
+
 def leaders(stats: DataFrame, label: DataFrame) -> DataFrame:
     """played_on, award, value, names: the leaders of each night, ties kept, names by label in order."""
-    of = F.array(*(F.struct(F.lit(a).alias("award"), F.when(F.expr(q), F.expr(v).cast("double")).alias("value")) for a, (v, q) in LEADERS.items()))
-    rows = with_floors(stats).join(label, ["played_on", "name"]).select("played_on", "label", F.explode(of).alias("_m")).select("played_on", "label", "_m.*").where("value is not null")
-    best = rows.withColumn("_r", F.rank().over(Window.partitionBy("played_on", "award").orderBy(F.desc("value")))).where("_r = 1")
-    return best.groupBy("played_on", "award").agg(F.max("value").alias("value"), n.join_names(F.sort_array(F.collect_list("label"))).alias("names"))
+    return leading(stats, label).groupBy("played_on", "award").agg(F.max("value").alias("value"), n.join_names(F.sort_array(F.collect_list("label"))).alias("names"))
 
 
 def serves(plays: DataFrame) -> DataFrame:
@@ -94,6 +98,19 @@ def favourites(conns: DataFrame) -> DataFrame:
     return conns.withColumn("_r", F.row_number().over(w)).where("_r = 1 and kills >= 2").drop("_r")
 
 
+def setter_targets(led: DataFrame, conns: DataFrame, label: DataFrame) -> DataFrame:
+    """played_on, label, kills: whom the night's setter, if there is a single one, fed most."""
+    w = Window.partitionBy("played_on")
+    alone = led.where("award = 'setter'").withColumn("_n", F.count(F.lit(1)).over(w)).where("_n = 1").select("played_on", F.col("key").alias("setter"))
+    return favourites(conns).join(alone, ["played_on", "setter"]).withColumnRenamed("hitter", "name").join(label, ["played_on", "name"]).select("played_on", "label", "kills")
+
+
+def spent_names(led: DataFrame, conns: DataFrame, runs: DataFrame, label: DataFrame) -> DataFrame:
+    """played_on, label of everyone the night's headlines name: leaders of all awards, the setter's target, the serving run."""
+    run = runs.select("played_on", "name").join(label, ["played_on", "name"]).select("played_on", "label")
+    return led.select("played_on", "label").unionByName(setter_targets(led, conns, label).select("played_on", "label")).unionByName(run).distinct()
+
+
 def shoutouts(stats: DataFrame, sparks: DataFrame, label: DataFrame, used: DataFrame) -> DataFrame:
     """played_on, award, names: each award to the best qualifying players whom nobody has named yet (used: played_on, label).
 
@@ -147,10 +164,16 @@ def summary_text(lines: DataFrame, led: DataFrame, runs: DataFrame, longest: Dat
     return wide.select("played_on", F.concat_ws("\n", n.day_label(F.col("played_on")), "_games", *(f"_{a}" for a in titles), "_run", "_long").alias("text"))
 
 
-def night_summary(lines: DataFrame, led: DataFrame, runs: DataFrame, longest: DataFrame, shouts: DataFrame) -> DataFrame:
-    """One row for each night: its games, highlights and whether a score is approximate."""
-    games = lines.groupBy("played_on").agg(F.count(F.lit(1)).alias("games"), F.count("winner").alias("decided"), F.coalesce(F.max("approx"), F.lit(False)).alias("approx"))
+def night_summary(lines: DataFrame, led: DataFrame, runs: DataFrame, longest: DataFrame, shouts: DataFrame, targets: DataFrame) -> DataFrame:
+    """One row for each night: games, decided, approx, lines (label, a, b, winner, roster, unnamed), the leaders of each award,
+    the setter's target, the serving run, the longest rally and the shout-outs (award, names) in order of priority.
+    """
+    line = F.struct("label", "a", "b", "winner", "roster", "unnamed")
+    games = lines.groupBy("played_on").agg(F.count(F.lit(1)).alias("games"), F.count("winner").alias("decided"), F.coalesce(F.max("approx"), F.lit(False)).alias("approx"), F.sort_array(F.collect_list(line)).alias("lines"))
     tops = led.groupBy("played_on").agg(*(F.max(F.when(F.col("award") == a, F.col("names"))).alias(a) for a in LEADERS))
-    shout = shouts.groupBy("played_on").agg(F.count(F.lit(1)).alias("shoutouts"))
-    out = games.join(tops, "played_on", "left").join(runs.select("played_on", F.col("name").alias("run_name"), F.col("points").alias("run_points")), "played_on", "left")
-    return out.join(longest.select("played_on", F.col("seconds").alias("longest_seconds")), "played_on", "left").join(shout, "played_on", "left").na.fill(0, ["shoutouts"])
+    place = F.array_position(F.array(*(F.lit(a) for a in SHOUTOUTS)), F.col("award"))
+    shout = shouts.groupBy("played_on").agg(F.transform(F.sort_array(F.collect_list(F.struct(place.alias("_p"), "award", "names"))), lambda x: F.struct(x["award"].alias("award"), x["names"].alias("names"))).alias("shoutouts"))
+    out = games.join(tops, "played_on", "left").join(targets.select("played_on", F.col("label").alias("setter_target"), F.col("kills").alias("setter_target_kills")), "played_on", "left")
+    out = out.join(runs.select("played_on", F.col("name").alias("run_name"), F.col("points").alias("run_points")), "played_on", "left")
+    out = out.join(longest.select("played_on", F.col("rally_id").alias("longest_rally"), F.col("seconds").alias("longest_seconds"), F.col("touches").alias("longest_touches")), "played_on", "left")
+    return out.join(shout, "played_on", "left").withColumn("shoutouts", F.coalesce("shoutouts", F.expr("cast(array() as array<struct<award: string, names: string>>)")))

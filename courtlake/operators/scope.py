@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from courtlake.sources.store import written
+
 
 def live_identities(identities: DataFrame) -> DataFrame:
     """Identities that are neither dismissed nor merged; unnamed ones are called P and their cluster's number."""
@@ -26,17 +28,43 @@ def scope(tables: dict[str, DataFrame], game_id: int | None = None, day: str | N
     return tables | {"games": games, "rallies": rallies, "plays": tables["plays"].where("not deleted"), "identities": live_identities(tables["identities"])}
 
 
-def resolve_merges(identities: DataFrame, depth: int = 8) -> DataFrame:
-    """game_id, cluster_id, survivor: the cluster at the end of each identity's chain of merges.
+def _followed(to: DataFrame) -> DataFrame:
+    """id, to, ends of pointers doubled until every chain that ends has reached its end (`ends`); the others run into cycles.
+
+    A round doubles how far each pointer reaches, so while a chain of any length isn't done, some of its rows become so;
+    the driver sees two counts a round.
+    """
+    last = None
+    while True:
+        open_ = to.agg(F.count_if(~F.col("ends"))).first()[0]
+        if not open_ or open_ == last:
+            return to
+        last = open_
+        next_ = to.select(F.col("id").alias("to"), F.col("to").alias("_to"), F.col("ends").alias("_ends"))
+        to = written(to.join(next_, "to", "left").select("id", F.coalesce("_to", "to").alias("to"), (F.col("ends") | F.coalesce("_ends", F.lit(True))).alias("ends")), "merges")
+
+
+def resolve_merges(identities: DataFrame) -> DataFrame:
+    """game_id, cluster_id, survivor: the cluster at the end of each identity's chain of merges, however long.
 
-    Pointers are doubled, so `depth` rounds follow chains of 2 ** depth merges; a chain that is a cycle ends somewhere on it.
+    A chain that runs into a cycle ends where it enters it, so rows of a cycle keep their own cluster, as do those whose
+    chain leads to an identity that isn't there.
     """
-    to = identities.select("game_id", "cluster_id", "identity_id", F.coalesce("merged_into", "identity_id").alias("to"))
-    for _ in range(min(depth, 4)):
-        ends = to.select(F.col("identity_id").alias("to"), F.col("to").alias("_end"))
-        to = to.join(ends, "to", "left").select("game_id", "cluster_id", "identity_id", F.coalesce("_end", "to").alias("to"))
+    ids = identities.select(F.col("identity_id").alias("id"), F.coalesce("merged_into", "identity_id").alias("to"))
+    known = ids.select(F.col("id").alias("to"), F.lit(True).alias("_known"))
+    first = written(ids.join(known, "to", "left").select("id", "to", ((F.col("id") == F.col("to")) | F.col("_known").isNull()).alias("ends")), "merges")
+    done = _followed(first)
+    if not done.where("not ends").isEmpty():
+        # far along, pointers of what doesn't end all lie on cycles; those rows end, and the rest is followed again
+        ring, size = done.where("not ends").select(F.col("to").alias("id")).distinct(), None
+        while (now := ring.count()) != size:
+            jump = done.where("not ends").select("id", "to")
+            ring, size = written(ring.join(jump, "id").select(F.col("to").alias("id")).distinct(), "ring"), now
+        marked = first.join(ring.withColumn("_ring", F.lit(True)), "id", "left")
+        done = _followed(written(marked.select("id", F.when(F.col("_ring").isNotNull(), F.col("id")).otherwise(F.col("to")).alias("to"), (F.col("ends") | F.col("_ring").isNotNull()).alias("ends")), "merges"))
     last = identities.select(F.col("identity_id").alias("to"), F.col("cluster_id").alias("survivor"))
-    return to.join(last, "to", "left").select("game_id", "cluster_id", F.coalesce("survivor", "cluster_id").alias("survivor"))
+    ends = done.join(last, "to", "left").select(F.col("id").alias("identity_id"), "survivor")
+    return identities.select("game_id", "cluster_id", "identity_id").join(ends, "identity_id").select("game_id", "cluster_id", F.coalesce("survivor", "cluster_id").alias("survivor"))
 
 
 def tracklet_identity(tracklets: DataFrame, rallies: DataFrame, identities: DataFrame) -> DataFrame:
@@ -95,15 +123,29 @@ def export_stats(documents: DataFrame, identities: DataFrame) -> DataFrame:
     return stats.join(named, "game_id", "left").na.fill(0, ["named"])
 
 
-def scrub(identities: DataFrame, users: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Identities without embeddings, users with made-up addresses."""
-    drop = [c for c in identities.columns if c == "embedding"]
-    return identities.drop(*drop), users.withColumn("email", F.concat(F.lit("user"), F.col("user_id").cast("string"), F.lit("@example.invalid")))
+#: Tables of credentials and traffic that a snapshot leaves empty, and those with an address and the id it is made of.
+EMPTIED = ("sessions", "auth_tokens", "views")
+ADDRESSED = {"users": "user_id", "recaps": "player_id"}
+
+
+def scrub(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables as a snapshot may leave: no credentials or traffic, made-up addresses, no error texts of mails, no embeddings."""
+    out = {}
+    for name, df in tables.items():
+        if name in EMPTIED:
+            df = df.where("false")
+        if name in ADDRESSED:
+            df = df.withColumn("email", F.concat(F.lit("user"), F.col(ADDRESSED[name]).cast("string"), F.lit("@example.invalid")))
+        if name == "recaps" and "error" in df.columns:
+            df = df.withColumn("error", F.lit(None).cast("string"))
+        out[name] = df.drop("embedding")
+    return out
 
 
-def leak_counts(tables: dict[str, DataFrame], address: str = "email") -> DataFrame:
-    """check, rows: how many addresses of each table aren't made up; all must be 0."""
-    parts = [df.agg(F.lit(name).alias("check"), F.count_if(~F.col(address).endswith("@example.invalid")).alias("rows")) for name, df in tables.items() if address in df.columns]
+def leak_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """check, rows: rows of credentials and traffic, and addresses that aren't made up, in each table that has any; all must be 0."""
+    checks = {name: F.count(F.lit(1)) for name in EMPTIED} | {name: F.count_if(~F.coalesce(F.col("email").endswith("@example.invalid"), F.lit(True))) for name in ADDRESSED}
+    parts = [tables[name].agg(F.lit(name).alias("check"), found.alias("rows")) for name, found in checks.items() if name in tables]
     out = parts[0]
     for more in parts[1:]:
         out = out.unionByName(more)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from courtlake.operators.detections import confident, dist_to_net
+from courtlake.operators.detections import dist_to_net
 
 Columns = dict[str, np.ndarray]
 
@@ -46,17 +46,17 @@ def per_group(rows: DataFrame, keys: list[str], order: list[str], fn: Callable[[
 CONTACTS = "game_id long, rally_id long, t double, x double, y double"
 
 
-def candidates(points: DataFrame, cos_thr: float = 0.55, dv_thr: float = 260.0, window: float = 0.1) -> DataFrame:
-    """Points of a ball's path where its speed or direction breaks, with `mag`, the change of speed.
+def candidates(points: DataFrame, cos_thr: float = 0.55, dv_thr: float = 260.0, window: float = 0.1, keys: tuple[str, ...] = ("game_id", "rally_id")) -> DataFrame:
+    """Points of a ball's path (one for each of `keys`) where its speed or direction breaks, with `mag`, the change of speed.
 
     Velocities reach over two points and `window` seconds on each side. Frames are bounded by 1.2 s, so a long rally costs no more a point than a short one.
     """
     from pyspark.sql.window import Window
 
-    w = Window.partitionBy("game_id", "rally_id").orderBy("t")
+    w = Window.partitionBy(*keys).orderBy("t")
     micro = F.round(F.col("t") * 1_000_000).cast("long")
     rows = points.withColumn("_us", micro)
-    r = Window.partitionBy("game_id", "rally_id").orderBy("_us")
+    r = Window.partitionBy(*keys).orderBy("_us")
     span, far = round((window - 1e-6) * 1_000_000), 1_200_000
     p = F.struct("t", "x", "y")
     # of the point two before and the last one that is `window` before, the earlier
@@ -69,20 +69,26 @@ def candidates(points: DataFrame, cos_thr: float = 0.55, dv_thr: float = 260.0,
     s1, s2 = F.hypot("v1x", "v1y"), F.hypot("v2x", "v2y")
     rows = rows.withColumn("_cos", (F.col("v1x") * F.col("v2x") + F.col("v1y") * F.col("v2y")) / (s1 * s2 + 1e-6)).withColumn("mag", F.abs(s2 - s1)).where((s1 >= 60) | (s2 >= 60))
     fires = (F.col("_cos") < cos_thr) | ((F.col("v1y") > 40) & (F.col("v2y") < -40)) | (F.col("mag") > dv_thr)
-    return rows.where(fires).select("game_id", "rally_id", "t", "x", "y", "mag")
+    return rows.where(fires).select(*keys, "t", "x", "y", "mag")
+
+
+def strongest(t: np.ndarray, mag: np.ndarray, gap: float) -> list[int]:
+    """Indices of the candidates that stay: of those less than `gap` seconds after the kept one the stronger takes its place."""
+    kept: list[int] = []
+    for i, (now, m) in enumerate(zip(t.tolist(), mag.tolist(), strict=True)):
+        if kept and now - round(t[kept[-1]], 2) < gap:
+            if m > mag[kept[-1]]:
+                kept[-1] = i
+            continue
+        kept.append(i)
+    return kept
 
 
 def suppress(found: DataFrame, gap: float = 0.35) -> DataFrame:
     """Of candidates less than `gap` seconds after the kept one the stronger takes its place."""
 
     def one(rows: Columns) -> Columns:
-        kept: list[int] = []
-        for i, (t, mag) in enumerate(zip(rows["t"].tolist(), rows["mag"].tolist(), strict=True)):
-            if kept and t - round(rows["t"][kept[-1]], 2) < gap:
-                if mag > rows["mag"][kept[-1]]:
-                    kept[-1] = i
-                continue
-            kept.append(i)
+        kept = strongest(rows["t"], rows["mag"], gap)
         out = {c: rows[c][kept] for c in ("game_id", "rally_id", "t", "x", "y")}
         return out | {"t": np.round(out["t"], 2)}
 
@@ -139,27 +145,33 @@ def sweep_typing(contacts: DataFrame, truth: DataFrame) -> DataFrame:
     return right.join(F.broadcast(configs), "config").select("serve_gate", "resync_at", "gap", "exact").orderBy(F.desc("exact"), F.desc("serve_gate"), "resync_at", "gap")
 
 
+def take_nearest(pt: np.ndarray, qt: np.ndarray, tol: float) -> np.ndarray:
+    """For each prediction in turn the index of the nearest free touch less than `tol` away, or -1."""
+    free, took = np.ones(len(qt), bool), np.full(len(pt), -1)
+    for i, t in enumerate(pt):
+        d = np.where(free, np.abs(qt - t), np.inf)
+        if len(d) and d.min() < tol:
+            took[i] = d.argmin()
+            free[took[i]] = False
+    return took
+
+
 def match_touches(predicted: DataFrame, truth: DataFrame, tol: float = 0.5) -> DataFrame:
     """rally_id, pred_id, true_id: each prediction in time order takes the nearest free touch less than `tol` away; the unmatched have a null."""
 
     def one(rows: Columns) -> Columns:
         own = rows["own"]
         (pid, pt), (qid, qt) = ((rows["id"][own == k], rows["t"][own == k]) for k in (0, 1))
-        free, took = np.ones(len(qt), bool), np.full(len(pt), -1)
-        for i, t in enumerate(pt):
-            d = np.where(free, np.abs(qt - t), np.inf)
-            if len(d) and d.min() < tol:
-                took[i] = d.argmin()
-                free[took[i]] = False
-        found = [(a, qid[j] if j >= 0 else None) for a, j in zip(pid, took, strict=True)] + [(None, b) for b in qid[free]]
+        took = take_nearest(pt, qt, tol)
+        found = [(a, qid[j] if j >= 0 else None) for a, j in zip(pid, took, strict=True)] + [(None, b) for b in np.delete(qid, took[took >= 0])]
         return {"rally_id": np.full(len(found), rows["rally_id"][0]), "pred_id": np.array([a for a, _ in found], object), "true_id": np.array([b for _, b in found], object)}
 
     both = predicted.select("rally_id", F.lit(0).alias("own"), F.col("pred_id").alias("id"), "t").unionByName(truth.select("rally_id", F.lit(1).alias("own"), F.col("true_id").alias("id"), "t"))
     return per_group(both, ["rally_id"], ["own", "t", "id"], one, "rally_id long, pred_id long, true_id long")
 
 
-def thin(points: DataFrame, gap: float = 0.45) -> DataFrame:
-    """rally_id, t of the points that are `gap` seconds or more after the last kept one."""
+def thin(points: DataFrame, gap: float = 0.45, key: str = "rally_id") -> DataFrame:
+    """rally_id (or another `key`), t of the points that are `gap` seconds or more after the last kept one."""
 
     def one(rows: Columns) -> Columns:
         last, kept = -np.inf, []
@@ -167,9 +179,9 @@ def thin(points: DataFrame, gap: float = 0.45) -> DataFrame:
             if t - last >= gap:
                 kept.append(t)
                 last = t
-        return {"rally_id": rows["rally_id"][: len(kept)], "t": np.array(kept)}
+        return {key: rows[key][: len(kept)], "t": np.array(kept)}
 
-    return per_group(points.select("rally_id", "t"), ["rally_id"], ["t"], one, "rally_id long, t double")
+    return per_group(points.select(key, "t"), [key], ["t"], one, f"{key} long, t double")
 
 
 def link_nearest(points: DataFrame, max_gap: float = 0.45, max_speed: float = 900.0, least: int = 5) -> DataFrame:
@@ -193,23 +205,6 @@ def link_nearest(points: DataFrame, max_gap: float = 0.45, max_speed: float = 90
     return per_group(points.select("rally_id", "t", "x", "y"), ["rally_id"], ["t", "x", "y"], one, "rally_id long, track long, t double, x double, y double")
 
 
-def ball_path(points: DataFrame, fps: float = 30.0, least_conf: float = 0.25, smooth: float = 0.75) -> DataFrame:
-    """rally_id, frame, x, y: the ball on a frame grid: confident points, median of five, interpolated, mean over `smooth` seconds."""
-
-    def one(rows: Columns) -> Columns:
-        t = rows["t"]
-        grid = np.arange(int(np.ceil(t[0] * fps)), int(np.floor(t[-1] * fps)) + 1)
-        out = {"rally_id": np.full(len(grid), rows["rally_id"][0]), "frame": grid}
-        k = max(1, int(smooth * fps)) | 1
-        for c in ("x", "y"):
-            v = np.interp(grid / fps, t, np.median(np.lib.stride_tricks.sliding_window_view(np.pad(rows[c], 2, mode="edge"), 5), axis=1))
-            out[c] = np.convolve(np.pad(v, k // 2, mode="edge"), np.ones(k) / k, "valid") if len(v) else v
-        return out
-
-    rows = confident(points, least_conf).select("rally_id", "t", "x", "y")
-    return per_group(rows, ["rally_id"], ["t"], one, "rally_id long, frame long, x double, y double")
-
-
 def cluster_identities(tracklets: DataFrame, thresh: float = 0.10) -> DataFrame:
     """game_id, tracklet_id, cluster: greedy agglomeration by cosine of group means; tracklets that overlap in time never meet.
 

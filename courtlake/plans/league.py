@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from courtlake.functions import names as n
-from courtlake.operators import changes, clips, evaluation, matching, night, scope, sequences
+from courtlake.operators import changes, clips, evaluation, matching, night, rosters, scope, sequences
 from courtlake.operators import detections as d
 from courtlake.operators import grades as g
 from courtlake.operators import stats as s
 from courtlake.sources.league import all_tables
+from courtlake.sources.store import shared_path
 from courtlake.streaming import traffic
 
 
@@ -73,10 +74,17 @@ def _jobs(t: Tables) -> DataFrame:
 
 def _shouts(t: Tables) -> DataFrame:
     stats, label = t.stats(["played_on"]), t.labels()
-    _, sparks = night.kill_chains(t.graded(), t["identities"])
-    rows = stats.join(label, ["played_on", "name"])
-    top = rows.withColumn("_p", F.expr("kill + ace + stuff")).where("_p > 0").groupBy("played_on").agg(F.max_by("label", F.struct("_p", "label")).alias("label"))
-    return night.shoutouts(stats, sparks, label, top)
+    conns, sparks = night.kill_chains(t.graded(), t["identities"])
+    return night.shoutouts(stats, sparks, label, night.spent_names(night.leading(stats, label), conns, _runs(t), label))
+
+
+def _summary(t: Tables) -> DataFrame:
+    stats, label = t.stats(["played_on"]), t.labels()
+    targets = night.setter_targets(night.leading(stats, label), night.kill_chains(t.graded(), t["identities"])[0], label)
+    rows = night.night_summary(_lines(t), night.leaders(stats, label), _runs(t), night.longest_rallies(t["rallies"], t["plays"]), _shouts(t), targets)
+    said = lambda c: F.coalesce(c.cast("string"), F.lit("?"))
+    line = lambda x: F.concat(x["label"], F.lit(" "), said(x["a"]), F.lit("-"), said(x["b"]), F.lit(" "), said(x["roster"]))
+    return rows.withColumn("lines", F.array_join(F.transform("lines", line), "; ")).withColumn("shoutouts", F.array_join(F.transform("shoutouts", lambda x: F.concat(x["award"], F.lit(": "), x["names"])), "; "))
 
 
 def _lines(t: Tables) -> DataFrame:
@@ -135,7 +143,7 @@ QUERIES = {
     "night_shoutouts": _shouts,
     "game_lines": _lines,
     "night_longest_rallies": lambda t: night.longest_rallies(t["rallies"], t["plays"]),
-    "night_summary": lambda t: night.night_summary(_lines(t), night.leaders(t.stats(["played_on"]), t.labels()), _runs(t), night.longest_rallies(t["rallies"], t["plays"]), _shouts(t)),
+    "night_summary": _summary,
     "night_text": lambda t: night.summary_text(_lines(t), night.leaders(t.stats(["played_on"]), t.labels()), _runs(t), night.longest_rallies(t["rallies"], t["plays"])),
     "find_assists": lambda t: clips.find_clips(t["rallies"], t.graded(), t["identities"], "assist"),
     "find_aces": lambda t: clips.find_clips(t["rallies"], t.graded(), t["identities"], "ace"),
@@ -155,15 +163,11 @@ QUERIES = {
     "relink_tracklets": lambda t: d.relink(scope.mispaired(t["all"]["plays"], t["all"]["tracklets"], t["all"]["identities"], t["all"]["rallies"]).select(F.col("play_id").alias("probe_id"), "credited").join(t.probes().select("probe_id", "rally_id", "t", "x", "y"), "probe_id"), t.boxes(), 0.3),
     "outside_boxes": lambda t: d.outside_boxes(t.probes(), t.boxes()),
     "wrist_clusters": lambda t: d.wrist_clusters(t.probes().drop("cluster_id"), t.boxes(), 0.3),
-    "known_different": lambda t: d.known_different(t["all"]["tracklets"]),
     "link_contacts": lambda t: d.link_contacts(t["plays"], t.probes().withColumn("t", F.col("t") + (F.col("probe_id") % 9 - 4) / 64)),
     "static_cells": lambda t: d.global_static_cells(t.ball(), rallies=2, least=5),
     "pick_moving": lambda t: d.pick_moving(t.ball(), share=0.3),
     "camera_metrics": lambda t: t.metrics(),
     "compare_cameras": lambda t: d.compare_cameras(t.metrics(), 1).withColumn("ratio", F.round("ratio", 6)),
-    "concurrency": lambda t: d.concurrency(t["all"]["tracklets"]),
-    "sampling_rate": lambda t: d.sampling_rate(t.ball()),
-    "ball_speed": lambda t: d.ball_speed(t.ball()).where("speed > 100").groupBy("rally_id").agg(F.count("change").alias("changes"), F.round(F.max("speed"), 3).alias("fastest")),
     "action_band": lambda t: d.action_band(t.boxes()).select("rally_id", F.round("middle", 4).alias("middle"), F.round("low", 4).alias("low")),
     "player_envelope": lambda t: d.player_envelope(t.boxes()),
     "apply_merges": lambda t: changes.apply_merges(_plays_of_games(t), _merges(t)).select("play_id", "cluster_id"),
@@ -175,7 +179,7 @@ QUERIES = {
     "player_changes": lambda t: changes.apply_player_changes(t["all"]["identities"], t["all"]["identities"].where("player_id % 10 = 1").selectExpr("player_id", "player_id + 1 AS into").distinct(), t["all"]["identities"].where("player_id % 10 = 2").selectExpr("player_id", "concat('Renamed ', player_id) AS new_name").distinct()).select("identity_id", "player_id", "name"),
     "roster_links": lambda t: changes.apply_roster_links(_users(t), t["all"]["identities"].where("player_id % 3 = 1").groupBy("player_id").agg(F.min("name").alias("name")).selectExpr("concat('U', player_id, '@example.org') AS email", "player_id", "name")),
     "delete_games": lambda t: changes.delete_games({k: t["all"][k] for k in ("games", "rallies", "plays")}, t["all"]["games"].where("game_id % 4 = 1").select("game_id"))["slots"],
-    "duplicate_players": lambda t: matching.duplicate_players(_users(t).withColumn("name", F.concat("name", F.lit(" "), F.col("player_id").cast("string"))).withColumn("name", F.when(F.col("player_id") % 4 == 0, F.concat(F.substring("name", 1, 3), F.col("player_id").cast("string"), F.lit("x"))).otherwise(F.concat(F.substring("name", 1, 3), (F.col("player_id") + 2).cast("string"))))),
+    "duplicate_players": lambda t: matching.duplicate_players(_users(t).withColumn("name", F.concat("name", F.lit(" "), F.col("player_id").cast("string"))).withColumn("name", F.when(F.col("player_id") % 4 == 0, F.concat(F.substring("name", 1, 3), F.col("player_id").cast("string"), F.lit("x"))).otherwise(F.concat(F.substring("name", 1, 3), F.lit(" "), (F.col("player_id") % 20).cast("string"))))),
     "match_roster": lambda t: matching.match_roster(_users(t).select("email", "name"), t["all"]["identities"].where("player_id is not null").groupBy("player_id").agg(F.min("name").alias("name")), _users(t).where("player_id % 8 = 0").select("email", "player_id")).withColumn("candidates", F.size("candidates").cast("long")),
     "recipients": lambda t: matching.recipients(_users(t), t["identities"], t["rallies"], t["plays"], t["identities"].join(t["games"], "game_id").where("player_id % 7 = 0").select("player_id", "played_on")),
     "reap_stale": lambda t: matching.reap_stale(_jobs(t), F.lit("2024-01-03 00:00:00").cast("timestamp")).groupBy("status").agg(F.count(F.lit(1)).alias("jobs")),
@@ -188,11 +192,9 @@ QUERIES = {
     "sweep_typing": lambda t: sequences.sweep_typing(t.probes().withColumn("side", d.side(F.col("x"), F.col("y"))), t["plays"].select(F.col("play_id").alias("probe_id"), "play_type")),
     "thin_points": lambda t: sequences.thin(t.ball()),
     "link_nearest": lambda t: sequences.link_nearest(t.ball()),
-    "ball_path": lambda t: sequences.ball_path(t.ball().dropDuplicates(["rally_id", "t"])),
-    "cluster_identities": lambda t: sequences.cluster_identities(_tracklets_of_games(t).withColumn("embedding", F.expr("array(cast(p % 7 + 1 AS double), cast(p % 5 AS double), cast(p % 3 AS double))"))),
     "local_days": lambda t: t["views"].groupBy(n.played_on(F.col("created_at"), "America/New_York").alias("day")).agg(F.count(F.lit(1)).alias("views"), F.countDistinct("visitor").alias("visitors")).orderBy(F.desc("day")).limit(90),
     "hour_labels": lambda t: t["views"].groupBy(n.hour_label(F.hour("created_at")).alias("hour")).agg(F.count(F.lit(1)).alias("views")),
-    "top_referrers": lambda t: t["views"].where("referrer is not null").groupBy("referrer").agg(F.count(F.lit(1)).alias("views")).orderBy(F.desc("views"), "referrer").limit(10),
+    "top_referrers": lambda t: rosters.referrers(t["views"]),
     "traffic_total": lambda t: t["views"].agg(F.count(F.lit(1)).alias("views"), F.countDistinct("visitor").alias("visitors")),
     "visitor_hashes": lambda t: t["views"].select("view_id", n.visitor_hash("salt", F.to_date("created_at"), F.concat(F.lit("10.0.0."), F.col("visitor").cast("string"), F.lit(", 10.9.9.9"))).alias("hash")),
     "norm_names": lambda t: t["identities"].select("identity_id", n.norm_name(F.concat(F.lit("  "), "name", F.lit("  2"))).alias("norm"), n.public_name(F.col("name")).alias("first"), n.player_slug(F.col("name"), F.col("identity_id")).alias("slug"), n.parse_player_slug(n.player_slug(F.col("name"), F.col("identity_id"))).alias("parsed"), n.public_caption(F.concat(F.lit("KILL - "), "name")).alias("caption")),
@@ -207,7 +209,7 @@ def queries() -> dict:
 
     def traffic_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         views = traffic.view_stream(spark, sf_dir, "events.parquet")
-        return traffic.drain(traffic.hourly(views), traffic.scratch(spark, "traffic"), traffic.scratch(spark, "traffic-log")).drop("visitors")
+        return traffic.latest(traffic.hourly(views), shared_path(spark, "traffic"), shared_path(spark, "traffic-log"))
 
     return {k: on_tables(f) for k, f in QUERIES.items()} | {"traffic_stream": traffic_stream}
 

@@ -80,9 +80,12 @@ longest AS (SELECT l.played_on, l.rally_id, seconds, (SELECT count(*) FROM plays
 
 def _shouts() -> str:
     chain = CHAINS[len(GRADED):]
-    out = NIGHT + chain + """, sp AS (SELECT fs.*, coalesce(sparks, 0) AS sparks FROM fs LEFT JOIN sparks USING (played_on, key)),
-tp AS (SELECT st.played_on, label, kill + ace + stuff AS p FROM stats st JOIN labels USING (played_on, name)),
-u0 AS (SELECT played_on, arg_max(label, (p, label)) AS label FROM tp WHERE p > 0 GROUP BY 1)"""
+    heads = " UNION ALL ".join(f"SELECT played_on, '{a}' AS award, key, label, CASE WHEN {q} THEN CAST({v} AS DOUBLE) END AS value FROM fs" for a, (v, q) in night.LEADERS.items())
+    out = NIGHT + chain + RUNS + """, sp AS (SELECT fs.*, coalesce(sparks, 0) AS sparks FROM fs LEFT JOIN sparks USING (played_on, key)),
+hl AS (SELECT played_on, award, key, label FROM (SELECT *, rank() OVER (PARTITION BY played_on, award ORDER BY value DESC) AS r FROM ({heads}) WHERE value IS NOT NULL) WHERE r = 1),
+ft AS (SELECT * FROM conns WHERE kills >= 2 QUALIFY row_number() OVER (PARTITION BY played_on, setter ORDER BY kills DESC, hitter) = 1),
+targets AS (SELECT h.played_on, l.label, ft.kills FROM (SELECT played_on, min(key) AS key FROM hl WHERE award = 'setter' GROUP BY 1 HAVING count(*) = 1) h JOIN ft ON ft.played_on = h.played_on AND ft.setter = h.key JOIN labels l ON l.played_on = h.played_on AND l.name = ft.hitter),
+u0 AS (SELECT played_on, label FROM hl UNION SELECT played_on, label FROM targets UNION SELECT r.played_on, l.label FROM runs r JOIN labels l ON l.played_on = r.played_on AND l.name = r.name)""".replace("{heads}", heads)
     for i, (award, (value, who)) in enumerate(night.SHOUTOUTS.items()):
         out += f""", f{i} AS (SELECT played_on, label, CAST({value} AS DOUBLE) AS v FROM sp WHERE {who} AND NOT EXISTS (SELECT 1 FROM u{i} WHERE u{i}.played_on = sp.played_on AND u{i}.label = sp.label)),
 w{i} AS (SELECT DISTINCT played_on, '{award}' AS award, label FROM f{i} QUALIFY v = max(v) OVER (PARTITION BY played_on)), u{i + 1} AS (SELECT * FROM u{i} UNION ALL SELECT played_on, label FROM w{i})"""
@@ -101,9 +104,10 @@ PROBES = ", probes AS (SELECT play_id AS probe_id, rally_id, t, x, y FROM plays)
 MISPAIRED = """, bodies AS (SELECT tracklet_id, r.game_id, t.cluster_id AS body FROM tracklets t JOIN all_rallies r USING (rally_id) JOIN all_identities i ON i.game_id = r.game_id AND i.cluster_id = t.cluster_id),
 bad AS (SELECT play_id, game_id, cluster_id AS credited, body FROM all_plays JOIN bodies USING (tracklet_id) WHERE NOT deleted AND cluster_id IS NOT NULL AND body <> cluster_id)
 """
-RESOLVED = """, c1 AS (SELECT identity_id, coalesce(merged_into, identity_id) AS x FROM all_identities), c2 AS (SELECT a.identity_id, coalesce(b.x, a.x) AS x FROM c1 a LEFT JOIN c1 b ON b.identity_id = a.x),
-c3 AS (SELECT a.identity_id, coalesce(b.x, a.x) AS x FROM c2 a LEFT JOIN c2 b ON b.identity_id = a.x),
-resolved AS (SELECT i.game_id, i.cluster_id, coalesce(s.cluster_id, i.cluster_id) AS survivor FROM all_identities i JOIN c3 USING (identity_id) LEFT JOIN all_identities s ON s.identity_id = c3.x)
+RESOLVED = """, walk AS (SELECT identity_id AS id, identity_id AS pos, [identity_id] AS seen FROM all_identities
+  UNION ALL SELECT id, merged_into, list_append(seen, merged_into) FROM walk JOIN all_identities i ON i.identity_id = walk.pos WHERE merged_into IS NOT NULL AND NOT list_contains(seen, merged_into)),
+ends AS (SELECT id, arg_max(pos, len(seen)) AS pos FROM walk GROUP BY 1),
+resolved AS (SELECT i.game_id, i.cluster_id, coalesce(s.cluster_id, i.cluster_id) AS survivor FROM all_identities i JOIN ends ON ends.id = i.identity_id LEFT JOIN all_identities s ON s.identity_id = ends.pos)
 """
 PG = ", pg AS (SELECT r.game_id, p.rally_id, play_id, cluster_id, t, tracklet_id FROM plays p JOIN all_rallies r USING (rally_id))\n"
 USERS = ", users AS (SELECT player_id, 'u' || CAST(player_id AS VARCHAR) || '@example.org' AS email, min(name) AS name FROM all_identities WHERE player_id IS NOT NULL AND player_id % 2 = 0 GROUP BY 1, 2)\n"
@@ -122,7 +126,7 @@ def _distance(x: str, y: str, a: tuple, b: tuple) -> str:
     return f"sqrt(pow({x} - ({ax!r}::DOUBLE + {t} * {dx!r}::DOUBLE), 2) + pow({y} - ({ay!r}::DOUBLE + {t} * {dy!r}::DOUBLE), 2))"
 
 
-def _margin(x: str, y: str) -> str:
+def margin_sql(x: str, y: str) -> str:
     edges = list(zip(d.POLYGON, [*d.POLYGON[1:], d.POLYGON[0]]))
     cross = " + ".join(
         f"CASE WHEN ({ay!r}::DOUBLE > {y} / 1080) <> ({by!r}::DOUBLE > {y} / 1080) AND {x} < ({ax!r}::DOUBLE + ({y} / 1080 - {ay!r}::DOUBLE) / {by - ay!r}::DOUBLE * {bx - ax!r}::DOUBLE) * 1920 THEN 1 ELSE 0 END" for (ax, ay), (bx, by) in edges if ay != by
@@ -151,8 +155,8 @@ lw AS (SELECT played_on, max('Top scorer: ' || said) FILTER (WHERE award = 'top_
 SELECT gj.played_on, concat_ws(chr(10), strftime(gj.played_on, '%a, %b ') || CAST(day(gj.played_on) AS VARCHAR) || strftime(gj.played_on, ' %Y'), games, a, b, c, d, 'Serving run: ' || r.name || ', ' || CAST(r.points AS VARCHAR) || ' straight',
   'Longest rally: ' || CAST(seconds AS VARCHAR) || 's, ' || CAST(touches AS VARCHAR) || CASE WHEN touches = 1 THEN ' touch' ELSE ' touches' END) AS text
 FROM gj LEFT JOIN lw USING (played_on) LEFT JOIN runs r USING (played_on) LEFT JOIN longest USING (played_on)"""
-TWINS = USERS + """, nd AS (SELECT player_id, name || ' ' || CAST(player_id AS VARCHAR) AS name FROM users), ne AS (SELECT player_id, lower(CASE WHEN player_id % 4 = 0 THEN substr(name, 1, 3) || CAST(player_id AS VARCHAR) || 'x' ELSE substr(name, 1, 3) || CAST(player_id + 2 AS VARCHAR) END) AS n FROM nd)
-SELECT a.player_id AS a, b.player_id AS b, CASE WHEN a.n = b.n THEN 'same name' ELSE 'similar name' END AS reason FROM ne a JOIN ne b ON a.player_id < b.player_id AND abs(length(a.n) - length(b.n)) <= 1 AND levenshtein(a.n, b.n) <= 1"""
+TWINS = USERS + """, nd AS (SELECT player_id, name || ' ' || CAST(player_id AS VARCHAR) AS name FROM users), nx AS (SELECT player_id, (CASE WHEN player_id % 4 = 0 THEN substr(name, 1, 3) || CAST(player_id AS VARCHAR) || 'x' ELSE substr(name, 1, 3) || ' ' || CAST(player_id % 20 AS VARCHAR) END) AS name FROM nd), ne AS (SELECT player_id, lower(name) AS l, regexp_replace(regexp_replace(trim(lower(name)), '\\s+\\d+$', ''), '\\s+', ' ', 'g') AS n FROM nx)
+SELECT a.player_id AS a, b.player_id AS b, CASE WHEN a.n = b.n THEN 'same name' ELSE 'similar name' END AS reason FROM ne a JOIN ne b ON a.player_id < b.player_id AND (a.n = b.n OR (abs(length(a.l) - length(b.l)) <= 1 AND levenshtein(a.l, b.l) <= 1))"""
 ROSTER = USERS + """, pl AS (SELECT player_id, lower(min(name)) AS n FROM all_identities WHERE player_id IS NOT NULL GROUP BY 1), li AS (SELECT email, player_id FROM users WHERE player_id % 8 = 0), rw AS (SELECT email, lower(name) AS n FROM users WHERE name IS NOT NULL UNION ALL SELECT email, NULL FROM users WHERE name IS NULL),
 cd AS (SELECT email, player_id, 1 AS tier FROM li UNION SELECT email, player_id, 2 FROM rw JOIN pl USING (n) UNION SELECT email, player_id, 3 FROM rw JOIN pl ON abs(length(rw.n) - length(pl.n)) <= 1 AND levenshtein(rw.n, pl.n) <= 1
   UNION SELECT email, player_id, 4 FROM rw JOIN pl ON split_part(rw.n, ' ', 1) = split_part(pl.n, ' ', 1)),
@@ -161,10 +165,10 @@ rs AS (SELECT rw.email, c, p, CASE WHEN tier IS NULL THEN 'none' WHEN c > 1 THEN
 SELECT email, CASE WHEN reason IN ('linked', 'exact', 'typo', 'first-name') THEN p END AS player_id, reason, coalesce(c, 0) AS candidates FROM rs"""
 
 SQL = {
-    "traffic_stream": "SELECT date_trunc('hour', ts) AS hour, event_type AS path, count(*) AS views FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY 1, 2",
+    "traffic_stream": "SELECT date_trunc('hour', ts) AS hour, event_type AS path, count(*) AS views, count(DISTINCT user_id) AS visitors FROM events GROUP BY 1, 2",
     "live_identities": SCOPE_SQL + "SELECT identity_id, game_id, cluster_id, name, player_id, team FROM identities",
     "scoped_touches": SCOPE_SQL + "SELECT game_id, played_on, count(*) AS touches, count(DISTINCT rally_id) AS rallies FROM plays JOIN rallies USING (rally_id) GROUP BY 1, 2",
-    "resolve_merges": ALL_SQL + RESOLVED + "SELECT * FROM resolved",
+    "resolve_merges": ALL_SQL.replace("WITH", "WITH RECURSIVE", 1) + RESOLVED + "SELECT * FROM resolved",
     "tracklet_identity": ALL_SQL + "SELECT tracklet_id, t.rally_id, r.game_id, t.cluster_id, CASE WHEN NOT dismissed THEN identity_id END AS identity_id, CASE WHEN NOT dismissed THEN i.name END AS name FROM tracklets t JOIN all_rallies r USING (rally_id) LEFT JOIN all_identities i ON i.game_id = r.game_id AND i.cluster_id = t.cluster_id",
     "mispaired": ALL_SQL + MISPAIRED + "SELECT * FROM bad",
     "review_state": ALL_SQL + MISPAIRED + """, a AS (SELECT game_id, count(*) AS rallies, count(outcome_type) AS scored, count(*) FILTER (WHERE touches_complete) AS complete FROM all_rallies WHERE phase = 'game' GROUP BY 1),
@@ -196,14 +200,14 @@ CASE WHEN played_on IS NULL THEN 'vban-game-' || CAST(game_id AS VARCHAR) ELSE '
     "night_shoutouts": SHOUTS + " SELECT * FROM shouts",
     "game_lines": NIGHT + LINES + "SELECT * FROM lines",
     "night_longest_rallies": SCOPE_SQL + LONGEST + "SELECT * FROM longest",
-    "night_summary": SHOUTS + LEADERS[len(NIGHT):] + RUNS + LINES[len(WON):] + LONGEST + ", ng AS (SELECT played_on, count(*) AS games, count(winner) AS decided, coalesce(bool_or(approx), false) AS approx FROM lines GROUP BY 1), nt AS (SELECT played_on, " + ", ".join(f"max(names) FILTER (WHERE award = '{a}') AS {a}" for a in night.LEADERS) + " FROM leaders GROUP BY 1), ns AS (SELECT played_on, count(*) AS shoutouts FROM shouts GROUP BY 1) SELECT ng.*, nt.* EXCLUDE played_on, r.name AS run_name, r.points AS run_points, seconds AS longest_seconds, coalesce(shoutouts, 0) AS shoutouts FROM ng LEFT JOIN nt USING (played_on) LEFT JOIN runs r USING (played_on) LEFT JOIN longest USING (played_on) LEFT JOIN ns USING (played_on)",
+    "night_summary": SHOUTS + LEADERS[len(NIGHT):] + LINES[len(WON):] + LONGEST + ", ng AS (SELECT played_on, count(*) AS games, count(winner) AS decided, coalesce(bool_or(approx), false) AS approx, string_agg(label || ' ' || coalesce(CAST(a AS VARCHAR), '?') || '-' || coalesce(CAST(b AS VARCHAR), '?') || ' ' || coalesce(roster, '?'), '; ' ORDER BY label, a NULLS FIRST, b NULLS FIRST, winner NULLS FIRST, roster NULLS FIRST) AS lines FROM lines GROUP BY 1), nt AS (SELECT played_on, " + ", ".join(f"max(names) FILTER (WHERE award = '{a}') AS {a}" for a in night.LEADERS) + " FROM leaders GROUP BY 1), ns AS (SELECT played_on, string_agg(award || ': ' || names, '; ' ORDER BY list_position([" + ", ".join(f"'{a}'" for a in night.SHOUTOUTS) + "], award)) AS shoutouts FROM shouts GROUP BY 1) SELECT ng.*, nt.* EXCLUDE played_on, t.label AS setter_target, t.kills AS setter_target_kills, r.name AS run_name, r.points AS run_points, rally_id AS longest_rally, seconds AS longest_seconds, touches AS longest_touches, coalesce(shoutouts, '') AS shoutouts FROM ng LEFT JOIN nt USING (played_on) LEFT JOIN targets t USING (played_on) LEFT JOIN runs r USING (played_on) LEFT JOIN longest USING (played_on) LEFT JOIN ns USING (played_on)",
     "find_assists": GRADED + _NUM + ", h AS (SELECT rally_id, count(*) AS matched, min(t) AS cue FROM graded WHERE play_type = 'set' AND grade = 'assist' GROUP BY 1) SELECT game_id, rally_id, num, matched, greatest(0.0::DOUBLE, greatest(start_s - 3, cue - 3)) AS from_s, end_s + 2 AS to_s FROM nr JOIN h USING (rally_id)",
     "find_aces": SCOPE_SQL + _NUM + "SELECT game_id, rally_id, num, CAST(0 AS BIGINT) AS matched, greatest(0.0::DOUBLE, greatest(start_s - 3, end_s - 6)) AS from_s, end_s + 2 AS to_s FROM nr WHERE outcome_type = 'ace'",
     "dig_moments": GRADED + ", h AS (SELECT *, coalesce(play_type = 'dig' AND grade = 'success', false) AS hit FROM graded), j AS (SELECT *, row_number() OVER (PARTITION BY rally_id, hit ORDER BY t, play_id) AS a, row_number() OVER (PARTITION BY rally_id ORDER BY t DESC, play_id DESC) AS z, bool_or(hit) OVER (PARTITION BY rally_id) AS any_hit FROM h) SELECT rally_id, play_id, upper(CASE WHEN grade = 'kill' THEN 'kill' ELSE coalesce(play_type, 'highlight') END) || coalesce(' - ' || name, '') AS caption FROM j WHERE CASE WHEN any_hit THEN hit AND a <= 4 ELSE z = 1 END",
     "moment_windows": GRADED + ", j AS (SELECT *, coalesce(lag(t, 4) OVER o, first_value(t) OVER o) AS f FROM graded WINDOW o AS (PARTITION BY rally_id ORDER BY t, play_id)) SELECT play_id, greatest(f - 1, start_s) AS t0, greatest(least(t + 2.5::DOUBLE, end_s), greatest(f - 1, start_s) + 3) AS t1 FROM j WHERE play_type = 'attack'",
     "player_reel": SCOPE_SQL + WON + ", j AS (SELECT *, row_number() OVER o AS num, count(*) FILTER (WHERE winner = 'A') OVER o AS a, count(*) FILTER (WHERE winner = 'B') OVER o AS b FROM won WINDOW o AS (PARTITION BY game_id ORDER BY start_s, rally_id)) SELECT player_id, rally_id, CASE outcome_type WHEN 'block' THEN 'stuff' ELSE outcome_type END AS key, num, CASE team WHEN 'A' THEN a WHEN 'B' THEN b END AS us, CASE team WHEN 'A' THEN b WHEN 'B' THEN a END AS them FROM j WHERE player_id IS NOT NULL AND outcome_type IN ('kill', 'ace', 'block')",
     "stat_chips": STATS + f" SELECT * FROM ({_CHIPS}) WHERE n > 0",
-    "filter_boxes": ALL_SQL + BOXES + f"SELECT game_id, count(*) AS boxes FROM boxes WHERE h >= 45 AND {_margin('(x + w / 2)', '(y + h)')} >= -90 GROUP BY 1",
+    "filter_boxes": ALL_SQL + BOXES + f"SELECT game_id, count(*) AS boxes FROM boxes WHERE h >= 45 AND {margin_sql('(x + w / 2)', '(y + h)')} >= -90 GROUP BY 1",
     "tracklet_bounds": ALL_SQL + BOXES + "SELECT tracklet_id, min(t) AS t0, max(t) AS t1, count(*) AS boxes FROM boxes WHERE h >= 45 GROUP BY 1 HAVING count(*) >= 3",
     "gate_phase": ALL_SQL + "SELECT game_id, phase, count(*) AS rallies FROM (SELECT game_id, CASE WHEN start_s < min(start_s) OVER (PARTITION BY game_id) + 9000 THEN 'warmup' ELSE phase END AS phase FROM all_rallies) GROUP BY 1, 2",
     "court_sides": SCOPE_SQL + PROBES + f"SELECT probe_id, CAST({_SIDE('x', 'y')} AS BIGINT) AS side, round({_distance('x', 'y', *d.NET)}, 3) AS net FROM probes",
@@ -215,7 +219,6 @@ CASE WHEN played_on IS NULL THEN 'vban-game-' || CAST(game_id AS VARCHAR) ELSE '
     "relink_tracklets": SCOPE_SQL + MISPAIRED + BOXES + PROBES + f", q AS (SELECT bad.play_id AS probe_id, credited FROM bad JOIN probes ON probe_id = bad.play_id), c AS (SELECT p.probe_id, tracklet_id, b.t AS bt, sqrt(pow(b.x + w / 2 - p.x, 2) + pow((b.y + h * 0.35::DOUBLE - p.y) * 0.6::DOUBLE, 2)) AS dd {NEAR} JOIN q ON q.probe_id = p.probe_id AND b.cluster_id = credited), f AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY probe_id ORDER BY dd, tracklet_id, bt) = 1) SELECT q.probe_id, tracklet_id FROM q LEFT JOIN f USING (probe_id)",
     "outside_boxes": SCOPE_SQL + BOXES + PROBES + "SELECT probe_id FROM probes p WHERE NOT EXISTS (SELECT 1 FROM boxes b WHERE b.rally_id = p.rally_id AND abs(round(b.t * 10) - round(p.t * 10)) <= 1 AND p.x BETWEEN b.x - 12 AND b.x + w + 12 AND p.y BETWEEN b.y - 14 AND b.y + h + 8)",
     "wrist_clusters": SCOPE_SQL + BOXES + PROBES + f", c AS (SELECT probe_id, cluster_id, tracklet_id, b.t AS bt, p.x BETWEEN b.x AND b.x + w AND p.y BETWEEN b.y AND b.y + h AS inside, sqrt(pow(b.x + w / 2 - p.x, 2) + pow(b.y + h / 2 - p.y, 2)) AS dd {NEAR}) SELECT probe_id, CASE WHEN count(*) FILTER (WHERE inside) = 1 THEN min(cluster_id) FILTER (WHERE inside) ELSE arg_min(cluster_id, (dd, tracklet_id, bt)) END AS cluster FROM c GROUP BY 1",
-    "known_different": ALL_SQL + "SELECT a.rally_id, a.tracklet_id AS a, b.tracklet_id AS b FROM tracklets a JOIN tracklets b ON a.rally_id = b.rally_id AND a.tracklet_id < b.tracklet_id WHERE a.t0 < b.t1 + 0.2::DOUBLE AND b.t0 < a.t1 + 0.2::DOUBLE",
     "link_contacts": SCOPE_SQL + PROBES + ", c AS (SELECT *, t + (probe_id % 9 - 4) / 64 AS ct FROM probes) SELECT play_id, arg_min(c.probe_id, (ct, c.probe_id)) AS contact_id FROM plays p JOIN c ON c.rally_id = p.rally_id AND abs(ct - p.t) < 0.05::DOUBLE GROUP BY 1",
     "static_cells": ALL_SQL + BALL + ", c AS (SELECT game_id, rally_id, CAST(floor(x / 40) AS BIGINT) AS cx, CAST(floor(y / 40) AS BIGINT) AS cy, x, y FROM ball), h AS (SELECT game_id, cx, cy FROM (SELECT game_id, rally_id, cx, cy FROM c GROUP BY ALL HAVING count(*) >= 5) GROUP BY ALL HAVING count(*) >= 2) SELECT game_id, cx, cy FROM c JOIN h USING (game_id, cx, cy) GROUP BY ALL HAVING stddev_pop(x) < 2.5 AND stddev_pop(y) < 2.5",
     "pick_moving": ALL_SQL + BALL + """, c AS (SELECT rally_id, round(t, 3) AS frame, CAST(floor(x / 40) AS BIGINT) AS cx, CAST(floor(y / 40) AS BIGINT) AS cy, x, y, conf FROM ball), fr AS (SELECT rally_id, count(DISTINCT frame) AS n FROM c GROUP BY 1),
@@ -223,16 +226,13 @@ st AS (SELECT rally_id, cx, cy FROM c JOIN fr USING (rally_id) GROUP BY rally_id
 SELECT rally_id, frame AS t, x, y, conf FROM c WHERE NOT EXISTS (SELECT 1 FROM st WHERE st.rally_id = c.rally_id AND abs(st.cx - c.cx) <= 1 AND abs(st.cy - c.cy) <= 1) QUALIFY row_number() OVER (PARTITION BY rally_id, frame ORDER BY conf DESC, x, y) = 1""",
     "camera_metrics": ALL_SQL + METRICS + "SELECT * FROM metrics",
     "compare_cameras": ALL_SQL + METRICS + "SELECT m.game_id, metric, m.value, r.value AS ref, CASE WHEN r.value <> 0 THEN round(m.value / r.value, 6) END AS ratio FROM metrics m JOIN (SELECT * FROM metrics WHERE game_id = 1) r USING (metric)",
-    "sampling_rate": ALL_SQL + BALL + ", gp AS (SELECT rally_id, lead(t) OVER (PARTITION BY rally_id ORDER BY t) - t AS gap FROM (SELECT DISTINCT rally_id, t FROM ball)), pp AS (SELECT rally_id, quantile_cont(gap, 0.75) AS p FROM gp GROUP BY 1) SELECT rally_id, coalesce(round(1 / avg(gap) FILTER (WHERE gap <= p)), 20.0::DOUBLE) AS fps FROM gp JOIN pp USING (rally_id) GROUP BY 1",
-    "ball_speed": ALL_SQL + BALL + ", l AS (SELECT rally_id, t, x, y, lead(t) OVER o - t AS dt, sqrt(pow(lead(x) OVER o - x, 2) + pow(lead(y) OVER o - y, 2)) AS dd FROM ball WINDOW o AS (PARTITION BY rally_id ORDER BY t, x, y)), sp AS (SELECT rally_id, t, x, y, CASE WHEN dt > 0 AND dt <= 0.3::DOUBLE THEN dd / dt END AS speed FROM l), ch AS (SELECT *, abs(speed - lag(speed) OVER (PARTITION BY rally_id ORDER BY t, x, y)) AS change FROM sp) SELECT rally_id, count(change) AS changes, round(max(speed), 3) AS fastest FROM ch WHERE speed > 100 GROUP BY 1",
     "night_text": TEXT,
     "duplicate_players": ALL_SQL + TWINS,
     "match_roster": ALL_SQL + ROSTER,
-    "concurrency": ALL_SQL + ", g AS (SELECT rally_id, unnest(generate_series(CAST(ceil(t0 * 2) AS BIGINT), CAST(floor(t1 * 2) AS BIGINT))) AS tick FROM tracklets) SELECT rally_id, max(n) AS most FROM (SELECT rally_id, tick, count(*) AS n FROM g GROUP BY 1, 2) GROUP BY 1",
     "action_band": ALL_SQL + BOXES + "SELECT rally_id, round(CASE WHEN count(*) < 20 THEN 540.0::DOUBLE ELSE quantile_cont(y + h / 2, 0.5) END, 4) AS middle, round(CASE WHEN count(*) < 20 THEN 800.0::DOUBLE ELSE quantile_cont(y + h / 2, 0.9) END, 4) AS low FROM boxes GROUP BY 1",
     "player_envelope": ALL_SQL + BOXES + """, sn AS (SELECT rally_id, CAST(floor(t / 0.5::DOUBLE) AS BIGINT) AS frame, min(x) AS l, max(x + w) AS r FROM boxes GROUP BY 1, 2), gr AS (SELECT rally_id, unnest(generate_series(min(frame), max(frame))) AS frame FROM sn GROUP BY 1)
 SELECT rally_id, frame, last_value(l IGNORE NULLS) OVER o - 90 AS "left", last_value(r IGNORE NULLS) OVER o + 90 AS "right" FROM gr LEFT JOIN sn USING (rally_id, frame) WINDOW o AS (PARTITION BY rally_id ORDER BY frame)""",
-    "apply_merges": SCOPE_SQL + RESOLVED + PG + "SELECT play_id, coalesce(survivor, pg.cluster_id) AS cluster_id FROM pg LEFT JOIN resolved r ON r.game_id = pg.game_id AND r.cluster_id = pg.cluster_id",
+    "apply_merges": SCOPE_SQL.replace("WITH", "WITH RECURSIVE", 1) + RESOLVED + PG + "SELECT play_id, coalesce(survivor, pg.cluster_id) AS cluster_id FROM pg LEFT JOIN resolved r ON r.game_id = pg.game_id AND r.cluster_id = pg.cluster_id",
     "apply_dismissals": SCOPE_SQL + PG + "SELECT pg.game_id, pg.cluster_id, count(*) AS plays, min(play_id) AS first_play FROM pg JOIN all_identities i ON i.game_id = pg.game_id AND i.cluster_id = pg.cluster_id WHERE dismissed GROUP BY 1, 2",
     "undo_dismissals": SCOPE_SQL + PG + "SELECT play_id, cluster_id FROM pg",
     "apply_reassign": SCOPE_SQL + PG + ", tg AS (SELECT t.*, r.game_id FROM tracklets t JOIN all_rallies r USING (rally_id)), tm AS (SELECT game_id, max(cluster_id) AS top FROM tg GROUP BY 1), nw AS (SELECT tracklet_id, top + row_number() OVER (PARTITION BY game_id ORDER BY tracklet_id) AS new FROM tg JOIN tm USING (game_id) WHERE tracklet_id % 40 = 3) SELECT play_id, coalesce(new, cluster_id) AS cluster_id FROM pg LEFT JOIN nw USING (tracklet_id)",

@@ -76,13 +76,3 @@ def load_pairs(corrections: DataFrame, found: DataFrame) -> DataFrame:
     a = corrections.select(stem("file").alias("stem"), F.struct(*corrections.columns).alias("corrections"))
     b = found.select(stem("file").alias("stem"), F.struct(*found.columns).alias("found"))
     return a.join(b, "stem")
-
-
-def save(df: DataFrame, path: str, by: str | None = None) -> None:
-    """Write a table as Parquet, games by night, facts by a hash of their game."""
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(by) if by else writer).parquet(path)
-
-
-def load(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -18,11 +18,53 @@ def view_stream(spark: SparkSession, folder: str, files: str = "*.parquet") -> D
     return rows.select(F.col("event_type").alias("path"), F.col("user_id").alias("visitor"), F.col("ts").alias("created_at"))
 
 
-def hourly(views: DataFrame, late: str = "1 hour", zone: str = "UTC") -> DataFrame:
-    """hour, path, views and about how many visitors in tumbling hours; rows later than `late` are dropped."""
+#: Parts that a page's visitors are dealt to, so that a busy page's state isn't in one place.
+PARTS = 16
+
+
+def hourly(views: DataFrame, late: str = "1 hour", zone: str = "UTC", parts: int = PARTS) -> DataFrame:
+    """hour, path, part, views and visitors of tumbling hours, exact, each time they change; rows of hours that `late` has passed are dropped.
+
+    The state of an hour, page and part of the visitors is its count and who was seen, and goes when the hour has passed.
+    A visitor is always in the same part, so parts add up.
+    """
     local = views.withColumn("at", F.from_utc_timestamp("created_at", zone)).withWatermark("at", late)
-    counted = local.groupBy(F.window("at", "1 hour").alias("w"), "path").agg(F.count(F.lit(1)).alias("views"), F.approx_count_distinct("visitor").alias("visitors"))
-    return counted.select(F.col("w.start").alias("hour"), "path", "views", "visitors")
+    keyed = local.select("at", F.date_trunc("hour", "at").alias("hour"), "path", F.pmod(F.xxhash64("visitor"), F.lit(parts)).cast("int").alias("part"), F.col("visitor").cast("string").alias("visitor"))
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        end = int(pd.Timestamp(key[0]).tz_localize("UTC").timestamp() * 1000) + 3_600_000
+        if end <= state.getCurrentWatermarkMs():
+            return
+        n, seen = state.get if state.exists else (0, [])
+        seen = set(seen)
+        for f in frames:
+            n += len(f)
+            seen.update(f["visitor"].dropna())
+        state.update((n, sorted(seen)))
+        state.setTimeoutTimestamp(end)
+        yield pd.DataFrame({"hour": [key[0]], "path": [key[1]], "part": [key[2]], "views": [n], "visitors": [len(seen)]})
+
+    out, kept = "hour timestamp, path string, part int, views long, visitors long", "views long, visitors array<string>"
+    return keyed.groupBy("hour", "path", "part").applyInPandasWithState(step, out, kept, "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def latest(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Run `hourly` over what there is; hour, path, views and visitors as they last were, open hours included.
+
+    Each batch is a folder of its own that a repeated batch overwrites, so nothing counts twice after a failure.
+    """
+    spark = stream.sparkSession
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    stream.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(T.StructType(stream.schema.fields + [T.StructField("batch", T.LongType())])).parquet(path)
+    last = rows.groupBy("hour", "path", "part").agg(F.max_by(F.struct("views", "visitors"), "batch").alias("v"))
+    return last.groupBy("hour", "path").agg(F.sum("v.views").alias("views"), F.sum("v.visitors").alias("visitors"))
 
 
 def dedupe(rows: DataFrame, keys: list[str], at: str, late: str = "1 day") -> DataFrame:
@@ -56,11 +98,3 @@ def drain(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
