@@ -8,9 +8,15 @@ from pyspark.sql.window import Window
 
 
 def touches(plays: DataFrame, rallies: DataFrame, identities: DataFrame) -> DataFrame:
-    """Plays with their rally's outcome and their own identity (left). Plays move by rally, then by game and cluster; grades move them by rally again."""
-    teams = identities.select("game_id", "cluster_id", "team", "player_id", "name")
-    return plays.join(rallies, "rally_id").join(teams, ["game_id", "cluster_id"], "left")
+    """Plays with their rally's outcome and their own identity (null where the game has none of that cluster).
+
+    A game's identities, some dozens, go to its rallies as a map, so that plays move by rally alone, or not at all where
+    both tables are bucketed by it; the windows of grades need that same partitioning.
+    """
+    who = F.struct("cluster_id", F.struct("team", "player_id", "name").alias("who"))
+    rosters = identities.where("cluster_id is not null").groupBy("game_id").agg(F.map_from_entries(F.collect_list(who)).alias("_who"))
+    rows = plays.join(rallies.join(rosters, "game_id", "left"), "rally_id").withColumn("_own", F.try_element_at("_who", F.col("cluster_id")))
+    return rows.withColumns({c: F.col(f"_own.{c}") for c in ("team", "player_id", "name")}).drop("_who", "_own")
 
 
 def derive_grades(plays: DataFrame, rallies: DataFrame, identities: DataFrame, typed_only: bool = False) -> DataFrame:
@@ -26,15 +32,12 @@ def derive_grades(plays: DataFrame, rallies: DataFrame, identities: DataFrame, t
     i, out, kind = F.col("_i"), F.col("outcome_type"), F.col("play_type")
     mine = F.col("outcome_cluster").isNull() | F.coalesce(F.col("cluster_id") == F.col("outcome_cluster"), F.lit(False))
     last = lambda cond: F.max(F.when(cond, i)).over(whole)
-    df = df.withColumn("_i", F.row_number().over(w)).withColumn("_n", F.count(F.lit(1)).over(whole))
-    df = df.withColumn("_next_team", F.lead("team").over(w)).withColumn("_next_type", F.lead("play_type").over(w))
-    df = (
-        df.withColumn("_kill", last((out == "kill") & (kind == "attack") & mine))
-        .withColumn("_atkerr", last((out == "attack_error") & (kind == "attack") & mine))
-        .withColumn("_blocked", last((out == "block") & (kind == "attack")))
-        .withColumn("_stuff", last((out == "block") & (kind == "block") & mine))
-        .withColumn("_rec", last((out == "ace") & (kind == "receive")))
-    ).withColumn("_kill_team", F.max(F.when(i == F.col("_kill"), F.col("team"))).over(whole))
+    # what one window can tell is asked of it at once
+    df = df.withColumns({"_i": F.row_number().over(w), "_next_team": F.lead("team").over(w), "_next_type": F.lead("play_type").over(w)})
+    df = df.withColumns({
+        "_n": F.count(F.lit(1)).over(whole), "_kill": last((out == "kill") & (kind == "attack") & mine), "_atkerr": last((out == "attack_error") & (kind == "attack") & mine),
+        "_blocked": last((out == "block") & (kind == "attack")), "_stuff": last((out == "block") & (kind == "block") & mine), "_rec": last((out == "ace") & (kind == "receive")),
+    }).withColumn("_kill_team", F.max(F.when(i == F.col("_kill"), F.col("team"))).over(whole))
     same = lambda other: F.coalesce(F.col("team") == other, F.lit(True))
     is_last, before_kill = i == F.col("_n"), F.coalesce(i == F.col("_kill") - 1, F.lit(False))
     over = before_kill & F.coalesce(F.col("team") != F.col("_kill_team"), F.lit(False))

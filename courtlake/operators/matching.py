@@ -51,11 +51,11 @@ def _cuts(name: Column) -> Column:
 
 
 def duplicate_players(players: DataFrame) -> DataFrame:
-    """a, b, reason: players of the same normalised name, or else whose names as displayed differ by one edit, case apart.
+    """a, b, reason: players of the same normalised name, or else whose names as displayed differ by one edit, case apart. Blank names are nobody's.
 
     Pairs come from equi-joins on the normalised name and on names without one letter, never from all pairs.
     """
-    rows = players.select("player_id", norm_name(F.col("name")).alias("n"), F.lower(F.coalesce("name", F.lit(""))).alias("l"))
+    rows = players.select("player_id", norm_name(F.col("name")).alias("n"), F.lower("name").alias("l")).where("n <> ''")
 
     def pairs(key: Column) -> DataFrame:
         keyed = rows.withColumn("_k", key)

@@ -96,7 +96,7 @@ def training_frames(arcs: DataFrame, fired: DataFrame, share: float = 0.3, hard_
     asked = times.withColumn("_b", F.floor(F.col("t") / away))
     clear = asked.join(taken, (asked["game_id"] == taken["game_id"]) & (asked["_b"] == taken["_b"]) & (F.abs(asked["t"] - taken["s"]) < away), "left_anti")
     negatives = clear.select("game_id", "t", F.lit("negative").alias("kind"), F.lit(None).cast("int").alias("box"))
-    tenth = F.bround("t", 1).alias("_tenth")
+    tenth = F.floor(F.col("t") * 10 + 0.5).alias("_tenth")
     kept = arcs.select("game_id", "rally_id", tenth).distinct()
     fooled = fired.select("game_id", "rally_id", "t", tenth).distinct().join(kept, ["game_id", "rally_id", "_tenth"], "left_anti")
     fooled = fooled.withColumn("_i", F.row_number().over(Window.partitionBy("game_id", "rally_id").orderBy("t")) - 1).where(F.col("_i") % every == 0)

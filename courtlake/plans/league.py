@@ -117,6 +117,16 @@ def _pairs(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     return sequences.match_touches(predicted, truth), predicted, truth
 
 
+def _judged(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    _, predicted, truth = _pairs(t)
+    mapping = evaluation.map_rallies(t["rallies"], _found_rallies(t))
+    return evaluation.judge_touches(predicted.withColumnRenamed("rally_id", "found_id"), truth.drop("game_id"), mapping, scope.resolve_merges(t["all"]["identities"])), mapping, truth
+
+
+def _sided(t: Tables) -> DataFrame:
+    return t.probes().withColumn("side", d.side(F.col("x"), F.col("y"))).withColumn("cluster", F.when(F.col("probe_id") % 4 != 0, F.col("cluster_id")))
+
+
 QUERIES = {
     "live_identities": lambda t: t["identities"].select("identity_id", "game_id", "cluster_id", "name", "player_id", "team"),
     "scoped_touches": lambda t: t["plays"].join(t["rallies"].select("rally_id", "game_id", "played_on"), "rally_id").groupBy("game_id", "played_on").agg(F.count(F.lit(1)).alias("touches"), F.countDistinct("rally_id").alias("rallies")),
@@ -186,10 +196,11 @@ QUERIES = {
     "queue_rollup": lambda t: matching.queue_rollup(_jobs(t)),
     "map_rallies": lambda t: evaluation.map_rallies(t["rallies"], _found_rallies(t)),
     "match_touches": lambda t: _pairs(t)[0],
-    "evaluation_funnel": lambda t: evaluation.funnel(*_pairs(t)),
+    "evaluation_funnel": lambda t: evaluation.funnel(*_judged(t)),
+    "type_confusions": lambda t: evaluation.confusions(_judged(t)[0]),
     "find_contacts": lambda t: sequences.find_contacts(t.ball().dropDuplicates(["rally_id", "t"])),
     "classify_contacts": lambda t: sequences.classify(t.probes().withColumn("side", d.side(F.col("x"), F.col("y")))).drop("config"),
-    "sweep_typing": lambda t: sequences.sweep_typing(t.probes().withColumn("side", d.side(F.col("x"), F.col("y"))), t["plays"].select(F.col("play_id").alias("probe_id"), "play_type")),
+    "sweep_typing": lambda t: sequences.sweep_typing(_sided(t), t["plays"].select(F.col("play_id").alias("probe_id"), "play_type", "cluster_id")),
     "thin_points": lambda t: sequences.thin(t.ball()),
     "link_nearest": lambda t: sequences.link_nearest(t.ball()),
     "local_days": lambda t: t["views"].groupBy(n.played_on(F.col("created_at"), "America/New_York").alias("day")).agg(F.count(F.lit(1)).alias("views"), F.countDistinct("visitor").alias("visitors")).orderBy(F.desc("day")).limit(90),

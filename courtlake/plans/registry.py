@@ -26,8 +26,7 @@ def _views(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "derive_grades": lambda t: _graded(t).select("rally_id", "play_id", "play_type", "grade"),
     "player_stats": _stats,
-    # a digest by its SQL; leaderboards_all lists every player
-    "leaderboards": lambda t: s.leaderboards(_stats(t), top=10),
+    "leaderboards": lambda t: s.leaderboards(_stats(t)),
     "leaderboards_all": lambda t: s.leaderboards(_stats(t)),
     "scores": lambda t: g.scores(t["rallies"], t["identities"]),
     "rally_positions": lambda t: g.rally_positions(t["rallies"], t["identities"]),
@@ -145,7 +144,7 @@ SELECT game_id, row_number() OVER (PARTITION BY game_id ORDER BY score DESC, ral
 SELECT played_on, rally_id, CAST(floor(duration + 0.5) AS BIGINT) AS seconds, coalesce(touches, 0) AS touches FROM rallies LEFT JOIN c USING (rally_id) WHERE duration IS NOT NULL QUALIFY row_number() OVER (PARTITION BY played_on ORDER BY duration DESC, rally_id) = 1""",
         "volume_floors": STATS + "SELECT CAST(greatest(8, ceil(0.3::DOUBLE * coalesce(max(attack), 0))) AS BIGINT) AS attack_floor, CAST(greatest(8, ceil(0.3::DOUBLE * coalesce(max(receive + dig), 0))) AS BIGINT) AS defence_floor FROM stats",
         "find_kills": GRADED + "SELECT rally_id, play_id, i AS ordinal, key FROM graded WHERE play_type = 'attack' AND grade = 'kill'",
-        "traffic_pages": "SELECT event_type AS path, count(*) AS views, count(DISTINCT user_id) AS visitors FROM events GROUP BY 1 ORDER BY views DESC, path LIMIT 10",
+        "traffic_pages": "SELECT event_type AS path, count(*) AS views, count(DISTINCT user_id) AS visitors FROM events GROUP BY 1",
     }
 
 
@@ -155,7 +154,7 @@ def oracle_sql() -> dict:
     return _roster_sql() | {
         "derive_grades": GRADED + "SELECT rally_id, play_id, play_type, grade FROM graded",
         "player_stats": STATS + "SELECT * FROM stats",
-        "leaderboards": STATS + f", b AS ({union}), r AS (SELECT board, row_number() OVER (PARTITION BY board ORDER BY metric DESC, key) AS rank, key, metric, round(metric / games, 4) AS per_game FROM b WHERE metric > 0 OR board = 'scorers') SELECT * FROM r WHERE rank <= 10",
+        "leaderboards": STATS + f", b AS ({union}) SELECT board, row_number() OVER (PARTITION BY board ORDER BY metric DESC, key) AS rank, key, metric, round(metric / games, 4) AS per_game FROM b WHERE metric > 0 OR board = 'scorers'",
         "leaderboards_all": STATS + f", b AS ({union}) SELECT board, row_number() OVER (PARTITION BY board ORDER BY metric DESC, key) AS rank, key, metric, round(metric / games, 4) AS per_game FROM b WHERE metric > 0 OR board = 'scorers'",
         "scores": WON + "SELECT game_id, count(*) FILTER (WHERE winner = 'A') AS a, count(*) FILTER (WHERE winner = 'B') AS b, bool_or(winner IS NULL) AS approx FROM w WHERE outcome_type IS NOT NULL GROUP BY 1 HAVING count(winner) > 0",
         "rally_positions": WON + "SELECT game_id, rally_id, row_number() OVER o AS ordinal, count(*) OVER (PARTITION BY game_id) AS total, lag(rally_id) OVER o AS prev_id, lead(rally_id) OVER o AS next_id, CAST(count(*) FILTER (WHERE winner = 'A') OVER o AS BIGINT) AS a, CAST(count(*) FILTER (WHERE winner = 'B') OVER o AS BIGINT) AS b FROM w WINDOW o AS (PARTITION BY game_id ORDER BY played_on, rally_id)",

@@ -85,15 +85,13 @@ def test_play_types():
 
 
 def test_thin_link_path_cluster(spark):
-    from courtlake.operators.sequences import ball_path, cluster_identities, link_nearest, thin
+    from courtlake.operators.sequences import cluster_identities, link_nearest, thin
 
     pts = [(r, k / 10, float(10 * k + 500 * (k % 2)), 5.0, 0.9) for r in (1, 2) for k in range(30)]
     df = spark.createDataFrame(pts, "rally_id long, t double, x double, y double, conf double")
     assert [r["t"] for r in thin(df.where("rally_id = 1")).orderBy("t").collect()] == [0.0, 0.5, 1.0, 1.5, 2.0, 2.5]
     tracks = link_nearest(df).groupBy("rally_id", "track").count().collect()
     assert sorted((r["rally_id"], r["count"]) for r in tracks) == [(1, 15), (1, 15), (2, 15), (2, 15)]
-    flat = spark.createDataFrame([(1, k / 10, 3.0, 4.0, 0.9) for k in range(20)] + [(1, 0.55, 900.0, 900.0, 0.1)], df.schema)
-    assert {(round(r["x"], 6), round(r["y"], 6)) for r in ball_path(flat).collect()} == {(3.0, 4.0)}
     people = [(1, 1, 0.0, 1.0, [1.0, 0.0]), (1, 2, 2.0, 3.0, [1.0, 0.01]), (1, 3, 2.5, 3.5, [1.0, 0.0]), (1, 4, 9.0, 9.5, [0.0, 1.0])]
     got = {r["tracklet_id"]: r["cluster"] for r in cluster_identities(spark.createDataFrame(people, "game_id long, tracklet_id long, t0 double, t1 double, embedding array<double>")).collect()}
     assert got[1] == got[3] and len({got[1], got[2], got[4]}) == 3
@@ -105,7 +103,8 @@ def test_segment(spark):
     motion = [("v", s, 1.0 if 5 <= s < 12 or 14 <= s < 20 or s in (40, 41) else 0.0) for s in range(60)]
     audio = [("v", q, 9.0 if q in (30, 31, 40) else 0.1) for q in range(240)]
     got = segment(spark.createDataFrame(motion, "video string, sec long, v double"), spark.createDataFrame(audio, "video string, q long, peak double")).collect()
-    assert [(r["start_s"], r["end_s"]) for r in got if r["start_s"] < 30] == [(5, 20)] or [(r["start_s"], r["end_s"]) for r in got if r["start_s"] < 30] == [(4, 21)]
+    # zeros at the ends and means of three seconds: active from second 5 to 19 at the level of 0.35
+    assert [(r["start_s"], r["end_s"]) for r in got if r["start_s"] < 30] == [(5, 20)]
     assert got[0]["contacts_per_10s"] > 0
     samples = spark.createDataFrame([("v", i, float(-i % 7)) for i in range(9000)], "video string, i long, v double")
     assert audio_peaks(samples).orderBy("q").count() == 2
