@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -83,11 +83,12 @@ def hashed(vectors: DataFrame, functions: int) -> DataFrame:
                     n, t, p = code.shape
                     rep = np.repeat(np.arange(n), t * p)
                     yield pa.RecordBatch.from_arrays(
-                        [part.column("label").take(pa.array(rep)).cast(pa.int64()), part.column("d").take(pa.array(rep)).cast(pa.int32()), pa.array(np.tile(np.repeat(np.arange(t, dtype=np.int32), p), n)), pa.array(code.ravel()), part.column("id").take(pa.array(rep)), pa.array(np.tile(np.arange(p) == 0, n * t))],
+                        [part.column("label").take(pa.array(rep)), part.column("d").take(pa.array(rep)).cast(pa.int32()), pa.array(np.tile(np.repeat(np.arange(t, dtype=np.int32), p), n)), pa.array(code.ravel()), part.column("id").take(pa.array(rep)), pa.array(np.tile(np.arange(p) == 0, n * t))],
                         ["label", "d", "t", "bucket", "id", "own"],
                     )
 
-    rows = vectors.select("label", "d", "id", "vector").mapInArrow(run, "label long, d int, t int, bucket long, id long, own boolean")
+    kind = vectors.schema["label"].dataType.simpleString()
+    rows = vectors.select("label", "d", "id", "vector").mapInArrow(run, f"label {kind}, d int, t int, bucket long, id long, own boolean")
     return rows.groupBy("label", "d", "t", "bucket", "id").agg(F.max("own").alias("own"))
 
 
@@ -130,10 +131,19 @@ def _degrees(t: pa.Table) -> tuple | None:
     return (ids[left], got) if i == j else (np.concatenate([ids[left], ids[right]]), np.concatenate([got, back]))
 
 
+def exact_label(rows: DataFrame, column: str) -> Column:
+    """The label as a whole number where its type is one, else as text that equal labels alone share."""
+    kind = rows.schema[column].dataType.simpleString()
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        return F.col(column).cast("long")
+    plain = F.col(column) + F.lit(0.0).cast(kind) if kind in ("float", "double") else F.col(column)  # -0.0 is 0.0
+    return plain.cast("string")
+
+
 def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """id, n_links, component_id and kept of every vector.
 
-    Vectors link within a label (null labels never) if their cosine in double precision is COSINE or more. Vectors
+    Vectors link within a label (of any type; null labels never) if their cosine in double precision is COSINE or more. Vectors
     that are null, empty, zero or hold null or non-finite components, and rows without an id, link with nothing.
     Copies are collapsed first and counted. Buckets propose pairs of which one stands in its own bucket; each bucket
     gives a spanning tree of its verified links, and within the components of those all pairs are verified, so that
@@ -144,7 +154,8 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     v = F.col(vector_col)
     fine = F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & F.coalesce(F.size(v) > 0, F.lit(False))
     finite = F.coalesce(F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))) & F.exists(v, lambda x: x != 0), F.lit(False))
-    keyed = rows.select(F.col(id_col), v.alias("vector"), F.col(label_col).cast("long").alias("label"), F.when(fine & finite, F.xxhash64(label_col, vector_col)).alias("h1"), F.when(fine & finite, F.xxhash64(F.lit(SEED), vector_col, label_col)).alias("h2"))
+    keyed = rows.select(F.col(id_col), v.alias("vector"), exact_label(rows, label_col).alias("label"), (fine & finite).alias("_ok"))
+    keyed = keyed.select(id_col, "vector", "label", F.when(F.col("_ok"), F.xxhash64("label", "vector")).alias("h1"), F.when(F.col("_ok"), F.xxhash64(F.lit(SEED), "vector", "label")).alias("h2"))
     ids = cut(keyed.select(id_col, "h1", "h2"), "vector-ids")
     distinct = cut(
         keyed.where("h1 is not null").groupBy("h1", "h2").agg(F.min(id_col).alias("id"), F.count(F.lit(1)).alias("copies"), F.first("label").alias("label"), F.first("vector").alias("vector")).withColumn("d", F.size("vector")),

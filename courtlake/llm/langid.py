@@ -18,6 +18,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from .memory import tidy
+from .scratch import cut, small
 
 UNKNOWN = "und"
 #: Longest context in bytes; training documents of each language (the bound of the sample); times a longest context
@@ -146,7 +147,7 @@ def teaching(training: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return training.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & has_letter(F.col(text_col)))
 
 
-def identify(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None, sample: int = SAMPLE) -> DataFrame:
+def identify(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None, sample: int = SAMPLE, judge: bool = False) -> DataFrame:
     """Add lang_pred and score to the columns `keep` (id alone) of every document.
 
     `training` rows without a language, without an id or without a letter teach nothing; of each language at most
@@ -154,14 +155,15 @@ def identify(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_
     or hold no letter, and all texts if nothing could be learned, are `und` with score 0. Ties go to the language
     that is first in order. The score is the odds of the best language, its lead in bits counted for SCORE_BYTES
     bytes at most. Empty tables give empty tables, and repeated rows are judged alike. Kept columns named lang_pred
-    or score give way to the new ones.
+    or score give way to the new ones. With `judge` a text is `und` as well if no language's code for it is shorter than
+    equal odds of all symbols, as noise is in every language.
     """
     spark = docs.sparkSession
     rows = teaching(training, id_col, text_col, lang_col)
     by_hash = Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col)
     chosen = rows.select(id_col, lang_col).withColumn("_n", F.row_number().over(by_hash)).where(F.col("_n") <= sample).select(id_col).distinct()
-    # at most `sample` ids for each language
-    model = train(rows.join(F.broadcast(chosen), id_col), text_col, lang_col)
+    # at most `sample` ids for each language, however many languages there are
+    model = train(rows.join(small(cut(chosen, "language-sample")), id_col), text_col, lang_col)
     shared = spark.sparkContext.broadcast(model)
     keep = [c for c in keep or [id_col] if c not in ("lang_pred", "score")]
     lean = docs.select(*keep, F.when(has_letter(F.col(text_col)), F.col(text_col)).alias("_judged"))
@@ -173,7 +175,7 @@ def identify(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_
             if shared.value is not None and b.num_rows:
                 data, at = text_bytes(texts)
                 bits, n = code_lengths(data, at, shared.value), np.diff(at)
-                known = n > 0
+                known = (n > 0) & (bits.min(1) < n * np.log2(N) if judge else True)
                 lead = (bits - bits.min(1, keepdims=True)) * (np.minimum(n, SCORE_BYTES) / np.maximum(n, 1))[:, None]
                 scores = np.where(known, 1 / np.exp2(-np.minimum(lead, 900)).sum(1), 0.0)
                 names = np.where(known, np.array(shared.value[0], object)[bits.argmin(1)], UNKNOWN)
