@@ -14,23 +14,29 @@ from courtlake.llm.sharding import shard_documents
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no language can be told (null, or without a letter) go. Where nothing can be learned all stay."""
+    """Documents in which no language can be told go: null, without a letter, or not coded shorter by any learned language than
+    by equal odds of all symbols, as noise isn't. Where nothing can be learned all stay. Rows keep all columns, a very
+    long text is coded in pieces, repeated rows and ids are judged alike.
+    """
     training = docs.where(~held_out("doc_id"))
     if teaching(training).isEmpty():
         return docs
     rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
-    return identify(rows, training, keep=["_row"]).where(F.col("lang_pred") != UNKNOWN).select("_row.*")
+    return identify(rows, training, keep=["_row"], judge=True).where(F.col("lang_pred") != UNKNOWN).select("_row.*")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents that links of word shingles join the one of the smallest id stays; null and empty texts link with nothing."""
     return keep_first(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold 0.8 or more of a benchmark item's shingles go, also where ids are null or repeat."""
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them: not at all, once or twice; a source that is null is one of its own."""
     return mix_documents(docs)
 
 
