@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from courtlake.functions.names import near_name, norm_name
+from courtlake.functions.names import near_name, norm_name, public_caption
 
 EMAIL = r"^[^\s@]+@[^\s@]+\.[^\s@]+$"
 
@@ -124,9 +124,10 @@ def match_bundles(games: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def reel(shorts: DataFrame, games: DataFrame, n: int = 12) -> DataFrame:
-    """The newest shorts of published games, undated last."""
-    shown = shorts.join(games.where("published").select("game_id", "played_on"), "game_id")
-    return shown.orderBy(F.col("played_on").desc_nulls_last(), F.desc("short_id")).limit(n)
+    """short_id, video_id, caption of the `n` newest published shorts that are online and whose game is public, undated last; captions without surnames."""
+    shown = shorts.where("status = 'published' and video_id is not null").join(games.where("published").select("game_id"), "game_id")
+    newest = shown.orderBy(F.col("published_at").desc_nulls_last(), F.desc("short_id")).limit(n)
+    return newest.select("short_id", "video_id", public_caption(F.col("caption")).alias("caption"))
 
 
 def recent_jobs(jobs: DataFrame, n: int = 20) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from courtlake.functions import names as n
 from courtlake.sources.store import written
 
 
@@ -116,6 +117,32 @@ def export_corrections(tables: dict[str, DataFrame]) -> DataFrame:
     )
 
 
+def game_documents(tables: dict[str, DataFrame]) -> DataFrame:
+    """One nested document for each game: game_id, name, slug, played_on, video_stem, review_stats, pipeline, identities, rallies.
+
+    rallies are all of the game in order of time, each with its outcome, completeness, kept and removed touches;
+    identities keep their row ids, which merges point at. A game's rallies and identities are some dozens.
+    """
+    docs = export_corrections(tables | {"rallies": tables["rallies"].withColumn("_phase", F.col("phase")).withColumn("phase", F.lit("game"))})
+    phases = tables["rallies"].select("rally_id", "phase")
+    docs = docs.join(phases, "rally_id")
+    rally = F.struct("start_s", "rally_id", "end_s", "phase", F.when(F.col("outcome_type").isNotNull(), F.struct(F.col("outcome_type").alias("type"), F.col("outcome_cluster").alias("cluster"))).alias("outcome"), "touches_complete", "plays", "removed")
+    rallies = docs.groupBy("game_id").agg(
+        F.sort_array(F.collect_list(rally)).alias("rallies"), F.sum("changed").alias("_changed"), F.count("outcome_type").alias("_outcomes"), F.count_if(F.col("touches_complete") & (F.col("phase") == "game")).alias("_complete")
+    )
+    people = tables["identities"].groupBy("game_id").agg(F.sort_array(F.collect_list(F.struct("identity_id", "cluster_id", "name", "dismissed", "merged_into"))).alias("identities"), F.count("name").alias("_named"))
+    slots = resequence(tables["games"]).select("game_id", "slot")
+    rows = tables["games"].join(slots, "game_id", "left").join(rallies, "game_id", "left").join(people, "game_id", "left")
+    has = lambda c: F.col(c) if c in tables["games"].columns else F.lit(None).cast("string")
+    stem = F.regexp_replace(F.regexp_replace(F.lower(F.trim(F.coalesce(n.file_stem(has("source_file")), "name"))), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    count = lambda c: F.coalesce(c, F.lit(0))
+    stats = F.struct(count("_changed").alias("corrected_or_removed"), count("_outcomes").alias("outcomes_set"), count("_complete").alias("complete_rallies"), count("_named").alias("named_identities"))
+    return rows.select(
+        "game_id", n.display_name(F.col("label"), F.col("played_on"), F.col("slot"), F.col("name"), F.col("game_id")).alias("name"), n.game_slug(F.col("played_on"), F.col("slot"), F.col("game_id")).alias("slug"), "played_on",
+        F.when(stem != "", stem).otherwise("game").alias("video_stem"), stats.alias("review_stats"), has("pipeline").alias("pipeline"), "identities", "rallies",
+    )
+
+
 def export_stats(documents: DataFrame, identities: DataFrame) -> DataFrame:
     """Per game: touches corrected or removed, outcomes set, complete rallies, named identities."""
     named = identities.groupBy("game_id").agg(F.count("name").alias("named"))

@@ -13,7 +13,7 @@ BUNDLE = """name string, recorded_at string, source_file string,
  rallies array<struct<start: double, `end`: double, phase: string, clip: string, ball: array<array<double>>, contacts: array<struct<t: double, x: double, y: double, play: string, cluster: bigint, tracklet: bigint, dist_px: double, side: int>>>>,
  tracklets array<struct<id: bigint, rally: int, t0: double, t1: double, cluster: bigint, crops: array<string>, emb: array<double>, boxes: array<array<double>>>>,
  clusters array<struct<cluster: bigint, size: bigint, crops: array<string>>>,
- pipeline struct<vbpipe_version: string, stages: map<string, map<string, string>>>"""
+ pipeline struct<vbpipe_version: string, stages: map<string, struct<at: string, vbpipe_version: string, config: map<string, string>, params: map<string, string>, env: map<string, string>>>>"""
 
 
 def read_bundles(spark: SparkSession, path: str) -> DataFrame:
@@ -63,11 +63,37 @@ def typicality(tracklets: DataFrame, clusters: DataFrame) -> DataFrame:
     return rows.select("tracklet_id", F.coalesce(cosine(F.col("embedding"), F.col("_c")), F.lit(-1.0)).alias("typicality"))
 
 
+def parse_pipeline(bundles: DataFrame) -> DataFrame:
+    """file, stage, at, version, config, params, env of each stage that a document was made by, and training: whether it tells its version.
+
+    A stage's own version counts before the document's. Documents without a stamp have one row without a stage, for
+    evaluation alone. Settings are maps of texts, so that generations can be grouped by any of them.
+    """
+    rows = bundles.select("file", F.col("pipeline.vbpipe_version").alias("_v"), F.explode_outer("pipeline.stages").alias("stage", "s"))
+    version = F.coalesce("s.vbpipe_version", "_v")
+    return rows.select("file", "stage", F.to_timestamp("s.at").alias("at"), version.alias("version"), "s.config", "s.params", "s.env", (F.col("stage").isNotNull() & version.isNotNull()).alias("training"))
+
+
+#: The court and the net that stand where a video has no calibration, in shares of the picture.
+DEFAULT_COURT = [(0.297, 0.5), (0.664, 0.493), (0.805, 0.653), (0.781, 0.944), (0.078, 0.993), (0.074, 0.917)]
+DEFAULT_NET = [(0.34, 0.667), (0.7, 0.796)]
+
+
 def court_for(games: DataFrame, calibrations: DataFrame) -> DataFrame:
-    """game_id and the calibration of its video, else that called _default, else the built-in one (court null)."""
-    own = games.join(calibrations.select(F.col("video").alias("name"), "court"), "name", "left")
-    default = calibrations.where("video = '_default'").select(F.col("court").alias("_default")).limit(1)
-    return own.join(F.broadcast(default), how="left").select("game_id", F.coalesce("court", "_default").alias("court"))
+    """game_id, court, net, source: the calibration of a game's video, else the one called _default, else the built-in one.
+
+    A calibration has playing_area and net_base, or court_poly and net as older files call them; one that lacks either
+    leaves that to the built-in values, as a whole file's entry counts before the default's.
+    """
+    points = "array<array<double>>"
+    of = lambda *names: F.coalesce(*(F.col(n) if n in calibrations.columns else F.lit(None).cast(points) for n in names))
+    known = calibrations.select("video", F.struct(of("playing_area", "court_poly").alias("court"), of("net_base", "net").alias("net")).alias("c"))
+    default = known.where("video = '_default'").agg(F.first("c").alias("_d"))  # one row
+    rows = games.select("game_id", "name").join(known.where("video <> '_default'").withColumnRenamed("video", "name"), "name", "left").crossJoin(F.broadcast(default))
+    chosen = rows.withColumn("_c", F.coalesce("c", "_d"))
+    fixed = lambda at: F.array(*(F.array(F.lit(x), F.lit(y)) for x, y in at))
+    source = F.when(F.col("c").isNotNull(), "video").when(F.col("_d").isNotNull(), "default").otherwise("built-in")
+    return chosen.select("game_id", F.coalesce("_c.court", fixed(DEFAULT_COURT)).alias("court"), F.coalesce("_c.net", fixed(DEFAULT_NET)).alias("net"), source.alias("source"))
 
 
 def load_pairs(corrections: DataFrame, found: DataFrame) -> DataFrame:
