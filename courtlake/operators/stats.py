@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from courtlake.sources.store import written
+
 #: Counters of touches as (type, grade or None), and of rally outcomes.
 TOUCH = {
     "serve": ("serve", None), "receive": ("receive", None), "dig": ("dig", None), "set": ("set", None), "attack": ("attack", None), "block": ("block", None),
@@ -78,12 +80,19 @@ def compare_players(stats: DataFrame, by: list[str]) -> DataFrame:
 def leaderboards(stats: DataFrame, top: int | None = None) -> DataFrame:
     """board, rank, key, metric, per_game of seven boards; players without any are hidden but on the scorers' board.
 
-    All others are listed; `top` keeps the first ones of each board only.
+    All others are listed; `top` keeps the first ones of each board only. A range shuffle by board and metric deals the
+    rows, and counts of the tasks before give each task's first ranks, so no board is sorted in one task.
     """
     boards = {"scorers": "kill + ace + stuff", "attackers": "kill", "blockers": "stuff", "servers": "ace", "setters": "assist", "diggers": "dig_ok", "receivers": "rec_pos"}
     rows = stats.select("key", "games", F.explode(F.array(*(F.struct(F.lit(b).alias("board"), F.expr(e).cast("long").alias("metric")) for b, e in boards.items()))).alias("m")).select("m.*", "key", "games")
-    w = Window.partitionBy("board").orderBy(F.desc("metric"), "key")
-    ranked = rows.where("metric > 0 or board = 'scorers'").withColumn("rank", F.row_number().over(w).cast("long"))
+    order = [F.col("board"), F.desc("metric"), F.col("key")]
+    dealt = written(rows.where("metric > 0 or board = 'scorers'").repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "boards")
+    # one row for each task and board
+    counts = dealt.groupBy("_part", "board").agg(F.count(F.lit(1)).alias("_n"))
+    ahead = Window.partitionBy("board").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("_part", "board", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_part", "board").orderBy(F.desc("metric"), "key")
+    ranked = dealt.withColumn("_r", F.row_number().over(inside)).join(before, ["_part", "board"]).withColumn("rank", F.col("_r") + F.col("_before"))
     ranked = ranked if top is None else ranked.where(F.col("rank") <= top)
     return ranked.select("board", "rank", "key", "metric", F.round(F.col("metric") / F.col("games"), 4).alias("per_game"))
 
