@@ -155,8 +155,8 @@ def identify(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_
     or hold no letter, and all texts if nothing could be learned, are `und` with score 0. Ties go to the language
     that is first in order. The score is the odds of the best language, its lead in bits counted for SCORE_BYTES
     bytes at most. Empty tables give empty tables, and repeated rows are judged alike. Kept columns named lang_pred
-    or score give way to the new ones. With `judge` a text is `und` as well if no language's code for it is shorter than
-    equal odds of all symbols, as noise is in every language.
+    or score give way to the new ones. With `judge` a text of SCORE_BYTES bytes or more is `und` as well if
+    no language's code for it is shorter than equal odds of all symbols, as for noise.
     """
     spark = docs.sparkSession
     rows = teaching(training, id_col, text_col, lang_col)
@@ -175,7 +175,7 @@ def identify(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_
             if shared.value is not None and b.num_rows:
                 data, at = text_bytes(texts)
                 bits, n = code_lengths(data, at, shared.value), np.diff(at)
-                known = (n > 0) & (bits.min(1) < n * np.log2(N) if judge else True)
+                known = (n > 0) & ((bits.min(1) < n * np.log2(N)) | (n < SCORE_BYTES) if judge else True)
                 lead = (bits - bits.min(1, keepdims=True)) * (np.minimum(n, SCORE_BYTES) / np.maximum(n, 1))[:, None]
                 scores = np.where(known, 1 / np.exp2(-np.minimum(lead, 900)).sum(1), 0.0)
                 names = np.where(known, np.array(shared.value[0], object)[bits.argmin(1)], UNKNOWN)
