@@ -13,11 +13,24 @@ from courtlake.llm.scratch import new_path
 from courtlake.llm.sharding import shard_documents
 
 
+#: Most bytes of an Arrow batch between Spark and Python. Each task holds batches on both sides, beside the heap.
+BATCH = 8 << 20
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Whole rows with long texts go to Python here: the session's limit is lowered to BATCH unless it is lower already."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if now is None or not now.rstrip("b").isdigit() or int(now.rstrip("b")) > BATCH:
+        spark.conf.set(key, f"{BATCH}b")
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no language can be told go: null, without a letter, or not coded shorter by any learned language than
-    by equal odds of all symbols, as noise isn't. Where nothing can be learned all stay. Rows keep all columns, a very
+    """Documents in which no language can be told go: null, without a letter, or too long to be short of evidence yet
+    coded shorter by no learned language than by equal odds of all symbols, as noise is. Where nothing can be learned all stay. Rows keep all columns, a very
     long text is coded in pieces, repeated rows and ids are judged alike.
     """
+    _small_batches(spark)
     training = docs.where(~held_out("doc_id"))
     if teaching(training).isEmpty():
         return docs
@@ -27,6 +40,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents that links of word shingles join the one of the smallest id stays; null and empty texts link with nothing."""
+    _small_batches(spark)
     return keep_first(docs)
 
 
