@@ -21,9 +21,17 @@ def apply_dismissals(plays: DataFrame, log: DataFrame) -> tuple[DataFrame, DataF
     return marked.withColumn("cluster_id", F.when(F.col("_gone").isNull(), F.col("cluster_id"))).drop("_gone"), kept
 
 
-def undo_dismissals(plays: DataFrame, remembered: DataFrame) -> DataFrame:
-    """Remembered touches get their cluster back if nobody has credited them meanwhile."""
+def undo_dismissals(plays: DataFrame, remembered: DataFrame, tracklets: DataFrame | None = None) -> DataFrame:
+    """Remembered touches get their cluster back if nobody has credited them meanwhile.
+
+    A dismissal that remembers none (dismissed_plays null or empty) takes back the touches of its own tracklets
+    (game_id, tracklet_id, cluster_id), as older ones kept no list.
+    """
     back = remembered.select(F.explode("dismissed_plays").alias("play_id"), F.col("cluster_id").alias("_back"))
+    if tracklets is not None:
+        blank = remembered.where(F.coalesce(F.size("dismissed_plays"), F.lit(0)) <= 0).select("game_id", "cluster_id")
+        linked = tracklets.select("game_id", "tracklet_id", "cluster_id").join(blank, ["game_id", "cluster_id"])
+        back = back.unionByName(plays.where("cluster_id is null").join(linked.select("tracklet_id", F.col("cluster_id").alias("_back")), "tracklet_id").select("play_id", "_back"))
     return plays.join(back, "play_id", "left").withColumn("cluster_id", F.coalesce("cluster_id", "_back")).drop("_back")
 
 

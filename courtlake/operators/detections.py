@@ -216,15 +216,21 @@ def audio_peaks(samples: DataFrame, rate: int = 16000) -> DataFrame:
     return samples.groupBy("video", F.floor(F.col("i") / size).alias("q")).agg(F.max(F.abs("v")).alias("peak"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") == size).drop("_n")
 
 
+def smoothed(motion: DataFrame) -> DataFrame:
+    """motion with `m`, its mean over three seconds (zeros at the ends), and the 20th and 90th percentiles of that, lo and hi, by video."""
+    w = Window.partitionBy("video").orderBy("sec")
+    smooth = motion.withColumn("m", (F.coalesce(F.lag("v").over(w), F.lit(0.0)) + F.col("v") + F.coalesce(F.lead("v").over(w), F.lit(0.0))) / 3)
+    level = smooth.groupBy("video").agg(F.percentile("m", 0.2).alias("lo"), F.percentile("m", 0.9).alias("hi"))
+    return smooth.join(level, "video")
+
+
 def segment(motion: DataFrame, audio: DataFrame, share: float = 0.35, max_gap: int = 4, least: int = 4) -> DataFrame:
     """video, start_s, end_s, contacts_per_10s: runs of motion, joined over short gaps, with the audio peaks in them.
 
     Motion is smoothed over three seconds with zeros at the ends and compared with a level between its 20th and 90th percentiles.
     """
     w = Window.partitionBy("video").orderBy("sec")
-    smooth = motion.withColumn("m", (F.coalesce(F.lag("v").over(w), F.lit(0.0)) + F.col("v") + F.coalesce(F.lead("v").over(w), F.lit(0.0))) / 3)
-    level = smooth.groupBy("video").agg(F.percentile("m", 0.2).alias("lo"), F.percentile("m", 0.9).alias("hi"))
-    active = smooth.join(level, "video").where(F.col("m") > F.col("lo") + share * (F.col("hi") - F.col("lo"))).select("video", "sec")
+    active = smoothed(motion).where(F.col("m") > F.col("lo") + share * (F.col("hi") - F.col("lo"))).select("video", "sec")
     # a new segment starts where max_gap seconds or more lie between active ones
     new = F.coalesce(F.col("sec") - F.lag("sec").over(w) - 1 >= max_gap, F.lit(True))
     runs = active.withColumn("_g", F.sum(new.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy("video", "_g").agg(F.min("sec").alias("start_s"), (F.max("sec") + 1).alias("end_s")).where(F.col("end_s") - F.col("start_s") >= least)
@@ -232,3 +238,23 @@ def segment(motion: DataFrame, audio: DataFrame, share: float = 0.35, max_gap: i
     loud = audio.join(bar, "video").where("peak > _bar").select("video", F.floor(F.col("q") / 4).alias("sec")).groupBy("video", "sec").agg(F.count(F.lit(1)).alias("_k"))
     inside = runs.withColumn("sec", F.explode(F.sequence(F.col("start_s"), F.col("end_s") - 1))).join(loud, ["video", "sec"], "left")
     return inside.groupBy("video", "start_s", "end_s").agg(F.coalesce(F.sum("_k"), F.lit(0)).alias("_t")).select("video", "start_s", "end_s", F.round(F.col("_t") / (F.col("end_s") - F.col("start_s")) * 10, 1).alias("contacts_per_10s"))
+
+
+def sweep_segments(motion: DataFrame, shares: tuple = (0.15, 0.2, 0.25, 0.3, 0.35, 0.45), leasts: tuple = (2, 3, 4, 6), gaps: tuple = (1, 2, 3, 4, 6), share: float = 0.35, least: int = 4, gap: int = 4) -> DataFrame:
+    """video, share, least, max_gap, rallies: how many segments each setting finds: all shares with all shortest lengths, and all gaps at the default.
+
+    Motion is smoothed once. Runs depend on share and gap alone, so each is found once and counted for every length.
+    """
+    settings = sorted({(s, gap) for s in shares} | {(share, g) for g in gaps})
+    pair = F.explode(F.array(*(F.struct(F.lit(float(s)).alias("share"), F.lit(g).alias("max_gap")) for s, g in settings)))
+    base = smoothed(motion).select("video", "sec", "m", "lo", "hi", pair.alias("c")).select("video", "sec", "m", "lo", "hi", "c.*")
+    keys = ["video", "share", "max_gap"]
+    w = Window.partitionBy(*keys).orderBy("sec")
+    active = base.where(F.col("m") > F.col("lo") + F.col("share") * (F.col("hi") - F.col("lo")))
+    new = F.coalesce(F.col("sec") - F.lag("sec").over(w) - 1 >= F.col("max_gap"), F.lit(True)).cast("int")
+    runs = active.withColumn("_new", new).withColumn("_g", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*keys, "_g").agg((F.max("sec") + 1 - F.min("sec")).alias("_s"))
+    counts = runs.groupBy(*keys).agg(*(F.count_if(F.col("_s") >= m).alias(str(m)) for m in sorted({*leasts, least})))
+    all_ = base.select(*keys).distinct().join(counts, keys, "left").na.fill(0)
+    long = all_.unpivot(keys, [str(m) for m in sorted({*leasts, least})], "least", "rallies").withColumn("least", F.col("least").cast("long"))
+    asked = ((F.col("max_gap") == gap) & F.col("share").isin(*map(float, shares)) & F.col("least").isin(*leasts)) | ((F.col("share") == share) & (F.col("least") == least))
+    return long.where(asked).select("video", "share", "least", F.col("max_gap").cast("long").alias("max_gap"), "rallies")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from courtlake.functions.names import near_name, norm_name, public_caption
+from courtlake.functions.names import file_stem, near_name, norm_name, public_caption
 
 EMAIL = r"^[^\s@]+@[^\s@]+\.[^\s@]+$"
 
@@ -142,6 +142,39 @@ def queue_rollup(jobs: DataFrame) -> DataFrame:
     return jobs.groupBy("batch").agg(of("pending"), of("done"), of("failed"), (F.count_if(F.col("status") == "pending") > 0).alias("open"))
 
 
+def recap_nights(games: DataFrame, ledger: DataFrame) -> DataFrame:
+    """played_on, games, sent: nights of published games, newest first, and how many mails of the ledger went out for each."""
+    sent = ledger.groupBy("played_on").agg(F.count(F.lit(1)).alias("sent"))
+    nights = games.where("published and played_on is not null").groupBy("played_on").agg(F.count(F.lit(1)).alias("games"))
+    return nights.join(sent, "played_on", "left").na.fill(0, ["sent"]).orderBy(F.desc("played_on"))
+
+
+def newest_first(games: DataFrame) -> DataFrame:
+    """Published games by night, the latest first and undated ones last, the last game of a night first."""
+    return games.where("published").orderBy(F.col("played_on").desc_nulls_last(), F.col("slot").desc_nulls_last(), F.desc("game_id"))
+
+
+def review_order(tracklets: DataFrame) -> DataFrame:
+    """game_id, tracklet_id, place: a game's tracklets as its review lists them, most typical first, those without a figure as -1, then by start."""
+    w = Window.partitionBy("game_id").orderBy(F.coalesce("typicality", F.lit(-1.0)).desc(), "t0", "tracklet_id")
+    return tracklets.select("game_id", "tracklet_id", F.row_number().over(w).cast("long").alias("place"))
+
+
+def pool(sources: dict[str, DataFrame]) -> DataFrame:
+    """The rows of several sources under each other, with the source's name; columns that one lacks are null there."""
+    parts = [df.withColumn("source", F.lit(name)) for name, df in sources.items()]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more, allowMissingColumns=True)
+    return out
+
+
+def unprocessed(videos: DataFrame, bundles: DataFrame) -> DataFrame:
+    """Videos (file) of which there is no bundle game_bundle_<stem>.zip (file)."""
+    done = bundles.select(F.regexp_replace(file_stem(F.col("file")), "^game_bundle_", "").alias("_stem")).distinct()
+    return videos.withColumn("_stem", file_stem(F.col("file"))).join(done, "_stem", "left_anti").drop("_stem")
+
+
 def pending_work(shorts: DataFrame, posts: DataFrame) -> DataFrame:
     """game_id, renders, posts, busy: shorts of a game that wait or render, and posts of them that wait or go out."""
     renders = shorts.groupBy("game_id").agg(F.count_if(F.col("status").isin("queued", "rendering")).alias("renders"))

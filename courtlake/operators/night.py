@@ -164,6 +164,23 @@ def summary_text(lines: DataFrame, led: DataFrame, runs: DataFrame, longest: Dat
     return wide.select("played_on", F.concat_ws("\n", n.day_label(F.col("played_on")), "_games", *(f"_{a}" for a in titles), "_run", "_long").alias("text"))
 
 
+def recap_mail(stats: DataFrame, recipients: DataFrame, origin: str, brand: str) -> DataFrame:
+    """played_on, email, subject, text: each recipient's mail with what they did that night, counts of zero left out.
+
+    stats: played_on, key (pid:<player>), name and counters; recipients: played_on, player_id, email.
+    """
+    who = recipients.withColumn("key", F.concat(F.lit("pid:"), F.col("player_id").cast("string")))
+    rows = who.join(stats, ["played_on", "key"], "left")
+    kinds = {"kill": ("kill", None), "ace": ("ace", None), "stuff": ("block", None), "dig_ok": ("dig", None), "assist": ("assist", None)}
+    bits = F.array_compact(F.array(*(F.when(F.col(c) > 0, n.plural(F.col(c), one, many)) for c, (one, many) in kinds.items())))
+    when = n.day_label(F.col("played_on"))
+    said = F.when(F.size(bits) > 0, F.concat(when, F.lit(": "), F.array_join(bits, ", "), F.lit("."))).otherwise(F.concat(F.lit("Your clips and stats from "), when, F.lit(" are up.")))
+    first = F.coalesce(n.public_name(F.col("name")), F.lit("there"))
+    url = F.concat(F.lit(origin + "/p/"), n.player_slug(F.col("name"), F.col("player_id")), F.lit("/"), F.col("played_on").cast("string"))
+    text = F.concat(F.lit("Hey "), first, F.lit(",\n\n"), said, F.lit("\n\nYour plays and stats: "), url, F.lit(f"\n\nShare it with whoever you like — the link works for anyone.\n\n— {brand}"))
+    return rows.select("played_on", "email", F.concat(F.lit(f"Your night at {brand} — "), when).alias("subject"), text.alias("text"))
+
+
 def night_summary(lines: DataFrame, led: DataFrame, runs: DataFrame, longest: DataFrame, shouts: DataFrame, targets: DataFrame) -> DataFrame:
     """One row for each night: games, decided, approx, lines (label, a, b, winner, roster, unnamed), the leaders of each award,
     the setter's target, the serving run, the longest rally and the shout-outs (award, names) in order of priority.

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from courtlake.functions import names as n
 from courtlake.operators import detections as d
-from courtlake.operators import matching, people, scope
+from courtlake.operators import changes, matching, night, people, scope
 from courtlake.plans.league import Tables, tables
-from courtlake.plans.league_sql import SLOTS
+from courtlake.plans.league_sql import NIGHT, SLOTS
 from courtlake.sources import bundles
-from courtlake.sources.league import ALL_SQL
+from courtlake.sources.league import ALL_SQL, SCOPE_SQL
 from courtlake.sources.store import shared_path
 from courtlake.streaming import traffic
 
@@ -115,6 +115,23 @@ def _motion(t: Tables) -> DataFrame:
     return rows.groupBy(F.concat(F.lit("g"), (F.col("game_id") % 20).cast("string")).alias("video"), (F.col("t").cast("long") % 600).alias("sec")).agg(F.count(F.lit(1)).cast("double").alias("v"))
 
 
+def _ledger(t: Tables) -> DataFrame:
+    return t["identities"].join(t["games"], "game_id").where("player_id % 7 = 0").select("player_id", "played_on")
+
+
+def _members(t: Tables) -> DataFrame:
+    return t["all"]["identities"].where("player_id is not null").groupBy("player_id").agg(F.min("name").alias("name")).selectExpr("player_id", "concat('u', player_id, '@example.org') AS email", "name")
+
+
+def _undone(t: Tables) -> DataFrame:
+    """Dismissals without a list, of which the touches have lost their cluster, taken back through the tracklets."""
+    bodies = t["all"]["tracklets"].join(t["all"]["rallies"].select("rally_id", "game_id"), "rally_id")
+    plays = t["plays"].join(t["all"]["rallies"].select("rally_id", "game_id"), "rally_id").select("game_id", "play_id", "cluster_id", "tracklet_id")
+    lost = plays.withColumn("cluster_id", F.when(F.col("play_id") % 3 != 0, F.col("cluster_id")))
+    blank = t["all"]["identities"].where("dismissed").select("game_id", "cluster_id", F.lit(None).cast("array<bigint>").alias("dismissed_plays"))
+    return changes.undo_dismissals(lost, blank, bodies).select("play_id", "cluster_id")
+
+
 def _documents(t: Tables) -> DataFrame:
     docs = scope.game_documents(t["all"])
     kept = F.aggregate(F.transform("rallies", lambda r: F.size(r["plays"])), F.lit(0), lambda a, b: a + b).cast("long")
@@ -139,6 +156,14 @@ QUERIES = {
     "typicality": _appearance,
     "audio_peaks": lambda t: d.audio_peaks(_audio(t), rate=8),
     "segments": lambda t: d.segment(_motion(t), d.audio_peaks(_audio(t), rate=8)),
+    "sweep_segments": lambda t: d.sweep_segments(_motion(t)),
+    "recap_nights": lambda t: matching.recap_nights(t["all"]["games"], _ledger(t)),
+    "games_newest_first": lambda t: matching.newest_first(t["all"]["games"].join(scope.resequence(t["all"]["games"]).select("game_id", "slot"), "game_id", "left")).select("game_id", "played_on", "slot"),
+    "review_order": lambda t: matching.review_order(t["all"]["tracklets"].join(t["all"]["rallies"].select("rally_id", "game_id"), "rally_id").withColumn("typicality", F.when(F.col("p") % 5 != 0, F.col("p") % 17 / 16))),
+    "pooled_labels": lambda t: matching.pool({"kept": t["all"]["plays"].where("not deleted").select("play_id", "grade"), "removed": t["all"]["plays"].where("deleted").select("play_id")}).groupBy("source").agg(F.count(F.lit(1)).alias("rows"), F.count("grade").alias("graded")),
+    "unprocessed_videos": lambda t: matching.unprocessed(t["all"]["games"].select(F.concat(F.lit("videos/"), "name", F.lit(".mp4")).alias("file")), t["all"]["games"].where("game_id % 3 <> 0").select(F.concat(F.lit("game_bundle_"), "name", F.lit(".zip")).alias("file"))),
+    "recap_mails": lambda t: night.recap_mail(t.stats(["played_on"]), matching.recipients(_members(t), t["identities"], t["rallies"], t["plays"], _ledger(t)), "https://example.invalid", "Court night").select("played_on", "email", "subject", F.md5("text").alias("text")),
+    "undo_old_dismissals": lambda t: _undone(t),
     "cluster_summary": lambda t: people.cluster_summary(t["all"]["tracklets"].join(t["all"]["rallies"].select("rally_id", "game_id"), "rally_id").select("game_id", "tracklet_id", F.col("cluster_id").alias("cluster")), t["all"]["tracklets"].selectExpr("tracklet_id", "p % 9 + 1 AS n_boxes", "transform(sequence(1, cast(p % 4 + 1 AS int)), i -> concat(tracklet_id, '-', i)) AS crops")).withColumn("rep_crops", F.array_join("rep_crops", ",")),
     "text_columns": lambda t: t["all"]["games"].select(
         "game_id", n.file_stem(F.concat(F.lit("a/b/"), "name", F.lit(".cut.mp4"))).alias("stem"), n.played_on(F.col("recorded_at"), "America/New_York").alias("local_day"),
@@ -212,6 +237,26 @@ lv AS (SELECT video, quantile_cont(m, 0.2) AS lo, quantile_cont(m, 0.9) AS hi FR
 nw AS (SELECT *, CASE WHEN sec - lag(sec) OVER w - 1 < 4 THEN 0 ELSE 1 END AS new FROM ac WINDOW w AS (PARTITION BY video ORDER BY sec)), rn AS (SELECT *, sum(new) OVER (PARTITION BY video ORDER BY sec) AS g FROM nw),
 sg AS (SELECT video, min(sec) AS start_s, max(sec) + 1 AS end_s FROM rn GROUP BY video, g HAVING max(sec) + 1 - min(sec) >= 4), br AS (SELECT video, quantile_cont(peak, 0.92) AS bar FROM pk GROUP BY 1), ld AS (SELECT video, q // 4 AS sec FROM pk JOIN br USING (video) WHERE peak > bar)
 SELECT video, start_s, end_s, round((SELECT count(*) FROM ld WHERE ld.video = sg.video AND ld.sec >= start_s AND ld.sec < end_s) / (end_s - start_s) * 10, 1) AS contacts_per_10s FROM sg""",
+    "sweep_segments": ALL_SQL + MOTION + """, sm AS (SELECT video, sec, (coalesce(lag(v) OVER w, 0) + v + coalesce(lead(v) OVER w, 0)) / 3 AS m FROM mo WINDOW w AS (PARTITION BY video ORDER BY sec)),
+lv AS (SELECT video, quantile_cont(m, 0.2) AS lo, quantile_cont(m, 0.9) AS hi FROM sm GROUP BY 1),
+cf AS (SELECT s AS share, l AS least, 4 AS max_gap FROM (SELECT unnest([0.15::DOUBLE, 0.2, 0.25, 0.3, 0.35, 0.45]) AS s), (SELECT unnest([2, 3, 4, 6]) AS l) UNION SELECT 0.35::DOUBLE, 4, unnest([1, 2, 3, 4, 6])),
+ac AS (SELECT video, share, least, max_gap, sec FROM sm JOIN lv USING (video), cf WHERE m > lo + share * (hi - lo)),
+nw AS (SELECT *, CASE WHEN sec - lag(sec) OVER w - 1 < max_gap THEN 0 ELSE 1 END AS new FROM ac WINDOW w AS (PARTITION BY video, share, least, max_gap ORDER BY sec)), rn AS (SELECT *, sum(new) OVER (PARTITION BY video, share, least, max_gap ORDER BY sec) AS g FROM nw),
+sg AS (SELECT video, share, least, max_gap FROM rn GROUP BY video, share, least, max_gap, g HAVING max(sec) + 1 - min(sec) >= least), cn AS (SELECT video, share, least, max_gap, count(*) AS n FROM sg GROUP BY ALL)
+SELECT v.video, cf.share, CAST(cf.least AS BIGINT) AS least, CAST(cf.max_gap AS BIGINT) AS max_gap, coalesce(n, 0) AS rallies FROM (SELECT DISTINCT video FROM mo) v CROSS JOIN cf LEFT JOIN cn ON cn.video = v.video AND cn.share = cf.share AND cn.least = cf.least AND cn.max_gap = cf.max_gap""",
+    "recap_nights": SCOPE_SQL + "SELECT played_on, count(*) AS games, (SELECT count(*) FROM identities i JOIN games h USING (game_id) WHERE h.played_on = g.played_on AND player_id % 7 = 0) AS sent FROM games g GROUP BY 1",
+    "games_newest_first": ALL_SQL + SLOTS + "SELECT game_id, g.played_on, slot FROM all_games g LEFT JOIN slots USING (game_id) WHERE published ORDER BY g.played_on DESC NULLS LAST, slot DESC NULLS LAST, game_id DESC",
+    "review_order": ALL_SQL + "SELECT game_id, tracklet_id, row_number() OVER (PARTITION BY game_id ORDER BY CASE WHEN p % 5 <> 0 THEN p % 17 / 16 ELSE -1.0::DOUBLE END DESC, t0, tracklet_id) AS place FROM tracklets JOIN all_rallies USING (rally_id)",
+    "pooled_labels": ALL_SQL + "SELECT 'kept' AS source, count(*) AS rows, count(grade) AS graded FROM all_plays WHERE NOT deleted UNION ALL SELECT 'removed', count(*), 0 FROM all_plays WHERE deleted",
+    "unprocessed_videos": ALL_SQL + "SELECT 'videos/' || name || '.mp4' AS file FROM all_games WHERE game_id % 3 = 0",
+    "recap_mails": NIGHT + """, us AS (SELECT player_id, 'u' || CAST(player_id AS VARCHAR) || '@example.org' AS email FROM all_identities WHERE player_id IS NOT NULL GROUP BY 1),
+tc AS (SELECT DISTINCT r.played_on, player_id FROM plays p JOIN rallies r USING (rally_id) JOIN identities i ON i.game_id = r.game_id AND i.cluster_id = p.cluster_id WHERE player_id IS NOT NULL),
+x AS (SELECT tc.played_on, email, tc.player_id, split_part(s.name, ' ', 1) AS f, strftime(tc.played_on, '%a, %b ') || CAST(day(tc.played_on) AS VARCHAR) || strftime(tc.played_on, ' %Y') AS d,
+  array_to_string(list_filter([CASE WHEN kill > 0 THEN kill || CASE WHEN kill = 1 THEN ' kill' ELSE ' kills' END END, CASE WHEN ace > 0 THEN ace || CASE WHEN ace = 1 THEN ' ace' ELSE ' aces' END END, CASE WHEN stuff > 0 THEN stuff || CASE WHEN stuff = 1 THEN ' block' ELSE ' blocks' END END, CASE WHEN dig_ok > 0 THEN dig_ok || CASE WHEN dig_ok = 1 THEN ' dig' ELSE ' digs' END END, CASE WHEN assist > 0 THEN assist || CASE WHEN assist = 1 THEN ' assist' ELSE ' assists' END END], lambda v: v IS NOT NULL), ', ') AS b
+  FROM tc JOIN us USING (player_id) LEFT JOIN stats s ON s.played_on = tc.played_on AND s.key = 'pid:' || CAST(tc.player_id AS VARCHAR))
+SELECT played_on, email, 'Your night at Court night — ' || d AS subject, md5('Hey ' || coalesce(f, 'there') || ',' || chr(10) || chr(10) || CASE WHEN b <> '' THEN d || ': ' || b || '.' ELSE 'Your clips and stats from ' || d || ' are up.' END || chr(10) || chr(10) || 'Your plays and stats: https://example.invalid/p/' || coalesce(lower(f) || '-', '') || CAST(player_id AS VARCHAR) || '/' || CAST(played_on AS VARCHAR) || chr(10) || chr(10) || 'Share it with whoever you like — the link works for anyone.' || chr(10) || chr(10) || '— Court night') AS text FROM x""",
+    "undo_old_dismissals": SCOPE_SQL + """, b AS (SELECT tracklet_id, t.cluster_id FROM tracklets t JOIN all_rallies r USING (rally_id) JOIN all_identities i ON i.game_id = r.game_id AND i.cluster_id = t.cluster_id WHERE dismissed),
+l AS (SELECT play_id, tracklet_id, CASE WHEN play_id % 3 <> 0 THEN p.cluster_id END AS cluster_id FROM plays p JOIN all_rallies USING (rally_id)) SELECT play_id, coalesce(l.cluster_id, b.cluster_id) AS cluster_id FROM l LEFT JOIN b USING (tracklet_id)""",
     "cluster_summary": ALL_SQL + """, m AS (SELECT game_id, t.cluster_id AS cluster, tracklet_id, p % 9 + 1 AS n, p % 4 + 1 AS k, row_number() OVER (PARTITION BY game_id, t.cluster_id ORDER BY p % 9 + 1 DESC, tracklet_id) AS r FROM tracklets t JOIN all_rallies USING (rally_id)),
 c AS (SELECT game_id, cluster, string_agg(CAST(tracklet_id AS VARCHAR) || '-1' || CASE WHEN k > 1 THEN ',' || CAST(tracklet_id AS VARCHAR) || '-2' ELSE '' END, ',' ORDER BY r) AS rep_crops FROM m WHERE r <= 3 GROUP BY 1, 2)
 SELECT game_id, cluster, CAST(sum(n) AS BIGINT) AS n_boxes, any_value(rep_crops) AS rep_crops FROM m JOIN c USING (game_id, cluster) GROUP BY 1, 2""",
