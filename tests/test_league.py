@@ -125,8 +125,8 @@ def test_bundles(spark, tmp_path):
     assert t["plays"].join(t["tracklets"], ["tracklet_id", "rally_id"]).count() == 1 and t["tracklets"].first()["crops"] == list("abcd")
     emb = cluster_embeddings(t["tracklets"])
     assert emb.first()["embedding"] == [0.6, 0.8] and abs(typicality(t["tracklets"], emb).first()["typicality"] - 1) < 1e-9
-    cal = spark.createDataFrame([("_default", "d"), ("x", "c")], "video string, court string")
-    assert court_for(t["games"], cal).first()["court"] == "d"
+    cal = spark.createDataFrame([("_default", [[0.5, 0.25]]), ("x", [[0.1, 0.1]])], "video string, court_poly array<array<double>>")
+    assert court_for(t["games"], cal).first()["court"] == [[0.5, 0.25]]
     assert load_pairs(spark.createDataFrame([("a/Night 1.json",)], "file string"), spark.createDataFrame([("b/night-1.json",), ("z.json",)], "file string")).count() == 1
 
 
