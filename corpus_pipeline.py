@@ -55,8 +55,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row's place; texts don't move. shard_documents(whole=True) gives the rows themselves, for two more shuffles of whole texts."""
-    return shard_documents(docs, 24)
+    """The corpus itself in 24 contiguous shards of near equal bytes: each row's columns, then its size, checksum, shard and slot."""
+    return shard_documents(docs, 24, whole=True)
 
 
 STAGES = [("language", language), ("near_copies", near_copies), ("benchmark", benchmark), ("mixture", mixture), ("shards", shards)]
