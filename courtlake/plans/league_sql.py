@@ -164,7 +164,30 @@ bs AS (SELECT email, min(tier) AS tier, count(DISTINCT player_id) AS c, min(play
 rs AS (SELECT rw.email, c, p, CASE WHEN tier IS NULL THEN 'none' WHEN c > 1 THEN 'ambiguous' WHEN tier > 1 AND li.email <> rw.email THEN 'claimed' ELSE ['linked', 'exact', 'typo', 'first-name'][tier] END AS reason FROM rw LEFT JOIN bs USING (email) LEFT JOIN li ON c = 1 AND li.player_id = p)
 SELECT email, CASE WHEN reason IN ('linked', 'exact', 'typo', 'first-name') THEN p END AS player_id, reason, coalesce(c, 0) AS candidates FROM rs"""
 
+_RECURSIVE = SCOPE_SQL.replace("WITH", "WITH RECURSIVE", 1)
+_PAIRS = """, q AS (SELECT play_id AS true_id, p.rally_id, t, play_type, p.cluster_id FROM plays p JOIN all_rallies USING (rally_id)),
+p AS (SELECT *, row_number() OVER (PARTITION BY rally_id ORDER BY t, pred_id) AS j FROM (SELECT true_id AS pred_id, rally_id, t + (true_id % 7 - 3) / 4 AS t FROM q WHERE true_id % 6 <> 0)),
+w AS (SELECT DISTINCT rally_id, CAST(0 AS BIGINT) AS j, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS pred_id, CAST(NULL AS BIGINT) AS best FROM q
+  UNION ALL SELECT rally_id, j, CASE WHEN best IS NULL THEN used ELSE list_append(used, best) END, pred_id, best FROM (SELECT w.rally_id, p.j, any_value(w.used) AS used, any_value(p.pred_id) AS pred_id, arg_min(q.true_id, (abs(q.t - p.t), q.t, q.true_id)) FILTER (WHERE abs(q.t - p.t) < 0.5::DOUBLE AND NOT list_contains(w.used, q.true_id)) AS best
+    FROM w JOIN p ON p.rally_id = w.rally_id AND p.j = w.j + 1 JOIN q ON q.rally_id = w.rally_id GROUP BY 1, 2))
+"""
+#: Touches typed one after another under each setting: whose ball it is, touches of that side, time of the last attack.
+_TYPED = """, cx AS (SELECT p.*, config, serve_gate, resync_at, gap, row_number() OVER o AS i, lead(side) OVER o AS next_side, lag(t) OVER o AS before FROM (SELECT play_id AS probe_id, rally_id, t, {side} AS side, {net} AS net FROM plays) p, configs
+  WINDOW o AS (PARTITION BY config, rally_id ORDER BY t, probe_id)),
+ty AS (SELECT config, rally_id, i, probe_id, t, side AS own, CAST(1 AS BIGINT) AS touches, CAST(NULL AS DOUBLE) AS attack, CASE WHEN NOT serve_gate OR next_side IS NULL OR next_side <> side THEN 'serve' ELSE 'receive' END AS play FROM cx WHERE i = 1
+  UNION ALL SELECT config, rally_id, i, probe_id, t, own, touches, CASE WHEN play = 'attack' THEN t ELSE attack END, play FROM (
+    SELECT *, CASE WHEN block THEN 'block' WHEN touches <= 1 THEN CASE WHEN t - attack < 2 THEN 'dig' ELSE 'receive' END WHEN touches = 2 THEN 'set' ELSE 'attack' END AS play FROM (
+      SELECT *, CASE WHEN block THEN 0 WHEN side <> held OR (gap > 0 AND t - before > gap) OR (resync_at > 0 AND n >= resync_at) THEN 1 ELSE n + 1 END AS touches FROM (
+        SELECT c.*, c.side AS own, ty.own AS held, ty.touches AS n, ty.attack, coalesce(c.t - ty.attack < 0.45::DOUBLE, false) AND c.net < 90 AS block FROM ty JOIN cx c ON c.config = ty.config AND c.rally_id = ty.rally_id AND c.i = ty.i + 1))))
+""".replace("{side}", _SIDE("x", "y")).replace("{net}", _distance("x", "y", *d.NET))
+_FAMILY = lambda c: f"CASE WHEN {c} IN ('receive', 'dig') THEN 'defense' ELSE {c} END"
+
 SQL = {
+    "thin_points": _RECURSIVE + BALL + ", k AS (SELECT rally_id, min(t) AS t FROM ball GROUP BY 1 UNION ALL SELECT rally_id, t FROM (SELECT k.rally_id, min(b.t) AS t FROM k JOIN ball b ON b.rally_id = k.rally_id AND b.t - k.t >= 0.45::DOUBLE GROUP BY k.rally_id)) SELECT rally_id, t FROM k",
+    "match_touches": _RECURSIVE + _PAIRS + "SELECT rally_id, pred_id, best AS true_id FROM w WHERE j > 0 UNION ALL SELECT q.rally_id, NULL, true_id FROM q WHERE true_id NOT IN (SELECT best FROM w WHERE best IS NOT NULL)",
+    "classify_contacts": _RECURSIVE + ", configs AS (SELECT 0 AS config, true AS serve_gate, 0 AS resync_at, 0.0::DOUBLE AS gap)" + _TYPED + "SELECT probe_id, rally_id, t, play FROM ty",
+    "sweep_typing": _RECURSIVE + ", configs AS (SELECT row_number() OVER () AS config, * FROM (SELECT unnest([true, false]) AS serve_gate), (SELECT unnest([0, 3, 4]) AS resync_at), (SELECT unnest([0.0::DOUBLE, 2.2, 3.5]) AS gap))" + _TYPED + f"""SELECT any_value(serve_gate) AS serve_gate, any_value(resync_at) AS resync_at, any_value(gap) AS gap, count(*) FILTER (WHERE play = play_type) AS exact, count(*) FILTER (WHERE {_FAMILY('play')} = {_FAMILY('play_type')}) AS family,
+  count(*) FILTER (WHERE {_FAMILY('play')} = {_FAMILY('play_type')} AND (cluster_id IS NULL OR probe_id % 4 <> 0)) AS joint FROM ty JOIN plays p ON p.play_id = probe_id JOIN configs USING (config) GROUP BY config""",
     "traffic_stream": "SELECT date_trunc('hour', ts) AS hour, event_type AS path, count(*) AS views, count(DISTINCT user_id) AS visitors FROM events GROUP BY 1, 2",
     "live_identities": SCOPE_SQL + "SELECT identity_id, game_id, cluster_id, name, player_id, team FROM identities",
     "scoped_touches": SCOPE_SQL + "SELECT game_id, played_on, count(*) AS touches, count(DISTINCT rally_id) AS rallies FROM plays JOIN rallies USING (rally_id) GROUP BY 1, 2",
