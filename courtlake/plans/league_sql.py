@@ -171,6 +171,18 @@ w AS (SELECT DISTINCT rally_id, CAST(0 AS BIGINT) AS j, CAST([] AS BIGINT[]) AS
   UNION ALL SELECT rally_id, j, CASE WHEN best IS NULL THEN used ELSE list_append(used, best) END, pred_id, best FROM (SELECT w.rally_id, p.j, any_value(w.used) AS used, any_value(p.pred_id) AS pred_id, arg_min(q.true_id, (abs(q.t - p.t), q.t, q.true_id)) FILTER (WHERE abs(q.t - p.t) < 0.5::DOUBLE AND NOT list_contains(w.used, q.true_id)) AS best
     FROM w JOIN p ON p.rally_id = w.rally_id AND p.j = w.j + 1 JOIN q ON q.rally_id = w.rally_id GROUP BY 1, 2))
 """
+_JUDGED = RESOLVED + """, fr AS (SELECT game_id, rally_id AS found_id, start_s + rally_id % 9 - 4 AS s, end_s + rally_id % 5 - 2 AS e FROM all_rallies WHERE rally_id % 8 <> 0),
+ov AS (SELECT r.rally_id, found_id, s, least(end_s, e) - greatest(start_s, s) AS o, end_s - start_s AS l FROM rallies r JOIN fr ON fr.game_id = r.game_id AND s < end_s AND e > start_s),
+mp AS (SELECT r.game_id, r.rally_id, b.found_id FROM rallies r LEFT JOIN (SELECT rally_id, arg_max(found_id, (o, -s, -found_id)) AS found_id FROM ov WHERE o > 0 AND o > 0.2::DOUBLE * greatest(l, 0.1::DOUBLE) GROUP BY 1) b USING (rally_id)),
+q AS (SELECT found_id AS key, m.game_id, play_id AS id, t, play_type, p.cluster_id FROM plays p JOIN mp m USING (rally_id) WHERE found_id IS NOT NULL),
+p AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY t, id) AS j FROM (SELECT p.rally_id AS key, r.game_id, play_id AS id, t + (play_id % 7 - 3) / 4 AS t, CASE WHEN play_id % 3 = 0 THEN 'set' ELSE play_type END AS play, CASE WHEN play_id % 4 <> 0 THEN coalesce(survivor, p.cluster_id) END AS named
+  FROM plays p JOIN all_rallies r USING (rally_id) LEFT JOIN resolved v ON v.game_id = r.game_id AND v.cluster_id = p.cluster_id WHERE play_id % 6 <> 0 AND p.rally_id IN (SELECT found_id FROM mp))),
+w AS (SELECT DISTINCT key, CAST(0 AS BIGINT) AS j, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS id, CAST(NULL AS BIGINT) AS best FROM p
+  UNION ALL SELECT key, j, CASE WHEN best IS NULL THEN used ELSE list_append(used, best) END, id, best FROM (SELECT w.key, p.j, any_value(w.used) AS used, any_value(p.id) AS id, arg_min(q.id, (abs(q.t - p.t), q.t, q.id)) FILTER (WHERE abs(q.t - p.t) < 0.5::DOUBLE AND NOT list_contains(w.used, q.id)) AS best
+    FROM w JOIN p ON p.key = w.key AND p.j = w.j + 1 LEFT JOIN q ON q.key = w.key GROUP BY 1, 2)),
+judged AS (SELECT coalesce(p.game_id, q.game_id) AS game_id, CASE WHEN q.id IS NULL THEN 1 ELSE 3 END AS hit, p.play, p.named, q.play_type, q.cluster_id AS truly FROM w JOIN p ON p.id = w.id LEFT JOIN q ON q.id = w.best AND q.key = w.key WHERE w.j > 0
+  UNION ALL SELECT game_id, 2, NULL, NULL, play_type, cluster_id FROM q WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.key = q.key AND w.best = q.id))
+"""
 #: Touches typed one after another under each setting: whose ball it is, touches of that side, time of the last attack.
 _TYPED = """, cx AS (SELECT p.*, config, serve_gate, resync_at, gap, row_number() OVER o AS i, lead(side) OVER o AS next_side, lag(t) OVER o AS before FROM (SELECT play_id AS probe_id, rally_id, t, {side} AS side, {net} AS net FROM plays) p, configs
   WINDOW o AS (PARTITION BY config, rally_id ORDER BY t, probe_id)),
@@ -182,7 +194,21 @@ ty AS (SELECT config, rally_id, i, probe_id, t, side AS own, CAST(1 AS BIGINT) A
 """.replace("{side}", _SIDE("x", "y")).replace("{net}", _distance("x", "y", *d.NET))
 _FAMILY = lambda c: f"CASE WHEN {c} IN ('receive', 'dig') THEN 'defense' ELSE {c} END"
 
+_BOTH = "hit = 3 AND play_type IS NOT NULL"
+_OK = f"{_BOTH} AND coalesce({_FAMILY('play')}, '') = {_FAMILY('play_type')}"
+_COUNTS = {
+    "labelled": "hit >= 2 AND play_type IS NOT NULL", "captured": _BOTH, "family_ok": _OK, "joint": f"{_OK} AND (truly IS NULL OR coalesce(named = truly, false))", "matched": "hit = 3", "fp": "hit = 1", "fn": "hit = 2",
+    "attr_ok": f"{_BOTH} AND named = truly", "attr_total": f"{_BOTH} AND truly IS NOT NULL AND named IS NOT NULL", "attr_none": f"{_BOTH} AND truly IS NOT NULL AND named IS NULL",
+}
+
 SQL = {
+    "evaluation_funnel": _RECURSIVE + _JUDGED + f""", sn AS (SELECT game_id, {", ".join(f"count(*) FILTER (WHERE {c}) AS {k}" for k, c in _COUNTS.items())} FROM judged GROUP BY 1),
+ms AS (SELECT game_id, count(*) AS missed_rallies, CAST(coalesce(sum((SELECT count(play_type) FROM plays p WHERE p.rally_id = mp.rally_id)), 0) AS BIGINT) AS missed_touches FROM mp WHERE found_id IS NULL GROUP BY 1),
+al AS (SELECT coalesce(sn.game_id, ms.game_id) AS game_id, coalesce(labelled, 0) + coalesce(missed_touches, 0) AS labelled, {", ".join(f"coalesce({k}, 0) AS {k}" for k in [*list(_COUNTS)[1:], "missed_rallies", "missed_touches"])} FROM sn FULL JOIN ms ON ms.game_id = sn.game_id)
+SELECT game_id, {", ".join(f"CAST(sum({k}) AS BIGINT) AS {k}" for k in [*_COUNTS, "missed_rallies", "missed_touches"])}, CASE WHEN sum(matched) + sum(fp) > 0 THEN sum(matched) / (sum(matched) + sum(fp)) END AS precision, CASE WHEN sum(matched) + sum(fn) > 0 THEN sum(matched) / (sum(matched) + sum(fn)) END AS recall FROM al GROUP BY ROLLUP (game_id)""",
+    "type_confusions": _RECURSIVE + _JUDGED + """, pr AS (SELECT play_type, play, count(*) AS n FROM judged WHERE hit = 3 AND play_type IS NOT NULL GROUP BY 1, 2),
+wr AS (SELECT play_type, string_agg(coalesce(play, '?') || 'x' || CAST(n AS VARCHAR), ', ' ORDER BY n DESC, coalesce(play, '?')) AS confused FROM (SELECT * FROM pr WHERE play IS DISTINCT FROM play_type QUALIFY row_number() OVER (PARTITION BY play_type ORDER BY n DESC, coalesce(play, '?')) <= 3) GROUP BY 1)
+SELECT play_type, CAST(sum(n) AS BIGINT) AS touches, CAST(coalesce(sum(n) FILTER (WHERE play = play_type), 0) AS BIGINT) AS exact, coalesce(any_value(confused), '') AS confused FROM pr LEFT JOIN wr USING (play_type) GROUP BY 1""",
     "thin_points": _RECURSIVE + BALL + ", k AS (SELECT rally_id, min(t) AS t FROM ball GROUP BY 1 UNION ALL SELECT rally_id, t FROM (SELECT k.rally_id, min(b.t) AS t FROM k JOIN ball b ON b.rally_id = k.rally_id AND b.t - k.t >= 0.45::DOUBLE GROUP BY k.rally_id)) SELECT rally_id, t FROM k",
     "match_touches": _RECURSIVE + _PAIRS + "SELECT rally_id, pred_id, best AS true_id FROM w WHERE j > 0 UNION ALL SELECT q.rally_id, NULL, true_id FROM q WHERE true_id NOT IN (SELECT best FROM w WHERE best IS NOT NULL)",
     "classify_contacts": _RECURSIVE + ", configs AS (SELECT 0 AS config, true AS serve_gate, 0 AS resync_at, 0.0::DOUBLE AS gap)" + _TYPED + "SELECT probe_id, rally_id, t, play FROM ty",
