@@ -72,24 +72,37 @@ def dedupe(rows: DataFrame, keys: list[str], at: str, late: str = "1 day") -> Da
     return rows.withWatermark(at, late).dropDuplicatesWithinWatermark(keys)
 
 
-def reap(jobs: DataFrame, silent_ms: int = 180_000) -> DataFrame:
-    """job_id, status: a job fails when nothing was heard of it for `silent_ms` of event time, else its last status."""
+#: Parts that jobs are dealt to; each one's open jobs are a state of their own.
+JOB_PARTS = 256
+
+
+def reap(jobs: DataFrame, silent_ms: int = 180_000, parts: int = JOB_PARTS) -> DataFrame:
+    """job_id, status: a job fails when nothing was heard of it for `silent_ms` of event time, else its last status.
+
+    A state holds the staging jobs of one part and when each is due, so a batch costs a call for each part, not for each job.
+    """
+    rows = jobs.withWatermark("updated_at", "1 minute").select("job_id", "status", "updated_at", F.unix_millis("updated_at").alias("_ms"), F.pmod(F.xxhash64("job_id"), F.lit(parts)).cast("int").alias("_part"))
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            (status,) = state.get
+        now = state.getCurrentWatermarkMs()
+        ids, due = state.get if state.exists else ([], [])
+        waits = pd.Series(due, index=pd.Index(ids, dtype="int64"), dtype="int64")
+        if not state.hasTimedOut:
+            last = pd.concat(list(frames)).sort_values("updated_at", kind="stable").drop_duplicates("job_id", keep="last")
+            staging = last["status"] == "staging"
+            heard = last[staging]
+            waits = pd.concat([waits[~waits.index.isin(last["job_id"])], pd.Series((heard["_ms"] + silent_ms).clip(lower=now + 1).to_numpy(), index=heard["job_id"].to_numpy(), dtype="int64")])
+            yield last.loc[~staging, ["job_id", "status"]]
+        silent = waits.index[waits < now]
+        yield pd.DataFrame({"job_id": silent.to_numpy(), "status": ["failed"] * len(silent)})
+        waits = waits[waits >= now]
+        if len(waits):
+            state.update((waits.index.tolist(), waits.tolist()))
+            state.setTimeoutTimestamp(int(waits.min()))
+        elif state.exists:
             state.remove()
-            if status == "staging":
-                yield pd.DataFrame({"job_id": [key[0]], "status": ["failed"]})
-            return
-        last = pd.concat(list(frames)).sort_values("updated_at").iloc[-1]
-        state.update((last["status"],))
-        due = max(int(last["updated_at"].timestamp() * 1000) + silent_ms, state.getCurrentWatermarkMs() + 1)
-        state.setTimeoutTimestamp(due)
-        if last["status"] != "staging":
-            yield pd.DataFrame({"job_id": [key[0]], "status": [last["status"]]})
-
-    return jobs.withWatermark("updated_at", "1 minute").groupBy("job_id").applyInPandasWithState(step, "job_id long, status string", "status string", "append", GroupStateTimeout.EventTimeTimeout)
+
+    return rows.groupBy("_part").applyInPandasWithState(step, "job_id long, status string", "job_id array<long>, due array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def drain(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
