@@ -105,22 +105,23 @@ def recipients(users: DataFrame, identities: DataFrame, rallies: DataFrame, play
 def match_bundles(games: DataFrame, files: DataFrame) -> DataFrame:
     """game_id, file: the file whose normalised stem is the game's name, else the first that contains it or is contained.
 
-    Stems of equal text come from an equi-join. A text that contains another starts the other's first four letters at one
-    of its places, so candidates share four letters; texts shorter than that are compared by all their starts.
+    A text contains another if one of its pieces is equal to it, so all comes from equi-joins: pieces are cut in the
+    lengths that the other side has, and each keeps its first file alone before it is joined.
     """
     flat = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")
     g = games.select("game_id", flat(F.col("name")).alias("_g"))
     stem = F.regexp_replace(F.regexp_replace(F.lower("file"), r"^.*[/\\]", ""), r"^game_bundle[-_ ]?|\.[^.]*$", "")
-    f = files.select("file", flat(stem).alias("_f"))
-    exact = g.join(f, F.col("_g") == F.col("_f")).groupBy("game_id").agg(F.min("file").alias("file"))
+    f = files.select("file", flat(stem).alias("_f")).groupBy("_f").agg(F.min("file").alias("file"))
+    # one row: the distinct lengths of a side's texts
+    lengths = lambda rows, c: F.broadcast(rows.agg(F.collect_set(F.length(c)).alias("_lengths")))
+    cut = lambda c: F.array_distinct(F.flatten(F.transform("_lengths", lambda n: F.when(n <= F.length(c), F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, n))).otherwise(F.array().cast("array<string>")))))
+    exact = g.join(f, F.col("_g") == F.col("_f")).select("game_id", "file").groupBy("game_id").agg(F.min("file").alias("file"))
     rest = g.join(exact, "game_id", "left_anti")
-    # pieces of every length up to four that start anywhere in the longer text, against the shorter one's start
-    pieces = lambda c: F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: F.substring(c, i, k))))))
-    start = lambda c: F.substring(c, 1, 4)
-    inside = rest.withColumn("_k", start(F.col("_g"))).join(f.withColumn("_k", pieces(F.col("_f"))), "_k").where(F.col("_f").contains(F.col("_g")))
-    around = rest.withColumn("_k", pieces(F.col("_g"))).join(f.withColumn("_k", start(F.col("_f"))), "_k").where(F.col("_g").contains(F.col("_f")))
-    found = inside.select("game_id", "file").unionByName(around.select("game_id", "file")).groupBy("game_id").agg(F.min("file").alias("file"))
-    return exact.unionByName(found)
+    pieces = f.crossJoin(lengths(g, "_g")).select("file", F.explode(cut("_f")).alias("_g")).groupBy("_g").agg(F.min("file").alias("file"))
+    # pieces are many more than the planner sees, so none are broadcast
+    inside = rest.join(pieces.hint("merge"), "_g").select("game_id", "file")
+    around = rest.crossJoin(lengths(f, "_f")).select("game_id", F.explode(cut("_g")).alias("_f")).join(f.hint("merge"), "_f").select("game_id", "file")
+    return exact.unionByName(inside.unionByName(around).groupBy("game_id").agg(F.min("file").alias("file")))
 
 
 def reel(shorts: DataFrame, games: DataFrame, n: int = 12) -> DataFrame:
