@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from courtlake.operators.detections import HEIGHT
-from courtlake.operators.sequences import Columns, candidates, per_group, strongest, take_nearest, thin
+from courtlake.operators.sequences import Columns, breaks, group_of, per_groups, strongest, take_together, thin
+from courtlake.sources.store import written
 
 
 def bundle_evidence(pairs: DataFrame, ball: DataFrame, rallies: DataFrame, plays: DataFrame, tol: float = 0.15, close: float = 80.0, least_share: float = 0.2, far: float = 200.0, bucket: float = 5.0) -> DataFrame:
@@ -46,27 +47,36 @@ def contact_f1(ball: DataFrame, rallies: DataFrame, truth: DataFrame, thresholds
     """game_id (null: all games), threshold, tp, fp, fn, precision, recall, f1, density: contacts found from points of each confidence.
 
     rallies: game_id, rally_id, start_s, end_s of reviewed game rallies; truth: game_id, rally_id, t of their touches; ball:
-    game_id, rally_id, t, x, y, conf, where no confidence passes. Density is in points a second of those rallies. The points are
-    shuffled once, by rally, each with all thresholds it reaches; contacts are found anew for each. What remains of
-    them, and the touches, are then matched rally by rally.
+    game_id, rally_id, t, x, y, conf, where no confidence passes. Density is in points a second of those rallies. Points
+    and touches meet once, by rally; contacts are found and matched there for each threshold, and only counts leave.
     """
     number = F.explode(F.array(*(F.struct(F.lit(i).alias("config"), F.lit(float(c)).alias("threshold")) for i, c in enumerate(thresholds))))
     keys = ["game_id", "rally_id"]
     reviewed = rallies.select(*keys)
-    points = ball.join(reviewed, keys, "left_semi").select(*keys, "t", "x", "y", "conf", number.alias("c")).where(F.coalesce(F.col("conf"), F.lit(1.0)) >= F.col("c.threshold")).select(*keys, "t", "x", "y", "c.config")
-    found = candidates(points.repartition(*keys), keys=("game_id", "rally_id", "config")).select(*keys, "config", F.lit(0).alias("own"), "t", "mag")
-    asked = truth.join(reviewed, keys, "left_semi").select(*keys, number.alias("c"), "t").select(*keys, "c.config", F.lit(1).alias("own"), "t", F.lit(0.0).alias("mag"))
+    points = ball.join(reviewed, keys, "left_semi").select(*keys, F.lit(0).alias("own"), "t", "x", "y", F.coalesce("conf", F.lit(1.0)).alias("conf"))
+    asked = truth.join(reviewed, keys, "left_semi").select(*keys, F.lit(1).alias("own"), "t", *(F.lit(0.0).alias(c) for c in ("x", "y", "conf")))
 
-    def one(rows: Columns) -> Columns:
-        t, mine = rows["t"], rows["own"] == 0
-        contacts = np.round(t[mine][strongest(t[mine], rows["mag"][mine], gap)], 2)
-        hit = int((take_nearest(contacts, t[~mine], tol) >= 0).sum())
-        return {"game_id": rows["game_id"][:1], "config": rows["config"][:1], "tp": np.array([hit]), "fp": np.array([len(contacts) - hit]), "fn": np.array([int((~mine).sum()) - hit])}
+    def some(rows: Columns, edges: np.ndarray) -> Columns:
+        g, groups = group_of(edges), np.arange(len(edges))
+        ball, true = (np.nonzero(rows["own"] == k)[0] for k in (0, 1))
+        touches, out = np.searchsorted(g[true], groups), []
+        for i, least in enumerate(thresholds):
+            on = ball[rows["conf"][ball] >= least]
+            shown = np.searchsorted(g[on], groups)
+            some_on = np.nonzero(np.diff(shown))[0]
+            at, mag = breaks({c: rows[c][on] for c in ("t", "x", "y")}, np.append(shown[some_on], len(on)))
+            at = on[at]
+            at = at[strongest(rows["t"][at], mag, gap, g[at])]
+            found = np.searchsorted(g[at], groups)
+            met = take_together(np.round(rows["t"][at], 2), found, rows["t"][true], touches, tol) >= 0
+            tp = np.bincount(g[at][met], minlength=len(edges) - 1)
+            out.append({"game_id": rows["game_id"][edges[:-1]], "config": np.full(len(tp), i), "tp": tp, "fp": np.diff(found) - tp, "fn": np.diff(touches) - tp, "n": np.diff(shown)})
+        return {c: np.concatenate([o[c] for o in out]) for c in out[0]}
 
-    counts = per_group(found.unionByName(asked), [*keys, "config"], ["own", "t", "mag"], one, "game_id long, config int, tp long, fp long, fn long")
+    counts = per_groups(points.unionByName(asked), keys, ["own", "t", "x", "y"], some, "game_id long, config int, tp long, fp long, fn long, n long")
     spans = rallies.groupBy("game_id").agg(F.sum(F.col("end_s") - F.col("start_s")).alias("_s"))
     base = spans.select("game_id", "_s", number.alias("c")).select("game_id", "_s", "c.*")
-    sums = base.join(counts.groupBy("game_id", "config").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn"))), ["game_id", "config"], "left").join(points.groupBy("game_id", "config").agg(F.count(F.lit(1)).alias("_p")), ["game_id", "config"], "left").na.fill(0)
+    sums = base.join(counts.groupBy("game_id", "config").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")), F.sum("n").alias("_p")), ["game_id", "config"], "left").na.fill(0)
     out = sums.rollup("threshold", "game_id").agg(*(F.sum(c).cast("long").alias(c) for c in ("tp", "fp", "fn", "_p")), F.sum("_s").alias("_s"), F.grouping("threshold").alias("_g")).where("_g = 0")
     rate = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     out = out.withColumns({"precision": rate(F.col("tp"), F.col("tp") + F.col("fp")), "recall": rate(F.col("tp"), F.col("tp") + F.col("fn")), "density": F.col("_p") / F.greatest(F.col("_s"), F.lit(1.0))})
@@ -82,6 +92,7 @@ def training_frames(arcs: DataFrame, fired: DataFrame, share: float = 0.3, hard_
     `away` to every fifth positive go. Hard ones are every `every`th of a rally's frames without a verified point in the
     same tenth of a second, in order, `hard_share` of the positives at most, one at least.
     """
+    arcs = written(arcs, "arcs")  # read five times, and dear
     game = Window.partitionBy("game_id").orderBy("t")
     places = arcs.groupBy("game_id", "t").agg(F.min(F.struct("x", "y")).alias("p"))
     chosen = thin(arcs, gap, "game_id").join(places, ["game_id", "t"]).withColumn("_i", F.row_number().over(game) - 1)
