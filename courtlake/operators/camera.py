@@ -34,9 +34,11 @@ def concurrency(tracklets: DataFrame, rallies: DataFrame, step: float = 0.5) ->
     rows = tracklets.select("rally_id", "t0", "t1").join(rallies.select("game_id", "rally_id", "start_s", "end_s"), "rally_id")
     a = F.greatest(F.lit(0), F.ceil((F.col("t0") - F.col("start_s")) / step))
     b = F.floor((F.least("t1", "end_s") - F.col("start_s")) / step)
-    ticks = F.when(a <= b, F.sequence(a, b))
-    seen = rows.select("game_id", "rally_id", F.explode_outer(ticks).alias("tick")).groupBy("game_id", "rally_id", "tick").agg(F.count("tick").alias("n"))
-    return seen.groupBy("game_id", "rally_id").agg(F.max("n").alias("most"))
+    # a tracklet adds one at its first tick and takes it back after its last; at a tick, those that are gone count first
+    rows = rows.select("game_id", "rally_id", F.when(a <= b, F.array(F.struct(a.alias("tick"), F.lit(1).alias("more")), F.struct((b + 1).alias("tick"), F.lit(-1).alias("more")))).otherwise(F.array(F.struct(F.lit(0).cast("long").alias("tick"), F.lit(0).alias("more")))).alias("_c"))
+    steps = rows.select("game_id", "rally_id", F.explode("_c").alias("_c")).select("game_id", "rally_id", "_c.*")
+    w = Window.partitionBy("game_id", "rally_id").orderBy("tick", "more").rowsBetween(Window.unboundedPreceding, 0)
+    return steps.withColumn("n", F.sum("more").over(w)).groupBy("game_id", "rally_id").agg(F.max("n").alias("most"))
 
 
 def player_distances(boxes: DataFrame, rallies: DataFrame, step: float = 2.0, tol: float = 0.2) -> DataFrame:
@@ -84,9 +86,11 @@ def ball_motion(points: DataFrame, base_us: int = BASE_US) -> DataFrame:
 
 def sampling_rate(points: DataFrame, default: float = 20.0) -> DataFrame:
     """game_id, fps: rounded reciprocal of the mean gap between a rally's points, gaps of a second and more and those above the 75th percentile left out."""
+    # gaps are whole nanoseconds, so their sum is exact in any order
     w = Window.partitionBy("game_id", "rally_id").orderBy("t")
-    gaps = points.select("game_id", "rally_id", "t").withColumn("gap", F.round(F.lead("t").over(w) - F.col("t"), 9)).where("gap > 0 and gap < 1.0")
-    fps = gaps.join(nearest_rank(gaps, "gap", {"_p": 75}), "game_id").where("gap <= _p").groupBy("game_id").agg(F.bround(1 / F.round(F.avg("gap"), 9), 0).alias("fps"))
+    gaps = points.select("game_id", "rally_id", "t").withColumn("gap", F.round((F.lead("t").over(w) - F.col("t")) * 1e9).cast("long")).where("gap > 0 and gap < 1000000000")
+    mean = F.round(F.sum("gap") / F.count(F.lit(1)))
+    fps = gaps.join(nearest_rank(gaps, "gap", {"_p": 75}), "game_id").where("gap <= _p").groupBy("game_id").agg(F.bround(1 / (mean / 1e9), 0).alias("fps"))
     return points.select("game_id").distinct().join(fps, "game_id", "left").select("game_id", F.coalesce("fps", F.lit(default)).alias("fps"))
 
 
