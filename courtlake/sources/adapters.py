@@ -22,8 +22,9 @@ def tables(spark: SparkSession, sf_dir: str, stored: bool = False) -> dict[str,
     With `stored` the numbered plays are written once, bucketed by rally, for queries that read them several times.
     """
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    orders = read("orders").where("o_orderstatus <> 'P'")
-    lines = read("lineitem")
+    # merged, not broadcast: the planner's sizes are those of files, and plans shouldn't change with them
+    orders = read("orders").where("o_orderstatus <> 'P'").hint("merge")
+    lines = read("lineitem").hint("merge")
     plays = lines.select(
         F.col("l_orderkey").alias("rally_id"),
         F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*_ORDER)).cast("long").alias("play_id"),

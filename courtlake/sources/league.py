@@ -17,7 +17,11 @@ _P = "((game_id % 60) * 40 + (game_id * 5 + cluster_id * 7) % 40)"
 
 
 def all_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """games, rallies, plays, identities, tracklets and views as stored, before any scope."""
+    """games, rallies, plays, identities, tracklets and views as stored, before any scope.
+
+    All but views are joined by sort and merge. The planner takes them for as small as their files' columns are, also where
+    each row has become many since, and would send millions of rows through the driver to broadcast them.
+    """
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     games = read("customer").where("c_custkey % 5 = 0").selectExpr(
         "c_custkey div 5 AS game_id", "c_name AS name", "c_nationkey <> 3 AS published",
@@ -42,7 +46,7 @@ def all_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "if(l_partkey % 41 = 0, 'in_play', null) AS grade", "l_quantity = 1 AS deleted", "l_tax >= 0.06 AS corrected",
         "if(l_linenumber <= 5, l_orderkey * 10 + l_linenumber, null) AS tracklet_id", "cast(l_partkey * 31 % 1920 AS double) AS x", "cast(l_suppkey * 17 % 1080 AS double) AS y",
     )
-    tracklets = read("lineitem").where("l_linenumber <= 5").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p")).selectExpr(
+    tracklets = read("lineitem").where("l_linenumber <= 5").select("l_orderkey", "l_linenumber", "l_partkey").repartition("l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p")).selectExpr(
         "l_orderkey * 10 + l_linenumber AS tracklet_id", "l_orderkey AS rally_id", "(l_orderkey + l_linenumber) % 11 + 1 AS cluster_id",
         "cast(l_orderkey * 30 + l_linenumber * 2 - 1 AS double) AS t0", "l_orderkey * 30 + l_linenumber * 2 + cast(p % 20 AS double) / 10 AS t1", "p",
     )
@@ -54,7 +58,7 @@ def all_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "if((game_id + cluster_id) % 19 IN (0, 1) AND cluster_id > 2, game_id * 100 + cluster_id - 1, null) AS merged_into",
     )
     views = read("events").selectExpr("event_id AS view_id", "event_type AS path", "user_id AS visitor", "if(event_id % 4 = 0, null, concat('ref', user_id % 30)) AS referrer", "ts AS created_at")
-    return {"games": games, "rallies": rallies, "plays": plays, "identities": identities, "tracklets": tracklets, "views": views}
+    return {k: t.hint("merge") for k, t in {"games": games, "rallies": rallies, "plays": plays, "identities": identities, "tracklets": tracklets}.items()} | {"views": views}
 
 
 def _names_sql() -> str:

@@ -50,3 +50,84 @@ def test_reaper_keeps_a_state_for_each_part(spark, tmp_path):
     assert max(s["numRowsTotal"] for p in query.recentProgress for s in p["stateOperators"]) <= 256
     got = {(r["job_id"], r["status"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {(i, "done") for i in range(1, 3000, 2)} | {(i, "failed") for i in range(2, 3000, 2)} | {(0, "done"), (9999, "done")}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def query(spark, name):
+    return (league.queries() | vision.queries())[name](spark, DATA)
+
+
+@pytest.mark.parametrize("name", ["link_nearest", "link_predicted", "game_ball_of_links", "find_contacts", "pick_moving", "static_cells", "ball_speed"])
+def test_points_are_not_shuffled(spark, name):
+    plan = plan_of(query(spark, name))
+    above = plan[: plan.index("Generate")]
+    # what a Python step gives out may move, the points that it takes may not
+    below = above[above.rindex("MapInPandas") :] if "MapInPandas" in above else above
+    assert "Exchange" not in below
+
+
+@pytest.mark.parametrize("name", ["player_spacing", "camera_report", "league_grades", "longest_runs"])
+def test_tables_are_not_broadcast(spark, name):
+    assert "BroadcastExchange" not in plan_of(query(spark, name))
+
+
+def test_rallies_together_as_one_by_one():
+    from courtlake.operators import sequences as q
+
+    rng = np.random.default_rng(0)
+    for _ in range(40):
+        size, many = rng.integers(1, 9, 20), rng.integers(0, 6, 20)
+        e, f = (np.concatenate([[0], np.cumsum(s)]) for s in (size, many))
+        t = np.concatenate([np.sort(rng.choice(np.arange(0, 8, 0.2), s)) for s in size])
+        touches = np.concatenate([np.sort(rng.random(k) * 8) for k in many])
+        side, net = rng.choice([-1, 1], e[-1]), rng.choice([50.0, 100.0, np.nan], e[-1])
+        for s in [(gate, again, gap) for gate in (True, False) for again in (0, 3) for gap in (0.0, 2.2)]:
+            want = sum((q.play_types(side[i:j].tolist(), t[i:j].tolist(), net[i:j].tolist(), *s) for i, j in zip(e[:-1], e[1:], strict=True)), [])
+            assert [q.TYPES[k] for k in q.typed_together(side, t, net, e, *s)] == want
+        one = [q.take_nearest(t[i:j], touches[k:l], 0.5) + k * 1j for i, j, k, l in zip(e[:-1], e[1:], f[:-1], f[1:], strict=True)]
+        want = np.concatenate([np.where(x.real >= 0, x.real + x.imag, -1) for x in one])
+        assert (q.take_together(t, e, touches, f, 0.5) == want).all()
+
+
+def test_links_of_unlike_rallies(spark):
+    from courtlake.operators.sequences import link_nearest
+
+    rng, rows = random.Random(1), []
+    for rally, n in enumerate((3, 9, 40, 700, 5, 1)):
+        rows += [(rally, round(0.05 * i, 3), rng.random() * 60 + 900 * (i % 3), rng.random() * 60) for i in range(n)]
+    got = {r["rally_id"]: 0 for r in spark.createDataFrame([(0,)], "rally_id long").collect()}
+    for r in link_nearest(spark.createDataFrame(rows, "rally_id long, t double, x double, y double")).collect():
+        got[r["rally_id"]] = got.get(r["rally_id"], 0) + 1
+        assert r["track"] == round(r["t"] / 0.05) % 3
+    assert {k: n for k, n in got.items() if n} == {2: 40, 3: 700}
+
+
+def test_frames_read_arcs_once(spark):
+    from courtlake.operators.training import training_frames
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for df in batches:
+            seen.add(len(df))
+            yield df
+
+    arcs = spark.range(200).selectExpr("id % 2 AS game_id", "id % 10 AS rally_id", "id / 4 AS t", "1.0D AS x", "2.0D AS y")
+    arcs = arcs.mapInPandas(count, arcs.schema)
+    training_frames(arcs, spark.range(50).selectExpr("id % 2 AS game_id", "id % 10 AS rally_id", "id / 3 AS t")).collect()
+    assert seen.value == 200
+
+
+def test_distances_round_as_sql(spark):
+    from courtlake.operators.detections import attribute
+
+    contact = spark.createDataFrame([(1, 7, 10.0, 0.0, 30.0)], "probe_id long, rally_id long, t double, x double, y double")
+    box = spark.createDataFrame([(7, 3, 2, 10.0, 6.0, 27.0, 0.0, 24.0)], "rally_id long, tracklet_id long, cluster_id long, t double, x double, y double, w double, h double")
+    # 6.1499999999999995, of which ten times is 61.5 in doubles or just below; SQL rounds that product
+    import duckdb
+
+    want = duckdb.sql("SELECT round(sqrt(pow(6::DOUBLE, 2) + pow((27 + 24 * 0.35::DOUBLE - 30) * 0.25::DOUBLE, 2)), 1)").fetchall()[0][0]
+    assert attribute(contact, box, 300.0, 600.0).first()["dist_px"] == want
