@@ -8,10 +8,8 @@ order. Sets that share such a hash form a group; DivideSkip searches decide with
 from __future__ import annotations
 
 import hashlib
-import heapq
 import math
 from collections.abc import Callable, Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +25,8 @@ from .shingles import shingle_sets
 
 #: Sets below this size reach 4/5 with equal sets only.
 LEAST_SET = 4
-#: DivideSkip's weight of a probe against a merge step.
-MU = 0.01
+#: A list of so many elements is dearer to merge than to probe.
+PROBED = 1024
 #: Members that a query is searched among at once, and hashes of whole sets in a block.
 STAR, BLOCK_HASHES = 256, 1 << 19
 #: Shingles in at least so many rows are common; of these the most frequent ones, as many as fit in the second number,
@@ -43,25 +41,42 @@ def overlap_needed(a: int, b: np.ndarray) -> np.ndarray:
     return -(-4 * (a + b) // 9)
 
 
-def divide_skip(lists: list[np.ndarray], least: int) -> Iterator[tuple[int, int]]:
-    """(element, occurrences) of the elements that occur in `least` or more of the sorted lists.
+def often(elements: np.ndarray, size: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """DivideSkip: (elements, occurrences) of the elements that occur in `least` or more of the sorted lists, which lie one after another with these sizes.
 
-    The longest lists are set aside. An element that occurs often enough occurs in the others at least as often as
-    their number falls short of `least`; a heap merges those, and only such elements are looked up in the long ones.
+    Of the lists longer than PROBED the longest are set aside. An element that occurs often enough occurs in the others
+    at least as often as their number falls short of `least`; those are merged by counting all at once, and only such
+    elements are looked up in the long ones.
     """
-    lists = sorted((x for x in lists if len(x)), key=len)
-    if len(lists) < least:
-        return
-    long = min(least - 1, int(least / (MU * math.log2(max(len(lists[-1]), 2)) + 1)))
-    short, probed = lists[: len(lists) - long], lists[len(lists) - long :]
-    merged = [(e, c) for e, run in groupby(heapq.merge(*(x.tolist() for x in short))) if (c := sum(1 for _ in run)) >= least - long]
-    if not merged:
-        return
-    elements, times = (np.array(x) for x in zip(*merged, strict=True))
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if np.count_nonzero(size) < max(least, 1):
+        return none
+    ends = np.cumsum(size)
+    long = np.nonzero(size > PROBED)[0]
+    long = long[np.argsort(-size[long], kind="stable")[: max(least - 1, 0)]]
+    probed = [elements[ends[k] - size[k] : ends[k]] for k in long]
+    if len(long):
+        elements = elements[~np.isin(np.repeat(np.arange(len(size)), size), long)]
+    found, times = np.unique(elements, return_counts=True)
+    keep = times >= max(least - len(long), 1)
+    found, times = found[keep], times[keep]
     for x in probed:
-        k = np.minimum(np.searchsorted(x, elements), len(x) - 1)
-        times += x[k] == elements
-    yield from ((int(e), int(c)) for e, c in zip(elements, times, strict=True) if c >= least)
+        k = np.minimum(np.searchsorted(x, found), len(x) - 1)
+        times += x[k] == found
+    keep = times >= least
+    return found[keep], times[keep]
+
+
+def divide_skip(lists: list[np.ndarray], least: int) -> Iterator[tuple[int, int]]:
+    """(element, occurrences) of the elements that occur in `least` or more of the sorted lists."""
+    if lists:
+        yield from zip(*(x.tolist() for x in often(np.concatenate(lists), np.array([len(x) for x in lists]), least)), strict=True)
+
+
+def shared(query: np.ndarray, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """How many elements of each set (one after another in `flat`) a query holds: the merge of all its lists, for a star's lists are short."""
+    at = np.minimum(np.searchsorted(query, flat), len(query) - 1)
+    return np.add.reduceat(query[at] == flat, starts, dtype=np.int64)
 
 
 class Index:
@@ -73,10 +88,14 @@ class Index:
         order = np.argsort(flat, kind="stable")
         self.keys, self.owners = flat[order], owner[order]
 
-    def lists(self, query: np.ndarray, shortest: int = 1) -> list[np.ndarray]:
+    def lists(self, query: np.ndarray, shortest: int = 1) -> tuple[np.ndarray, np.ndarray]:
+        """The elements of the lists that hold `shortest` or more, one after another, and the sizes of those lists."""
         low, high = np.searchsorted(self.keys, query, "left"), np.searchsorted(self.keys, query, "right")
-        some = np.nonzero(high - low >= shortest)[0]
-        return [self.owners[low[k] : high[k]] for k in some]
+        size = high - low
+        some = size >= shortest
+        low, size = low[some], size[some]
+        ends = np.cumsum(size)
+        return self.owners[np.repeat(low - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)], size
 
 
 def _arrays(column: pa.ChunkedArray) -> list[np.ndarray]:
@@ -234,12 +253,11 @@ def _groups(postings: DataFrame) -> DataFrame:
     return postings.repartition("hash").sortWithinPartitions("hash", "id").mapInArrow(tidy(_named(BLOCK)), "g long, id long, pos int").groupBy("g", "id").agg(F.min("pos").alias("pos"))
 
 
-def _may_match(a: np.ndarray, n_a: int, b: np.ndarray, n_b: int) -> bool:
-    """Whether what two prefixes show up to the smaller of their ends leaves the sets within a ninth of their sizes."""
-    m = min(a[-1], b[-1])
-    a, b = a[: np.searchsorted(a, m, "right")], b[: np.searchsorted(b, m, "right")]
-    both = np.intersect1d(a, b, assume_unique=True)
-    return 9 * (len(a) + len(b) - 2 * len(both)) <= n_a + n_b
+def _may_match(query: np.ndarray, n_query: int, sets: list[np.ndarray], n: np.ndarray) -> np.ndarray:
+    """Whether what a query's and each other prefix show up to the smaller of their ends leaves the sets within a ninth of their sizes."""
+    flat, starts, ends = np.concatenate(sets), np.cumsum([0, *(len(s) for s in sets[:-1])]), np.array([s[-1] for s in sets])
+    seen = np.searchsorted(query, np.minimum(ends, query[-1]), "right") + np.add.reduceat(flat <= query[-1], starts, dtype=np.int64)
+    return 9 * (seen - 2 * shared(query, flat, starts)) <= n_query + n
 
 
 def _sized(n_a: str, n_b: str) -> str:
@@ -259,9 +277,13 @@ def _stars(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _prune_star(t: pa.Table) -> tuple | None:
     query, ids, n = t.column("query").to_numpy(), t.column("id").to_numpy(), t.column("n").to_numpy()
+    members = np.nonzero(~query)[0]
+    if not query.any() or not len(members):
+        return None
     sets = _arrays(t.column("hashes"))
-    found = [(ids[q], ids[k]) for q in np.nonzero(query)[0] for k in np.nonzero(~query)[0] if _may_match(sets[q], n[q], sets[k], n[k])]
-    return tuple(np.array(x) for x in zip(*found, strict=True)) if found else None
+    others = [sets[k] for k in members]
+    found = [(q, members[_may_match(sets[q], n[q], others, n[members])]) for q in np.nonzero(query)[0]]
+    return np.concatenate([np.repeat(ids[q], len(k)) for q, k in found]), np.concatenate([ids[k] for _, k in found])
 
 
 def pruned(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -297,7 +319,7 @@ def _marked(t: pa.Table) -> tuple | None:
             continue
         seen = np.searchsorted(s, np.minimum(ends, s[-1]), "right") + np.add.reduceat(flat <= s[-1], starts, dtype=np.int64)
         need = np.maximum(1, -(-(9 * seen - n - n[i]) // 18))
-        for j, times in divide_skip(index.lists(s, 2), int(need[other].min())):  # the set itself is in all of its lists
+        for j, times in zip(*often(*index.lists(s, 2), int(need[other].min())), strict=True):  # the set itself is in all of its lists
             if other[j] and times >= need[j] and not (marked[i] and marked[j]):
                 first = np.intersect1d(s, sets[j], assume_unique=True)[0]
                 if np.searchsorted(s, first) == pos[i]:
@@ -318,7 +340,7 @@ def _forest(t: pa.Table) -> tuple | None:
         need, other = overlap_needed(int(n[i]), n), comp != comp[i]
         if not other.any():
             break
-        for j, times in divide_skip(index.lists(sets[i], 2), int(need[other].min())):
+        for j, times in zip(*often(*index.lists(sets[i], 2), int(need[other].min())), strict=True):
             if times >= need[j] and comp[j] != comp[i]:
                 a.append(ids[i])
                 b.append(ids[j])
@@ -333,15 +355,9 @@ def _search_sets(t: pa.Table) -> tuple | None:
     if not query.any() or not len(members):
         return None
     sets = _arrays(t.column("hashes"))
-    a, b = [], []
-    index = Index([sets[k] for k in members])
-    for q in np.nonzero(query)[0]:
-        need = overlap_needed(int(n[q]), n[members])
-        for j, times in divide_skip(index.lists(sets[q]), int(need.min())):
-            if times >= need[j]:
-                a.append(ids[q])
-                b.append(ids[members[j]])
-    return (np.array(a), np.array(b)) if a else None
+    flat, starts = np.concatenate([sets[k] for k in members]), np.cumsum([0, *(len(sets[k]) for k in members[:-1])])
+    found = [(q, members[shared(sets[q], flat, starts) >= overlap_needed(int(n[q]), n[members])]) for q in np.nonzero(query)[0]]
+    return np.concatenate([np.repeat(ids[q], len(k)) for q, k in found]), np.concatenate([ids[k] for _, k in found])
 
 
 def whole_sets(ids: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -131,3 +131,25 @@ def test_distances_round_as_sql(spark):
 
     want = duckdb.sql("SELECT round(sqrt(pow(6::DOUBLE, 2) + pow((27 + 24 * 0.35::DOUBLE - 30) * 0.25::DOUBLE, 2)), 1)").fetchall()[0][0]
     assert attribute(contact, box, 300.0, 600.0).first()["dist_px"] == want
+
+
+def test_searches_of_a_star_take_no_call_for_each_shingle():
+    import sys
+
+    import pyarrow as pa
+
+    from courtlake.llm import ngram_join as j
+
+    rng = np.random.default_rng(0)
+    base = np.unique(rng.integers(0, 1 << 62, 4000, dtype=np.uint64))
+    sets = [base] + [np.unique(np.concatenate([base[k:], rng.integers(0, 1 << 62, k, dtype=np.uint64)])) for k in range(0, 900, 45)]
+    star = pa.table({"query": [True] + [False] * 20, "id": np.arange(21), "n": [len(s) for s in sets], "hashes": [s.tobytes() for s in sets]})
+    calls = [0]
+    sys.setprofile(lambda frame, event, arg: calls.__setitem__(0, calls[0] + (event in ("call", "c_call"))))
+    try:
+        found = j._search_sets(star)
+    finally:
+        sys.setprofile(None)
+    want = [(0, k) for k in range(1, 21) if 100 * len(np.intersect1d(base, sets[k])) >= 80 * len(np.union1d(base, sets[k]))]
+    assert list(zip(*(x.tolist() for x in found), strict=True)) == want and 5 < len(want) < 20
+    assert calls[0] < 1000
