@@ -25,9 +25,11 @@ def tables(spark: SparkSession, sf_dir: str, stored: bool = False) -> dict[str,
     # merged, not broadcast: the planner's sizes are those of files, and plans shouldn't change with them
     orders = read("orders").where("o_orderstatus <> 'P'").hint("merge")
     lines = read("lineitem").hint("merge")
-    plays = lines.select(
+    # numbered before anything is made of the columns, so that all who read plays share one exchange
+    numbered = lines.withColumn("play_id", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*_ORDER)).cast("long"))
+    plays = numbered.select(
         F.col("l_orderkey").alias("rally_id"),
-        F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*_ORDER)).cast("long").alias("play_id"),
+        "play_id",
         F.col("l_linenumber").cast("double").alias("t"),
         F.element_at(F.array(*map(F.lit, PLAY_TYPES)), (F.col("l_partkey") % 6 + 1).cast("int")).alias("play_type"),
         F.col("l_suppkey").alias("cluster_id"),

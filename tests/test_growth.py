@@ -153,3 +153,11 @@ def test_searches_of_a_star_take_no_call_for_each_shingle():
     want = [(0, k) for k in range(1, 21) if 100 * len(np.intersect1d(base, sets[k])) >= 80 * len(np.union1d(base, sets[k]))]
     assert list(zip(*(x.tolist() for x in found), strict=True)) == want and 5 < len(want) < 20
     assert calls[0] < 1000
+
+
+def test_grades_move_numbered_touches_once_and_a_rally_s_own_identities(spark):
+    from courtlake.plans import registry
+
+    plan = plan_of(registry.queries()["derive_grades"](spark, DATA))
+    assert plan.index("windowspecdefinition(l_orderkey") < plan.index("Exchange")
+    assert "map_filter" in plan
