@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 _ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity"]
+#: Touches of a task. Steps above make up to twelve rows of each, which a task sorts in memory.
+TOUCHES = 100_000
 FIRST, LAST = ["Ana", "Ben", "Cleo", "Dev", "Elsa", "Finn", "Gus", "Hana"], ["Kim", "Lopez", "Moss", "Novak", "Ortiz"]
 _P = "((game_id % 60) * 40 + (game_id * 5 + cluster_id * 7) % 40)"
 
@@ -20,9 +22,12 @@ def all_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """games, rallies, plays, identities, tracklets and views as stored, before any scope.
 
     All but views are joined by sort and merge. The planner takes them for as small as their files' columns are, also where
-    each row has become many since, and would send millions of rows through the driver to broadcast them.
+    each row has become many since, and would send millions of rows through the driver to broadcast them. For the same
+    reason touches are dealt over as many tasks as their number asks for, not as the bytes of their exchange do.
     """
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    lines = read("lineitem")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-lines.count() // TOUCHES))
     games = read("customer").where("c_custkey % 5 = 0").selectExpr(
         "c_custkey div 5 AS game_id", "c_name AS name", "c_nationkey <> 3 AS published",
         "if(c_nationkey = 7, null, date_add(DATE'2024-01-01', cast((c_custkey div 5) % 60 AS int))) AS played_on",
@@ -36,7 +41,7 @@ def all_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "WHEN o_orderpriority = '3-MEDIUM' THEN 'block' WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'attack_error' ELSE 'service_error' END AS outcome_type",
         "if(o_orderkey % 13 <> 0, o_orderkey % 10 + 1, null) AS outcome_cluster", "o_orderkey % 3 = 0 AS touches_complete",
     )
-    numbered = read("lineitem").withColumn("n", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*_ORDER)).cast("long"))
+    numbered = lines.repartition(tasks, "l_orderkey").withColumn("n", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*_ORDER)).cast("long"))
     kinds = "element_at(array('serve', 'receive', 'set', 'attack', 'block', 'dig'), cast(l_partkey % 6 + 1 AS int))"
     typed = numbered.withColumn("kind", F.expr(f"CASE WHEN n % 3 = 2 AND l_suppkey % 4 < 3 THEN 'set' WHEN n % 3 = 0 AND l_suppkey % 4 < 3 THEN 'attack' ELSE {kinds} END"))
     plays = typed.selectExpr(
@@ -46,7 +51,7 @@ def all_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "if(l_partkey % 41 = 0, 'in_play', null) AS grade", "l_quantity = 1 AS deleted", "l_tax >= 0.06 AS corrected",
         "if(l_linenumber <= 5, l_orderkey * 10 + l_linenumber, null) AS tracklet_id", "cast(l_partkey * 31 % 1920 AS double) AS x", "cast(l_suppkey * 17 % 1080 AS double) AS y",
     )
-    tracklets = read("lineitem").where("l_linenumber <= 5").select("l_orderkey", "l_linenumber", "l_partkey").repartition("l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p")).selectExpr(
+    tracklets = lines.where("l_linenumber <= 5").select("l_orderkey", "l_linenumber", "l_partkey").repartition(tasks, "l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p")).selectExpr(
         "l_orderkey * 10 + l_linenumber AS tracklet_id", "l_orderkey AS rally_id", "(l_orderkey + l_linenumber) % 11 + 1 AS cluster_id",
         "cast(l_orderkey * 30 + l_linenumber * 2 - 1 AS double) AS t0", "l_orderkey * 30 + l_linenumber * 2 + cast(p % 20 AS double) / 10 AS t1", "p",
     )

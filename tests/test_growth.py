@@ -161,3 +161,11 @@ def test_grades_move_numbered_touches_once_and_a_rally_s_own_identities(spark):
     plan = plan_of(registry.queries()["derive_grades"](spark, DATA))
     assert plan.index("windowspecdefinition(l_orderkey") < plan.index("Exchange")
     assert "map_filter" in plan
+
+
+@pytest.mark.parametrize("name", ["ball_speed", "player_envelope"])
+def test_touches_are_dealt_by_their_number(spark, name, monkeypatch):
+    from courtlake.sources import league as source
+
+    monkeypatch.setattr(source, "TOUCHES", 1000)
+    assert ", 6), REPARTITION_BY_NUM" in plan_of(query(spark, name))
