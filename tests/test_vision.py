@@ -351,3 +351,8 @@ def test_bundles_by_name_and_snapshot(spark):
     clusters = spark.createDataFrame([(1, t, 0) for t in range(4)], "game_id long, tracklet_id long, cluster long")
     bodies = spark.createDataFrame([(t, 10 - t, [f"{t}{c}" for c in "abc"]) for t in range(4)], "tracklet_id long, n_boxes int, crops array<string>")
     assert tuple(cluster_summary(clusters, bodies).first()) == (1, 0, 34, ["0a", "0b", "1a", "1b", "2a", "2b"])
+
+
+def test_arcs_are_not_shuffled(spark):
+    plan = vision.queries()["verify_arcs"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("Generate")]
