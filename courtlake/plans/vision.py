@@ -38,7 +38,7 @@ def _people(t: Tables) -> DataFrame:
 
 def _bundles(t: Tables) -> tuple[DataFrame, DataFrame]:
     """A game's ball as its bundle, and pairs of each bundle with its own game and the next one."""
-    points = t.ball("game_id").withColumnRenamed("game_id", "bundle_id")
+    points = t.ball("game_id", t.tasks).withColumnRenamed("game_id", "bundle_id")
     own = t["all"]["games"].select(F.col("game_id").alias("bundle_id"), F.explode(F.array("game_id", F.col("game_id") + 1)).alias("game_id"))
     return own, points
 
@@ -90,7 +90,7 @@ QUERIES = {
     "ball_path": lambda t: ball.ball_path(t.ball("game_id"), _clips(t)),
     "name_suggestions": lambda t: people.suggest_names(_people(t), 0.3),
     "tracklet_vectors": lambda t: people.tracklet_vectors(t["vectors"].selectExpr("vec_id % 50 AS tracklet_id", "embedding")).select("tracklet_id", F.size("embedding").cast("long").alias("n"), F.round(F.get("embedding", F.lit(0)), 9).alias("first"), F.round(F.element_at("embedding", -1), 9).alias("last")),
-    "bundle_evidence": lambda t: (lambda pairs, points: training.bundle_evidence(pairs, points, t["all"]["rallies"], _with_game(t, t["plays"])).withColumns({"median_px": F.round("median_px", 6), "close_share": F.round("close_share", 9)}))(*_bundles(t)),
+    "bundle_evidence": lambda t: (lambda pairs, points: training.bundle_evidence(pairs, points, t["all"]["rallies"], _with_game(t, t["plays"]), tasks=t.tasks).withColumns({"median_px": F.round("median_px", 6), "close_share": F.round("close_share", 9)}))(*_bundles(t)),
     "contact_f1": lambda t: training.contact_f1(t.ball(), t["rallies"], _truth(t)),
     "training_frames": lambda t: training.training_frames(_with_game(t, ball.merge_points(_verified(t))), _fired(t)),
     "player_spacing": lambda t: (lambda px: px.groupBy("game_id").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.percentile("px", 0.5), 6).alias("spacing_med")).join(camera.nearest_rank(px, "px", {"spacing_p10": 10}).withColumn("spacing_p10", F.round("spacing_p10", 6)), "game_id"))(camera.player_distances(_crowd(t), t["all"]["rallies"])),

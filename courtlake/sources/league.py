@@ -18,6 +18,11 @@ FIRST, LAST = ["Ana", "Ben", "Cleo", "Dev", "Elsa", "Finn", "Gus", "Hana"], ["Ki
 _P = "((game_id % 60) * 40 + (game_id * 5 + cluster_id * 7) % 40)"
 
 
+def touch_tasks(spark: SparkSession, sf_dir: str) -> int:
+    """The tasks over which touches are dealt, by their number."""
+    return max(spark.sparkContext.defaultParallelism, -(-spark.read.parquet(f"{sf_dir}/lineitem.parquet").count() // TOUCHES))
+
+
 def all_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """games, rallies, plays, identities, tracklets and views as stored, before any scope.
 
@@ -27,7 +32,7 @@ def all_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     lines = read("lineitem")
-    tasks = max(spark.sparkContext.defaultParallelism, -(-lines.count() // TOUCHES))
+    tasks = touch_tasks(spark, sf_dir)
     games = read("customer").where("c_custkey % 5 = 0").selectExpr(
         "c_custkey div 5 AS game_id", "c_name AS name", "c_nationkey <> 3 AS published",
         "if(c_nationkey = 7, null, date_add(DATE'2024-01-01', cast((c_custkey div 5) % 60 AS int))) AS played_on",

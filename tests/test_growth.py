@@ -169,3 +169,65 @@ def test_touches_are_dealt_by_their_number(spark, name, monkeypatch):
 
     monkeypatch.setattr(source, "TOUCHES", 1000)
     assert ", 6), REPARTITION_BY_NUM" in plan_of(query(spark, name))
+
+
+def shuffled_rows(df):
+    """The number of rows that the executed plan's exchanges wrote."""
+    df.collect()
+    total, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        got = node.metrics().get("shuffleRecordsWritten")
+        total += got.get().value() if got.isDefined() and kind == "ShuffleExchangeExec" else 0
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return total
+
+
+@pytest.mark.parametrize(("name", "most"), [("bundle_evidence", 10)])
+def test_points_and_boxes_stay_where_they_lie(spark, name, most):
+    touches = spark.read.parquet(f"{DATA}/lineitem.parquet").count()
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as large tables are joined
+    try:
+        assert 0 < shuffled_rows(query(spark, name)) <= most * touches
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+
+
+def test_evidence_of_odd_bundles(spark):
+    from courtlake.operators.training import bundle_evidence
+
+    rng, tol = random.Random(5), 0.15
+    time = lambda: rng.choice([None, round(rng.random() * 20, 2), rng.randrange(100) * 0.15, rng.randrange(30) * 0.6])
+    pairs = [(b, g) for b in (1, 2, 3, None) for g in (1, 2, 3, None)]
+    ball = [(rng.choice([1, 2, None]), time(), rng.choice([None, rng.random() * 400]), rng.random() * 400) for _ in range(160)]
+    rallies = [(rng.choice([1, 2, None]), i, time(), time()) for i in range(60)]
+    plays = [(rng.choice([1, 2, None]), i, time(), rng.choice([None, *[rng.random() * 400] * 5]), rng.random() * 400) for i in range(120)]
+    want = {}
+    for b, g in pairs:
+        points = [p for p in ball if b is not None and p[0] == b]
+        mine = [r for r in rallies if None not in (b, g) and r[0] == g]
+        covered = sum(any(p[1] is not None and r[2] <= p[1] <= r[3] for p in points) for r in mine if None not in (r[2], r[3]))
+        d = []
+        for q in plays:
+            if None not in (b, g, q[2], q[3]) and q[0] == g:
+                near = [p for p in points if p[1] is not None and abs(p[1] - q[2]) <= tol]
+                if near:
+                    d.append(min((float(np.hypot(p[2] - q[3], p[3] - q[4])) for p in near if p[2] is not None), default=None))
+        ranked = sorted(d, key=lambda x: (x is not None, x or 0))
+        m = ranked[len(d) // 2] if d else None
+        verdict = "no ball" if not points else "no rallies" if not mine else "rejected" if covered < 0.2 * len(mine) else "unchecked" if m is None else "suspicious" if m > 200 else "fits"
+        want[b, g] = (len(mine), covered, len(d), m and round(m, 6), verdict)
+    tables = [spark.createDataFrame(rows, schema) for rows, schema in ((pairs, "bundle_id long, game_id long"), (ball, "bundle_id long, t double, x double, y double"), (rallies, "game_id long, rally_id long, start_s double, end_s double"), (plays, "game_id long, play_id long, t double, x double, y double"))]
+    for tasks in (None, 3):
+        if tasks:
+            tables[1] = tables[1].repartition(tasks, "bundle_id")
+        got = bundle_evidence(*tables, tol=tol, tasks=tasks).collect()
+        assert len(got) == len(pairs)
+        assert {(r["bundle_id"], r["game_id"]): (r["rallies"], r["covered"], r["touches"], r["median_px"] and round(r["median_px"], 6), r["verdict"]) for r in got} == want
+    assert len({w[4] for w in want.values()}) > 2
