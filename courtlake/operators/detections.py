@@ -75,15 +75,21 @@ def attribute_by_wrist(contacts: DataFrame, gate: float = 140.0, drop: float = 2
     return rows.withColumn("cluster", F.when(F.col("_n.dist") < gate, F.col("_n.cluster"))).withColumn("dist_px", F.col("_n.dist")).drop("_n")
 
 
-def near_in_time(probes: DataFrame, boxes: DataFrame, tol: float) -> DataFrame:
-    """Pairs of a probe and the boxes of its rally within `tol` seconds: an equi-join on rally and time bucket.
+def near_in_time(probes: DataFrame, boxes: DataFrame, tol: float, keep: bool = False) -> DataFrame:
+    """Pairs of a probe and the boxes of its rally within `tol` seconds; with `keep`, probes without any stay, maybe twice, with nulls.
 
-    Probes go to three buckets of `tol` seconds, boxes to one, so neither side grows with the other.
+    Both are gathered by rally and time bucket, a box in one and a probe in those it reaches into, so neither side grows
+    with the other, and sides that are dealt by rally over as many tasks aren't shuffled (a join by both keys would).
     """
-    b = boxes.select("rally_id", "tracklet_id", F.col("t").alias("box_t"), F.col("x").alias("bx"), F.col("y").alias("by"), "w", "h", "cluster_id", F.floor(F.col("t") / tol).alias("_bucket"))
-    at = F.floor(F.col("t") / tol)
-    p = probes.withColumn("_bucket", F.explode(F.array(at - 1, at, at + 1)))
-    return p.join(b, ["rally_id", "_bucket"]).where(F.abs(F.col("box_t") - F.col("t")) <= tol).drop("_bucket")
+    wide, reach = 4 * tol, 1.01 * tol  # a little more than `tol`, so that no bucket is lost to rounding
+    box = F.struct("tracklet_id", F.col("t").alias("box_t"), F.col("x").alias("bx"), F.col("y").alias("by"), "w", "h", "cluster_id")
+    b = boxes.where("rally_id is not null and t is not null").select("rally_id", F.floor(F.col("t") / wide).alias("_bucket"), box.alias("_box"))
+    at = F.sequence(F.floor((F.col("t") - reach) / wide), F.floor((F.col("t") + reach) / wide))
+    p = probes.select("rally_id", F.struct(*(c for c in probes.columns if c != "rally_id")).alias("_probe"), F.explode_outer(at).alias("_bucket"))
+    met = p.unionByName(b, allowMissingColumns=True).groupBy("rally_id", "_bucket").agg(F.collect_list("_probe").alias("_probes"), F.collect_list("_box").alias("_boxes"))
+    each = met.select("rally_id", F.explode("_probes").alias("_probe"), "_boxes")
+    near = F.filter("_boxes", lambda x: F.abs(x["box_t"] - F.col("_probe.t")) <= tol)
+    return each.select("rally_id", "_probe", (F.explode_outer if keep else F.explode)(near).alias("_box")).select("rally_id", "_probe.*", "_box.*")
 
 
 def boxes_at(probes: DataFrame, boxes: DataFrame, tol: float = 0.12) -> DataFrame:
@@ -108,10 +114,10 @@ def attribute(contacts: DataFrame, boxes: DataFrame, gate: float = 90.0, drop: f
 
 def relink(mispaired: DataFrame, boxes: DataFrame, tol: float = 0.12, y_weight: float = 0.6) -> DataFrame:
     """probe_id, tracklet_id: for each wrongly linked touch the nearest body of the credited player at its time, else null."""
-    pairs = near_in_time(mispaired, boxes, tol).where("cluster_id = credited")
+    pairs = near_in_time(mispaired, boxes, tol, keep=True)
     d = F.hypot(F.col("bx") + F.col("w") / 2 - F.col("x"), (F.col("by") + F.col("h") * 0.35 - F.col("y")) * y_weight)
-    best = pairs.groupBy("probe_id").agg(F.min_by("tracklet_id", F.struct(d, "tracklet_id", "box_t")).alias("tracklet_id"))
-    return mispaired.select("probe_id").join(best, "probe_id", "left")
+    near = F.when(F.col("cluster_id") == F.col("credited"), F.struct(d, "tracklet_id", "box_t"))
+    return pairs.groupBy("rally_id", "probe_id").agg(F.min_by("tracklet_id", near).alias("tracklet_id")).drop("rally_id")
 
 
 def outside_boxes(points: DataFrame, boxes: DataFrame) -> DataFrame:

@@ -74,11 +74,16 @@ def tracklet_identity(tracklets: DataFrame, rallies: DataFrame, identities: Data
     return tracklets.join(rallies.select("rally_id", "game_id"), "rally_id").join(people, ["game_id", "cluster_id"], "left").select("tracklet_id", "rally_id", "game_id", "cluster_id", "identity_id", "name")
 
 
-def mispaired(plays: DataFrame, tracklets: DataFrame, identities: DataFrame, rallies: DataFrame) -> DataFrame:
-    """play_id, game_id, credited, body: touches credited to one cluster whose linked body is of another."""
-    bodies = tracklets.join(rallies.select("rally_id", "game_id"), "rally_id").join(identities.select("game_id", "cluster_id"), ["game_id", "cluster_id"]).select("tracklet_id", "game_id", F.col("cluster_id").alias("body"))
-    kept = plays.where("not deleted and cluster_id is not null and tracklet_id is not null").select("play_id", "tracklet_id", F.col("cluster_id").alias("credited"))
-    return kept.join(bodies, "tracklet_id").where("body <> credited").select("play_id", "game_id", "credited", "body")
+def mispaired(plays: DataFrame, tracklets: DataFrame, identities: DataFrame, rallies: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """play_id, game_id, credited, body, and `more` columns of plays: touches credited to one cluster whose linked body is of another.
+
+    Rallies take their game's clusters along, so tracklets move by their own id alone.
+    """
+    clusters = identities.groupBy("game_id").agg(F.collect_set("cluster_id").alias("_clusters"))
+    of = rallies.select("rally_id", "game_id").join(clusters, "game_id")
+    bodies = tracklets.select("tracklet_id", "rally_id", "cluster_id").join(of, "rally_id").where(F.array_contains("_clusters", F.col("cluster_id"))).select("tracklet_id", "game_id", F.col("cluster_id").alias("body"))
+    kept = plays.where("not deleted and cluster_id is not null and tracklet_id is not null").select("play_id", "tracklet_id", F.col("cluster_id").alias("credited"), *more)
+    return kept.join(bodies, "tracklet_id").where("body <> credited").select("play_id", "game_id", "credited", "body", *more)
 
 
 def _count(condition: Column) -> Column:

@@ -130,6 +130,12 @@ def _judged(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     return evaluation.judge_touches(predicted.withColumnRenamed("rally_id", "found_id"), truth.drop("game_id"), mapping, scope.resolve_merges(t["all"]["identities"])), mapping, truth
 
 
+def _mispaired_probes(t: Tables) -> DataFrame:
+    """Wrongly linked touches, dealt by rally as boxes are."""
+    bad = scope.mispaired(t["all"]["plays"], t["all"]["tracklets"], t["all"]["identities"], t["all"]["rallies"], ("rally_id", "t", "x", "y"))
+    return bad.select(F.col("play_id").alias("probe_id"), "credited", "rally_id", "t", "x", "y").repartition(t.tasks, "rally_id")
+
+
 def _sided(t: Tables) -> DataFrame:
     return t.probes().withColumn("side", d.side(F.col("x"), F.col("y"))).withColumn("cluster", F.when(F.col("probe_id") % 4 != 0, F.col("cluster_id")))
 
@@ -177,7 +183,7 @@ QUERIES = {
     "attribute_by_wrist": lambda t: d.attribute_by_wrist(_wristed(t)).select("probe_id", "cluster", "dist_px"),
     "boxes_at": lambda t: d.boxes_at(t.probes().drop("cluster_id"), t.boxes(), 0.3),
     "attribute": lambda t: d.attribute(t.probes().drop("cluster_id"), t.boxes(), 300.0, 600.0),
-    "relink_tracklets": lambda t: d.relink(scope.mispaired(t["all"]["plays"], t["all"]["tracklets"], t["all"]["identities"], t["all"]["rallies"]).select(F.col("play_id").alias("probe_id"), "credited").join(t.probes().select("probe_id", "rally_id", "t", "x", "y"), "probe_id"), t.boxes(), 0.3),
+    "relink_tracklets": lambda t: d.relink(_mispaired_probes(t), t.boxes(), 0.3),
     "outside_boxes": lambda t: d.outside_boxes(t.probes(), t.boxes()),
     "wrist_clusters": lambda t: d.wrist_clusters(t.probes().drop("cluster_id"), t.boxes(), 0.3),
     "link_contacts": lambda t: d.link_contacts(t["plays"], t.probes().withColumn("t", F.col("t") + (F.col("probe_id") % 9 - 4) / 64)),

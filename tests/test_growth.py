@@ -188,7 +188,7 @@ def shuffled_rows(df):
     return total
 
 
-@pytest.mark.parametrize(("name", "most"), [("bundle_evidence", 10)])
+@pytest.mark.parametrize(("name", "most"), [("relink_tracklets", 5.5), ("bundle_evidence", 10)])
 def test_points_and_boxes_stay_where_they_lie(spark, name, most):
     touches = spark.read.parquet(f"{DATA}/lineitem.parquet").count()
     least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
@@ -199,6 +199,28 @@ def test_points_and_boxes_stay_where_they_lie(spark, name, most):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
 
 
+def test_near_boxes_of_odd_rows(spark):
+    from courtlake.operators.detections import near_in_time, relink
+
+    rng, tol = random.Random(3), 0.3
+    time = lambda: rng.choice([None, round(rng.random() * 6 - 3, 2), rng.randrange(-10, 10) * 0.3, rng.randrange(-3, 3) * 1.2])
+    probes = [(i, rng.choice([None, 1, 2, 3]), time(), rng.random() * 50, 5.0, rng.randrange(2)) for i in range(90)]
+    boxes = [(rng.choice([None, 1, 2]), i % 40, rng.randrange(2), time(), rng.random() * 50, 1.0, 2.0, 3.0) for i in range(120)]
+    p = spark.createDataFrame(probes, "probe_id long, rally_id long, t double, x double, y double, credited long")
+    b = spark.createDataFrame(boxes, "rally_id long, tracklet_id long, cluster_id long, t double, x double, y double, w double, h double")
+    near = [(a, c) for a in probes for c in boxes if a[1] is not None and a[1] == c[0] and None not in (a[2], c[3]) and abs(c[3] - a[2]) <= tol]
+    best = {a[0]: None for a in probes}
+    for a, c in near:
+        if c[2] == a[5]:
+            new = (float(np.hypot(c[4] + 1 - a[3], (c[5] + 3 * 0.35 - a[4]) * 0.6)), c[1], c[3])
+            best[a[0]] = min(best[a[0]] or new, new)
+    for one, other in ((p, b), (p.repartition(3, "rally_id"), b.repartition(3, "rally_id"))):
+        got = sorted((r["probe_id"], r["tracklet_id"], r["box_t"], r["bx"]) for r in near_in_time(one, other, tol).collect())
+        assert got == sorted((a[0], c[1], c[3], c[4]) for a, c in near) and len(got) > 100
+        got = relink(one, other, tol).collect()
+        assert len(got) == 90 and {r["probe_id"]: r["tracklet_id"] for r in got} == {k: v and v[1] for k, v in best.items()}
+
+
 def test_evidence_of_odd_bundles(spark):
     from courtlake.operators.training import bundle_evidence
 
