@@ -75,21 +75,22 @@ def attribute_by_wrist(contacts: DataFrame, gate: float = 140.0, drop: float = 2
     return rows.withColumn("cluster", F.when(F.col("_n.dist") < gate, F.col("_n.cluster"))).withColumn("dist_px", F.col("_n.dist")).drop("_n")
 
 
-def near_in_time(probes: DataFrame, boxes: DataFrame, tol: float, keep: bool = False) -> DataFrame:
+def near_in_time(probes: DataFrame, boxes: DataFrame, tol: float, keep: bool = False, by: tuple[str, ...] = ("rally_id",)) -> DataFrame:
     """Pairs of a probe and the boxes of its rally within `tol` seconds; with `keep`, probes without any stay, maybe twice, with nulls.
 
     Both are gathered by rally and time bucket, a box in one and a probe in those it reaches into, so neither side grows
-    with the other, and sides that are dealt by rally over as many tasks aren't shuffled (a join by both keys would).
+    with the other, and sides that are dealt by rally over as many tasks aren't shuffled (a join by both keys would). `by`
+    may name the game beside the rally, for sides that are dealt by game.
     """
     wide, reach = 4 * tol, 1.01 * tol  # a little more than `tol`, so that no bucket is lost to rounding
     box = F.struct("tracklet_id", F.col("t").alias("box_t"), F.col("x").alias("bx"), F.col("y").alias("by"), "w", "h", "cluster_id")
-    b = boxes.where("rally_id is not null and t is not null").select("rally_id", F.floor(F.col("t") / wide).alias("_bucket"), box.alias("_box"))
+    b = boxes.where("rally_id is not null and t is not null").select(*by, F.floor(F.col("t") / wide).alias("_bucket"), box.alias("_box"))
     at = F.sequence(F.floor((F.col("t") - reach) / wide), F.floor((F.col("t") + reach) / wide))
-    p = probes.select("rally_id", F.struct(*(c for c in probes.columns if c != "rally_id")).alias("_probe"), F.explode_outer(at).alias("_bucket"))
-    met = p.unionByName(b, allowMissingColumns=True).groupBy("rally_id", "_bucket").agg(F.collect_list("_probe").alias("_probes"), F.collect_list("_box").alias("_boxes"))
-    each = met.select("rally_id", F.explode("_probes").alias("_probe"), "_boxes")
+    p = probes.select(*by, F.struct(*(c for c in probes.columns if c not in by)).alias("_probe"), F.explode_outer(at).alias("_bucket"))
+    met = p.unionByName(b, allowMissingColumns=True).groupBy(*by, "_bucket").agg(F.collect_list("_probe").alias("_probes"), F.collect_list("_box").alias("_boxes"))
+    each = met.select(*by, F.explode("_probes").alias("_probe"), "_boxes")
     near = F.filter("_boxes", lambda x: F.abs(x["box_t"] - F.col("_probe.t")) <= tol)
-    return each.select("rally_id", "_probe", (F.explode_outer if keep else F.explode)(near).alias("_box")).select("rally_id", "_probe.*", "_box.*")
+    return each.select(*by, "_probe", (F.explode_outer if keep else F.explode)(near).alias("_box")).select(*by, "_probe.*", "_box.*")
 
 
 def boxes_at(probes: DataFrame, boxes: DataFrame, tol: float = 0.12) -> DataFrame:
@@ -145,10 +146,11 @@ def known_different(tracklets: DataFrame, slack: float = 0.2) -> DataFrame:
     distance is one less the cosine of their embeddings, null where either has none.
     """
     facts = [F.col("tracklet_id"), F.col("t0"), F.col("t1"), F.col("embedding").alias("e") if "embedding" in tracklets.columns else F.lit(None).cast("array<double>").alias("e")]
-    a, b = (tracklets.select("rally_id", *(x.alias(f"{side}_{n}") for x, n in zip(facts, ("id", "0", "1", "e"), strict=True))) for side in "ab")
-    pairs = a.join(b, "rally_id").where((F.col("a_id") < F.col("b_id")) & (F.col("a_0") <= F.col("b_1") + slack) & (F.col("b_0") <= F.col("a_1") + slack))
     dot = lambda u, v: F.aggregate(F.zip_with(u, v, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-    apart = 1 - dot("a_e", "b_e") / (F.sqrt(dot("a_e", "a_e")) * F.sqrt(dot("b_e", "b_e")) + 1e-9)
+    rows = tracklets.select("rally_id", *(x.alias(n) for x, n in zip(facts, ("id", "0", "1", "e"), strict=True))).withColumn("n", F.sqrt(dot("e", "e")))
+    a, b = (rows.select("rally_id", *(F.col(n).alias(f"{side}_{n}") for n in ("id", "0", "1", "e", "n"))) for side in "ab")
+    pairs = a.join(b, "rally_id").where((F.col("a_id") < F.col("b_id")) & (F.col("a_0") <= F.col("b_1") + slack) & (F.col("b_0") <= F.col("a_1") + slack))
+    apart = 1 - dot("a_e", "b_e") / (F.col("a_n") * F.col("b_n") + 1e-9)
     return pairs.select("rally_id", F.col("a_id").alias("a"), F.col("b_id").alias("b"), apart.alias("distance"))
 
 

@@ -27,9 +27,10 @@ CROWD = BOXES.replace("generate_series(0, 4)", "generate_series(0, 7)")
 
 
 def _crowd(t: Tables) -> DataFrame:
-    """Boxes of tracklets that last long enough to be seen together."""
-    rows = _with_game(t, t["all"]["tracklets"]).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(7)).cast("array<bigint>")))
-    return rows.selectExpr("game_id", "rally_id", "tracklet_id", "cluster_id", "t0 + k / 2 AS t", "cast((p * 7 + 40 * k) % 1800 AS double) AS x", "cast((p * 13 + 25 * k) % 900 AS double) AS y", "60.0D AS w", "cast(20 + (p + k) % 90 AS double) AS h")
+    """Boxes of tracklets that last long enough to be seen together, with their rally's span. Tracklets are dealt by game before, so that boxes needn't be."""
+    rows = t["all"]["tracklets"].join(t["all"]["rallies"].select("rally_id", "game_id", "start_s", "end_s"), "rally_id").repartition(t.tasks, "game_id")
+    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(7)).cast("array<bigint>")))
+    return rows.selectExpr("game_id", "rally_id", "tracklet_id", "cluster_id", "t0 + k / 2 AS t", "cast((p * 7 + 40 * k) % 1800 AS double) AS x", "cast((p * 13 + 25 * k) % 900 AS double) AS y", "60.0D AS w", "cast(20 + (p + k) % 90 AS double) AS h", "start_s", "end_s")
 
 
 def _people(t: Tables) -> DataFrame:
@@ -50,8 +51,13 @@ def _bodies(t: Tables) -> DataFrame:
 
 def _report(t: Tables) -> DataFrame:
     of = t["all"]["rallies"]
-    contacts = t["plays"].join(of.select("rally_id", "game_id"), "rally_id").select("game_id", "rally_id", F.col("play_id").alias("probe_id"), "t", "x", "y", F.when(F.col("play_id") % 5 != 0, (F.col("play_id") % 300).cast("double")).alias("wrist_px"))
-    return camera.camera_report(_crowd(t), _bodies(t), of, contacts, t.ball("game_id"))
+    contacts = t["plays"].join(of.select("rally_id", "game_id"), "rally_id").repartition(t.tasks, "game_id").select("game_id", "rally_id", F.col("play_id").alias("probe_id"), "t", "x", "y", F.when(F.col("play_id") % 5 != 0, (F.col("play_id") % 300).cast("double")).alias("wrist_px"))
+    return camera.camera_report(_crowd(t), t["all"]["tracklets"], of, contacts, t.ball("game_id", t.tasks), bodies=_bodies(t))
+
+
+def _spacing(t: Tables) -> DataFrame:
+    px = camera.player_distances(_crowd(t), t["all"]["rallies"]).groupBy("game_id").agg(camera.ranked("px").alias("v"))
+    return px.select("game_id", F.size("v").cast("long").alias("pairs"), F.round(camera.middle("v"), 6).alias("spacing_med"), F.round(camera.at_rank("v", 10), 6).alias("spacing_p10"))
 
 
 def _compared(t: Tables) -> DataFrame:
@@ -93,9 +99,9 @@ QUERIES = {
     "bundle_evidence": lambda t: (lambda pairs, points: training.bundle_evidence(pairs, points, t["all"]["rallies"], _with_game(t, t["plays"]), tasks=t.tasks).withColumns({"median_px": F.round("median_px", 6), "close_share": F.round("close_share", 9)}))(*_bundles(t)),
     "contact_f1": lambda t: training.contact_f1(t.ball(), t["rallies"], _truth(t)),
     "training_frames": lambda t: training.training_frames(_with_game(t, ball.merge_points(_verified(t))), _fired(t)),
-    "player_spacing": lambda t: (lambda px: px.groupBy("game_id").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.percentile("px", 0.5), 6).alias("spacing_med")).join(camera.nearest_rank(px, "px", {"spacing_p10": 10}).withColumn("spacing_p10", F.round("spacing_p10", 6)), "game_id"))(camera.player_distances(_crowd(t), t["all"]["rallies"])),
+    "player_spacing": _spacing,
     "concurrency": lambda t: camera.concurrency(t["all"]["tracklets"], t["all"]["rallies"]),
-    "sampling_rate": lambda t: camera.sampling_rate(t.ball("game_id")),
+    "sampling_rate": lambda t: camera.sampling_rate(t.ball("game_id", t.tasks)),
     "ball_speed": lambda t: camera.ball_motion(t.ball()).groupBy("rally_id").agg(F.count(F.lit(1)).alias("samples"), F.count("change").alias("changes"), F.round(F.max("speed"), 3).alias("fastest"), F.round(F.max("change"), 3).alias("sharpest"), F.round(F.min("cos"), 6).alias("turn")),
     "camera_report": lambda t: _report(t).withColumn("value", F.round("value", 6)),
     "rescaled_constants": lambda t: camera.rescaled_constants(_report(t), 1).withColumns({c: F.round(c, 6) for c in ("suggested", "half_spacing")}),

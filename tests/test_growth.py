@@ -253,3 +253,51 @@ def test_evidence_of_odd_bundles(spark):
         assert len(got) == len(pairs)
         assert {(r["bundle_id"], r["game_id"]): (r["rallies"], r["covered"], r["touches"], r["median_px"] and round(r["median_px"], 6), r["verdict"]) for r in got} == want
     assert len({w[4] for w in want.values()}) > 2
+
+
+@pytest.mark.parametrize(("name", "most"), [("player_spacing", 3), ("camera_report", 18)])
+def test_frames_are_not_made_and_a_game_lies_together(spark, name, most):
+    touches = spark.read.parquet(f"{DATA}/lineitem.parquet").count()
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert 0 < shuffled_rows(query(spark, name)) <= most * touches
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+
+
+@pytest.mark.parametrize(("step", "tol"), [(2.0, 0.2), (0.5, 0.4), (0.3, 0.9)])
+def test_distances_on_any_grid(spark, step, tol):
+    from courtlake.operators.camera import player_distances
+
+    rng = random.Random(7)
+    rallies = [(1, 1, 10.0, 18.0), (1, 2, 30.0, 29.0), (2, 3, 40.5, 44.25), (2, 4, None, 50.0)]
+    boxes = [(rng.randrange(1, 5), rng.randrange(5), 0, rng.choice([None, 10 + rng.random() * 9, 40 + rng.randrange(40) / 8]), rng.random() * 90, rng.random() * 90, 4.0, 20.0) for _ in range(900)]
+    want = []
+    for game, rally, start, end in rallies:
+        for k in range(int((end - start) // step) + 1 if start is not None and end >= start else 0):
+            at, stands = start + k * step, {}
+            for r, who, _, t, x, y, w, h in boxes:
+                if r == rally and t is not None and abs(t - at) < tol:
+                    stands[who] = min(stands.get(who, (9e9,)), (abs(t - at), t, x + w / 2, y + h * 0.35))
+            places = [s[2:] for s in stands.values()]
+            want += [(game, rally, k, round(float(np.hypot(a[0] - b[0], a[1] - b[1])), 6)) for i, a in enumerate(places) for b in places[i + 1 :]]
+    b = spark.createDataFrame(boxes, "rally_id long, tracklet_id long, cluster_id long, t double, x double, y double, w double, h double")
+    r = spark.createDataFrame(rallies, "game_id long, rally_id long, start_s double, end_s double")
+    for df in (b, b.join(r, "rally_id").repartition(3, "game_id")):
+        assert sorted((g["game_id"], g["rally_id"], g["tick"], round(g["px"], 6)) for g in player_distances(df, r).collect()) == sorted(want)
+    assert len(want) > 5
+
+
+def test_ranks_of_ordered_values(spark):
+    from pyspark.sql import functions as F
+
+    from courtlake.operators.camera import at_rank, middle, nearest_rank, ranked
+
+    rows = [(g, float(v) if v % 5 else None) for g, n in enumerate((1, 3, 4, 10, 31)) for v in range(n)]
+    df = spark.createDataFrame(rows, "game_id long, v double")
+    got = {r["game_id"]: r for r in df.groupBy("game_id").agg(ranked("v").alias("a"), F.percentile("v", 0.5).alias("p")).select("game_id", "p", middle("a").alias("m"), at_rank("a", 10).alias("r")).collect()}
+    near = {r["game_id"]: r["r"] for r in nearest_rank(df, "v", {"r": 10}).collect()}
+    for g, r in got.items():
+        v = sorted(x for k, x in rows if k == g and x is not None)
+        assert r["m"] == r["p"] and near.get(g) == r["r"] == (v[min(len(v), max(1, round(0.1 * len(v)))) - 1] if v else None)
