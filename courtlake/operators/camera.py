@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from courtlake.operators.detections import known_different, near_in_time
+from courtlake.sources.store import written
 
 #: The thresholds in use, and which of them grow with the size of players in the picture.
 CONSTANTS = {"min_box_h_px": 45.0, "court_margin_px": 90.0, "gate": 220.0, "drop": 340.0, "y_weight": 0.6, "dv_thr": 260.0, "wrist_max": 180.0, "ball_max_dim": 70.0, "max_speed": 900.0, "cluster_thresh": 0.12}
 SCALED = ["min_box_h_px", "gate", "drop", "dv_thr", "wrist_max", "ball_max_dim", "max_speed", "court_margin_px"]
+#: The figures that constants are rescaled by.
+RESCALING = ["box_h_med", "spacing_med", "contact_dx_med", "contact_dy_med"]
 #: Windows of speeds in microseconds, and the speed below which a ball stands still.
 BASE_US, STILL = 100_000, 20.0
 
@@ -124,12 +127,13 @@ def _share(condition: Column) -> Column:
     return 100 * F.avg(F.when(condition, 1.0).otherwise(0.0))
 
 
-def camera_report(boxes: DataFrame, tracklets: DataFrame, rallies: DataFrame, contacts: DataFrame, ball: DataFrame, near_y: float = 690.0, constants: dict[str, float] = CONSTANTS, bodies: DataFrame | None = None) -> DataFrame:
+def camera_report(boxes: DataFrame, tracklets: DataFrame, rallies: DataFrame, contacts: DataFrame, ball: DataFrame, near_y: float = 690.0, constants: dict[str, float] = CONSTANTS, bodies: DataFrame | None = None, metrics: list[str] | None = None) -> DataFrame:
     """game_id, metric, value: player heights, tracking, spacing, contact geometry, wrists, ball speeds, rule rates, identity distances.
 
     rallies: game_id, rally_id, phase, start_s, end_s; contacts: game_id, rally_id, probe_id, t, x, y, wrist_px;
     tracklets: tracklet_id, rally_id, t0, t1, embedding (that may be in `bodies`, the same ones, alone). Percentiles are by
-    nearest rank, medians the mean of the middle two. Figures without rows are left out.
+    nearest rank, medians the mean of the middle two. Figures without rows are left out, and so are those that aren't in
+    `metrics` if it is given; nothing is made for them.
 
     Boxes, contacts and ball points that are dealt by game over as many tasks aren't shuffled: a game's values are gathered and
     put in order once for all their figures. What is made by rally (tracklets, pairs of them) moves to its game as bare values.
@@ -161,7 +165,8 @@ def camera_report(boxes: DataFrame, tracklets: DataFrame, rallies: DataFrame, co
     unlike = of_games(apart, "distance").agg(ranked("distance").alias("_v"), _share(F.col("distance") < constants["cluster_thresh"]).alias("neg_under_thresh_pct"))
     unlike = unlike.select("game_id", middle("_v").alias("neg_dist_med"), "neg_under_thresh_pct", F.size("_v").alias("n_neg_pairs"), at_rank("_v", 5).alias("neg_dist_p05"))
     parts = [tall, seen, lasting, space, reach, hands, cover, fast, unlike]
-    long = [p.unpivot(["game_id"], [F.col(c).cast("double").alias(c) for c in p.columns if c != "game_id"], "metric", "value") for p in parts]
+    asked = [(p, [c for c in p.columns if c != "game_id" and (metrics is None or c in metrics)]) for p in parts]
+    long = [p.unpivot(["game_id"], [F.col(c).cast("double").alias(c) for c in columns], "metric", "value") for p, columns in asked if columns]
     out = long[0]
     for more in long[1:]:
         out = out.unionByName(more)
@@ -174,7 +179,8 @@ def rescaled_constants(report: DataFrame, reference: int, constants: dict[str, f
     The weight of heights keeps what dy brings to a contact's distance as it was in the reference. For the gate,
     half_spacing is half the median distance between players and `fits` says whether the new gate stays below it.
     """
-    wide = report.where(F.col("metric").isin("box_h_med", "spacing_med", "contact_dx_med", "contact_dy_med")).groupBy("game_id").pivot("metric", ["box_h_med", "spacing_med", "contact_dx_med", "contact_dy_med"]).agg(F.first("value"))
+    wide = report.where(F.col("metric").isin(RESCALING)).groupBy("game_id").pivot("metric", RESCALING).agg(F.first("value"))
+    wide = written(wide, "cameras")  # a row for each game, read twice, and dear
     ref = wide.where(F.col("game_id") == reference).select(F.col("box_h_med").alias("_h"), F.try_divide("contact_dy_med", "contact_dx_med").alias("_r"))
     both = wide.crossJoin(F.broadcast(ref))  # one row
     scale, flat = F.try_divide("box_h_med", "_h"), F.try_divide(F.col("_r"), F.try_divide("contact_dy_med", "contact_dx_med"))

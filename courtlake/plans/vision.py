@@ -49,10 +49,10 @@ def _bodies(t: Tables) -> DataFrame:
     return t["all"]["tracklets"].withColumn("_v", F.col("tracklet_id") % 100).join(v, "_v", "left")
 
 
-def _report(t: Tables) -> DataFrame:
+def _report(t: Tables, metrics: list[str] | None = None) -> DataFrame:
     of = t["all"]["rallies"]
     contacts = t["plays"].join(of.select("rally_id", "game_id"), "rally_id").repartition(t.tasks, "game_id").select("game_id", "rally_id", F.col("play_id").alias("probe_id"), "t", "x", "y", F.when(F.col("play_id") % 5 != 0, (F.col("play_id") % 300).cast("double")).alias("wrist_px"))
-    return camera.camera_report(_crowd(t), t["all"]["tracklets"], of, contacts, t.ball("game_id", t.tasks), bodies=_bodies(t))
+    return camera.camera_report(_crowd(t), t["all"]["tracklets"], of, contacts, t.ball("game_id", t.tasks), bodies=_bodies(t), metrics=metrics)
 
 
 def _spacing(t: Tables) -> DataFrame:
@@ -104,7 +104,7 @@ QUERIES = {
     "sampling_rate": lambda t: camera.sampling_rate(t.ball("game_id", t.tasks)),
     "ball_speed": lambda t: camera.ball_motion(t.ball()).groupBy("rally_id").agg(F.count(F.lit(1)).alias("samples"), F.count("change").alias("changes"), F.round(F.max("speed"), 3).alias("fastest"), F.round(F.max("change"), 3).alias("sharpest"), F.round(F.min("cos"), 6).alias("turn")),
     "camera_report": lambda t: _report(t).withColumn("value", F.round("value", 6)),
-    "rescaled_constants": lambda t: camera.rescaled_constants(_report(t), 1).withColumns({c: F.round(c, 6) for c in ("suggested", "half_spacing")}),
+    "rescaled_constants": lambda t: camera.rescaled_constants(_report(t, camera.RESCALING), 1).withColumns({c: F.round(c, 6) for c in ("suggested", "half_spacing")}),
     "body_or_wrist": lambda t: ball.body_or_wrist(_compared(t)),
     "known_different": lambda t: d.known_different(_bodies(t)).withColumn("distance", F.round("distance", 9)),
     "cluster_identities": lambda t: sequences.cluster_identities(_with_game(t, _bodies(t).where("embedding is not null")), 0.6),

@@ -301,3 +301,25 @@ def test_ranks_of_ordered_values(spark):
     for g, r in got.items():
         v = sorted(x for k, x in rows if k == g and x is not None)
         assert r["m"] == r["p"] and near.get(g) == r["r"] == (v[min(len(v), max(1, round(0.1 * len(v)))) - 1] if v else None)
+
+
+def test_report_makes_what_is_asked_once(spark):
+    from pyspark.sql import functions as F
+
+    from courtlake.operators.camera import RESCALING, rescaled_constants
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for df in batches:
+            seen.add(len(df))
+            yield df
+
+    report = spark.range(40).selectExpr("id div 4 AS game_id", f"element_at(array({', '.join(map(repr, RESCALING))}), cast(id % 4 + 1 AS int)) AS metric", "cast(id + 1 AS double) AS value")
+    assert len(rescaled_constants(report.mapInPandas(count, report.schema), 1).collect()) == 90
+    assert seen.value == 40
+    t = league.tables(spark, DATA)
+    t["vectors"] = spark.read.parquet(f"{DATA}/embeddings.parquet")
+    few, all_ = vision._report(t, RESCALING), vision._report(t)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, all_.where(F.col("metric").isin(RESCALING)).collect()))
+    assert plan_of(few).count("Exchange hashpartitioning") < plan_of(all_).count("Exchange hashpartitioning") / 2
