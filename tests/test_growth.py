@@ -324,3 +324,57 @@ def test_report_makes_what_is_asked_once(spark):
     few, all_ = vision._report(t, RESCALING), vision._report(t)
     assert sorted(map(tuple, few.collect())) == sorted(map(tuple, all_.where(F.col("metric").isin(RESCALING)).collect()))
     assert plan_of(few).count("Exchange hashpartitioning") < plan_of(all_).count("Exchange hashpartitioning")
+
+
+def test_points_are_verified_where_they_lie(spark):
+    touches = spark.read.parquet(f"{DATA}/lineitem.parquet").count()
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert 0 < shuffled_rows(query(spark, "verified_points")) <= 2 * touches
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+
+
+def test_arcs_are_cut_in_one_pass(spark):
+    # numbers of touches and starts of tracks; each level of cuts had windows of its own
+    assert plan_of(query(spark, "verify_arcs")).count("Window [") <= 2
+
+
+def seeded_points(n):
+    rng, rows = random.Random(n), []
+    for rally in range(n):
+        for _ in range(rng.randrange(4)):
+            t0, x, y, vx, vy, bend = rng.random() * 2, rng.random() * 900, rng.random() * 400, rng.random() * 700 - 300, rng.random() * 500 - 400, rng.choice([300, 450, 700])
+            for k in range(rng.randrange(3, 24)):
+                u = k * rng.choice([0.04, 0.05])
+                rows.append((rally % 3, rally, round(t0 + u, 3), x + vx * u + rng.random() * 12, y + vy * u + bend * u * u + rng.random() * 12))
+    return list({r[:3]: r for r in rows}.values())
+
+
+def test_one_pass_is_as_all_steps(spark):
+    from courtlake.operators import ball
+
+    df = spark.createDataFrame(seeded_points(120), "game_id long, rally_id long, t double, x double, y double").repartition(5)
+    steps = ball.merge_points(ball.verified_tracks(ball.flying(ball.link_predicted(df))))
+    assert sorted(map(tuple, ball.verified_points(df).collect())) == sorted(map(tuple, steps.collect())) and steps.count() > 200
+    tracks = ball.link_predicted(df)
+    one = ball.verified_tracks(tracks, flight=ball.FLIGHT)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, ball.verified_tracks(ball.flying(tracks)).collect()))
+
+
+def test_merged_as_one_by_one():
+    from courtlake.operators.ball import _merged
+
+    rng = np.random.default_rng(2)
+    for _ in range(30):
+        n = rng.integers(1, 60)
+        g = np.sort(rng.integers(0, 4, n))
+        t, x, y = rng.random(n) * rng.choice([0.3, 1.0, 3.0]), rng.random(n) * 60, rng.random(n) * 60
+        t = t[np.lexsort((t, g))]
+        want = []
+        for i in range(n):
+            if want and g[want[-1]] == g[i] and t[i] - round(float(t[want[-1]]), 3) < 0.04 and np.hypot(x[i] - x[want[-1]], y[i] - y[want[-1]]) < 40:
+                continue
+            want.append(i)
+        assert _merged(t, x, y, g).tolist() == want
