@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from courtlake.operators.ball import verified_rows
 from courtlake.operators.detections import HEIGHT
-from courtlake.operators.sequences import Columns, breaks, group_of, per_groups, strongest, take_together, thin
-from courtlake.sources.store import written
+from courtlake.operators.sequences import Columns, breaks, group_of, per_group, per_groups, strongest, take_together
 
 
 def bundle_evidence(pairs: DataFrame, ball: DataFrame, rallies: DataFrame, plays: DataFrame, tol: float = 0.15, close: float = 80.0, least_share: float = 0.2, far: float = 200.0, tasks: int | None = None) -> DataFrame:
@@ -98,6 +100,31 @@ def contact_f1(ball: DataFrame, rallies: DataFrame, truth: DataFrame, thresholds
     return out.withColumn("f1", rate(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))).drop("_p", "_s", "_g")
 
 
+#: The kinds of frames.
+KINDS = ["positive", "negative", "hard"]
+#: What a rally brings to its game: verified points (own 0), and frames that fooled the detector (own 1).
+_SHOWN = "game_id long, rally_id long, own int, t double, x double, y double"
+
+
+def _fooled(t: np.ndarray, g: np.ndarray, seen: np.ndarray, of: np.ndarray, every: int) -> np.ndarray:
+    """Places of every `every`th distinct time (t of rally g, in order) without one of `seen` (of rally `of`) in the same tenth of a second."""
+    tenth = lambda t: np.floor(t * 10 + 0.5)
+    at = np.nonzero(np.append(True, (np.diff(g) != 0) | (np.diff(t) != 0))[: len(t)])[0]
+    both = np.concatenate([tenth(t[at]), tenth(seen)])
+    low = both.min(initial=0)
+    place = np.concatenate([g[at], of]) * (both.max(initial=0) - low + 1) + both - low
+    at = at[~np.isin(place[: len(at)], place[len(at) :])]
+    rally = g[at]
+    nth = np.arange(len(at)) - np.searchsorted(rally, rally)
+    return at[nth % every == 0]
+
+
+def _shown(rows: Columns, arcs: np.ndarray, t: np.ndarray, hard: np.ndarray) -> Columns:
+    both = np.concatenate([arcs, hard])
+    out = {c: rows[c][both] for c in ("game_id", "rally_id", "x", "y")}
+    return out | {"own": np.repeat([0, 1], [len(arcs), len(hard)]), "t": np.concatenate([t, rows["t"][hard]])}
+
+
 def training_frames(arcs: DataFrame, fired: DataFrame, share: float = 0.3, hard_share: float = 0.4, every: int = 7, away: float = 0.5, gap: float = 0.45, seed: int = 0) -> DataFrame:
     """game_id, t, kind, box: frames that show the ball (positive), random ones that don't (negative), and ones that fooled the detector (hard).
 
@@ -107,25 +134,53 @@ def training_frames(arcs: DataFrame, fired: DataFrame, share: float = 0.3, hard_
     `away` to every fifth positive go. Hard ones are every `every`th of a rally's frames without a verified point in the
     same tenth of a second, in order, `hard_share` of the positives at most, one at least.
     """
-    arcs = written(arcs, "arcs")  # read five times, and dear
-    game = Window.partitionBy("game_id").orderBy("t")
-    places = arcs.groupBy("game_id", "t").agg(F.min(F.struct("x", "y")).alias("p"))
-    chosen = thin(arcs, gap, "game_id").join(places, ["game_id", "t"]).withColumn("_i", F.row_number().over(game) - 1)
-    positives = chosen.select("game_id", "t", F.lit("positive").alias("kind"), F.when(F.col("p.y") < HEIGHT * 0.6, 26).otherwise(40).alias("box"))
-    size = arcs.groupBy("game_id").agg(F.max("t").alias("_end")).join(chosen.groupBy("game_id").agg(F.count(F.lit(1)).alias("_n")), "game_id")
-    many = F.floor(F.col("_n") * share).cast("int")
-    drawn = size.where(many > 0).select("game_id", "_end", F.explode(F.sequence(F.lit(0), many - 1)).alias("_k"))
-    unit = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("game_id").cast("string"), F.col("_k").cast("string"))), 1, 12), 16, 10).cast("double") / float(1 << 48)
-    times = drawn.select("game_id", (unit * F.col("_end")).alias("t"))
-    at = F.floor(F.col("s") / away)
-    taken = chosen.where(F.col("_i") % 5 == 0).select("game_id", F.col("t").alias("s")).withColumn("_b", F.explode(F.array(at - 1, at, at + 1)))
-    asked = times.withColumn("_b", F.floor(F.col("t") / away))
-    clear = asked.join(taken, (asked["game_id"] == taken["game_id"]) & (asked["_b"] == taken["_b"]) & (F.abs(asked["t"] - taken["s"]) < away), "left_anti")
-    negatives = clear.select("game_id", "t", F.lit("negative").alias("kind"), F.lit(None).cast("int").alias("box"))
-    tenth = F.floor(F.col("t") * 10 + 0.5).alias("_tenth")
-    kept = arcs.select("game_id", "rally_id", tenth).distinct()
-    fooled = fired.select("game_id", "rally_id", "t", tenth).distinct().join(kept, ["game_id", "rally_id", "_tenth"], "left_anti")
-    fooled = fooled.withColumn("_i", F.row_number().over(Window.partitionBy("game_id", "rally_id").orderBy("t")) - 1).where(F.col("_i") % every == 0)
-    fooled = fooled.withColumn("_r", F.row_number().over(Window.partitionBy("game_id").orderBy("rally_id", "t"))).join(size, "game_id")
-    hard = fooled.where(F.col("_r") <= F.greatest(F.lit(1), F.floor(F.col("_n") * hard_share))).select("game_id", "t", F.lit("hard").alias("kind"), F.lit(None).cast("int").alias("box"))
-    return positives.unionByName(negatives).unionByName(hard)
+
+    def some(rows: Columns, edges: np.ndarray) -> Columns:
+        g = group_of(edges)
+        arcs, fired = (np.nonzero(rows["own"] == k)[0] for k in (0, 1))
+        return _shown(rows, arcs, rows["t"][arcs], fired[_fooled(rows["t"][fired], g[fired], rows["t"][arcs], g[arcs], every)])
+
+    keys = ["game_id", "rally_id"]
+    none = F.lit(None).cast("double")
+    both = arcs.select(*keys, F.lit(0).alias("own"), "t", "x", "y").unionByName(fired.select(*keys, F.lit(1).alias("own"), "t", none.alias("x"), none.alias("y")))
+    return _chosen(per_groups(both.where("game_id is not null"), keys, ["own", "t", "x", "y"], some, _SHOWN), share, hard_share, away, gap, seed)
+
+
+def frames_of_points(points: DataFrame, share: float = 0.3, hard_share: float = 0.4, every: int = 7, away: float = 0.5, gap: float = 0.45, seed: int = 0) -> DataFrame:
+    """`training_frames` of candidates (game_id, rally_id, t, x, y) and of the points that `verified_points` leaves of them, in one pass where a rally lies.
+
+    What reaches a game is its verified points and its hard frames; candidates aren't moved.
+    """
+
+    def some(rows: Columns, edges: np.ndarray) -> Columns:
+        g, at = group_of(edges), verified_rows(rows, edges)
+        t = np.round(rows["t"][at], 3)
+        return _shown(rows, at, t, _fooled(rows["t"], g, t, g[at], every))
+
+    rows = points.where("game_id is not null").select("game_id", "rally_id", "t", "x", "y")
+    return _chosen(per_groups(rows, ["game_id", "rally_id"], ["t", "x", "y"], some, _SHOWN), share, hard_share, away, gap, seed)
+
+
+def _chosen(shown: DataFrame, share: float, hard_share: float, away: float, gap: float, seed: int) -> DataFrame:
+    """A game's frames from what its rallies bring; a task holds a game's."""
+
+    def one(rows: Columns) -> Columns:
+        game, arcs, fooled = rows["game_id"][:1], rows["own"] == 0, np.nonzero(rows["own"] == 1)[0]
+        t, y = rows["t"][arcs], rows["y"][arcs]
+        last, picked = -np.inf, []
+        for i, now in enumerate(t.tolist()):
+            if now - last >= gap:
+                picked.append(i)
+                last = now
+        many = int(np.floor(len(picked) * share))
+        drawn = np.array([int(hashlib.md5(f"{seed}-{int(game[0])}-{k}".encode()).hexdigest()[:12], 16) / float(1 << 48) for k in range(many)]) * (t[-1] if len(t) else 0.0)
+        taken = np.concatenate([[-np.inf], t[picked[::5]], [np.inf]])
+        after = np.searchsorted(taken, drawn)
+        clear = drawn[np.minimum(np.abs(drawn - taken[after - 1]), np.abs(taken[after] - drawn)) >= away]
+        hard = fooled[np.lexsort((rows["t"][fooled], rows["rally_id"][fooled]))][: max(1, int(np.floor(len(picked) * hard_share))) if picked else 0]
+        times = [t[picked], clear, rows["t"][hard]]
+        size = [len(x) for x in times]
+        box = np.concatenate([np.where(y[picked] < HEIGHT * 0.6, 26.0, 40.0), np.full(size[1] + size[2], np.nan)])
+        return {"game_id": np.repeat(game, sum(size)), "t": np.concatenate(times), "kind": np.repeat(np.array(KINDS, object), size), "box": box}
+
+    return per_group(shown, ["game_id"], ["own", "t", "x", "y"], one, "game_id long, t double, kind string, box double").withColumn("box", F.col("box").cast("int"))

@@ -70,14 +70,6 @@ def _clips(t: Tables) -> DataFrame:
     return t["all"]["rallies"].selectExpr("rally_id AS clip_id", "game_id", "start_s AS t0", "least(end_s, start_s + 12) AS t1")
 
 
-def _verified(t: Tables) -> DataFrame:
-    return ball.verified_tracks(ball.flying(ball.link_predicted(t.ball())))
-
-
-def _fired(t: Tables) -> DataFrame:
-    return t.ball().select("game_id", "rally_id", "t").distinct()
-
-
 def _with_game(t: Tables, df: DataFrame) -> DataFrame:
     return df.join(t["all"]["rallies"].select("rally_id", "game_id"), "rally_id")
 
@@ -98,7 +90,7 @@ QUERIES = {
     "tracklet_vectors": lambda t: people.tracklet_vectors(t["vectors"].selectExpr("vec_id % 50 AS tracklet_id", "embedding")).select("tracklet_id", F.size("embedding").cast("long").alias("n"), F.round(F.get("embedding", F.lit(0)), 9).alias("first"), F.round(F.element_at("embedding", -1), 9).alias("last")),
     "bundle_evidence": lambda t: (lambda pairs, points: training.bundle_evidence(pairs, points, t["all"]["rallies"], _with_game(t, t["plays"]), tasks=t.tasks).withColumns({"median_px": F.round("median_px", 6), "close_share": F.round("close_share", 9)}))(*_bundles(t)),
     "contact_f1": lambda t: training.contact_f1(t.ball(), t["rallies"], _truth(t)),
-    "training_frames": lambda t: training.training_frames(_with_game(t, ball.merge_points(_verified(t))), _fired(t)),
+    "training_frames": lambda t: training.frames_of_points(t.ball()),
     "player_spacing": _spacing,
     "concurrency": lambda t: camera.concurrency(t["all"]["tracklets"], t["all"]["rallies"]),
     "sampling_rate": lambda t: camera.sampling_rate(t.ball("game_id", t.tasks)),

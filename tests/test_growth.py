@@ -378,3 +378,24 @@ def test_merged_as_one_by_one():
                 continue
             want.append(i)
         assert _merged(t, x, y, g).tolist() == want
+
+
+def test_frames_come_from_where_rallies_lie(spark):
+    touches = spark.read.parquet(f"{DATA}/lineitem.parquet").count()
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert 0 < shuffled_rows(query(spark, "training_frames")) <= 10 * touches
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+
+
+def test_frames_of_points_are_those_of_steps(spark):
+    from courtlake.operators import ball, training
+
+    df = spark.createDataFrame(seeded_points(90), "game_id long, rally_id long, t double, x double, y double").repartition(5)
+    arcs = ball.verified_points(df).join(df.select("game_id", "rally_id").distinct(), "rally_id")
+    want = training.training_frames(arcs, df.select("game_id", "rally_id", "t"), share=0.9).collect()
+    got = training.frames_of_points(df, share=0.9).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    assert {r["kind"] for r in got} == set(training.KINDS)
