@@ -399,3 +399,14 @@ def test_frames_of_points_are_those_of_steps(spark):
     got = training.frames_of_points(df, share=0.9).collect()
     assert sorted(map(repr, got)) == sorted(map(repr, want))
     assert {r["kind"] for r in got} == set(training.KINDS)
+
+
+def test_paths_are_dealt_by_the_number_of_touches(spark, monkeypatch):
+    import re
+
+    from courtlake.sources import league as source
+
+    monkeypatch.setattr(source, "TOUCHES", 1000)
+    dealt = re.findall(r"hashpartitioning\(game_id#\d+L, (\d+)\), (\w+)", plan_of(query(spark, "ball_path")))
+    dealt = [n for n, kind in dealt if kind.startswith("REPARTITION")]
+    assert set(dealt) == {"6"} and len(dealt) > 3  # readers of points, and the clips
